@@ -1,0 +1,43 @@
+"""Tables written to the shared folder, to cut lineage and to use a result twice."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.session import ship_package
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    if set_by_cluster:
+        return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+class Stored:
+    """A written table; drop() removes it once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.df = spark.read.parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def store(df: DataFrame, name: str) -> Stored:
+    """Write df to the shared folder and read it back."""
+    spark = ship_package(df.sparkSession)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Stored(spark, path)
