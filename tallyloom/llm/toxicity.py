@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +52,10 @@ def feature_hashes(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.nda
     return np.concatenate(owners), np.concatenate(ids).astype(np.int64)
 
 
-def distinct_pairs(owner: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique(owner << bits | ids)
-    return pairs >> bits, pairs & ((1 << bits) - 1)
-
-
-def feature_ids(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once, sorted."""
-    return distinct_pairs(*feature_hashes(data, off, bits), bits)
+def feature_values(owner: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value) sorted, each pair once; the value grows with the logarithm of the count."""
+    pairs, counts = np.unique(owner << bits | ids, return_counts=True)
+    return pairs >> bits, pairs & ((1 << bits) - 1), np.log2(1.0 + counts)
 
 
 def term_id(term: str, bits: int) -> int:
@@ -78,19 +75,20 @@ class ToxicityModel:
         """Probability for each text."""
         owner, ids = feature_hashes(data, off, self.bits)
         weighs = self.weights[ids] != 0
-        owner, ids = distinct_pairs(owner[weighs], ids[weighs], self.bits)
-        total = self.bias + np.bincount(owner, self.weights[ids], minlength=len(off) - 1)
+        owner, ids, values = feature_values(owner[weighs], ids[weighs], self.bits)
+        total = self.bias + np.bincount(owner, self.weights[ids] * values, minlength=len(off) - 1)
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit_toxicity(owner: np.ndarray, ids: np.ndarray, labels: np.ndarray, bits: int = 20, least_texts: int = 4, ridge: float = 2e-4, fairness: float = 1.0, groups=IDENTITY_TERMS, rounds: int = 120) -> ToxicityModel:
+def fit_toxicity(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, labels: np.ndarray, bits: int = 20, least_texts: int = 4, most_features: int = 1_000, ridge: float = 3e-5, fairness: float = 1.0, groups=IDENTITY_TERMS, rounds: int = 150) -> ToxicityModel:
     """Logistic regression with a ridge and a counterfactual penalty.
 
-    owner, ids: sorted (text, feature) pairs; labels: 0 or 1 for each text. For
-    each text that has an identity term, the term is swapped for each other one
-    of its group, and `fairness` times the mean squared change of the score (the
-    logit) is added to the loss. Rare features get no weight. One class only, or
-    no text: a constant score.
+    owner, ids, values: sorted features of texts; labels: 0 or 1 for each text.
+    The `most_features` that lean furthest to label 1, by the standard score of
+    their sums, may weigh, and all identity terms. For each text that has an
+    identity term, the term is swapped for each other one of its group, and
+    `fairness` times the mean squared change of the score (the logit) is added
+    to the loss. One class only, or no text: a constant score.
     """
     n = len(labels)
     rate = (labels.sum() + 0.5) / (n + 1.0)
@@ -98,15 +96,20 @@ def fit_toxicity(owner: np.ndarray, ids: np.ndarray, labels: np.ndarray, bits: i
     if n == 0 or labels.min() == labels.max():
         return constant
     terms = [[term_id(t, bits) for t in g] for g in groups]
-    found, count = np.unique(ids, return_counts=True)
-    keep = np.union1d(found[count >= least_texts], np.array(sum(terms, []), np.int64))
-    at = np.minimum(np.searchsorted(keep, ids), len(keep) - 1)
-    used = keep[at] == ids
-    owner, at = owner[used].astype(np.int32), at[used].astype(np.int32)
+    size = 1 << bits
+    texts_with = np.bincount(ids, minlength=size)
+    p = labels.mean()
+    lean = (np.bincount(ids, values * labels[owner], size) - p * np.bincount(ids, values, size)) / np.sqrt(p * (1 - p) * np.bincount(ids, values * values, size) + 1.0)
+    common = np.flatnonzero(texts_with >= least_texts)
+    keep = np.union1d(common[np.argsort(-lean[common], kind="stable")[:most_features]], np.array(sum(terms, []), np.int64))
+    place = np.full(size, -1, np.int32)
+    place[keep] = np.arange(len(keep))
+    at = place[ids]
+    owner, at, values = owner[at >= 0], at[at >= 0], values[at >= 0]
     swaps = []
     for g in terms:
         for t in g:
-            texts = int(count[found == t].sum())
+            texts = int(texts_with[t])
             others = [u for u in g if u != t]
             swaps += [(np.searchsorted(keep, t), np.searchsorted(keep, u), texts / (n * len(others))) for u in others if texts]
     a, b, share = (np.array(x) for x in zip(*swaps)) if swaps else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -114,10 +117,10 @@ def fit_toxicity(owner: np.ndarray, ids: np.ndarray, labels: np.ndarray, bits: i
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w = x[:-1]
-        z = np.bincount(owner, w[at], minlength=n) + x[-1]
+        z = np.bincount(owner, w[at] * values, minlength=n) + x[-1]
         value = float(np.mean(np.logaddexp(0, z) - y * z)) + ridge / 2 * float(w @ w)
         r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        grad = np.append(np.bincount(at, r[owner], minlength=len(keep)) + ridge * w, r.sum())
+        grad = np.append(np.bincount(at, r[owner] * values, minlength=len(keep)) + ridge * w, r.sum())
         if len(a):
             d = w[b] - w[a]
             value += fairness * float(share @ (d * d))
@@ -126,27 +129,26 @@ def fit_toxicity(owner: np.ndarray, ids: np.ndarray, labels: np.ndarray, bits: i
         return value, grad
 
     x = lbfgs(loss, np.append(np.zeros(len(keep)), constant.bias), rounds)
-    weights = np.zeros(1 << bits)
+    weights = np.zeros(size)
     weights[keep] = np.where(np.abs(x[:-1]) > 1e-4, x[:-1], 0.0)
     return ToxicityModel(bits, weights, float(x[-1]))
 
 
-def training_pairs(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of a bounded table (text, label), gathered on the driver."""
+def training_features(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, values and labels of a bounded table (text, label), gathered on the driver."""
 
     def run(batches):
         for part, data, off in rows_and_texts(batches):
-            owner, ids = feature_ids(data, off, bits)
-            cut = np.searchsorted(owner, np.arange(len(off)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["label", "ids"])
+            owner, ids, values = feature_values(*feature_hashes(data, off, bits), bits)
+            cut = pa.array(np.searchsorted(owner, np.arange(len(off))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ids.astype(np.int32), values.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["label", "ids", "values"])
 
-    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, ids array<int>").toArrow()
+    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, ids array<int>, values array<float>").toArrow()
     labels = got.column("label").to_numpy().astype(np.int64)
-    lists = got.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(labels), dtype=np.int32), sizes), lists.flatten().to_numpy(), labels
+    sizes = got.column("ids").combine_chunks().value_lengths().to_numpy() if len(labels) else np.zeros(0, np.int64)
+    flat = lambda name: pc.list_flatten(got.column(name)).to_numpy()
+    return np.repeat(np.arange(len(labels), dtype=np.int32), sizes), flat("ids"), flat("values"), labels
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fold: int = 5, most_rows: int = 10_000, bits: int = 20, **fit) -> DataFrame:
@@ -168,7 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     )
     # A repeated id would give a text as often as it is repeated; one of each is enough.
     sample = both.join(F.broadcast(chosen.groupBy("doc_id").agg(F.max("label").alias("label"))), "doc_id").where("text is not null")
-    model = fit_toxicity(*training_pairs(sample.limit(2 * most_rows), bits), bits=bits, **fit)
+    model = fit_toxicity(*training_features(sample.limit(2 * most_rows), bits), bits=bits, **fit)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
