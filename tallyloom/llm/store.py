@@ -35,9 +35,10 @@ class Stored:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def store(df: DataFrame, name: str) -> Stored:
-    """Write df to the shared folder and read it back."""
+def store(df: DataFrame, name: str, partition: str | None = None) -> Stored:
+    """Write df to the shared folder and read it back; with a folder per value of `partition`."""
     spark = ship_package(df.sparkSession)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     return Stored(spark, path)
