@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tallyloom.llm.textkit import LOWER, Hasher, Words, keyed, ngrams, per_text
+from tallyloom.llm.textkit import Hasher, Words, keyed, ngrams, per_text
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -76,7 +76,3 @@ def text_counts(data: np.ndarray, off: np.ndarray, words: Words | None = None, h
         covered[hit] = covered[hit + 1] = covered[hit + 2] = True
     out["n_repeat_words"] = per_text(covered[:total], words.first)
     return out
-
-
-def lower(data: np.ndarray) -> np.ndarray:
-    return LOWER[data]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, longest_match, mixing, ordinal, tiff, toxicity, weak
+from tallyloom.llm import bpe, longest_match, mixing, ordinal, signature_tree, tiff, toxicity, weak
 from tallyloom.session import ship_package
 
 
@@ -26,6 +26,10 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "quality")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -50,7 +54,7 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tiff_media, op3_weak_supervision, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality)}
+    return {f.__name__: f for f in (op1_tiff_media, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality)}
 
 
 OP8_SQL = r"""

@@ -133,6 +133,10 @@ def keyed(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return mix(h + (owner.astype(np.uint64) + U64(1)) * SALT[2])
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    return LOWER[data]
+
+
 def to_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
