@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, longest_match, mixing, ordinal, signature_tree, tiff, toxicity, weak
+from tallyloom.llm import bpe, longest_match, mixing, ordinal, signature_tree, suffix_array, tiff, toxicity, weak
 from tallyloom.session import ship_package
 
 
@@ -17,6 +17,10 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.document_media(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The method's verdict, behind the two fixed base rules."""
     from pyspark.sql import functions as F
@@ -54,7 +58,7 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tiff_media, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_suffix_dedup, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality)}
 
 
 OP8_SQL = r"""
