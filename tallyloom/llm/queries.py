@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, longest_match, mixing, ordinal, signature_tree, suffix_array, tiff, toxicity, weak
+from tallyloom.llm import bpe, katz, longest_match, mixing, ordinal, signature_tree, suffix_array, tiff, toxicity, weak
 from tallyloom.session import ship_package
 
 
@@ -57,8 +57,12 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.ordinal_quality(table(spark, sf_dir, "documents"), labels.select("doc_id", ordinal.graded().alias("grade")))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tiff_media, op2_suffix_dedup, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_suffix_dedup, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality, op10_katz)}
 
 
 OP8_SQL = r"""
