@@ -455,3 +455,21 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     classes = linked.join(named, "component").select(F.col("node").alias("set_hash"), F.col("component_id").alias("linked_id"))
     ids = distinct_sets.join(classes, "set_hash", "left").select("set_hash", F.coalesce("linked_id", "rep").alias("class_id"))
     return sets.join(ids, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4) -> DataFrame:
+    """The rows of docs that are the smallest doc_id of their component; of rows that share such an id, one.
+
+    Rows without an id, a text or words all stay. Only ids are matched against the
+    documents.
+    """
+    found = store(jaccard_components(docs, threshold, n), "components").df
+    gone = store(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone").df
+    small = gone.count() <= 1_000_000  # at most 16 MB; beyond, both sides are shuffled
+    kept = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    twice = store(twice, "twice").df
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(again)
