@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.packing import pack, pack_strings, unpack, unpack_strings
-from tallyloom.llm.store import store
+from tallyloom.llm.store import store_bucketed
 from tallyloom.llm.textkit import Hasher, buffers
 from tallyloom.session import ship_package
 
@@ -166,7 +166,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
     buckets = min(max(64, 2 * parts), 65_535)
     sent = spark.sparkContext.broadcast(ranks)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = store(blocks_of(plain, pattern, block_bytes, buckets), "bpe", partition="kind").df
+    cut = store_bucketed(blocks_of(plain, pattern, block_bytes, buckets), "bpe", "block", parts, partition="kind")
     questions = cut.where(f"kind = {WORDS}").select("block", "bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     answers = _answers(questions, sent, pattern).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
     texts = cut.where(f"kind = {TEXTS}").select("block", F.col("payload").alias("texts"))

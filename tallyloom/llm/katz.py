@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.packing import pack, unpack
-from tallyloom.llm.store import store
+from tallyloom.llm.store import store, store_bucketed
 from tallyloom.llm.textkit import SALT, U64, Hasher, Words, lower, mix, rows_and_texts
 from tallyloom.session import ship_package
 
@@ -299,7 +299,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     bits = max(6, (2 * parts - 1).bit_length())
     buckets = 1 << bits
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.expr(f"crc32(coalesce(cast({doc_id} as string), '')) % {fold} = {held_out}").alias("held"), F.col(text).alias("text"))
-    blocks = store(blocks_of(plain, block_bytes), "blocks").df
+    blocks = store_bucketed(blocks_of(plain, block_bytes), "blocks", "block", parts)
 
     def ask_words(batches):
         for batch in batches:

@@ -42,3 +42,12 @@ def store(df: DataFrame, name: str, partition: str | None = None) -> Stored:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return Stored(spark, path)
+
+
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition: str | None = None) -> DataFrame:
+    """As store(), dealt into buckets by `key`: a join by it with as many shuffle partitions leaves the table where it is."""
+    spark = ship_package(df.sparkSession)
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key)
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
+    return spark.table(table)
