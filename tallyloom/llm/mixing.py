@@ -97,7 +97,7 @@ def mixture(documents: DataFrame, repetition_limit: float | None = None, target_
     ends = inside.groupBy("s", "b").agg(F.min(F.when(F.col("before") + F.col("here") >= F.col("rest"), F.col("order_key"))).alias("cutoff"))
     ends = ends.select("s", F.coalesce("cutoff", F.concat("b", F.lit("g"))).alias("cutoff"))
     cutoffs = goal.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "total", "target", "rounds", F.coalesce("cutoff", F.lit("")).alias("cutoff"))
-    return Mixture(exponent, cutoffs)
+    return Mixture(exponent, store(cutoffs, "cutoffs").df)  # its size is known: the join below is planned by it
 
 
 def copies() -> Column:
