@@ -426,15 +426,16 @@ def _links(rows: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4, doc_id: str = "doc_id", text: str = "text", block_shingles: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4, doc_id: str = "doc_id", text: str = "text", block_shingles: int = 2_000_000, few_blocks: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Rows link when the Jaccard similarity of their sets of n-word shingles is at
     least `threshold`; component_id is the smallest doc_id reachable. Null and
     empty texts, and texts without words, link with nothing. Equal sets (copies)
-    are joined as one. A cluster of more than `block_shingles` shingles is cut
-    into blocks, and each pair of blocks is a task of its own, so no cluster is
-    ever in one task and no pair is left out. Sets are told apart by 64-bit
+    are joined as one. A cluster is cut into blocks of at most
+    `block_shingles` shingles, smaller ones (an eighth) as long as that gives no
+    more than `few_blocks`; each pair of blocks is a task of its own, so a large
+    cluster is never in one task and no pair is left out. Sets are told apart by 64-bit
     hashes of shingles. Extra columns are ignored; an empty table gives an empty
     one; a null doc_id is never a component's id unless all its ids are null.
     """
@@ -446,7 +447,9 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     loose = components(loose_links(routed(plain, n, threshold, min(65_535, max(64, 2 * parts))), parts))
     members = distinct_sets.withColumn("node", F.shiftrightunsigned("set_hash", ROUTE_SHIFT)).join(loose, "node").select("set_hash", "rep", "n_shingles", F.col("component").alias("cluster"))
     members = store(members, "members").df
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"), F.count("*").alias("n"))
+    total = F.sum("n_shingles")
+    n_blocks = F.greatest(F.ceil(total / block_shingles), F.least(F.lit(few_blocks), F.ceil(total * few_blocks / block_shingles)))
+    sizes = members.groupBy("cluster").agg(n_blocks.cast("int").alias("n_blocks"), F.count("*").alias("n"))
     placed = members.join(sizes.where("n > 1"), "cluster").withColumn("mine", F.pmod(F.hash("set_hash"), F.col("n_blocks"))).select("rep", "set_hash", "cluster", "mine", "n_blocks")
     small = members.count() <= 500_000  # at most 20 MB; beyond, both sides are shuffled
     texts = plain.join(F.broadcast(placed) if small else placed, plain.doc_id == placed.rep).drop("rep", "doc_id")
