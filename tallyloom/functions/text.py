@@ -59,10 +59,11 @@ def file_name(text: Column, most: int = 40) -> Column:
 
 
 def size_text(size: Column, digits: int = 1, gap: str = " ") -> Column:
-    """Bytes in the largest unit below 1024, up to TB."""
-    out = F.format_string(f"%.{digits}f{gap}TB", size / 1024.0**4)
+    """Bytes in the largest unit below 1024, up to TB; exact halves go to the even digit."""
+    shown = lambda power, unit: F.format_string(f"%.{digits}f{gap}{unit}", F.bround(size / 1024.0**power, digits))
+    out = shown(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.{digits}f{gap}{unit}", size / 1024.0**power)).otherwise(out)
+        out = F.when(size < 1024.0 ** (power + 1), shown(power, unit)).otherwise(out)
     return out
 
 

@@ -1,3 +1,3 @@
 """Queries bound to the test tables; importing this package registers them."""
 
-from tallyloom.plans import retrieval  # noqa: F401
+from tallyloom.plans import inventory, profile, retrieval  # noqa: F401
