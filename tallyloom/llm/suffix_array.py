@@ -140,58 +140,103 @@ MATCH = "kind int, doc_id long, start long, stop long, other long, hash long"
 FOUND, ASKED = 0, 1
 
 
+def left_order(r: "Run", run: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """rows sorted by run, then by the words before the anchor."""
+    text = np.zeros((len(rows), 8 + 2 * LEFT), np.uint8)
+    text[:, :8] = run[rows].astype(">u8").view(np.uint8).reshape(-1, 8)
+    text[:, 8:] = r.left[rows].astype(">u2").view(np.uint8).reshape(len(rows), -1)
+    return rows[np.argsort(text.view(f"S{text.shape[1]}").reshape(-1), kind="stable")]
+
+
+def other_documents(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the nearest rows above and below it in its run with another doc; -1 where there is none."""
+    n = len(doc)
+    change = np.concatenate([[True], (doc[1:] != doc[:-1]) | (run[1:] != run[:-1])])
+    start = np.flatnonzero(change)
+    block = np.cumsum(change) - 1
+    above, below = start[block] - 1, np.append(start[1:], n)[block]
+    above[(above >= 0) & (run[above] != run)] = -1
+    below[(below < n) & (run[np.minimum(below, n - 1)] != run)] = n
+    below[below == n] = -1
+    return above, below
+
+
+def greatest(words: np.ndarray, n: int, neighbours: tuple[np.ndarray, ...], places: np.ndarray) -> np.ndarray:
+    """Most words that each of n rows shares with one of its neighbours (row numbers within `places`, or -1)."""
+    out = np.zeros(n, np.int64)
+    for other in neighbours:
+        ok = other >= 0
+        me, you = places[ok], places[other[ok]]
+        np.maximum.at(out, me, _equal_words(words[me], words[you]))
+    return out
+
+
+def windows_within(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bit k is set where a window of MIN_WORDS words that begins k words before the anchor fits into a match that goes so far."""
+    low = np.clip(MIN_WORDS - ANCHOR - right, 0, LEFT + 1).astype(np.uint64)
+    high = (np.clip(left, -1, LEFT) + 1).astype(np.uint64)
+    bits = (U64(1) << high) - U64(1)
+    return bits & ~((U64(1) << low) - U64(1))
+
+
 def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None:
     """MATCH rows of sorted keys in whole runs.
 
     FOUND: words start..stop of doc_id also stand in the document `other`, at
     least MIN_WORDS of them; each row is compared with its nearest neighbours
-    in other documents, and with the nearest ones of a smaller doc_id.
-    ASKED: in a run of three or more documents in which these comparisons leave
-    a row without a match, or that goes on in another partition, a longer match
-    may be with another row; then each window of MIN_WORDS words around
-    each row is listed by its hash, to be matched exactly later.
+    in other documents, and with the nearest ones of a smaller doc_id. These share
+    the most words to the right that any such row does; the same neighbours in the
+    order of the words before share the most to the left.
+    ASKED: windows of MIN_WORDS words that lie within both bounds of a row but
+    in no match found for it, and all windows of a run that goes on in another
+    partition, are listed by their hash for all rows of the run, to be matched
+    exactly later. So no repeated window is left out.
     """
     r = Run(keys)
     n = len(keys)
     run = np.cumsum(np.concatenate([[0], (r.anchor[1:] != r.anchor[:-1]).astype(np.int64)]))
     sizes = np.bincount(run)
-    edge = touches_edge[run] if len(touches_edge) else np.zeros(n, bool)
+    edge = touches_edge[run]
     live = np.flatnonzero((sizes[run] > 1) | edge)
     if not len(live):
         return None
-    change = np.concatenate([[True], (r.doc[1:] != r.doc[:-1]) | (run[1:] != run[:-1])])
-    start = np.flatnonzero(change)
-    block = np.cumsum(change) - 1
-    above = start[block] - 1
-    below = np.append(start[1:], n)[block]
-    sub = nearest_lower(r.doc[live], run[live])
-    lower = [np.where(s >= 0, live[s], -1) for s in sub]
-    best_right = np.zeros(n, np.int64)
-    matched, matched_low = np.zeros(n, bool), np.zeros(n, bool)
+    any_doc, low_doc = other_documents(r.doc[live], run[live]), nearest_lower(r.doc[live], run[live])
+    have, have_low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     out = []
-    for other, low in ((above[live], False), (below[live], False), (lower[0], True), (lower[1], True)):
-        ok = (other >= 0) & (other < n)
-        me, you = live[ok], other[ok]
-        same = run[me] == run[you]
-        me, you = me[same], you[same]
+    for other in (*any_doc, *low_doc):
+        ok = other >= 0
+        me, you = live[ok], live[other[ok]]
         right, left = _equal_words(r.right[me], r.right[you]), _equal_words(r.left[me], r.left[you])
-        np.maximum.at(best_right, me, right)
         hit = ANCHOR + right + left >= MIN_WORDS
         me, you, right, left = me[hit], you[hit], right[hit], left[hit]
-        matched[me] = True
-        matched_low[me] |= r.doc[you] < r.doc[me]
+        within = windows_within(left, right)
+        have[me] |= within
+        have_low[me] |= np.where(r.doc[you] < r.doc[me], within, U64(0))
         out.append((r.doc[me], r.at[me] - left, r.at[me] + ANCHOR + right, r.doc[you]))
-    cols = [np.concatenate(c) for c in zip(*out)]
-    cols = np.unique(np.stack(cols, axis=1), axis=0)
-    batch = [np.full(len(cols), FOUND), cols[:, 0], cols[:, 1], cols[:, 2], cols[:, 3], np.zeros(len(cols), np.int64)]
-    # Runs that may hide a longer match.
-    documents = np.bincount(run[change], minlength=len(sizes))
+    found = np.unique(np.stack([np.concatenate(c) for c in zip(*out)], axis=1), axis=0)
+    columns = [[np.full(len(found), FOUND), *found.T, np.zeros(len(found), np.int64)]]
+
     least_doc = np.full(len(sizes), np.iinfo(np.int64).max)
     np.minimum.at(least_doc, run, r.doc)
-    unsettled = (documents[run] > 2) & (~matched | (~matched_low & (r.doc > least_doc[run])))
-    ask = np.zeros(len(sizes), bool)
-    ask[run[unsettled]] = True
-    rows = np.flatnonzero(ask[run] | edge)
+    most_doc = np.full(len(sizes), np.iinfo(np.int64).min)
+    np.maximum.at(most_doc, run, r.doc)
+    whole = windows_within(np.array([LEFT]), np.array([RIGHT]))[0]
+    maybe = ((have != whole) & (least_doc[run] < most_doc[run])) | ((have_low != whole) & (r.doc > least_doc[run]))
+    pending = np.zeros(len(sizes), bool)
+    pending[run[maybe & (sizes[run] > 2)]] = True
+    rows = np.flatnonzero(pending[run])
+    may = np.where(edge, whole, U64(0))  # windows to list
+    if len(rows):
+        turned = left_order(r, run, rows)
+        bound = windows_within(greatest(r.left, n, other_documents(r.doc[turned], run[turned]), turned), greatest(r.right, n, any_doc, live))
+        bound_low = windows_within(greatest(r.left, n, nearest_lower(r.doc[turned], run[turned]), turned), greatest(r.right, n, low_doc, live))
+        missing = np.zeros(n, np.uint64)
+        missing[rows] = ((bound & ~have) | np.where(r.doc > least_doc[run], bound_low & ~have_low, U64(0)))[rows]
+        of_run = np.zeros(len(sizes), np.uint64)
+        np.bitwise_or.at(of_run, run, missing)
+        may = np.where(edge, whole, bound & of_run[run])
+    ask = may != 0
+    rows = np.flatnonzero(ask)
     if len(rows):
         line = np.concatenate([r.left[rows][:, ::-1], r.right[rows]], axis=1).astype(np.uint64)
         power = np.multiply.accumulate(np.full(LEFT + RIGHT, 0x9E3779B97F4A7C15, np.uint64))
@@ -199,11 +244,12 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
         solid = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(line == 0, axis=1)], axis=1)
         for k in range(LEFT + 1):  # the window begins k words before the selected one
             lo, hi = LEFT - k, LEFT + MIN_WORDS - ANCHOR - k
-            whole = solid[:, hi] == solid[:, lo]
-            h = mix((sums[whole][:, hi] - sums[whole][:, lo]) ^ r.anchor[rows[whole]] + U64(k))
-            who = rows[whole]
-            batch = [np.concatenate([a, b]) for a, b in zip(batch, (np.full(len(who), ASKED), r.doc[who], r.at[who] - k, r.at[who] - k + MIN_WORDS, np.full(len(who), -1), h.view(np.int64)))]
-    return pa.RecordBatch.from_arrays([pa.array(batch[0].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in batch[1:])], names=["kind", "doc_id", "start", "stop", "other", "hash"])
+            listed = (solid[:, hi] == solid[:, lo]) & (may[rows] >> U64(k) & U64(1)).astype(bool)
+            who = rows[listed]
+            h = mix((sums[listed, hi] - sums[listed, lo]) ^ (r.anchor[who] + U64(k)))
+            columns.append([np.full(len(who), ASKED), r.doc[who], r.at[who] - k, r.at[who] - k + MIN_WORDS, np.full(len(who), -1), h.view(np.int64)])
+    kind, *rest = (np.concatenate(c) for c in zip(*columns))
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in rest)], names=["kind", "doc_id", "start", "stop", "other", "hash"])
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -228,7 +274,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
             lo = np.frombuffer(offsets, np.int32)[column.offset]
             rows = np.frombuffer(data, np.uint8)[lo : lo + len(column) * KEY].reshape(-1, KEY)
             held = np.concatenate([held, rows])
-            if len(held) < 50_000:
+            if len(held) < 20_000:
                 continue
             differs = np.flatnonzero((held[:, :8] != held[-1, :8]).any(axis=1))
             if len(differs):
