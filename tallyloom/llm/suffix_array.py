@@ -24,7 +24,8 @@ MIN_WORDS = 50
 ANCHOR = 19
 WINDOW = MIN_WORDS - ANCHOR + 1
 LEFT, RIGHT = WINDOW - 1, MIN_WORDS - ANCHOR  # words of context that can decide about a match
-KEY = 8 + 2 * (LEFT + RIGHT) + 12  # bytes of a sort key: anchor, right, left, document, position
+CONTEXT = 8 + 2 * (LEFT + RIGHT)  # bytes of anchor, words right of it, words left of it
+KEY = CONTEXT + 2 + 12  # bytes of a sort key: these, reach to both sides, document, position
 
 
 def window_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -38,7 +39,7 @@ def window_least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def select_words(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, anchor hash) of the selected suffixes of hashed words; windows never cross texts."""
+    """(positions of the selected suffixes, hashes of all grams) of hashed words; windows never cross texts."""
     n = len(words)
     if n < MIN_WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -57,8 +58,23 @@ def select_words(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
     low[low == np.iinfo(np.uint64).max] = 0
     greatest = ~window_least(~low, WINDOW)
     best = greatest[:n_grams] == grams
-    at = np.flatnonzero(best)
-    return at, grams[at]
+    return np.flatnonzero(best), grams
+
+
+def reach(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance from each selected word to the nearest gram before it that is not greater, and after it that is less; WINDOW if there is none so near.
+
+    The selected word is the least one of a window exactly if the window ends before both.
+    """
+    before, after = np.full(len(at), WINDOW, np.uint8), np.full(len(at), WINDOW, np.uint8)
+    mine = grams[at]
+    for d in range(WINDOW - 1, 0, -1):
+        left, right = at - d, at + d
+        ok = left >= 0
+        before[ok] = np.where(grams[left[ok]] <= mine[ok], d, before[ok])
+        ok = right < len(grams)
+        after[ok] = np.where(grams[right[ok]] < mine[ok], d, after[ok])
+    return before, after
 
 
 def suffix_keys(data: np.ndarray, off: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
@@ -66,11 +82,11 @@ def suffix_keys(data: np.ndarray, off: np.ndarray, doc_ids: np.ndarray) -> np.nd
     words = Words(data, off)
     hashed = Hasher(data).spans(words.starts, words.ends)
     owner = words.owner()
-    at, anchor = select_words(hashed, owner)
+    at, grams = select_words(hashed, owner)
     out = np.zeros((len(at), KEY), np.uint8)
     if not len(at):
         return out
-    out[:, :8] = anchor.astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, :8] = grams[at].astype(">u8").view(np.uint8).reshape(-1, 8)
     # 16 bits of each context word, 1 to 65535; 0 stands for the end of the text.
     short = np.zeros(len(hashed) + LEFT + RIGHT + ANCHOR, np.uint16)
     short[LEFT : LEFT + len(hashed)] = np.maximum(1, (hashed >> U64(48)).astype(np.uint16))
@@ -82,7 +98,8 @@ def suffix_keys(data: np.ndarray, off: np.ndarray, doc_ids: np.ndarray) -> np.nd
     left = short[LEFT + at[:, None] - 1 - offsets]
     left[at[:, None] - 1 - offsets < first[:, None]] = 0
     out[:, 8 : 8 + 2 * RIGHT] = right.astype(">u2").view(np.uint8).reshape(len(at), -1)
-    out[:, 8 + 2 * RIGHT : 8 + 2 * (RIGHT + LEFT)] = left.astype(">u2").view(np.uint8).reshape(len(at), -1)
+    out[:, CONTEXT], out[:, CONTEXT + 1] = reach(grams, at)
+    out[:, 8 + 2 * RIGHT : CONTEXT] = left.astype(">u2").view(np.uint8).reshape(len(at), -1)
     out[:, -12:-4] = (doc_ids[owner[at]].astype(np.uint64) ^ U64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
     out[:, -4:] = (at - first).astype(">u4").view(np.uint8).reshape(-1, 4)
     return out
@@ -112,7 +129,8 @@ class Run:
         n = len(keys)
         self.anchor = np.ascontiguousarray(keys[:, :8]).view(">u8").reshape(n).astype(np.uint64)
         self.right = np.ascontiguousarray(keys[:, 8 : 8 + 2 * RIGHT]).view(">u2").reshape(n, RIGHT).astype(np.uint16)
-        self.left = np.ascontiguousarray(keys[:, 8 + 2 * RIGHT : 8 + 2 * (RIGHT + LEFT)]).view(">u2").reshape(n, LEFT).astype(np.uint16)
+        self.left = np.ascontiguousarray(keys[:, 8 + 2 * RIGHT : CONTEXT]).view(">u2").reshape(n, LEFT).astype(np.uint16)
+        self.before, self.after = keys[:, CONTEXT].astype(np.int64), keys[:, CONTEXT + 1].astype(np.int64)
         self.doc = (np.ascontiguousarray(keys[:, -12:-4]).view(">u8").reshape(n).astype(np.uint64) ^ U64(1 << 63)).view(np.int64)
         self.at = np.ascontiguousarray(keys[:, -4:]).view(">u4").reshape(n).astype(np.int64)
 
@@ -136,7 +154,7 @@ def nearest_lower(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-MATCH = "kind int, doc_id long, start long, stop long, other long, hash long"
+MATCH = "kind int, doc_id long, start int, stop int, low_start int, low_stop int, other long, hash long"
 FOUND, ASKED = 0, 1
 
 
@@ -179,18 +197,31 @@ def windows_within(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return bits & ~((U64(1) << low) - U64(1))
 
 
+def common_row(keys: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each run, the first row of its most frequent context: what most near copies were made from."""
+    change = np.concatenate([[True], (keys[1:, :CONTEXT] != keys[:-1, :CONTEXT]).any(axis=1)])
+    start = np.flatnonzero(change)
+    size = np.diff(np.append(start, len(keys)))
+    order = np.lexsort((-size, run[start]))
+    first = np.concatenate([[True], np.diff(run[start][order]) > 0])
+    return start[order[first]]
+
+
 def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None:
     """MATCH rows of sorted keys in whole runs.
 
-    FOUND: words start..stop of doc_id also stand in the document `other`, at
-    least MIN_WORDS of them; each row is compared with its nearest neighbours
-    in other documents, and with the nearest ones of a smaller doc_id. These share
-    the most words to the right that any such row does; the same neighbours in the
-    order of the words before share the most to the left.
-    ASKED: windows of MIN_WORDS words that lie within both bounds of a row but
-    in no match found for it, and all windows of a run that goes on in another
-    partition, are listed by their hash for all rows of the run, to be matched
-    exactly later. So no repeated window is left out.
+    Each row is compared with its nearest neighbours in other documents, with
+    the nearest ones of a smaller doc_id, with the run's most common row and with
+    its row of the smallest doc_id. Neighbours share the most words to the right
+    that any such row does; the same in the order of the words before share the
+    most to the left.
+    FOUND: words start..stop of doc_id stand in other documents too, at least
+    MIN_WORDS of them; low_start..low_stop in ones of a smaller id; other is
+    the smallest partner met.
+    ASKED: windows of MIN_WORDS words that have their least gram here and lie
+    within both bounds, but in no match found, and all such windows of a run that goes
+    on in another partition, are listed by their hash for all rows of the run, to be
+    matched exactly later. So no repeated window is left out.
     """
     r = Run(keys)
     n = len(keys)
@@ -201,42 +232,50 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
     if not len(live):
         return None
     any_doc, low_doc = other_documents(r.doc[live], run[live]), nearest_lower(r.doc[live], run[live])
+    least_row = np.lexsort((r.doc, run))[np.searchsorted(run, np.arange(len(sizes)))]
+    least_doc = r.doc[least_row]
+    most_doc = np.maximum.reduceat(r.doc, np.searchsorted(run, np.arange(len(sizes))))
+    pivots = [row[run[live]] for row in (common_row(keys, run), least_row)]
     have, have_low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    out = []
-    for other in (*any_doc, *low_doc):
+    far = {False: (np.full(n, -1), np.full(n, -1)), True: (np.full(n, -1), np.full(n, -1))}
+    partner = np.full(n, np.iinfo(np.int64).max)
+    for other in [*[np.where(o >= 0, live[o], -1) for o in (*any_doc, *low_doc)], *pivots]:
         ok = other >= 0
-        me, you = live[ok], live[other[ok]]
+        me, you = live[ok], other[ok]
+        apart = r.doc[me] != r.doc[you]
+        me, you = me[apart], you[apart]
         right, left = _equal_words(r.right[me], r.right[you]), _equal_words(r.left[me], r.left[you])
         hit = ANCHOR + right + left >= MIN_WORDS
         me, you, right, left = me[hit], you[hit], right[hit], left[hit]
-        within = windows_within(left, right)
+        within, low = windows_within(left, right), r.doc[you] < r.doc[me]
         have[me] |= within
-        have_low[me] |= np.where(r.doc[you] < r.doc[me], within, U64(0))
-        out.append((r.doc[me], r.at[me] - left, r.at[me] + ANCHOR + right, r.doc[you]))
-    found = np.unique(np.stack([np.concatenate(c) for c in zip(*out)], axis=1), axis=0)
-    columns = [[np.full(len(found), FOUND), *found.T, np.zeros(len(found), np.int64)]]
-
-    least_doc = np.full(len(sizes), np.iinfo(np.int64).max)
-    np.minimum.at(least_doc, run, r.doc)
-    most_doc = np.full(len(sizes), np.iinfo(np.int64).min)
-    np.maximum.at(most_doc, run, r.doc)
-    whole = windows_within(np.array([LEFT]), np.array([RIGHT]))[0]
-    maybe = ((have != whole) & (least_doc[run] < most_doc[run])) | ((have_low != whole) & (r.doc > least_doc[run]))
+        have_low[me] |= np.where(low, within, U64(0))
+        partner[me] = np.minimum(partner[me], r.doc[you])
+        for lower, rows in ((False, slice(None)), (True, low)):
+            for bound, value in zip(far[lower], (left, right)):
+                bound[me[rows]] = np.maximum(bound[me[rows]], value[rows])
+    found = np.flatnonzero(have)
+    left, right = (b[found] for b in far[False])
+    low_left, low_right = (b[found] for b in far[True])
+    some = low_left >= 0
+    columns = [[np.full(len(found), FOUND), r.doc[found], r.at[found] - left, r.at[found] + ANCHOR + right, np.where(some, r.at[found] - low_left, -1), np.where(some, r.at[found] + ANCHOR + low_right, -1), partner[found], np.zeros(len(found), np.int64)]]
+
+    own = windows_within(np.minimum(r.before - 1, LEFT), np.minimum(r.after - 1, RIGHT))
+    maybe = ((own & ~have) != 0) & (least_doc[run] < most_doc[run]) | ((own & ~have_low) != 0) & (r.doc > least_doc[run])
     pending = np.zeros(len(sizes), bool)
     pending[run[maybe & (sizes[run] > 2)]] = True
     rows = np.flatnonzero(pending[run])
-    may = np.where(edge, whole, U64(0))  # windows to list
+    may = np.where(edge, own, U64(0))  # windows to list
     if len(rows):
         turned = left_order(r, run, rows)
-        bound = windows_within(greatest(r.left, n, other_documents(r.doc[turned], run[turned]), turned), greatest(r.right, n, any_doc, live))
-        bound_low = windows_within(greatest(r.left, n, nearest_lower(r.doc[turned], run[turned]), turned), greatest(r.right, n, low_doc, live))
+        bound = own & windows_within(greatest(r.left, n, other_documents(r.doc[turned], run[turned]), turned), greatest(r.right, n, any_doc, live))
+        bound_low = own & windows_within(greatest(r.left, n, nearest_lower(r.doc[turned], run[turned]), turned), greatest(r.right, n, low_doc, live))
         missing = np.zeros(n, np.uint64)
-        missing[rows] = ((bound & ~have) | np.where(r.doc > least_doc[run], bound_low & ~have_low, U64(0)))[rows]
+        missing[rows] = ((bound & ~have) | (bound_low & ~have_low))[rows]
         of_run = np.zeros(len(sizes), np.uint64)
         np.bitwise_or.at(of_run, run, missing)
-        may = np.where(edge, whole, bound & of_run[run])
-    ask = may != 0
-    rows = np.flatnonzero(ask)
+        may = np.where(edge, own, bound & of_run[run])
+    rows = np.flatnonzero(may)
     if len(rows):
         line = np.concatenate([r.left[rows][:, ::-1], r.right[rows]], axis=1).astype(np.uint64)
         power = np.multiply.accumulate(np.full(LEFT + RIGHT, 0x9E3779B97F4A7C15, np.uint64))
@@ -247,9 +286,11 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
             listed = (solid[:, hi] == solid[:, lo]) & (may[rows] >> U64(k) & U64(1)).astype(bool)
             who = rows[listed]
             h = mix((sums[listed, hi] - sums[listed, lo]) ^ (r.anchor[who] + U64(k)))
-            columns.append([np.full(len(who), ASKED), r.doc[who], r.at[who] - k, r.at[who] - k + MIN_WORDS, np.full(len(who), -1), h.view(np.int64)])
-    kind, *rest = (np.concatenate(c) for c in zip(*columns))
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in rest)], names=["kind", "doc_id", "start", "stop", "other", "hash"])
+            none = np.full(len(who), -1)
+            columns.append([np.full(len(who), ASKED), r.doc[who], r.at[who] - k, none, none, none, none, h.view(np.int64)])
+    kind, doc, start, stop, low_start, low_stop, other, h = (np.concatenate(c) for c in zip(*columns))
+    narrow = lambda c: pa.array(c.astype(np.int32))
+    return pa.RecordBatch.from_arrays([narrow(kind), pa.array(doc), narrow(start), narrow(stop), narrow(low_start), narrow(low_stop), pa.array(other), pa.array(h)], names=["kind", "doc_id", "start", "stop", "low_start", "low_stop", "other", "hash"])
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -300,21 +341,23 @@ def merged(rows: DataFrame, start: str, stop: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, stop, other: word spans of a document that also stand in another one, stored once.
+    """doc_id, start, stop, low_start, low_stop, other: word spans of a document that also stand in another one.
 
-    Every passage of MIN_WORDS words or more that two documents share gives
-    each of them a row that overlaps it, and each but the smallest doc_id a row
-    whose `other` is smaller than its doc_id.
+    low_start and low_stop: the part that documents of a smaller id have, or -1.
+    Every window of MIN_WORDS words that two documents share is in such a span of
+    each, and in the low part of all but the smallest id.
     """
     spark = ship_package(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     ordered = suffixes(plain).repartitionByRange(parts, "key").sortWithinPartitions("key")
     found = store(neighbours(ordered), "matches", partition="kind").df
-    direct = found.where(f"kind = {FOUND}").select("doc_id", "start", "stop", "other")
-    asked = found.where(f"kind = {ASKED}").select("hash", "doc_id", "start", "stop")
+    direct = found.where(f"kind = {FOUND}").select("doc_id", "start", "stop", "low_start", "low_stop", "other")
+    asked = found.where(f"kind = {ASKED}").select("hash", "doc_id", "start")
     answer = asked.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    more = asked.join(answer, "hash").select("doc_id", "start", "stop", F.when(F.col("least") < F.col("doc_id"), F.col("least")).otherwise(F.col("most")).alias("other"))
+    low = F.col("least") < F.col("doc_id")
+    stop = (F.col("start") + MIN_WORDS).cast("int")
+    more = asked.join(answer, "hash").select("doc_id", "start", stop.alias("stop"), F.when(low, F.col("start")).otherwise(-1).alias("low_start"), F.when(low, stop).otherwise(-1).alias("low_stop"), F.when(low, F.col("least")).otherwise(F.col("most")).alias("other"))
     return direct.unionByName(more)
 
 
@@ -323,8 +366,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     A span is a run of words ``[^\\x20\\x09-\\x0D]+`` of a document that is
     covered by passages of MIN_WORDS words or more which stand in other documents
-    too. copied_words counts those of its words that a document with a smaller
-    id has (0 for the first occurrence); other_doc_id is the smallest partner.
+    too. copied_words counts those of its words that documents with a smaller
+    id have (0 for the first occurrence); other_doc_id is the smallest partner met.
     Repeats within one document don't count. Null and empty texts, and texts
     of fewer words, have no span; rows without an id are left out; rows that share
     an id count as one document. Anchors are compared by 64-bit hashes, the 62
@@ -332,9 +375,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     rows = store(matches(docs, doc_id, text), "found").df
     spans = merged(rows, "start", "stop")
-    copied = merged(rows.where("other < doc_id"), "start", "stop").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("stop").alias("e"))
+    copied = merged(rows.where("low_start >= 0"), "low_start", "low_stop").select(F.col("doc_id").alias("d"), F.col("low_start").alias("s"), F.col("low_stop").alias("e"))
     joined = spans.join(copied, (F.col("doc_id") == F.col("d")) & (F.col("s") >= F.col("start")) & (F.col("e") <= F.col("stop")), "left")
-    return joined.groupBy("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word")).agg(F.first(F.col("stop") - F.col("start")).alias("n_words"), F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)).alias("copied_words"), F.first("other").alias("other_doc_id"))
+    n_words = F.first(F.col("stop") - F.col("start")).cast("long")
+    return joined.groupBy("doc_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word")).agg(n_words.alias("n_words"), F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)).alias("copied_words"), F.first("other").alias("other_doc_id"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -354,8 +398,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     is left out. Texts without a copied passage don't change. Spans, not texts, are
     gathered per document; the join with the documents is by id.
     """
-    rows = store(matches(docs).where("other < doc_id"), "copied").df
-    spans = store(merged(rows, "start", "stop").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans")).withColumnRenamed("doc_id", "_id"), "spans").df
+    rows = store(matches(docs).where("low_start >= 0"), "copied").df
+    low = F.struct(F.col("low_start").cast("long").alias("start"), F.col("low_stop").cast("long").alias("stop"))
+    spans = store(merged(rows, "low_start", "low_stop").groupBy("doc_id").agg(F.array_sort(F.collect_list(low)).alias("_spans")).withColumnRenamed("doc_id", "_id"), "spans").df
     few = spans.count() <= 300_000  # some 20 MB; beyond, both sides are shuffled
     joined = docs.join(F.broadcast(spans) if few else spans, docs.doc_id == spans._id, "left")
     text_at = docs.columns.index("text")
