@@ -81,7 +81,7 @@ def parse_tokens(text: Column) -> Column:
 
 def excerpt(text: Column) -> tuple[Column, Column]:
     """(title, excerpt) of plain text: from the first ten lines, without empty ones."""
-    lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 10), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 10), lambda s: F.trim(s)), lambda s: s != "")
     heads = F.filter(lines, lambda s: s.startswith("#"))
     title = F.when(F.size(heads) > 0, F.trim(F.regexp_replace(F.get(heads, F.lit(0)), "^#+", ""))).otherwise(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
     return F.substring(title, 1, 120), F.substring(F.array_join(F.slice(lines, 1, 5), " | "), 1, 300)
