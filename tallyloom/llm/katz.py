@@ -74,22 +74,30 @@ class Unigrams:
         return np.log10((counts + 1.0) / (self.total + self.distinct + 1.0))
 
 
-def bigram_log10(count: np.ndarray, history: np.ndarray, seen_by_count: np.ndarray, seen_mass: np.ndarray, unigram: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    """log10 P(word | history) for rows of: the bigram's count, the history's, numbers of the history's successors seen 1..K times (rows of K), the unigram mass of all seen ones, P(word).
+def history_terms(history: np.ndarray, seen_by_count: np.ndarray, seen_mass: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(denominator, back-off weight) of each history.
 
-    An unseen history backs off with weight 1. A history whose counts are all
-    above K has nothing discounted; one more token is then set aside for it. So the
-    probabilities of all words and the unknown class add up to 1 for any history.
+    history: its count; seen_by_count: numbers of its successors seen 1..K times
+    (rows of K); seen_mass: the unigram mass of all seen ones. A history whose counts
+    are all above K has nothing discounted; one more token is then set aside for it.
     """
-    r = np.arange(1, K + 1)
     h = np.maximum(history, 1).astype(float)
-    left = (seen_by_count * (r * (1 - factor[1:]))).sum(axis=1)
+    left = seen_by_count @ (np.arange(1, K + 1) * (1 - factor[1:]))
     whole = np.where(left > 0, h, h + 1)
     left = np.where(left > 0, left, 1.0)
-    weight = left / whole / np.maximum(1 - seen_mass, 1e-15)
-    seen = np.where(count <= K, factor[np.minimum(count, K)], 1.0) * count / whole
-    p = np.where(history <= 0, unigram, np.where(count > 0, seen, weight * unigram))
-    return np.log10(p)
+    return whole, left / whole / np.maximum(1 - seen_mass, 1e-15)
+
+
+def bigram_log10(count: np.ndarray, history: np.ndarray, whole: np.ndarray, weight: np.ndarray, unigram: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """log10 P(word | history) of rows of the bigram's count, its history's count and terms, and P(word).
+
+    A seen bigram has its discounted share; an unseen one backs off to the unigram;
+    an unseen history backs off with weight 1. So the probabilities of all words and
+    of the unknown class add up to 1 for any history.
+    """
+    d = factor[np.minimum(count, K)]
+    d[count > K] = 1.0
+    return np.log10(np.where(history <= 0, unigram, np.where(count > 0, d * count / whole, weight * unigram)))
 
 
 # ---------------------------------------------------------------- blocks
@@ -100,7 +108,7 @@ class Block:
 
     def __init__(self, payload: bytes):
         self.doc_ids, self.known, self.held, self.sizes, self.flat, self.words = unpack(payload)
-        self.flat = self.flat.astype(np.int64)
+        self.flat = self.flat.view(np.int32)
 
     @staticmethod
     def packed(doc_ids: list, held: list, sizes: list, tokens: list) -> bytes:
@@ -126,14 +134,17 @@ class Bigrams:
         words = block.words
         n = len(words)
         cur = block.flat
-        prev = np.empty(len(cur), np.int64)
+        prev = np.empty(len(cur), np.int32)
         prev[1:] = cur[:-1]
         ends = np.cumsum(block.sizes, dtype=np.int64)
         prev[(ends - block.sizes)[block.sizes > 0]] = np.searchsorted(words, START)
-        keys, self.of_token = np.unique(prev * n + cur, return_inverse=True)
+        keys, self.of_token = np.unique(prev * np.int64(n) + cur, return_inverse=True)
         trains = block.trains()
-        self.prev, self.cur = keys // n, keys % n
-        self.trained = np.bincount(self.of_token[trains], minlength=len(keys))
+        self.of_token = self.of_token.astype(np.int32)
+        self.prev = (keys // n).astype(np.int32)
+        self.cur = (keys - self.prev * np.int64(n)).astype(np.int32)
+        del keys
+        self.trained = np.bincount(self.of_token[trains], minlength=len(self.prev))
         self.needs = np.bincount(prev[~trains], minlength=n) > 0
         # A bigram with an unseen word was not seen either: no question.
         self.asked = np.flatnonzero((counts[self.prev] > 0) & (counts[self.cur] > 0))
@@ -283,7 +294,7 @@ def word_answers(found: list[dict]) -> np.ndarray:
     return np.concatenate([unpack(x["payload"])[0] for x in found]) if found else np.zeros(0, np.int64)
 
 
-def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 7, held_out: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 7, held_out: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A-Z is lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end per
@@ -355,8 +366,9 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             mass[who] += seen_mass.view(np.float64)
         # A history without a held-out token backs off nowhere; it is enough to know which counts occur.
         by_count[~bigrams.needs] = (occurs[~bigrams.needs, None] >> np.arange(K)) & 1
-        history = counts[bigrams.prev]
-        p = bigram_log10(total, history, by_count[bigrams.prev], mass[bigrams.prev], unigrams.probability(counts)[bigrams.cur], factor)
+        whole, weight = history_terms(counts, by_count, mass, factor)
+        h = bigrams.prev
+        p = bigram_log10(total, counts[h], whole[h], weight[h], unigrams.probability(counts)[bigrams.cur], factor)
         text = np.repeat(np.arange(len(block.sizes)), block.sizes)
         sums = lambda v: np.bincount(text, v, minlength=len(block.sizes))
         of_word = counts[block.flat]
