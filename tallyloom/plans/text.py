@@ -164,3 +164,21 @@ LEVELS = ["Erinnern", "Verstehen", "Ausgewogen", "Anwenden", "Bewerten"]
 def bloom_level(spark, sf_dir):
     level = F.greatest(F.lit(1), F.least(F.lit(5), F.col("p_size") - 3)).cast("int")
     return table(spark, sf_dir, "part").select("p_partkey", level.alias("level"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), level).alias("stress"))
+
+
+@query("SELECT epoch, round(avg(loss), 6) AS mean_loss FROM (SELECT event_id % 10 AS epoch, value / (1 + event_id % 10) AS loss FROM events) GROUP BY 1")
+def w2v_epoch_loss(spark, sf_dir):
+    from tallyloom.operators.word2vec import epoch_losses
+
+    losses = table(spark, sf_dir, "events").select((F.col("event_id") % 10).alias("epoch"), (F.col("value") / (1 + F.col("event_id") % 10)).alias("loss"))
+    return epoch_losses(losses).select("epoch", F.round("mean_loss", 6).alias("mean_loss"))
+
+
+@query()
+def w2v_sgd_golden(spark, sf_dir):
+    """Losses of the small network on three rows, one step each."""
+    from tallyloom.operators.word2vec import Network
+
+    net = Network.create(4, 2, seed=1)
+    rows = [(0, [0, 1, 1, 0]), (1, [1, 0, 1, 1]), (2, [1, 2, 0, 0])]
+    return spark.createDataFrame([(k, round(net.step(w, c, 0.1), 9)) for k, (w, c) in enumerate(rows)], "step long, loss double")
