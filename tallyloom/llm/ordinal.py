@@ -24,6 +24,9 @@ NGRAM_BITS = 11
 WIDTH = (1 << NGRAM_BITS) + SHAPES
 
 
+HALF = 65_535.0  # training features, 0 to 1, travel in 16 bits
+
+
 def trigram_ids(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigram at each position, and whether it lies within one text."""
     d = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint64)
@@ -98,10 +101,9 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float =
     share = np.array([(np.sum(grades >= k) + 0.5) / (n + 1) for k in range(1, n_grades)])
     start = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
-    spread = x.std(axis=0).astype(np.float64)
+    mean = x.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / n - mean * mean, 0))
     scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-3), 0.0)
-    low = np.concatenate([[-np.inf], np.zeros(n_grades - 1)])
-
     def cuts(p: np.ndarray) -> np.ndarray:
         return np.cumsum(np.concatenate([p[:1], np.exp(p[1:])]))
 
@@ -123,7 +125,6 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float =
         grad_p = np.cumsum(grad_t[::-1])[::-1] * np.concatenate([[1.0], np.exp(p[width + 1 :])])
         return value, np.concatenate([(x.T @ dz.astype(np.float32)).astype(np.float64) * scale + ridge * w, grad_p])
 
-    del low
     p = lbfgs(loss, np.concatenate([np.zeros(width), start[:1], gaps]), rounds)
     return OrdinalModel(p[:width] * scale, cuts(p[width:]))
 
@@ -133,7 +134,7 @@ def graded(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(quality) == 0, 0).when((F.col(quality) == 1) & (F.col(toxic) == 1), 1).when((F.col(quality) == 1) & (F.col(toxic) == 0), 2)
 
 
-def fit_on_labels(docs: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", most_rows: int = 8_000, **fit) -> OrdinalModel:
+def fit_on_labels(docs: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", most_rows: int = 5_000, **fit) -> OrdinalModel:
     """Fit on the first `most_rows` rated ids in hash order, a bounded sample; ratings: doc_id, grade."""
     ship_package(docs.sparkSession)
     chosen = ratings.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where(f"doc_id is not null and grade between 0 and {n_grades - 1}")
@@ -143,16 +144,20 @@ def fit_on_labels(docs: DataFrame, ratings: DataFrame, n_grades: int, doc_id: st
     def run(batches):
         for part, data, off in rows_and_texts(batches):
             table = dense_features(data, off)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in table], pa.binary())], names=["grade", "x"])
+            small = np.round(table * HALF).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in small], pa.binary())], names=["grade", "x"])
 
     got = rows.mapInArrow(run, "grade int, x binary").toArrow()
-    x = np.zeros((got.num_rows, WIDTH), np.float32)
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    x = np.empty((got.num_rows, WIDTH), np.float32)
     at = 0
     for chunk in got.column("x").chunks:
         for v in chunk:
-            x[at] = np.frombuffer(v.as_buffer(), np.float32)
+            x[at] = np.frombuffer(v.as_buffer(), np.uint16)
+            x[at] /= HALF
             at += 1
-    return fit_ordinal(x, got.column("grade").to_numpy().astype(np.int64), n_grades, **fit)
+    del got
+    return fit_ordinal(x, grades, n_grades, **fit)
 
 
 def ordinal_quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, doc_id: str = "doc_id", text: str = "text", select_from: int = 1, least: float = 0.5, **fit) -> DataFrame:
