@@ -467,12 +467,12 @@ def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int
     documents.
     """
     found = store(jaccard_components(docs, threshold, n), "components").df
-    gone = store(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone").df
+    gone = store(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__tallyloom_gone")).distinct(), "gone").df
     small = gone.count() <= 1_000_000  # at most 16 MB; beyond, both sides are shuffled
-    kept = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    kept = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("__tallyloom_gone"), "left_anti")
+    twice = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__tallyloom_twice"))
     twice = store(twice, "twice").df
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(again)
+    again = kept.join(twice, F.col("doc_id") == F.col("__tallyloom_twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, F.col("doc_id") == F.col("__tallyloom_twice"), "left_anti").unionByName(again)

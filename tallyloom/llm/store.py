@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tallyloom.session import ship_package
 
@@ -25,9 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 class Stored:
     """A written table; drop() removes it once nothing reads it any more."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
         self.spark, self.path = spark, path
-        self.df = spark.read.parquet(path)
+        self.df = spark.read.schema(schema).parquet(path)  # an empty table may have no file to read it from
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -41,7 +42,7 @@ def store(df: DataFrame, name: str, partition: str | None = None) -> Stored:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return Stored(spark, path)
+    return Stored(spark, path, df.schema)
 
 
 def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition: str | None = None) -> DataFrame:

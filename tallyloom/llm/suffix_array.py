@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.llm.store import store
 from tallyloom.llm.textkit import U64, Hasher, Words, mix, ngrams, rows_and_texts
@@ -381,13 +382,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return joined.groupBy("doc_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word")).agg(n_words.alias("n_words"), F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)).alias("copied_words"), F.first("other").alias("other_doc_id"))
 
 
+SPANS, SPAN_DOC = "__tallyloom_spans", "__tallyloom_doc"
+
+
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans; what stands between two of them goes too."""
     raw = np.frombuffer(text.encode(), np.uint8)
     words = Words(raw, np.array([0, len(raw)]))
     keep = np.ones(len(raw), bool)
     for lo, hi in spans:
-        keep[words.starts[lo] : words.ends[hi - 1]] = False
+        if lo < len(words.ends):
+            keep[words.starts[lo] : words.ends[min(hi, len(words.ends)) - 1]] = False
     return raw[keep].tobytes().decode()
 
 
@@ -400,26 +405,27 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     rows = store(matches(docs).where("low_start >= 0"), "copied").df
     low = F.struct(F.col("low_start").cast("long").alias("start"), F.col("low_stop").cast("long").alias("stop"))
-    spans = store(merged(rows, "low_start", "low_stop").groupBy("doc_id").agg(F.array_sort(F.collect_list(low)).alias("_spans")).withColumnRenamed("doc_id", "_id"), "spans").df
+    spans = store(merged(rows, "low_start", "low_stop").groupBy("doc_id").agg(F.array_sort(F.collect_list(low)).alias(SPANS)).withColumnRenamed("doc_id", SPAN_DOC), "spans").df
     few = spans.count() <= 300_000  # some 20 MB; beyond, both sides are shuffled
-    joined = docs.join(F.broadcast(spans) if few else spans, docs.doc_id == spans._id, "left")
+    joined = docs.join(F.broadcast(spans) if few else spans, docs.doc_id == spans[SPAN_DOC], "left")
     text_at = docs.columns.index("text")
     schema = docs.schema
+    out_schema = StructType([*schema.fields, joined.schema[SPANS]])
 
     def run(batches):
         for batch in batches:
-            found = batch.column(batch.schema.get_field_index("_spans"))
+            found = batch.column(batch.schema.get_field_index(SPANS))
             columns = [batch.column(k) for k in range(len(schema))]
             if found.null_count < len(found):
                 texts = columns[text_at].to_pylist()
                 for k, spans_of in enumerate(found.to_pylist()):
-                    if spans_of:
+                    if spans_of and texts[k]:
                         texts[k] = cut_words(texts[k], [(s["start"], s["stop"]) for s in spans_of])
                 columns[text_at] = pa.array(texts, columns[text_at].type)
-            yield pa.RecordBatch.from_arrays([*columns, found], names=[*schema.names, "_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, found], names=[*schema.names, SPANS])
 
-    cut = joined.select(*[docs[c] for c in docs.columns], "_spans").mapInArrow(run, schema.simpleString()[7:-1].replace(":", " ") + ", _spans array<struct<start:bigint,stop:bigint>>")
-    kept = cut.where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = joined.select(*[docs[c] for c in docs.columns], SPANS).mapInArrow(run, out_schema)
+    kept = cut.where(F.col(SPANS).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        kept = kept.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return kept.select(*docs.columns)
