@@ -58,9 +58,10 @@ def feature_values(owner: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.nd
     return pairs >> bits, pairs & ((1 << bits) - 1), np.log2(1.0 + counts)
 
 
-def term_id(term: str, bits: int) -> int:
+def term_features(term: str, bits: int) -> list[int]:
+    """The word's feature, then those of its beginnings: what changes when the term is swapped."""
     raw = np.frombuffer(term.encode(), np.uint8)
-    return int(feature_hashes(raw, np.array([0, len(raw)]), bits)[1][0])
+    return [int(x) for x in feature_hashes(raw, np.array([0, len(raw)]), bits)[1]]
 
 
 @dataclass
@@ -95,24 +96,30 @@ def fit_toxicity(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, labels:
     constant = ToxicityModel(bits, np.zeros(1 << bits), float(np.log(rate / (1 - rate))))
     if n == 0 or labels.min() == labels.max():
         return constant
-    terms = [[term_id(t, bits) for t in g] for g in groups]
+    terms = [[term_features(t, bits) for t in g] for g in groups]
     size = 1 << bits
     texts_with = np.bincount(ids, minlength=size)
     p = labels.mean()
     lean = (np.bincount(ids, values * labels[owner], size) - p * np.bincount(ids, values, size)) / np.sqrt(p * (1 - p) * np.bincount(ids, values * values, size) + 1.0)
     common = np.flatnonzero(texts_with >= least_texts)
-    keep = np.union1d(common[np.argsort(-lean[common], kind="stable")[:most_features]], np.array(sum(terms, []), np.int64))
+    keep = np.union1d(common[np.argsort(-lean[common], kind="stable")[:most_features]], np.array([f for g in terms for t in g for f in t], np.int64))
     place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
     at = place[ids]
     owner, at, values = owner[at >= 0], at[at >= 0], values[at >= 0]
-    swaps = []
+    # One row per swap: the features that go have -1, those that come 1.
+    rows, cols, signs, share = [], [], [], []
     for g in terms:
         for t in g:
-            texts = int(texts_with[t])
-            others = [u for u in g if u != t]
-            swaps += [(np.searchsorted(keep, t), np.searchsorted(keep, u), texts / (n * len(others))) for u in others if texts]
-    a, b, share = (np.array(x) for x in zip(*swaps)) if swaps else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            texts = int(texts_with[t[0]])
+            for u in g:
+                if u is not t and texts:
+                    for features, sign in ((t, -1.0), (u, 1.0)):
+                        rows += [len(share)] * len(features)
+                        cols += [int(place[f]) for f in features]
+                        signs += [sign] * len(features)
+                    share.append(texts / (n * (len(g) - 1)))
+    rows, cols, signs, share = np.array(rows, int), np.array(cols, int), np.array(signs), np.array(share)
     y = labels.astype(float)
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -121,11 +128,10 @@ def fit_toxicity(owner: np.ndarray, ids: np.ndarray, values: np.ndarray, labels:
         value = float(np.mean(np.logaddexp(0, z) - y * z)) + ridge / 2 * float(w @ w)
         r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
         grad = np.append(np.bincount(at, r[owner] * values, minlength=len(keep)) + ridge * w, r.sum())
-        if len(a):
-            d = w[b] - w[a]
-            value += fairness * float(share @ (d * d))
-            np.add.at(grad, b, 2 * fairness * share * d)
-            np.add.at(grad, a, -2 * fairness * share * d)
+        if len(share):
+            change = np.bincount(rows, signs * w[cols], minlength=len(share))
+            value += fairness * float(share @ (change * change))
+            grad[:-1] += np.bincount(cols, (2 * fairness * share * change)[rows] * signs, minlength=len(keep))
         return value, grad
 
     x = lbfgs(loss, np.append(np.zeros(len(keep)), constant.bias), rounds)
