@@ -220,9 +220,10 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
     MIN_WORDS of them; low_start..low_stop in ones of a smaller id; other is
     the smallest partner met.
     ASKED: windows of MIN_WORDS words that have their least gram here and lie
-    within both bounds, but in no match found, and all such windows of a run that goes
-    on in another partition, are listed by their hash for all rows of the run, to be
-    matched exactly later. So no repeated window is left out.
+    within both bounds, but in no match found, and such windows of a run that goes
+    on in another partition, are listed by their hash, to be matched exactly later:
+    for each row that lacks them, and for the smallest and the greatest document
+    among all rows that have them. So no repeated window is left out.
     """
     r = Run(keys)
     n = len(keys)
@@ -267,6 +268,7 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
     pending[run[maybe & (sizes[run] > 2)]] = True
     rows = np.flatnonzero(pending[run])
     may = np.where(edge, own, U64(0))  # windows to list
+    lacks = np.where(edge, own & ~(have & have_low), U64(0))  # those that the row itself has no match for
     if len(rows):
         turned = left_order(r, run, rows)
         bound = own & windows_within(greatest(r.left, n, other_documents(r.doc[turned], run[turned]), turned), greatest(r.right, n, any_doc, live))
@@ -276,19 +278,30 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
         of_run = np.zeros(len(sizes), np.uint64)
         np.bitwise_or.at(of_run, run, missing)
         may = np.where(edge, own, bound & of_run[run])
+        lacks = np.where(edge, lacks, missing)
     rows = np.flatnonzero(may)
     if len(rows):
         line = np.concatenate([r.left[rows][:, ::-1], r.right[rows]], axis=1).astype(np.uint64)
         power = np.multiply.accumulate(np.full(LEFT + RIGHT, 0x9E3779B97F4A7C15, np.uint64))
         sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(mix(line + U64(1)) * power, axis=1)], axis=1)
         solid = np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(line == 0, axis=1)], axis=1)
+        listed_rows, listed_k, listed_h = [], [], []
         for k in range(LEFT + 1):  # the window begins k words before the selected one
             lo, hi = LEFT - k, LEFT + MIN_WORDS - ANCHOR - k
             listed = (solid[:, hi] == solid[:, lo]) & (may[rows] >> U64(k) & U64(1)).astype(bool)
-            who = rows[listed]
-            h = mix((sums[listed, hi] - sums[listed, lo]) ^ (r.anchor[who] + U64(k)))
-            none = np.full(len(who), -1)
-            columns.append([np.full(len(who), ASKED), r.doc[who], r.at[who] - k, none, none, none, none, h.view(np.int64)])
+            listed_rows.append(rows[listed])
+            listed_k.append(np.full(int(listed.sum()), k))
+            listed_h.append(mix((sums[listed, hi] - sums[listed, lo]) ^ (r.anchor[rows[listed]] + U64(k))))
+        who, k, h = (np.concatenate(x) for x in (listed_rows, listed_k, listed_h))
+        # Rows that lack the window ask; of the others, the smallest and the greatest document answer for all.
+        order = np.lexsort((r.doc[who], h))
+        lead = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
+        keep = (lacks[who] >> k.astype(np.uint64) & U64(1)).astype(bool)
+        keep[order[lead]] = True
+        keep[order[np.roll(lead, -1)]] = True
+        who, k, h = who[keep], k[keep], h[keep]
+        none = np.full(len(who), -1)
+        columns.append([np.full(len(who), ASKED), r.doc[who], r.at[who] - k, none, none, none, none, h.view(np.int64)])
     kind, doc, start, stop, low_start, low_stop, other, h = (np.concatenate(c) for c in zip(*columns))
     narrow = lambda c: pa.array(c.astype(np.int32))
     return pa.RecordBatch.from_arrays([narrow(kind), pa.array(doc), narrow(start), narrow(stop), narrow(low_start), narrow(low_stop), pa.array(other), pa.array(h)], names=["kind", "doc_id", "start", "stop", "low_start", "low_stop", "other", "hash"])
