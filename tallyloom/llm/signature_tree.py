@@ -457,6 +457,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     named = linked.join(members, linked.node == members.set_hash).groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = linked.join(named, "component").select(F.col("node").alias("set_hash"), F.col("component_id").alias("linked_id"))
     ids = distinct_sets.join(classes, "set_hash", "left").select("set_hash", F.coalesce("linked_id", "rep").alias("class_id"))
+    ids = store(ids, "classes").df  # so that the join below reads two tables and a frequent set can be split
     return sets.join(ids, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
 
 
