@@ -36,18 +36,18 @@ def fit_exponent(totals: DataFrame, repetition_limit: float | None, target_entro
     on the answer: each pass measures `sections` points in one aggregation and
     keeps one of the gaps between them. No more than a few sums reach the driver.
     """
-    share = F.col("total") / F.col("top")
+    top = totals.agg(F.max("total")).first()[0]
+    if top is None:
+        return 1.0
+    share = F.col("total") / F.lit(float(top))
     low, high = 0.0, 1.0
-    with_top = totals.crossJoin(F.broadcast(totals.agg(F.max("total").alias("top"))))  # one row
     while high - low > 10.0 ** -(digits + 2):
         points = [low + (high - low) * k / (sections + 1) for k in range(1, sections + 1)]
         sums = []
         for k, a in enumerate(points):
             w = F.pow(share, F.lit(a))
             sums += [F.sum(w).alias(f"s{k}"), F.sum(w * F.log(w)).alias(f"l{k}"), F.max(F.pow(share, F.lit(a - 1))).alias(f"r{k}")]
-        row = with_top.agg(*sums, F.count("*").alias("n"), F.log(F.sum(F.lit(1.0))).alias("whole")).select(*[F.log(f"s{k}").alias(f"g{k}") for k in range(sections)], "*").first()
-        if not row["n"]:
-            return 1.0
+        row = totals.agg(*sums).select(*[F.log(f"s{k}").alias(f"g{k}") for k in range(sections)], "*").first()
         # All points below the answer have enough entropy, or too much repetition.
         lower = [row[f"g{k}"] - row[f"l{k}"] / row[f"s{k}"] >= target_entropy if target_entropy is not None else row[f"r{k}"] > repetition_limit for k in range(sections)]
         k = lower.index(False) if False in lower else sections
@@ -74,10 +74,9 @@ def mixture(documents: DataFrame, repetition_limit: float | None = None, target_
     totals = documents.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n_docs"))
     totals = store(totals, "totals").df
     exponent = fit_exponent(totals.where("total > 0").select("total"), repetition_limit, target_entropy)
-    top = F.broadcast(totals.agg(F.max("total").alias("top")))  # one row
+    top = float(totals.agg(F.max("total")).first()[0] or 0)
     goal = (
-        totals.crossJoin(top)
-        .withColumn("target", F.when(F.col("total") > 0, F.floor(F.col("total") * F.pow(F.col("total") / F.col("top"), F.lit(exponent - 1)))).otherwise(F.lit(0)).cast("long"))
+        totals.withColumn("target", F.when(F.col("total") > 0, F.floor(F.col("total") * F.pow(F.col("total") / F.lit(top), F.lit(exponent - 1)))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rounds", F.when(F.col("total") > 0, F.expr("target div total")).otherwise(1))
         .withColumn("rest", F.when(F.col("total") > 0, F.col("target") % F.col("total")).otherwise(0))
         .withColumn("digits", F.greatest(F.lit(0), F.ceil(F.log(F.col("n_docs") / block_docs) / F.log(F.lit(16.0)))).cast("int"))
