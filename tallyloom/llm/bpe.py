@@ -152,7 +152,7 @@ def word_table(texts: bytes, answers: list[tuple[int, bytes]]):
     return doc_ids, known, sizes, flat, n_ids, starts, ids
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", digest: bool = True, block_bytes: int = 16 << 20) -> DataFrame:
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", digest: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
     """Token ids of every text, and the texts decoded from them.
 
     digest: doc_id, n_tokens, n_words, ids_sha256 (of decimal ids joined by one
@@ -181,9 +181,9 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str
                 doc_ids, known, sizes, flat, n_ids, starts, ids = word_table(batch.column(0)[row].as_py(), answers)
                 at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 id_list, begin, end = ids.tolist(), starts.tolist(), (starts + n_ids).tolist()
-                words = [id_list[a:b] for a, b in zip(begin, end)]
-                raw = [b"".join(map(lookup, w)) for w in words]
-                shown = [" ".join(map(str, w)) for w in words] if digest else words
+                raw = [b"".join(map(lookup, id_list[a:b])) for a, b in zip(begin, end)]
+                shown = [" ".join(map(str, id_list[a:b])) if digest else id_list[a:b] for a, b in zip(begin, end)]
+                del id_list, begin, end
                 out = []
                 for k in range(len(sizes)):
                     here = flat[at[k] : at[k + 1]]
