@@ -48,24 +48,18 @@ def shape_ids(counts: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def sums_by_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sum of each text's positions, in an order that doesn't hang on its neighbours."""
-    out = np.zeros(len(off) - 1)
-    full = off[:-1] < off[1:]
-    if full.any():
-        out[full] = np.add.reduceat(values, off[:-1][full])
-    return out
-
-
 def dense_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(texts, WIDTH) float32: relative trigram frequencies and shape tokens."""
+    """(texts, WIDTH) float32: square roots of relative trigram frequencies, and shape tokens.
+
+    The roots keep a text that repeats a few words from outweighing all others.
+    """
     n = len(off) - 1
     counts = text_counts(data, off, Words(data, off), Hasher(data))
     ids, valid = trigram_ids(data, off)
     owner = np.repeat(np.arange(n), np.diff(off))[valid]
     table = np.zeros((n, WIDTH), np.float32)
     grams = np.bincount(owner * (1 << NGRAM_BITS) + ids[valid], minlength=n << NGRAM_BITS).reshape(n, -1)
-    table[:, : 1 << NGRAM_BITS] = grams / np.maximum(grams.sum(axis=1, keepdims=True), 1)
+    table[:, : 1 << NGRAM_BITS] = np.sqrt(grams / np.maximum(grams.sum(axis=1, keepdims=True), 1))
     table[np.arange(n)[:, None], shape_ids(counts)] = 1
     return table
 
@@ -78,16 +72,13 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        counts = text_counts(data, off, Words(data, off), Hasher(data))
-        ids, valid = trigram_ids(data, off)
-        total = sums_by_text(np.where(valid, self.weights[ids], 0.0), off)
-        return total / np.maximum(np.diff(off) - 2, 1) + self.weights[shape_ids(counts)].sum(axis=1)
+        return (dense_features(data, off) @ self.weights.astype(np.float32)).astype(np.float64)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float = 1e-4, rounds: int = 200) -> OrdinalModel:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float = 1e-3, rounds: int = 200) -> OrdinalModel:
     """Proportional odds: one weight vector for all grades, thresholds t1 < t1 + exp(g2) < ...
 
     Features are scaled by their spread for the ridge. Grades without a rating
@@ -103,7 +94,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float =
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
     mean = x.mean(axis=0, dtype=np.float64)
     spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / n - mean * mean, 0))
-    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-3), 0.0)
+    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 0.1), 0.0)
     def cuts(p: np.ndarray) -> np.ndarray:
         return np.cumsum(np.concatenate([p[:1], np.exp(p[1:])]))
 
