@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import query
 from tallyloom.operators import documents as D
 from tallyloom.operators import layout as L
+from tallyloom.session import ship_package
 
 BLOCKS = [(1, "logo", "bild", 520.0, 20.0, 560.0, 60.0, ""), (1, "tab", "tabelle", 50.0, 150.0, 290.0, 210.0, ""), (1, "pa", "bild", 50.0, 320.0, 250.0, 440.0, ""), (1, "pb", "bild", 320.0, 320.0, 520.0, 440.0, ""), (2, "logo2", "bild", 10.0, 800.0, 40.0, 830.0, "")]
 TEXTS = [(1, "t1", "text", 60.0, 160.0, 200.0, 200.0, "in der Tabelle"), (1, "t2", "text", 50.0, 60.0, 500.0, 100.0, "frei"), (1, "t3", "text", 200.0, 400.0, 300.0, 480.0, "halb"), (2, "t4", "text", 60.0, 160.0, 200.0, 200.0, "andere Seite")]
@@ -169,7 +170,7 @@ EXCERPTS_SQL = "SELECT * FROM (VALUES ('a.csv', 'x,y', 'Spalten: x,y | Zeile 1:
 
 
 def _excerpts(spark):
-    f = spark.createDataFrame(FILES, "path string, text string")
+    f = ship_package(spark).spark.createDataFrame(FILES, "path string, text string")
     t, is_ = F.col("text"), lambda e: F.col("path").endswith(e)
     by = [(".csv", D.csv_excerpt(t)), (".tex", D.tex_excerpt(t)), (".yaml", D.yaml_excerpt(t)), (".py", D.excerpt_udf(D.source_excerpt)(t)), (".ipynb", D.excerpt_udf(D.notebook_excerpt)(t)), (".xml", D.excerpt_udf(D.xml_excerpt)(t)), (".svg", D.excerpt_udf(D.xml_excerpt)(t)), (".eml", D.excerpt_udf(D.mail_excerpt)(t))]
     out = None
@@ -204,7 +205,7 @@ ANSWERS = [("array_first", '```json\n[1, {"a": 2}]\n```'), ("object_or_default",
 @query("""SELECT * FROM (VALUES ('array_first', '[1,{"a":2}]'), ('object_or_default', '{"completeness":0.5,"depth":0.5}'), ('think_and_fence', '{"a":1}'), ('strict', NULL), ('widest_array', '[1,2]'), ('any', '{"b":[1]}')) t(mode, found)""")
 def llm_json_parse(spark, sf_dir):
     rows = spark.createDataFrame(ANSWERS, "mode string, answer string")
-    return rows.select("mode", F.udf(lambda t, m: D.answer_json(t, m))("answer", "mode").alias("found"))
+    return D.parse_answers(rows).select("mode", "found")
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, '[B, 14pt, center]'), (2, '[]'), (3, '[I, mono, indent]')) t(p, hints)")

@@ -168,7 +168,7 @@ def inv_leftovers(spark, sf_dir):
     return rest.select("path", F.when(F.col("size") == 0, "leer").when(F.col("ext").isin(I.NO_EXTRACTOR), "binär").otherwise("offen").alias("category"))
 
 
-@query()
+@query(f"{CTE}{FOLDERS} SELECT folder, to_json({{'folder': folder, 'depth': depth, 'n_files': n_files, 'domain': domain}})::VARCHAR AS record FROM fo")
 def inv_export_json(spark, sf_dir):
     """Folders as JSON: the compact export, without file lists."""
     return I.folders(seen(spark, sf_dir)).select("folder", F.to_json(F.struct("folder", "depth", "n_files", "domain")).alias("record"))

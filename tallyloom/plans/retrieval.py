@@ -167,7 +167,7 @@ def rag_context(spark, sf_dir):
     return rows.select(F.array_join(F.col("x.line"), "\n").alias("context"))
 
 
-@query()
+@query(f"WITH {BM25}, {VEC}, {RRF}, {RERANK} SELECT id, rk.doc_id, d.source, rerank_score, printf('%.3f', rerank_score) AS shown, len({TOKENS})::INTEGER AS n_words FROM rk JOIN documents d USING (doc_id)")
 def rag_report(spark, sf_dir):
     return reranked(spark, sf_dir).select("id", "doc_id", "source", "rerank_score", F.format_string("%.3f", "rerank_score").alias("shown"), F.size(words(F.col("text"))).alias("n_words"))
 
