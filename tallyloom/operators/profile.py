@@ -30,13 +30,49 @@ def null_counts(df: DataFrame) -> DataFrame:
     return long_form(counts, df.columns).where("value > 0")
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], keep: int = 10_000, bins: int = 1_000) -> list[float | None]:
+    """Quantiles with linear interpolation, exact for any number of rows; nulls and NaN are left out.
+
+    The values around each wanted rank are closed in on: a pass counts them in
+    `bins` equal bins between the bounds so far and keeps the bin that has the
+    rank, with its least and greatest value as the new bounds, until at most
+    `keep` values are left (or one). Only bins and those values reach the driver,
+    and no task holds more than its counts.
+    """
+    v = F.col(column).cast("double")
+    rows = df.select(v.alias("v")).where("v is not null and not isnan(v)")
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return [None] * len(shares)
+    at = [q * (n - 1) for q in shares]
+    ranks = sorted({int(x) for x in at} | {min(n - 1, int(x) + 1) for x in at})
+    bounds = {r: (low, high, 0, n) for r in ranks}  # least, greatest, values below, values within
+    while open_ones := sorted({b for b in bounds.values() if b[3] > keep and b[0] < b[1]}):
+        hits = [F.when(F.col("v").between(lo, hi), F.struct(F.lit(k).alias("k"), F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins)).cast("int").alias("b"))) for k, (lo, hi, _, _) in enumerate(open_ones)]
+        counted = rows.select("v", F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.k", "h.b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for r, old in list(bounds.items()):
+            if old in open_ones:
+                below = old[2]
+                for x in sorted((c for c in counted if c.k == open_ones.index(old)), key=lambda c: c.b):
+                    if r < below + x.n:
+                        bounds[r] = (x.lo, x.hi, below, x.n)
+                        break
+                    below += x.n
+    wide = sorted({b for b in bounds.values() if b[0] < b[1]})
+    held: list[float] = []
+    if wide:
+        held = sorted(x[0] for x in rows.where(" or ".join(f"v between double('{lo!r}') and double('{hi!r}')" for lo, hi, _, _ in wide)).collect())
+    value = {r: lo if lo == hi else [x for x in held if lo <= x <= hi][r - below] for r, (lo, hi, below, _) in bounds.items()}
+    return [value[int(x)] + (x - int(x)) * (value[min(n - 1, int(x) + 1)] - value[int(x)]) for x in at]
+
+
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, mean, std, min, p25, p50, p75, max; quartiles are exact and interpolated."""
     parts = []
     for c in columns:
         v = F.col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("min"), F.round(F.get(q, F.lit(0)), 4).alias("p25"), F.round(F.get(q, F.lit(1)), 4).alias("p50"), F.round(F.get(q, F.lit(2)), 4).alias("p75"), F.max(v).alias("max")))
+        q = [F.round(F.lit(x).cast("double"), 4) for x in exact_quantiles(df, c, [0.25, 0.5, 0.75])]
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(v).alias("max")))
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("r")).select("r.*")
 
 
@@ -72,10 +108,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
-    """Rows outside the quartiles by more than factor times their distance; one row of bounds is broadcast."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
-    low, high = F.col("q1") - factor * (F.col("q3") - F.col("q1")), F.col("q3") + factor * (F.col("q3") - F.col("q1"))
-    return df.crossJoin(F.broadcast(q)).where((F.col(column) < low) | (F.col(column) > high)).drop("q1", "q3")
+    """Rows outside the quartiles by more than factor times their distance."""
+    q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
+    if q1 is None:
+        return df.limit(0)
+    reach = factor * (q3 - q1)
+    return df.where((F.col(column) < q1 - reach) | (F.col(column) > q3 + reach))
 
 
 def z_outliers(df: DataFrame, column: str, most: float = 3.0) -> DataFrame:

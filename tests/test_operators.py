@@ -137,3 +137,16 @@ def test_word2vec_step_golden():
     loss = net.step(0, [0, 1, 1], 0.1)
     assert loss > 0 and net.forward(0)[1] + net.forward(0)[2] > before[1] + before[2]
     assert sum(net.forward(1)) == pytest.approx(1)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for values in (rng.normal(size=4001), np.exp(rng.normal(size=3000) * 8), rng.integers(0, 3, 1000).astype(float), np.array([5.0]), np.full(500, 2.0), np.concatenate([np.full(900, 1.0), [1e9]])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
+        want = np.quantile(values, shares)
+        for keep, bins in ((10, 7), (10_000, 1000)):
+            assert np.allclose(P.exact_quantiles(df, "v", shares, keep, bins), want, rtol=1e-12)
+    assert P.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
