@@ -11,12 +11,15 @@ compared, and a match is extended right and left of the selected word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyloom.llm.packing import pack, unpack
 from tallyloom.llm.store import store
 from tallyloom.llm.textkit import U64, Hasher, Words, mix, ngrams, rows_and_texts
 from tallyloom.session import ship_package
@@ -155,8 +158,10 @@ def nearest_lower(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-MATCH = "kind int, doc_id long, start int, stop int, low_start int, low_stop int, other long, hash long"
 FOUND, ASKED = 0, 1
+#: Columns of what compare() gives: FOUND rows, then ASKED rows.
+FOUND_TYPES = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)  # document, start, stop, low start, low stop, other document
+ASKED_TYPES = (np.uint64, np.int64, np.int32)  # window's hash, document, start
 
 
 def left_order(r: "Run", run: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -208,8 +213,8 @@ def common_row(keys: np.ndarray, run: np.ndarray) -> np.ndarray:
     return start[order[first]]
 
 
-def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None:
-    """MATCH rows of sorted keys in whole runs.
+def compare(keys: np.ndarray, touches_edge: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+    """(FOUND columns, ASKED columns) of sorted keys in whole runs.
 
     Each row is compared with its nearest neighbours in other documents, with
     the nearest ones of a smaller doc_id, with the run's most common row and with
@@ -260,7 +265,8 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
     left, right = (b[found] for b in far[False])
     low_left, low_right = (b[found] for b in far[True])
     some = low_left >= 0
-    columns = [[np.full(len(found), FOUND), r.doc[found], r.at[found] - left, r.at[found] + ANCHOR + right, np.where(some, r.at[found] - low_left, -1), np.where(some, r.at[found] + ANCHOR + low_right, -1), partner[found], np.zeros(len(found), np.int64)]]
+    columns = [r.doc[found], r.at[found] - left, r.at[found] + ANCHOR + right, np.where(some, r.at[found] - low_left, -1), np.where(some, r.at[found] + ANCHOR + low_right, -1), partner[found]]
+    asked = [np.zeros(0, t) for t in ASKED_TYPES]
 
     own = windows_within(np.minimum(r.before - 1, LEFT), np.minimum(r.after - 1, RIGHT))
     maybe = ((own & ~have) != 0) & (least_doc[run] < most_doc[run]) | ((own & ~have_low) != 0) & (r.doc > least_doc[run])
@@ -300,28 +306,68 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> pa.RecordBatch | None
         keep[order[lead]] = True
         keep[order[np.roll(lead, -1)]] = True
         who, k, h = who[keep], k[keep], h[keep]
-        none = np.full(len(who), -1)
-        columns.append([np.full(len(who), ASKED), r.doc[who], r.at[who] - k, none, none, none, none, h.view(np.int64)])
-    kind, doc, start, stop, low_start, low_stop, other, h = (np.concatenate(c) for c in zip(*columns))
-    narrow = lambda c: pa.array(c.astype(np.int32))
-    return pa.RecordBatch.from_arrays([narrow(kind), pa.array(doc), narrow(start), narrow(stop), narrow(low_start), narrow(low_stop), pa.array(other), pa.array(h)], names=["kind", "doc_id", "start", "stop", "low_start", "low_stop", "other", "hash"])
+        asked = [h, r.doc[who], r.at[who] - k]
+    return columns, asked
+
+
+def by_bucket(kind: int, columns: list[np.ndarray], bucket: np.ndarray, types: tuple) -> list[tuple[int, int, bytes]]:
+    """(kind, bucket, packed columns) of rows dealt by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(bucket) else np.zeros(0, int)
+    columns = [c[order].astype(t) for c, t in zip(columns, types)]
+    return [(kind, int(bucket[order[lo]]), pack(*(c[lo:hi] for c in columns))) for lo, hi in zip(edges, np.append(edges[1:], len(bucket)))]
+
+
+def to_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "payload"])
+
+
+def document_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(doc.astype(np.int64).view(np.uint64)) % U64(buckets)).astype(np.int64)
+
+
+def joined(payloads: list[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*(unpack(p) for p in payloads))]
 
 
-def neighbours(keys: DataFrame) -> DataFrame:
-    """MATCH rows of range-sorted partitions; a run never ends between two calls of compare()."""
+def buckets_of(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, columns) of rows bucket, payload that are sorted by bucket."""
+    at, held = None, []
+    for batch in batches:
+        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bucket != at and held:
+                yield at, joined(held)
+                held = []
+            at = bucket
+            held.append(payload)
+    if held:
+        yield at, joined(held)
+
+
+def neighbours(keys: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, payload of range-sorted partitions; a run never ends between two calls of compare()."""
 
     def run(batches):
-        held, first = np.zeros((0, KEY), np.uint8), True
+        held, first, made, n_made = np.zeros((0, KEY), np.uint8), True, ([], []), 0
 
-        def emit(part: np.ndarray, last: bool):
-            nonlocal first
+        def take(part: np.ndarray, last: bool) -> None:
+            nonlocal first, n_made
             anchors = part[:, :8]
-            runs = 1 + int((anchors[1:] != anchors[:-1]).any(axis=1).sum())
-            edges = np.zeros(runs, bool)
+            edges = np.zeros(1 + int((anchors[1:] != anchors[:-1]).any(axis=1).sum()), bool)
             edges[0] |= first
             edges[-1] |= last
             first = False
-            return compare(part, edges)
+            if (got := compare(part, edges)) is not None:
+                for into, columns in zip(made, got):
+                    into.append(columns)
+                    n_made += len(columns[0])
+
+        def emit() -> pa.RecordBatch:
+            nonlocal made, n_made
+            found, asked = ([np.concatenate(c) for c in zip(*m)] for m in made)
+            rows = by_bucket(FOUND, found, document_bucket(found[0], buckets), FOUND_TYPES) + by_bucket(ASKED, asked, (asked[0] % U64(buckets)).astype(np.int64), ASKED_TYPES)
+            made, n_made = ([], []), 0
+            return to_batch(rows)
 
         for batch in batches:
             column = batch.column(0)
@@ -334,65 +380,106 @@ def neighbours(keys: DataFrame) -> DataFrame:
             differs = np.flatnonzero((held[:, :8] != held[-1, :8]).any(axis=1))
             if len(differs):
                 cut = int(differs[-1]) + 1
-                got = emit(held[:cut], False)
+                take(held[:cut], False)
                 held = held[cut:].copy()
-                if got is not None:
-                    yield got
+                if n_made > 300_000:
+                    yield emit()
         if len(held):
-            got = emit(held, True)
-            if got is not None:
-                yield got
-
-    return keys.mapInArrow(run, MATCH)
-
+            take(held, True)
+        if n_made:
+            yield emit()
 
-def merged(rows: DataFrame, start: str, stop: str) -> DataFrame:
-    """Spans of each document joined where they overlap or touch."""
-    w = Window.partitionBy("doc_id").orderBy(start, stop)
-    far = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", (far.isNull() | (F.col(start) > far)).cast("int")).withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc_id", "_span").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.min("other").alias("other")).drop("_span")
+    return keys.mapInArrow(run, "kind int, bucket int, payload binary")
 
 
-def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, stop, low_start, low_stop, other: word spans of a document that also stand in another one.
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, payload: FOUND rows of the windows that two documents listed."""
 
-    low_start and low_stop: the part that documents of a smaller id have, or -1.
-    Every window of MIN_WORDS words that two documents share is in such a span of
-    each, and in the low part of all but the smallest id.
+    def run(batches):
+        for _, (h, doc, start) in buckets_of(batches):
+            order = np.lexsort((doc, h))
+            h, doc, start = h[order], doc[order], start[order]
+            lead = np.concatenate([[True], h[1:] != h[:-1]])
+            first = np.flatnonzero(lead)
+            group = np.cumsum(lead) - 1
+            least, most = doc[first][group], doc[np.append(first[1:], len(h)) - 1][group]
+            ok = least < most
+            doc, start, least, most = doc[ok], start[ok], least[ok], most[ok]
+            if len(doc):
+                low = least < doc
+                columns = [doc, start, start + MIN_WORDS, np.where(low, start, -1), np.where(low, start + MIN_WORDS, -1), np.where(low, least, most)]
+                yield to_batch(by_bucket(FOUND, columns, document_bucket(doc, buckets), FOUND_TYPES))
+
+    return asked.mapInArrow(run, "kind int, bucket int, payload binary")
+
+
+def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row order, first row of each span, its start, its stop): spans of a document joined where they overlap or touch."""
+    order = np.lexsort((start, doc))
+    d, a, b = doc[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    number = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]).astype(np.int64)]))
+    wide = 1 << 33
+    reached = np.maximum.accumulate(number * wide + b)
+    new = np.concatenate([[True], number[1:] * wide + a[1:] > reached[:-1]])
+    first = np.flatnonzero(new)
+    return order, first, a[first], np.maximum.reduceat(b, first)
+
+
+def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, spans (start, stop, copied, other), copies (start, stop): a row per document that shares a passage.
+
+    spans: runs of words that passages of MIN_WORDS words or more cover which
+    stand in other documents too; copied counts the words of those in documents of a
+    smaller id, other is the smallest partner met. copies: the spans of these
+    words. Every window of MIN_WORDS words that two documents share is in a span of
+    each, and in a copy of all but the smallest id.
     """
     spark = ship_package(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(65_535, max(64, 2 * parts))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     ordered = suffixes(plain).repartitionByRange(parts, "key").sortWithinPartitions("key")
-    found = store(neighbours(ordered), "matches", partition="kind").df
-    direct = found.where(f"kind = {FOUND}").select("doc_id", "start", "stop", "low_start", "low_stop", "other")
-    asked = found.where(f"kind = {ASKED}").select("hash", "doc_id", "start")
-    answer = asked.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    low = F.col("least") < F.col("doc_id")
-    stop = (F.col("start") + MIN_WORDS).cast("int")
-    more = asked.join(answer, "hash").select("doc_id", "start", stop.alias("stop"), F.when(low, F.col("start")).otherwise(-1).alias("low_start"), F.when(low, stop).otherwise(-1).alias("low_stop"), F.when(low, F.col("least")).otherwise(F.col("most")).alias("other"))
-    return direct.unionByName(more)
+    found = store(neighbours(ordered, buckets), "matches", partition="kind").df
+    dealt = lambda df: df.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    direct = found.where(f"kind = {FOUND}").select("bucket", "payload")
+    rows = direct.unionByName(answers(dealt(found.where(f"kind = {ASKED}")), buckets).select("bucket", "payload"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("copied", pa.int64()), ("other", pa.int64())]))
+    copy = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def run(batches):
+        for _, (doc, start, stop, low_start, low_stop, other) in buckets_of(batches):
+            order, first, a, b = merged(doc, start, stop)
+            owner, partner = doc[order][first], np.minimum.reduceat(other[order], first)
+            low = low_start >= 0
+            if low.any():
+                low_order, low_first, c, d = merged(doc[low], low_start[low], low_stop[low])
+                low_owner = doc[low][low_order][low_first]
+            else:
+                c = d = low_owner = np.zeros(0, np.int64)
+            ids = np.unique(owner)
+            number, low_number = np.searchsorted(ids, owner), np.searchsorted(ids, low_owner)
+            wide = 1 << 33
+            within = np.searchsorted(number * wide + a, low_number * wide + c, "right") - 1
+            copied = np.bincount(within, d - c, minlength=len(a)).astype(np.int64)
+            cut = lambda n: pa.array(np.searchsorted(n, np.arange(len(ids) + 1)).astype(np.int32))
+            spans = pa.StructArray.from_arrays([pa.array(x) for x in (a, b, copied, partner)], names=["start", "stop", "copied", "other"])
+            copies = pa.StructArray.from_arrays([pa.array(c), pa.array(d)], names=["start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(cut(number), spans).cast(span), pa.ListArray.from_arrays(cut(low_number), copies).cast(copy)], names=["doc_id", "spans", "copies"])
+
+    return dealt(rows).mapInArrow(run, "doc_id long, spans array<struct<start:long,stop:long,copied:long,other:long>>, copies array<struct<start:long,stop:long>>")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start_word, end_word, n_words, copied_words, other_doc_id: a row per maximal span.
-
-    A span is a run of words ``[^\\x20\\x09-\\x0D]+`` of a document that is
-    covered by passages of MIN_WORDS words or more which stand in other documents
-    too. copied_words counts those of its words that documents with a smaller
-    id have (0 for the first occurrence); other_doc_id is the smallest partner met.
-    Repeats within one document don't count. Null and empty texts, and texts
-    of fewer words, have no span; rows without an id are left out; rows that share
-    an id count as one document. Anchors are compared by 64-bit hashes, the 62
-    words of context by 16 bits each.
+    """doc_id, start_word, end_word, n_words, copied_words, other_doc_id: a row per span (see document_spans()).
+
+    Words are ``[^\\x20\\x09-\\x0D]+``; copied_words is 0 for the first
+    occurrence. Repeats within one document don't count. Null and empty texts, and
+    texts of fewer words, have no span; rows without an id are left out; rows that
+    share an id count as one document. Anchors are compared by 64-bit hashes, the
+    62 words of context by 16 bits each.
     """
-    rows = store(matches(docs, doc_id, text), "found").df
-    spans = merged(rows, "start", "stop")
-    copied = merged(rows.where("low_start >= 0"), "low_start", "low_stop").select(F.col("doc_id").alias("d"), F.col("low_start").alias("s"), F.col("low_stop").alias("e"))
-    joined = spans.join(copied, (F.col("doc_id") == F.col("d")) & (F.col("s") >= F.col("start")) & (F.col("e") <= F.col("stop")), "left")
-    n_words = F.first(F.col("stop") - F.col("start")).cast("long")
-    return joined.groupBy("doc_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word")).agg(n_words.alias("n_words"), F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)).alias("copied_words"), F.first("other").alias("other_doc_id"))
+    rows = document_spans(docs, doc_id, text).select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.stop").alias("end_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.copied").alias("copied_words"), F.col("s.other").alias("other_doc_id"))
 
 
 SPANS, SPAN_DOC = "__tallyloom_spans", "__tallyloom_doc"
@@ -416,14 +503,13 @@ def without_copies(docs: DataFrame) -> DataFrame:
     is left out. Texts without a copied passage don't change. Spans, not texts, are
     gathered per document; the join with the documents is by id.
     """
-    rows = store(matches(docs).where("low_start >= 0"), "copied").df
-    low = F.struct(F.col("low_start").cast("long").alias("start"), F.col("low_stop").cast("long").alias("stop"))
-    spans = store(merged(rows, "low_start", "low_stop").groupBy("doc_id").agg(F.array_sort(F.collect_list(low)).alias(SPANS)).withColumnRenamed("doc_id", SPAN_DOC), "spans").df
+    spans = document_spans(docs).where(F.size("copies") > 0).select(F.col("doc_id").alias(SPAN_DOC), F.col("copies").alias(SPANS))
+    spans = store(spans, "copies").df
     few = spans.count() <= 300_000  # some 20 MB; beyond, both sides are shuffled
-    joined = docs.join(F.broadcast(spans) if few else spans, docs.doc_id == spans[SPAN_DOC], "left")
+    both = docs.join(F.broadcast(spans) if few else spans, docs.doc_id == spans[SPAN_DOC], "left")
     text_at = docs.columns.index("text")
     schema = docs.schema
-    out_schema = StructType([*schema.fields, joined.schema[SPANS]])
+    out_schema = StructType([*schema.fields, both.schema[SPANS]])
 
     def run(batches):
         for batch in batches:
@@ -437,7 +523,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
                 columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays([*columns, found], names=[*schema.names, SPANS])
 
-    cut = joined.select(*[docs[c] for c in docs.columns], SPANS).mapInArrow(run, out_schema)
+    cut = both.select(*[docs[c] for c in docs.columns], SPANS).mapInArrow(run, out_schema)
     kept = cut.where(F.col(SPANS).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
