@@ -103,6 +103,34 @@ def sequences(events: DataFrame, key: str, order: list[str], symbol: Column) ->
     return rows.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("s")).select(key, F.col("s.x").alias("inputs"))
 
 
+REJECTED = "rejected"
+
+
+def final_states(events: DataFrame, key: str, order: list[str], symbol: Column, machine: Machine, chunk: Column) -> DataFrame:
+    """key, state after all of a key's events, without holding them together.
+
+    A chunk (an expression that never falls along the order, such as the day) of a
+    key's events is a function from state to state; functions are composed in the
+    order of the chunks. So a key with very many events is read by many tasks, and
+    what meets in one row is a small map per chunk. A rejected sequence ends in the
+    state REJECTED.
+    """
+    states = sorted({machine.start, *machine.stop, *(s for s, _ in machine.transitions), *(n for n, _ in machine.transitions.values())})
+    nexts = literal_map({f"{s}\u0001{x}": n for (s, x), (n, _) in machine.transitions.items()})
+    missing = {STAY: lambda s: s, REJECT: lambda s: F.lit(REJECTED), ERROR: lambda s: F.raise_error(F.lit("no transition")).cast("string")}[machine.undefined]
+
+    def step(s: Column, x: Column) -> Column:
+        nxt = F.element_at(nexts, F.concat(s, F.lit("\u0001"), x))
+        return F.when(s.isin([*machine.stop, REJECTED]), s).otherwise(F.when(nxt.isNull(), missing(s)).otherwise(nxt))
+
+    rows = events.select(key, chunk.alias("_chunk"), F.struct(*order, symbol.alias("x")).alias("e"))
+    folded = rows.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list("e")).alias("s"))
+    function = F.create_map(*[c for s in [*states, REJECTED] for c in (F.lit(s), F.aggregate(F.col("s.x"), F.lit(s), step))])
+    parts = folded.select(key, F.struct("_chunk", function.alias("f")).alias("p")).groupBy(key).agg(F.collect_list("p").alias("ps"))
+    sorted_parts = F.array_sort("ps", lambda a, b: F.when(a.getField("_chunk") < b.getField("_chunk"), -1).when(a.getField("_chunk") > b.getField("_chunk"), 1).otherwise(0))
+    return parts.select(key, F.aggregate(F.transform(sorted_parts, lambda p: p.getField("f")), F.lit(machine.start), lambda s, f: F.element_at(f, s)).alias("state"))
+
+
 def merge_updates(updates: DataFrame, key: str, seq: str, last: list[str], appended: list[str]) -> DataFrame:
     """One row per key: the last value of each overwritten field, all values of the appended ones in order, the first seq.
 

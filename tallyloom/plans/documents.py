@@ -172,7 +172,7 @@ EXCERPTS_SQL = "SELECT * FROM (VALUES ('a.csv', 'x,y', 'Spalten: x,y | Zeile 1:
 def _excerpts(spark):
     f = ship_package(spark).createDataFrame(FILES, "path string, text string")
     t, is_ = F.col("text"), lambda e: F.col("path").endswith(e)
-    by = [(".csv", D.csv_excerpt(t)), (".tex", D.tex_excerpt(t)), (".yaml", D.yaml_excerpt(t)), (".py", D.excerpt_udf(D.source_excerpt)(t)), (".ipynb", D.excerpt_udf(D.notebook_excerpt)(t)), (".xml", D.excerpt_udf(D.xml_excerpt)(t)), (".svg", D.excerpt_udf(D.xml_excerpt)(t)), (".eml", D.excerpt_udf(D.mail_excerpt)(t))]
+    by = [(".csv", D.csv_excerpt(t)), (".tex", D.tex_excerpt(t)), (".yaml", D.yaml_excerpt(t)), (".py", D.source_excerpt(t)), (".ipynb", D.excerpt_udf(D.notebook_excerpt)(t)), (".xml", D.excerpt_udf(D.xml_excerpt)(t)), (".svg", D.excerpt_udf(D.xml_excerpt)(t)), (".eml", D.excerpt_udf(D.mail_excerpt)(t))]
     out = None
     for ext, e in by:
         part = f.where(is_(ext)).select("path", e.alias("e")).select("path", "e.title", "e.excerpt")

@@ -65,6 +65,18 @@ def fsm_json_adder(spark, sf_dir):
     return ran(spark, sf_dir, S.ADDER, "cast(event_id % 4 AS STRING)").select("user_id", "r.state", F.array_join("r.outputs", "").alias("digits"))
 
 
+@query(f"{machine_sql(S.TURNSTILE, TURNSTILE_IN)} SELECT user_id, state FROM f")
+def fsm_turnstile_chunked(spark, sf_dir):
+    """The same final states from daily pieces, for keys with very many events."""
+    return S.final_states(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(TURNSTILE_IN), S.TURNSTILE, F.to_date("ts"))
+
+
+@query(f"{machine_sql(S.FORM, FORM_IN)} SELECT user_id, NOT rejected AND state = 'q4' AS valid FROM f")
+def fsm_form_chunked(spark, sf_dir):
+    ends = S.final_states(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(FORM_IN), S.FORM, F.to_date("ts"))
+    return ends.select("user_id", (F.col("state") == "q4").alias("valid"))
+
+
 def on_literals(spark, machine: S.Machine, cases: list[list[str]]):
     rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "case_id long, inputs array<string>")
     return rows.select("case_id", S.run(machine, F.col("inputs")).alias("r"))

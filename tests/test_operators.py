@@ -150,3 +150,9 @@ def test_exact_quantiles(spark):
         for keep, bins in ((10, 7), (10_000, 1000)):
             assert np.allclose(P.exact_quantiles(df, "v", shares, keep, bins), want, rtol=1e-12)
     assert P.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_source_excerpt(spark):
+    cases = {"# Kopf\nimport os\nfrom a import b\nx = 1": ("Kopf", "import os | from a import b"), "\'\'\'Eins\nzwei\n\'\'\'\n# Titel": ("Titel", "Eins zwei "), "": ("", ""), "import re\n# spät": ("spät", "import re")}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", D.source_excerpt(F.col("t")).alias("e"))
+    assert {r.t: (r.e.title, r.e.excerpt.strip()) for r in df.collect()} == {t: (a, b.strip()) for t, (a, b) in cases.items()}
