@@ -111,22 +111,19 @@ def bm25(docs: DataFrame, question: str, doc_id: str = "doc_id", text: str = "te
     mean idf over the whole vocabulary. Only the question's words are joined to
     documents; the vocabulary is counted once, each word once per document.
     """
-    terms = [w for w in question.split() if w]
+    terms = question.split()
     tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("tokens"))
     sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(sizes)).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    weights = idf.agg(F.avg("idf").alias("mean"), F.map_from_entries(F.collect_list(F.when(F.col("term").isin(terms), F.struct("term", "idf")))).alias("known"))
-    asked = F.array(*[F.lit(w) for w in terms])
-    tf = lambda w: F.size(F.filter(F.col("tokens"), lambda t: t == w))
-    stats = tokens.where(F.arrays_overlap("tokens", asked)).crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(weights))
-
-    def part(w: Column) -> Column:
-        raw = F.coalesce(F.element_at("known", w), F.lit(0.0))
-        value = F.when(raw < 0, epsilon * F.col("mean")).otherwise(raw)
-        return value * tf(w) * (k1 + 1) / (tf(w) + k1 * (1 - b + b * F.size("tokens") / F.col("mean_len")))
-
-    return stats.select("doc_id", F.aggregate(asked, F.lit(0.0), lambda s, w: s + part(w)).alias("score"))
+    raw = F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf"))
+    times = F.element_at(F.create_map(*[F.lit(x) for w in dict.fromkeys(terms) for x in (w, float(terms.count(w)))]), F.col("term"))
+    weights = idf.where(F.col("term").isin(terms)).crossJoin(F.broadcast(idf.agg(F.avg("idf").alias("mean")))).select("term", (raw * times).alias("weight"))
+    hits = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("term"))
+    counts = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_len")))
+    # One row per word of the question, and one row of sizes.
+    return counts.join(F.broadcast(weights), "term").crossJoin(F.broadcast(sizes)).groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K) -> DataFrame:
