@@ -6,6 +6,8 @@ return the columns of documents.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return signature_tree.one_of_each(docs)
+    """One document of each group of near copies: Jaccard similarity of 5-word shingles of at least 0.8."""
+    return signature_tree.one_of_each(docs, Fraction(80, 100), 5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
