@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import query, table
@@ -66,32 +65,45 @@ def w2v_parse_tokens(spark, sf_dir):
     return rows.select("row_id", F.size("x").cast("long").alias("n"), F.array_join("x", "|").alias("items"))
 
 
-SEQ = f"SELECT doc_id, pos - 1 AS pos, word FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS word FROM (SELECT doc_id, list_slice({TOKENS}, 1, 25) AS t FROM documents WHERE doc_id < 100))"
+SEQ = f"SELECT doc_id, pos - 1 AS pos, word FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS word FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
 
 
 def token_rows(spark, sf_dir):
-    t = F.slice(X.letter_tokens(F.col("text")), 1, 25)
-    return table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", F.posexplode(t).alias("pos", "word"))
+    """doc_id, words of each text that has words."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.letter_tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+
+
+def around(words, i):
+    """The words within two places of place i, from 0. Picked singly: slice() reads its whole array each time."""
+    return F.array_compact(F.array(*[F.get(words, i + k) for k in (-2, -1, 1, 2)]))
+
+
+def per_word(rows, entries):
+    """doc_id and the fields of each struct that entries(word, place) gives, built row by row: words don't cross the network.
+
+    inline_outer, since for inline() Spark puts a filter on the array's size below, which cuts the text anew for each word; no array here is empty.
+    """
+    return rows.select("doc_id", F.transform("words", entries).alias("x")).select("doc_id", F.inline_outer("x"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list(DISTINCT word)), ' ') AS vocabulary, count(DISTINCT word) AS n FROM ({SEQ}) GROUP BY 1")
 def w2v_vocab(spark, sf_dir):
-    return token_rows(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("vocabulary"), F.count_distinct("word").alias("n"))
+    rows = token_rows(spark, sf_dir).select("doc_id", F.array_sort(F.array_distinct("words")).alias("x"))
+    return rows.select("doc_id", F.array_join("x", " ").alias("vocabulary"), F.size("x").cast("long").alias("n"))
 
 
 @query(f"WITH s AS ({SEQ}) SELECT a.doc_id, a.pos, any_value(a.word) AS target, coalesce(string_agg(b.word, ' ' ORDER BY b.pos), '') AS context FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos GROUP BY 1, 2")
 def w2v_skipgram(spark, sf_dir):
     """Each word and its neighbours within two places."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    around = F.concat(F.collect_list("word").over(w.rowsBetween(-2, -1)), F.collect_list("word").over(w.rowsBetween(1, 2)))
-    return token_rows(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("word").alias("target"), F.array_join(around, " ").alias("context"))
+    return per_word(token_rows(spark, sf_dir), lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("target"), F.array_join(around(F.col("words"), i), " ").alias("context")))
 
 
 @query(f"WITH s AS ({SEQ}) SELECT a.doc_id, a.pos, b.word, count(*) AS n FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos GROUP BY 1, 2, 3")
 def w2v_multihot(spark, sf_dir):
     """The non-zero entries of each context vector."""
-    pairs = w2v_skipgram(spark, sf_dir).select("doc_id", "pos", F.explode(F.filter(F.split("context", " "), lambda x: x != "")).alias("word"))
-    return pairs.groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n"))
+    rows = per_word(token_rows(spark, sf_dir), lambda w, i: F.struct(i.cast("long").alias("pos"), around(F.col("words"), i).alias("context")))
+    words = rows.select("doc_id", "pos", "context", F.explode(F.array_distinct("context")).alias("word"))
+    return words.select("doc_id", "pos", "word", F.size(F.filter("context", lambda x: x == F.col("word"))).cast("long").alias("n"))
 
 
 @query("WITH RECURSIVE r(k, s) AS (SELECT 1::BIGINT, (1 * (25214903917 % 65536) + 11) % 65536 UNION ALL SELECT k + 1, (s * (25214903917 % 65536) + 11) % 65536 FROM r WHERE k < 50) SELECT k, s / 65536.0::DOUBLE AS u FROM r")
