@@ -131,15 +131,20 @@ def final_states(events: DataFrame, key: str, order: list[str], symbol: Column,
     return parts.select(key, F.aggregate(F.transform(sorted_parts, lambda p: p.getField("f")), F.lit(machine.start), lambda s, f: F.element_at(f, s)).alias("state"))
 
 
-def merge_updates(updates: DataFrame, key: str, seq: str, last: list[str], appended: list[str]) -> DataFrame:
+def merge_updates(updates: DataFrame, key: str, seq: str, last: list[str], appended: list[str], chunk: Column) -> DataFrame:
     """One row per key: the last value of each overwritten field, all values of the appended ones in order, the first seq.
 
-    updates: key, seq, field, value.
+    updates: key, seq, field, value. A chunk (an expression that never falls along
+    seq) of a key's updates is merged by itself; what meets in one row is a merged
+    row per chunk, so a key with very many updates is read by many tasks.
     """
-    value = lambda f: F.when(F.col("field") == f, F.col("value"))
-    parts = [F.max_by(value(f), F.when((F.col("field") == f) & F.col("value").isNotNull(), F.col(seq))).alias(f) for f in last]
-    parts += [F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct(seq, "value")))), lambda s: s.getField("value")).alias(f) for f in appended]
-    return updates.groupBy(key).agg(F.min(seq).alias("first_seq"), *parts)
+    of = lambda f: F.col("field") == f
+    newest = [F.max(F.when(of(f) & F.col("value").isNotNull(), F.struct(seq, "value"))).alias(f) for f in last]
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(of(f), F.struct(seq, "value")))), lambda s: s.getField("value")).alias(f) for f in appended]
+    merged = updates.groupBy(key, chunk.alias("_chunk")).agg(F.min(seq).alias("first_seq"), *newest, *lists)
+    parts = [F.max(f).getField("value").alias(f) for f in last]
+    parts += [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", F.col(f).alias("values")))), lambda s: s.getField("values"))).alias(f) for f in appended]
+    return merged.groupBy(key).agg(F.min("first_seq").alias("first_seq"), *parts)
 
 
 def cycles(edges: DataFrame, most: int = 8) -> DataFrame:

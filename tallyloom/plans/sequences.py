@@ -123,11 +123,11 @@ def reduce_append(spark, sf_dir):
     return rows.select("conv_id", "n", F.array_join(F.col("x.role"), ",").alias("roles"))
 
 
-UPDATES = "SELECT user_id % 20 AS block_id, event_id AS seq, event_type AS field, cast(event_id % 97 AS {s}) AS value FROM events WHERE event_id < 2000"
+UPDATES = "SELECT user_id % 20 AS block_id, event_id AS seq, event_type AS field, cast(event_id % 97 AS {s}) AS value FROM events"
 
 
 @query("WITH u AS (" + UPDATES.format(s="VARCHAR") + ") SELECT block_id, min(seq) AS first_seq, arg_max(value, seq) FILTER (WHERE field = 'click') AS click, arg_max(value, seq) FILTER (WHERE field = 'purchase') AS purchase, array_to_string(coalesce(list(value ORDER BY seq) FILTER (WHERE field = 'error'), []), ',') AS error FROM u GROUP BY 1")
 def reduce_merge(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    merged = S.merge_updates(spark.sql(UPDATES.format(s="STRING")), "block_id", "seq", ["click", "purchase"], ["error"])
+    merged = S.merge_updates(spark.sql(UPDATES.format(s="STRING")), "block_id", "seq", ["click", "purchase"], ["error"], F.expr("seq div 5000"))
     return merged.withColumn("error", F.array_join("error", ","))

@@ -40,3 +40,13 @@ def test_word_rows(spark, folder, texts):
     assert got == Counter((k, i, x, " ".join(neighbours(w, i))) for k, w in words.items() for i, x in enumerate(w))
     got = Counter((r.doc_id, r.pos, r.word, r.n) for r in catalog.QUERIES["w2v_multihot"](spark, folder).collect())
     assert got == Counter((k, i, x, n) for k, w in words.items() for i in range(len(w)) for x, n in Counter(neighbours(w, i)).items())
+
+
+def test_merge_of_all_events(spark, tmp_path):
+    rows = [(k, k % 7, ("click", "purchase", "error", "view")[k * k % 11 % 4]) for k in range(12_000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.block_id: r for r in catalog.QUERIES["reduce_merge"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(7))
+    for block, r in got.items():
+        mine = {f: [str(k % 97) for k, u, t in rows if u == block and t == f] for f in ("click", "purchase", "error")}
+        assert (r.first_seq, r.click, r.purchase, r.error) == (block, mine["click"][-1], mine["purchase"][-1], ",".join(mine["error"]))
