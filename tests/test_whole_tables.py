@@ -42,6 +42,11 @@ def test_word_rows(spark, folder, texts):
     assert got == Counter((k, i, x, n) for k, w in words.items() for i in range(len(w)) for x, n in Counter(neighbours(w, i)).items())
 
 
+def test_marker_cut_reads_every_document(spark, folder, texts):
+    got = {r.doc_id: r.body for r in catalog.QUERIES["txt_marker_cut"](spark, folder).collect()}
+    assert set(got) == set(texts) and got[2500] == texts[2500] + "\n" and got[99] == "Vorwort " + texts[99]
+
+
 def test_merge_of_all_events(spark, tmp_path):
     rows = [(k, k % 7, ("click", "purchase", "error", "view")[k * k % 11 % 4]) for k in range(12_000)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
