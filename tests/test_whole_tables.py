@@ -55,3 +55,17 @@ def test_merge_of_all_events(spark, tmp_path):
     for block, r in got.items():
         mine = {f: [str(k % 97) for k, u, t in rows if u == block and t == f] for f in ("click", "purchase", "error")}
         assert (r.first_seq, r.click, r.purchase, r.error) == (block, mine["click"][-1], mine["purchase"][-1], ",".join(mine["error"]))
+
+
+def test_lookup_of_all_files(spark, tmp_path):
+    rows = [(k, "x", "de", "src1", k) for k in range(190, 260)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    files = catalog.QUERIES["inv_scan"](spark, str(tmp_path)).select("path", "name").collect()
+    doc = {r.path: int(k) for r in files for k in [next(iter(re.findall(r"\d{3}", r.name)), -1)]}
+    first = {}
+    for r in files:
+        first[r.name] = min(r.path, first.get(r.name, r.path))
+    got = catalog.QUERIES["join_lookup_missing"](spark, str(tmp_path)).collect()
+    missing = {int(re.findall(r"\d{3}", r.name)[0]) for r in got if r.status == "fehlt" and re.search(r"\d{3}", r.name)}
+    assert len(got) == len(files) and missing == {k for k in doc.values() if k >= 0 and k % 7 == 0}
+    assert all(first[r.name] == r.path for r in got if r.status == "ok")
