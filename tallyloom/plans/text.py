@@ -114,12 +114,13 @@ def w2v_lcg(spark, sf_dir):
 
 @query()
 def w2v_train(spark, sf_dir):
-    """Skip-gram vectors of German sentences; the size of the vocabulary is what counts here."""
+    """Skip-gram vectors of all words that occur twice or more in German texts."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     rows = table(spark, sf_dir, "documents").where("lang = 'de'").select(X.letter_tokens(F.col("text")).alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=20, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(rows)
-    return model.getVectors().select("word")
+    model = Word2Vec(vectorSize=16, minCount=2, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(rows)
+    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
 
 
 @query("SELECT doc_id, 'Datei ' || source || ' (' || lang || '): {rest}' AS prompt FROM documents")

@@ -69,3 +69,12 @@ def test_lookup_of_all_files(spark, tmp_path):
     missing = {int(re.findall(r"\d{3}", r.name)[0]) for r in got if r.status == "fehlt" and re.search(r"\d{3}", r.name)}
     assert len(got) == len(files) and missing == {k for k in doc.values() if k >= 0 and k % 7 == 0}
     assert all(first[r.name] == r.path for r in got if r.status == "ok")
+
+
+def test_word_vectors_of_rare_words(spark, tmp_path):
+    rows = [(k, f"haus baum paar{k // 2} einzeln{k}", "de") for k in range(8)] + [(9, "english english", "en")]
+    spark.createDataFrame([(k, t, s, "src1", len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    # letter_tokens splits at digits: paar 8 times, einzeln 8 times; a pair of its own below
+    spark.createDataFrame([(20, "selten selten einmal", "de", "src1", 20)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.vector for r in catalog.QUERIES["w2v_train"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"haus", "baum", "paar", "einzeln", "selten"} and all(len(v) and any(v) for v in got.values())
