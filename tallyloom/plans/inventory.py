@@ -205,9 +205,9 @@ def neighbour_vote(spark, sf_dir):
     return I.neighbour_vote(indexed, rest).select("doc_id", "target", "lead")
 
 
-@query("WITH l AS (SELECT conv_id AS batch, turn AS step, role AS source, left(text, 20) AS target FROM conversations) SELECT row_number() OVER (ORDER BY step DESC) AS \"order\", target AS source, source AS target FROM l WHERE batch = (SELECT max(batch) FROM l)")
+@query("WITH l AS (SELECT conv_id AS batch, turn AS step, role AS source, text AS target FROM conversations) SELECT row_number() OVER (ORDER BY step DESC) AS \"order\", target AS source, source AS target FROM l WHERE batch = (SELECT max(batch) FROM l)")
 def oplog_undo_plan(spark, sf_dir):
-    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("step"), F.col("role").alias("source"), F.substring("text", 1, 20).alias("target"))
+    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("step"), F.col("role").alias("source"), F.col("text").alias("target"))
     return I.undo_plan(log)
 
 

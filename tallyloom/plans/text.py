@@ -162,9 +162,9 @@ def extract_json_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.slice(F.json_object_keys("props"), 1, 10), ", ").alias("keys"))
 
 
-@query("SELECT conv_id, string_agg(role || ' | ' || coalesce(nullif(left(text, 10), ''), ''), chr(10) ORDER BY turn) AS shown FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg(role || ' | ' || coalesce(text, ''), chr(10) ORDER BY turn) AS shown FROM conversations GROUP BY 1")
 def rows_to_text(spark, sf_dir):
-    cells = F.array("role", F.substring("text", 1, 10))
+    cells = F.array("role", "text")
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cells.alias("cells")))).alias("x"))
     return rows.select("conv_id", X.rows_to_text(F.col("x.cells")).alias("shown"))
 

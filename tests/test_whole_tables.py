@@ -78,3 +78,13 @@ def test_word_vectors_of_rare_words(spark, tmp_path):
     spark.createDataFrame([(20, "selten selten einmal", "de", "src1", 20)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     got = {r.word: r.vector for r in catalog.QUERIES["w2v_train"](spark, str(tmp_path)).collect()}
     assert set(got) == {"haus", "baum", "paar", "einzeln", "selten"} and all(len(v) and any(v) for v in got.values())
+
+
+def test_whole_conversation_texts(spark, tmp_path):
+    long = "gleicher Anfang, zwanzig Zeichen und mehr, dann "
+    rows = [(1, 0, "user", long + "dies"), (1, 1, "assistant", None), (2, 0, "user", long + "das"), (2, 1, "assistant", long * 9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.shown for r in catalog.QUERIES["rows_to_text"](spark, str(tmp_path)).collect()}
+    assert got == {c: "\n".join(f"{role} | {t or ''}" for k, _, role, t in rows if k == c) for c in (1, 2)}
+    plan = [tuple(r) for r in catalog.QUERIES["oplog_undo_plan"](spark, str(tmp_path)).select("order", "source", "target").collect()]
+    assert sorted(plan) == [(1, long * 9, "assistant"), (2, long + "das", "user")]
