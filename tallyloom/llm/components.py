@@ -14,24 +14,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round points every larger neighbour of a node at the node's smallest
     neighbour (large star), then every smaller neighbour (small star); the graph
     ends as one star per component after O(log^2 n) rounds. Minima are
-    pre-aggregated before the shuffle, so a hot centre costs one row per map
-    task, and the joins can be split by adaptive execution. Nodes without an edge
-    are not returned. Null ends and loops are ignored.
+    pre-aggregated before their shuffle and stored, so a hot centre costs one row
+    per map task, and each join reads two plain tables: adaptive execution can split
+    it. Nodes without an edge are not returned. Null ends and loops are ignored.
     """
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     last, held = None, store(links, "links")
     while True:
         both = held.df.unionByName(held.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         step = store(large, "links")
-        low = step.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = step.df.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least.drop()
+        least = store(step.df.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = step.df.join(least.df, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         small = small.where("u > v").distinct()
         held.drop()
         held = store(small, "links")
         step.drop()
+        least.drop()
         now = held.df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").bitwiseXOR(F.lit(7)) % 1_000_003)).first()
         if tuple(now) == last:
             break

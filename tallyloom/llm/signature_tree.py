@@ -1,29 +1,31 @@
 """N-gram Jaccard self-join with signature trees.
 
-1. Routing: sets that can link meet. Sizes fall into bands, so that two sets that
-   link are in one band or in neighbours; a band's sets are cut into slices of the
-   hash range, more than the differences that a linked pair can have. Some slice
-   is then equal in both, and its signature brings them together (a pigeonhole
-   bound, exact for every pair). Equal slices make loose clusters.
-2. Join: a cluster's sets are the leaves of a tree. Nodes hold OR-combined token
-   bitmaps and size ranges; a dual traversal drops node pairs whose largest
-   possible overlap is too small, and pairs already in one class.
+1. Routing: sets that can link meet. All shingles have one order, rarest first. Two
+   sets that link share at least ceil(threshold * size) elements, so the first one
+   that they share stands among the first size - ceil(threshold * size) + 1 of
+   each. Elements that only one set has need no meeting place: a set that is mostly
+   its own goes nowhere, and sets without a common element never meet.
+2. Join: sets that meet make clusters, whose sets are the leaves of a tree. Nodes hold
+   OR-combined token bitmaps and size ranges; a dual traversal drops node pairs
+   whose largest possible overlap is too small, and pairs already in one class.
 3. Links make components; equal sets are one set throughout.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
 from tallyloom.llm.packing import pack, unpack
-from tallyloom.llm.store import store
-from tallyloom.llm.textkit import SALT, U64, Hasher, Words, lower, mix, ngrams, rows_and_texts, to_signed
+from tallyloom.llm.store import store, store_bucketed
+from tallyloom.llm.textkit import SALT, U64, Hasher, Words, lower, mix, ngrams, rows_and_texts, runs, to_signed
 from tallyloom.session import ship_package
 
 # ---------------------------------------------------------------- sets
@@ -73,164 +75,231 @@ def set_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- routing
 
-
-class Bands:
-    """Bands of set sizes for a threshold, and the slices of each.
-
-    hi[b]: largest size of band b. differences[b]: most elements in which two sets
-    can differ that link, the smaller one in band b, the other in b or b + 1.
-    spare[b]: slices beyond differences + 1; a set may leave out that many thin
-    ones (of no or one element) and still meet every partner. Below
-    WHOLE differences no slice is left out (spare is -1).
-    """
-
-    WHOLE = 8
-
-    def __init__(self, threshold: Fraction, largest: int = 1 << 40):
-        self.hi = [0]
-        while self.hi[-1] < largest:
-            lo = self.hi[-1] + 1
-            self.hi.append(max(lo, int(Fraction(lo) / threshold)))
-        self.hi.append(int(Fraction(self.hi[-1] + 1) / threshold))
-        share = (1 - threshold) / (1 + threshold)
-        self.differences = np.array([int(share * (a + min(int(Fraction(a) / threshold), b))) for a, b in zip(self.hi, self.hi[1:])])
-        self.spare = np.where(self.differences >= self.WHOLE, np.ceil(0.09 * (self.differences + 1)).astype(np.int64) + 2, -1)
-        self.slices = self.differences + 1 + np.maximum(self.spare, 0)
-        self.hi = np.array(self.hi, dtype=np.float64)
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.hi, sizes, "left")
-
-
-def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) rows: each set as the smaller one of a pair in its band, and as the larger one of the band below."""
-    sizes = np.diff(at)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    own = bands.of(sizes)
-    sets_out, sigs_out = [], []
-    with np.errstate(over="ignore"):
-        mixed = mix(h ^ SALT[2])
-        for below in (0, 1):
-            band = own - below
-            usable = (sizes > 0) & (band > 0)
-            n_slices = np.where(usable, bands.slices[np.maximum(band, 0)], 1)
-            rows = usable[owner]
-            who = owner[rows]
-            part = ((h[rows] >> U64(32)) * n_slices[who].astype(np.uint64) >> U64(32)).astype(np.int64)
-            if not len(who):
-                continue
-            edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (who[1:] != who[:-1])]))
-            counts = np.diff(np.append(edge, len(who)))
-            total = np.add.reduceat(mixed[rows], edge)
-            who, part = who[edge], part[edge]
-            thin = counts <= 1
-            missing = n_slices - np.bincount(who, minlength=len(sizes))
-            all_thin = missing + np.bincount(who[thin], minlength=len(sizes))
-            whole = usable & (all_thin > bands.spare[np.maximum(band, 0)])
-            keep = ~thin | whole[who]
-            base = band.astype(np.uint64) * SALT[1]
-            sets_out.append(who[keep])
-            sigs_out.append(mix(total[keep] + part[keep].astype(np.uint64) * SALT[0] + base[who[keep]] + counts[keep].astype(np.uint64)))
-            gaps = np.flatnonzero(whole & (missing > 0))
-            if len(gaps):
-                every = np.repeat(gaps, n_slices[gaps])
-                slot = np.arange(len(every)) - np.repeat(np.cumsum(n_slices[gaps]) - n_slices[gaps], n_slices[gaps])
-                absent = ~np.isin(every * (1 << 40) + slot, who * (1 << 40) + part)
-                sets_out.append(every[absent])
-                sigs_out.append(mix(slot[absent].astype(np.uint64) * SALT[0] + base[every[absent]] + SALT[3]))
-    if not sets_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(sets_out), np.concatenate(sigs_out)
-
-
-ROUTE_SHIFT = 16  # routing knows a set by the upper 48 bits of its hash; a collision only adds a candidate
-
-
-def routed(docs: DataFrame, n: int, threshold: Fraction, buckets: int) -> DataFrame:
-    """bucket, payload: packed (signature, route) arrays; each batch sends one row per bucket, and equal sets once."""
-    bands_args = threshold
+KEY_SHIFT = 16  # counts know a shingle by the upper 48 bits of its hash; a collision only makes it seem less rare
+TEXTS, SETS = 0, 1
+
+
+def least_overlap(sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Elements that a set of this size shares with any set that it links with."""
+    return -(-sizes * threshold.numerator // threshold.denominator)
+
+
+def size_bands(sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Numbers of size ranges; the sizes of two sets that link are in one range or in neighbours."""
+    hi = [0]
+    while hi[-1] < (sizes.max() if len(sizes) else 0):
+        hi.append(max(hi[-1] + 1, int(Fraction(hi[-1] + 1) / threshold)))
+    return np.searchsorted(np.array(hi), sizes, "left")
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Ranks 0 to 255 that rise with the count; 0 for 1."""
+    return np.where(counts > 1, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)))), 0).astype(np.uint8)
+
+
+class BlockSets:
+    """The distinct non-empty sets of a block of texts, each once, and their elements' keys in ascending order."""
+
+    def __init__(self, payload: bytes, n: int):
+        data, sizes = unpack(payload)
+        off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        parts = [shingle_sets(part, cuts, n) for _, _, part, cuts in runs(data, off)]
+        hashes = np.concatenate([set_hashes(h, at) for h, at in parts])
+        sizes = np.concatenate([np.diff(at) for _, at in parts])
+        one = np.zeros(len(sizes), bool)
+        one[np.unique(hashes, return_index=True)[1]] = True
+        one &= sizes > 0
+        self.h = np.concatenate([h for h, _ in parts])[np.repeat(one, sizes)]
+        self.sizes, self.routes = sizes[one], to_signed(hashes[one])
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.keys, self.of_element, self.counts = np.unique(self.h >> U64(KEY_SHIFT), return_inverse=True, return_counts=True)
+
+    def questions(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, payload): keys and in how many of these sets each is; buckets are ranges of keys."""
+        buckets = 1 << bits
+        cuts = np.searchsorted(self.keys >> U64(64 - KEY_SHIFT - bits), np.arange(buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            keys = self.keys[cuts[b] : cuts[b + 1]]
+            yield b, pack(np.diff(keys, prepend=U64(0)), self.counts[cuts[b] : cuts[b + 1]].astype(np.uint32))
+
+    def meeting_places(self, ranks: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        """(place, route) rows from the rank of each key: any two linked sets have a place in common."""
+        rank = ranks[self.of_element]
+        common = rank > 0
+        first = self.sizes - least_overlap(self.sizes, threshold) + 1
+        alone = self.sizes - np.bincount(self.owner[common], minlength=len(self.sizes))
+        rows = (alone < first)[self.owner]
+        h, owner, rank, common = self.h[rows], self.owner[rows], rank[rows], common[rows]
+        order = np.lexsort((h, rank, owner))
+        h, common = h[order], common[order]  # owners stay in place
+        if not len(h):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        lead = np.concatenate([[True], owner[1:] != owner[:-1]])
+        position = np.arange(len(h)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        keep = common & (position < first[owner])
+        h, owner = h[keep], owner[keep]
+        band = size_bands(self.sizes, threshold)[owner].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            places = [mix(h ^ mix((band + U64(k)) * SALT[1])) for k in (0, 1)]
+        return np.concatenate(places), np.tile(self.routes[owner], 2)
+
+
+def stars(place: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, the smallest route of each, distinct pairs of another route there and the smallest)."""
+    order = np.lexsort((route, place))
+    place, route = place[order], route[order]
+    lead = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
+    at = np.flatnonzero(lead)
+    first = route[at][np.cumsum(lead) - 1]
+    other = route != first
+    return place[at], route[at], np.unique(np.stack([route[other], first[other]], axis=1), axis=0)
+
+
+def stored_blocks(docs: DataFrame, n: int, block_bytes: int, parts: int) -> DataFrame:
+    """kind, block, payload: TEXTS, a block's texts; SETS, its rows of doc_id, size of the set, hash of the set."""
 
     def run(batches):
-        bands = Bands(bands_args)
-        sigs, routes, held = [], [], 0
+        start, made = TaskContext.get().partitionId() << 32, 0
+        texts, lengths, rows, held = [], [], [], 0
 
         def emit():
-            s, r = np.concatenate(sigs), np.concatenate(routes)
-            bucket = (s % U64(buckets)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            s, r = s[order], r[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            raw = [s[cuts[b] : cuts[b + 1]].tobytes() + r[cuts[b] : cuts[b + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for b in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw, pa.binary())], names=["bucket", "payload"])
+            ids, known, sizes, hashes = (np.concatenate(c) for c in zip(*rows))
+            payloads = [pack(np.concatenate(texts), np.concatenate(lengths).astype(np.uint32)), pack(ids, known, sizes, hashes)]
+            return pa.RecordBatch.from_arrays([pa.array([TEXTS, SETS], pa.int32()), pa.array([start + made] * 2, pa.int64()), pa.array(payloads, pa.binary())], names=["kind", "block", "payload"])
 
         for part, data, off in rows_and_texts(batches):
             h, at = shingle_sets(data, off, n)
-            route = set_hashes(h, at) >> U64(ROUTE_SHIFT)
-            first = np.zeros(len(route), bool)
-            first[np.unique(route, return_index=True)[1]] = True  # copies in one chunk are one set
-            who, sig = signatures(h, at, bands)
-            mine = first[who]
-            sigs.append(sig[mine])
-            routes.append(route[who[mine]])
-            held += int(mine.sum())
-            if held > 1_500_000:
+            ids = part.column(0)
+            rows.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(at).astype(np.uint32), set_hashes(h, at)))
+            texts.append(data)
+            lengths.append(np.diff(off))
+            held += len(data)
+            if held >= block_bytes:
                 yield emit()
-                sigs, routes, held = [], [], 0
-        if held:
+                made, texts, lengths, rows, held = made + 1, [], [], [], 0
+        if rows:
             yield emit()
 
-    return docs.select("text").mapInArrow(run, "bucket int, payload binary")
+    return store_bucketed(docs.select("doc_id", "text").mapInArrow(run, "kind int, block long, payload binary"), "sets", "block", parts, partition="kind")
+
+
+def document_sets(blocks: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_hash (null for an empty set) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            for payload in batch.column(0):
+                ids, known, sizes, hashes = unpack(payload.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes.astype(np.int64)), pa.array(to_signed(hashes), mask=sizes == 0)], names=["doc_id", "n_shingles", "set_hash"])
+
+    return blocks.where(f"kind = {SETS}").select("payload").mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
 
 
-def loose_links(rows: DataFrame, parts: int) -> DataFrame:
-    """a, b: each route that shares a signature with a smaller one, and the smallest of those; each pair once per task."""
+def key_ranks(questions: DataFrame, parts: int) -> DataFrame:
+    """block, bucket, payload: the rank of each key of each question, in its order."""
 
     def run(batches):
-        sigs, routes, at = [], [], None
+        at, blocks, asked = None, [], []
+
+        def emit():
+            keys = [np.cumsum(q[0], dtype=np.uint64) for q in asked]
+            _, where = np.unique(np.concatenate(keys), return_inverse=True)
+            ranks = rarity(np.bincount(where, np.concatenate([q[1] for q in asked])))[where]
+            cuts = np.cumsum([0, *map(len, keys)])
+            payloads = [pack(ranks[a:b]) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([at] * len(blocks), pa.int32()), pa.array(payloads, pa.binary())], names=["block", "bucket", "payload"])
+
+        for batch in batches:
+            for block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and blocks:
+                    yield emit()
+                    blocks, asked = [], []
+                at = bucket
+                blocks.append(block)
+                asked.append(unpack(payload))
+        if blocks:
+            yield emit()
+
+    return questions.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, payload binary")
+
+
+def loose_links(blocks: DataFrame, n: int, threshold: Fraction, parts: int) -> DataFrame:
+    """a, b: sets, by their hashes, that meet somewhere. Each place links all its sets with the smallest.
+
+    A block sends each distinct key once to the bucket of its range and gets the
+    rank of each back. It then links the sets of a place among themselves and
+    sends on the smallest only, so a place that very many sets share costs a row
+    per block.
+    """
+    bits = max(6, (2 * parts - 1).bit_length())
+    texts = blocks.where(f"kind = {TEXTS}").select("block", "payload")
+
+    def ask(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = list(BlockSets(payload.as_py(), n).questions(bits))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["block", "bucket", "payload"])
+
+    def meet(batches):
+        for batch in batches:
+            for payload, answers in zip(batch.column(0), batch.column(1)):
+                ranks = [unpack(x["payload"])[0] for x in answers.as_py() or []]
+                if not ranks:
+                    continue
+                place, route, links = stars(*BlockSets(payload.as_py(), n).meeting_places(np.concatenate(ranks), threshold))
+                bucket = (place >> U64(64 - bits)).astype(np.int64)  # ascending, as places are
+                used, cuts = np.unique(bucket, return_index=True)
+                cuts = np.append(cuts, len(bucket))
+                payloads = [pack(place[a:b], route[a:b], links[:0]) for a, b in zip(cuts, cuts[1:])]
+                if len(links):
+                    payloads[0] = pack(place[: cuts[1]], route[: cuts[1]], links.reshape(-1))
+                if payloads:
+                    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
+
+    def link(batches):
+        at, held = None, []
 
         def emit():
-            s, r = np.concatenate(sigs), np.concatenate(routes)
-            order = np.lexsort((r, s))
-            s, r = s[order], r[order]
-            lead = np.concatenate([[True], s[1:] != s[:-1]])
-            first = r[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            other = r != first
-            pairs = np.unique(np.stack([r[other], first[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
+            _, _, links = stars(np.concatenate([q[0] for q in held]), np.concatenate([q[1] for q in held]))
+            links = np.unique(np.concatenate([links, *(q[2].reshape(-1, 2) for q in held)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != at and sigs:
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != at and held:
                     yield emit()
-                    sigs, routes = [], []
+                    held = []
                 at = bucket
-                data = np.frombuffer(raw.as_buffer(), np.uint8)
-                k = len(data) // 14
-                sigs.append(data[: 8 * k].copy().view(np.uint64))
-                wide = np.zeros((k, 8), np.uint8)
-                wide[:, :6] = data[8 * k :].reshape(k, 6)
-                routes.append(wide.view(np.uint64).reshape(k))
-        if sigs:
+                held.append(unpack(payload.as_py()))
+        if held:
             yield emit()
 
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+    ranks = key_ranks(texts.mapInArrow(ask, "block long, bucket int, payload binary"), parts)
+    answers = ranks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("answers"))
+    places = texts.join(answers, "block", "left").select("payload", "answers").mapInArrow(meet, "bucket int, payload binary")
+    return places.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(link, "a long, b long")
 
 
 # ---------------------------------------------------------------- the tree
 
 
 class Forest:
-    """Disjoint classes."""
+    """Disjoint classes; the smaller of two takes the larger one's label."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.members = [[k] for k in range(n)]
 
     def join(self, a: int, b: int) -> bool:
         x, y = self.label[a], self.label[b]
         if x == y:
             return False
-        self.label[self.label == max(x, y)] = min(x, y)
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        self.label[self.members[y]] = x
+        self.members[x] += self.members[y]
+        self.members[y] = []
         return True
 
 
@@ -362,18 +431,6 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold
 # ---------------------------------------------------------------- the operator
 
 
-def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set)."""
-
-    def run(batches):
-        for part, data, off in rows_and_texts(batches):
-            h, at = shingle_sets(data, off, n)
-            sizes = np.diff(at)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(to_signed(set_hashes(h, at)), mask=sizes == 0)], names=["doc_id", "n_shingles", "set_hash"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
-
-
 def _cluster_rows(texts: DataFrame, n: int) -> DataFrame:
     """key columns and the set of each clustered text; texts: doc_id, text, set_hash, cluster, mine, n_blocks."""
 
@@ -426,7 +483,7 @@ def _links(rows: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4, doc_id: str = "doc_id", text: str = "text", block_shingles: int = 2_000_000, few_blocks: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4, doc_id: str = "doc_id", text: str = "text", block_shingles: int = 2_000_000, few_blocks: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Rows link when the Jaccard similarity of their sets of n-word shingles is at
@@ -442,10 +499,11 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     spark = ship_package(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = store(document_sets(plain, n), "sets").df
+    blocks = stored_blocks(plain, n, block_bytes, parts)
+    sets = store(document_sets(blocks), "sets").df
     distinct_sets = sets.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    loose = components(loose_links(routed(plain, n, threshold, min(65_535, max(64, 2 * parts))), parts))
-    members = distinct_sets.withColumn("node", F.shiftrightunsigned("set_hash", ROUTE_SHIFT)).join(loose, "node").select("set_hash", "rep", "n_shingles", F.col("component").alias("cluster"))
+    loose = components(loose_links(blocks, n, threshold, parts))
+    members = distinct_sets.join(loose, F.col("set_hash") == F.col("node")).select("set_hash", "rep", "n_shingles", F.col("component").alias("cluster"))
     members = store(members, "members").df
     total = F.sum("n_shingles")
     n_blocks = F.greatest(F.ceil(total / block_shingles), F.least(F.lit(few_blocks), F.ceil(total * few_blocks / block_shingles)))

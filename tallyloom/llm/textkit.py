@@ -57,10 +57,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off.astype(np.int64)
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(data: np.ndarray, off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets): whole texts, about `limit` bytes at a time."""
-    data, off = buffers(column)
-    lo, n = 0, len(column)
+    lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         hi = min(hi, n)
@@ -68,6 +67,11 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         lo = hi
 
 
+def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """runs() of a string or binary column."""
+    return runs(*buffers(column), limit)
+
+
 class Hasher:
     """Hashes of any spans of one run of bytes; equal spans have equal hashes."""
 

@@ -104,8 +104,8 @@ def test_near_copies_brute_force(spark):
     texts[k], texts[k + 1] = "", None
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = classes(texts)
-    for blocks in (2_000_000, 400):  # the second cuts clusters into many blocks
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_tree.jaccard_components(docs, block_shingles=blocks).collect()}
+    for blocks, size in ((2_000_000, 8 << 20), (400, 1 << 12)):  # the second cuts clusters, and the table, into many blocks
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_tree.jaccard_components(docs, block_shingles=blocks, block_bytes=size).collect()}
         assert got == want
 
 
@@ -130,23 +130,54 @@ def test_tree_finds_all_links():
         for a, b in signature_tree.tree_links(left, right, threshold):
             assert linked(left[a], (left if right is None else right)[b])
             found.join(a, b + (0 if right is None else len(left)))
-        assert (truth.label == found.label).all()
+        assert {frozenset(m) for m in truth.members} == {frozenset(m) for m in found.members}
 
 
-def test_equal_slices_meet():
-    """Any two sets that link share a signature."""
+def places(sets, threshold, ranks=None):
+    """(place, route) rows of sets of hashes, all in one block; every key is common unless ranks says otherwise."""
+    block = signature_tree.BlockSets.__new__(signature_tree.BlockSets)
+    block.sizes = np.array([len(x) for x in sets])
+    block.h, block.routes, block.owner = np.concatenate(sets), np.arange(len(sets)), np.repeat(np.arange(len(sets)), block.sizes)
+    block.keys, block.of_element, block.counts = np.unique(block.h >> np.uint64(16), return_inverse=True, return_counts=True)
+    return block.meeting_places(signature_tree.rarity(block.counts) if ranks is None else ranks(block.keys), threshold)
+
+
+def test_linked_sets_meet():
+    """Any two sets that link have a place in common, whatever the counts are."""
     rng = np.random.default_rng(3)
-    bands = signature_tree.Bands(Fraction(85, 100))
-    for _ in range(1500):
-        n = int(rng.integers(1, 220))
-        pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
-        x = np.unique(pool[:n])
-        cut = int(rng.integers(0, max(1, n // 10) + 1))
-        y = np.unique(np.concatenate([x[cut:], pool[n : n + int(rng.integers(0, max(1, n // 10) + 1))]]))
-        both = len(np.intersect1d(x, y))
-        if len(y) and 100 * both >= 85 * (len(x) + len(y) - both):
-            who, sig = signature_tree.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), bands)
-            assert len(np.intersect1d(sig[who == 0], sig[who == 1]))
+    for threshold in (Fraction(85, 100), Fraction(80, 100), Fraction(1, 2), Fraction(1)):
+        for _ in range(600):
+            n = int(rng.integers(1, 220))
+            pool = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            x = np.unique(pool[:n])
+            cut = int(rng.integers(0, max(1, n // 8) + 1))
+            y = np.unique(np.concatenate([x[cut:], pool[n : n + int(rng.integers(0, max(1, n // 8) + 1))]]))
+            both = len(np.intersect1d(x, y))
+            if len(y) and both >= threshold * (len(x) + len(y) - both):
+                counts = rng.integers(0, 4, 4096)
+                for ranks in (None, lambda keys: signature_tree.rarity(2 + counts[(keys % np.uint64(4096)).astype(np.int64)])):
+                    place, route = places([x, y], threshold, ranks)
+                    assert len(np.intersect1d(place[route == 0], place[route == 1]))
+
+
+def test_strangers_never_meet():
+    """Sets without a common element, and sets that are mostly their own, give no link: the number of meetings doesn't grow with the sets."""
+    rng = np.random.default_rng(4)
+    for n in (10_000, 1_000_000):
+        h = rng.integers(0, 1 << 63, n * 5).astype(np.uint64)
+        own = [np.unique(h[5 * k : 5 * k + 5]) for k in range(min(n, 100_000))] if n < 100_000 else np.split(h, n)
+        place, route = places(own, Fraction(80, 100), lambda keys: np.full(len(keys), 9, np.uint8))
+        assert len(signature_tree.stars(place, route)[2]) == 0
+    shared = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    mixed = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 60).astype(np.uint64)])) for _ in range(300)]
+    assert len(places(mixed, Fraction(80, 100))[0]) == 0
+
+
+def test_strangers_make_no_cluster(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(43))) for k in range(3000)], "doc_id long, text string")
+    blocks = signature_tree.stored_blocks(docs, 4, 1 << 18, 4)
+    assert signature_tree.loose_links(blocks, 4, Fraction(85, 100), 4).count() == 0
 
 
 def test_odd_rows_of_the_join(spark, odd_docs, no_docs):
