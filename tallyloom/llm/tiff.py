@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,15 @@ from tallyloom.session import ship_package
 
 #: Fixed values of the format: tag numbers, field sizes by type, compression codes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 266, 284, 317, 322, 323, 324, 325, 339
 FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
+#: Most bytes that one stored byte can stand for: a run of 128 in two, the longest LZW entry in 12 bits, deflate's longest match in two bits.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2560, DEFLATE: 1032, DEFLATE_OLD: 1032}
+READ = frozenset((WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT))
+#: Largest page that is decoded, in bytes of samples.
+PAGE_BYTES = 1 << 28
 
 
 class BadTiff(ValueError):
@@ -176,7 +182,7 @@ def decompress(raw: bytes, code: int, size: int) -> bytes:
         return lzw_decode(raw, size)
     if code in (DEFLATE, DEFLATE_OLD):
         try:
-            return zlib.decompress(raw)
+            return zlib.decompressobj().decompress(raw, size)
         except zlib.error as e:
             raise BadTiff(f"deflate: {e}") from None
     raise BadTiff(f"compression {code}")
@@ -213,7 +219,11 @@ def undo_predictor(block: np.ndarray, predictor: int, byte_order: str) -> np.nda
 
 
 def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """(byte order, tags) of each image directory, in file order; a loop in the chain ends it."""
+    """(byte order, tags) of each image directory, in file order; a loop in the chain ends it.
+
+    Only the tags that decoding needs are read. A directory whose values take more
+    room than the file has is no directory.
+    """
     if len(raw) < 8 or raw[:2] not in (b"II", b"MM"):
         raise BadTiff("no TIFF header")
     order = "<" if raw[:2] == b"II" else ">"
@@ -230,71 +240,115 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             seen.add(at)
             n = struct.unpack_from(order + count_type, raw, at)[0]
             at += struct.calcsize(count_type)
-            tags = {}
+            if n * step > len(raw):
+                raise BadTiff("a directory beyond the end of the file")
+            tags, taken = {}, 0
             for k in range(n):
                 tag, kind, count = struct.unpack_from(order + entry, raw, at + k * step)
                 field = FIELD.get(kind)
-                if field is None:
+                if field is None or tag not in READ:
                     continue
-                where = at + k * step + step - inline
-                if struct.calcsize("=" + field) * count > inline:
+                where, size = at + k * step + step - inline, struct.calcsize("=" + field) * count
+                taken += size
+                if taken > len(raw):
+                    raise BadTiff("a directory with more values than the file holds")
+                if size > inline:
                     where = struct.unpack_from(order + offset_type, raw, where)[0]
                 tags[tag] = struct.unpack_from(f"{order}{count}{field}", raw, where)
             yield order, tags
             at = struct.unpack_from(order + offset_type, raw, at + n * step)[0]
-    except struct.error as e:
+    except (struct.error, OverflowError) as e:
         raise BadTiff(str(e)) from None
 
 
-def read_page(raw: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
-    """Samples (rows, columns, samples per pixel) of one directory."""
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    try:
-        columns, rows = tags[WIDTH][0], tags[LENGTH][0]
-    except KeyError:
-        raise BadTiff("a page without its size") from None
-    samples, bits, code = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE)
-    predictor, planar, form = one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
-    if bits not in (8, 16, 32, 64) or form not in (1, 2, 3):
-        raise BadTiff(f"{bits} bits, format {form}")
-    dtype = np.dtype(f"{order}{'uif'[form - 1]}{bits // 8}")
+def whole(tags: dict[int, tuple], tag: int, default: int | None = None) -> int:
+    """The first value of a tag, a number that is not negative; its default where it has none."""
+    value = (tags.get(tag) or (default,))[0]
+    if not isinstance(value, int) or value < 0:
+        raise BadTiff(f"tag {tag}: {'missing' if value is None else 'no whole number'}")
+    return value
+
+
+def unpack_bits(part: bytes, rows: int, values: int, bits: int) -> np.ndarray:
+    """(rows, values) samples of 1, 2 or 4 bits, highest bits first; each row begins at a byte."""
+    wide = -(-values * bits // 8)
+    flags = np.unpackbits(np.frombuffer(part, np.uint8, rows * wide).reshape(rows, wide), axis=1)[:, : values * bits]
+    weights = (1 << np.arange(bits)[::-1]).astype(np.uint8)
+    return (flags.reshape(rows, values, bits) * weights).sum(axis=2, dtype=np.uint8)
+
+
+def read_page(raw: bytes, order: str, tags: dict[int, tuple], page_bytes: int = PAGE_BYTES) -> np.ndarray:
+    """Samples (rows, columns, samples per pixel) of one directory.
+
+    Samples have 1, 2, 4 (as 8), 8, 16, 32 or 64 bits. Nothing is allocated before the
+    sizes are known to fit what the file holds and `page_bytes`.
+    """
+    columns, rows = whole(tags, WIDTH), whole(tags, LENGTH)
+    samples, bits, code = whole(tags, SAMPLES, 1), whole(tags, BITS, 1), whole(tags, COMPRESSION, NONE)
+    predictor, planar, form = whole(tags, PREDICTOR, 1), whole(tags, PLANAR, 1), whole(tags, SAMPLE_FORMAT, 1)
+    if not (columns and rows and samples):
+        raise BadTiff("a page without samples")
+    small = bits in (1, 2, 4)
+    if not small and bits not in (8, 16, 32, 64) or form not in (1, 2, 3) or form == 3 and bits < 16 or small and (form != 1 or predictor != 1) or any(b != bits for b in tags.get(BITS, ())):
+        raise BadTiff(f"{bits} bits, format {form}, predictor {predictor}")
+    if whole(tags, FILL_ORDER, 1) != 1 or code not in EXPANSION:
+        raise BadTiff(f"compression {code}, fill order {whole(tags, FILL_ORDER, 1)}")
+    dtype = np.dtype(np.uint8) if small else np.dtype(f"{order}{'uif'[form - 1]}{bits // 8}")
     tiled = TILE_OFFSETS in tags
     offsets, counts = (tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ()))
-    if len(offsets) != len(counts):
-        raise BadTiff("offsets and byte counts differ in number")
-    high = one(TILE_LENGTH, rows) if tiled else min(one(ROWS_PER_STRIP, rows), rows)
-    wide = one(TILE_WIDTH, columns) if tiled else columns
+    if len(offsets) != len(counts) or not all(isinstance(x, int) and 0 <= x <= len(raw) for x in (*offsets, *counts)):
+        raise BadTiff("offsets and byte counts of strips or tiles that don't fit")
+    high = whole(tags, TILE_LENGTH, rows) if tiled else min(whole(tags, ROWS_PER_STRIP, rows), rows)
+    wide = whole(tags, TILE_WIDTH, columns) if tiled else columns
     if not high or not wide:
         raise BadTiff("an empty strip or tile")
     across, down = -(-columns // wide), -(-rows // high)
     planes = samples if planar == 2 else 1
     each = 1 if planar == 2 else samples
-    if len(offsets) < across * down * planes:
+    cells = across * down * planes
+    if len(offsets) < cells:
         raise BadTiff("too few strips or tiles")
+    row_bytes = -(-wide * each * bits // 8)
+    least = row_bytes * across * planes * (high * down if tiled else rows)
+    if least > EXPANSION[code] * sum(counts[:cells]):
+        raise BadTiff("a page larger than its strips or tiles can hold")
+    if max(rows * columns * samples, high * wide * each) * dtype.itemsize > page_bytes:
+        raise BadTiff(f"a page of more than {page_bytes} bytes")
     out = np.zeros((rows, columns, samples), dtype.newbyteorder("="))
-    for k in range(across * down * planes):
+    for k in range(cells):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * high, cell % across * wide
         r = high if tiled else min(high, rows - y)
-        size = r * wide * each * dtype.itemsize
-        part = decompress(raw[offsets[k] : offsets[k] + counts[k]], code, size)
-        if len(part) < size:
+        part = decompress(raw[offsets[k] : offsets[k] + counts[k]], code, r * row_bytes)
+        if len(part) < r * row_bytes:
             raise BadTiff("a strip or tile is too short")
-        block = np.frombuffer(part, dtype, r * wide * each).reshape(r, wide, each)
+        block = (unpack_bits(part, r, wide * each, bits) if small else np.frombuffer(part, dtype, r * wide * each)).reshape(r, wide, each)
         block = undo_predictor(block, predictor, order)
         target = out[y : y + high, x : x + wide, plane : plane + 1] if planar == 2 else out[y : y + high, x : x + wide]
         target[:] = block[: target.shape[0], : target.shape[1]]
     return out
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: tuple[int, int] | None = None, rows_per_strip: int = 128, order: str = "<") -> bytes:
-    """Grey or multi-sample pages of unsigned integers as one file; tile: (rows, columns), multiples of 16."""
+@dataclass(frozen=True)
+class Layout:
+    """How a page is stored; tile: (rows, columns), multiples of 16, or None for strips."""
+
+    compression: int = DEFLATE
+    predictor: int = 1
+    tile: tuple[int, int] | None = None
+    rows_per_strip: int = 128
+
+
+def write_tiff(pages: list[np.ndarray], layouts: Sequence[Layout] = (Layout(),), order: str = "<") -> bytes:
+    """Grey or multi-sample pages of unsigned integers as one file; the layouts take turns."""
     out = bytearray(b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0)
     link = 4
-    for page in pages:
+    for number, page in enumerate(pages):
         page = page[:, :, None] if page.ndim == 2 else page
         rows, columns, samples = page.shape
-        high, wide = tile or (rows_per_strip, columns)
+        layout = layouts[number % len(layouts)]
+        compression, predictor, tile = layout.compression, layout.predictor, layout.tile
+        high, wide = tile or (layout.rows_per_strip, columns)
         offsets, counts = [], []
         for y in range(0, rows, high):
             for x in range(0, columns, wide):
@@ -330,28 +384,32 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 PAGE_SCHEMA = "page int, n_rows int, n_columns int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, mean double, error string"
 
 
-def page_rows(raw: bytes | None) -> Iterator[dict]:
+def page_rows(raw: bytes | None, page_bytes: int = PAGE_BYTES) -> Iterator[dict]:
     """A dict of PAGE_SCHEMA for each page; a file or page that can't be read gives one row with its error."""
     k = 0
     try:
         for order, tags in directories(raw or b""):
-            base = {"page": k, "tiled": TILE_OFFSETS in tags, "compression": tags.get(COMPRESSION, (NONE,))[0], "predictor": tags.get(PREDICTOR, (1,))[0]}
+            base = {"page": k, "tiled": TILE_OFFSETS in tags}
             try:
-                pixels = read_page(raw, order, tags)
+                base |= {"compression": min(whole(tags, COMPRESSION, NONE), (1 << 31) - 1), "predictor": min(whole(tags, PREDICTOR, 1), (1 << 31) - 1)}
+                pixels = read_page(raw, order, tags, page_bytes)
                 yield base | {"n_rows": pixels.shape[0], "n_columns": pixels.shape[1], "samples": pixels.shape[2], "bits": pixels.dtype.itemsize * 8, "pixels": pixels.tobytes(), "mean": float(pixels.mean()) if pixels.size else 0.0, "error": None}
-            except (BadTiff, ValueError) as e:
-                yield base | {"error": str(e)}
+            except (ValueError, IndexError, TypeError, OverflowError, MemoryError, struct.error) as e:  # BadTiff is a ValueError
+                yield base | {"error": str(e) or type(e).__name__}
             k += 1
     except BadTiff as e:
         yield {"page": k, "error": str(e)}
 
 
-def tiff_pages(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def tiff_pages(files: DataFrame, key: str = "path", content: str = "content", page_bytes: int = PAGE_BYTES) -> DataFrame:
     """One row per page of each TIFF file: key and PAGE_SCHEMA.
 
-    Null or damaged content gives one row with `error` set and null samples;
-    a file without pages gives none. Other columns are dropped, so names can't
-    clash. No shuffle: each file is decoded where it is read.
+    Null, empty or damaged content gives one row with `error` set and null
+    samples, and so does each page that can't be decoded or whose samples would
+    take more than `page_bytes`; pages before it are kept. A file without pages
+    gives no row, an empty table an empty one; repeated rows and keys, null ones
+    too, are decoded alike. Other columns are dropped, so names can't clash. No
+    shuffle: each file is decoded where it is read.
     """
     ship_package(files.sparkSession)
     kind = dict(files.dtypes)[key]
@@ -360,8 +418,7 @@ def tiff_pages(files: DataFrame, key: str = "path", content: str = "content") ->
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = list(page_rows(batch.column(1)[k].as_py()))
-                if rows:
+                for rows in ([row] for row in page_rows(batch.column(1)[k].as_py(), page_bytes)):
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), batch.schema.field(0).type)] + [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types)], names=["key", *names])
 
     types = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.float64(), pa.string()]
@@ -369,31 +426,32 @@ def tiff_pages(files: DataFrame, key: str = "path", content: str = "content") ->
     return out.withColumnRenamed("key", key)
 
 
-#: Production layout of stored payloads: 64 samples a row, pages of up to 4096 rows.
+#: Production layout of stored payloads: 64 samples a row; pages of up to 4096 rows take turns with the layouts.
 COLUMNS, PAGE_ROWS = 64, 4096
+LAYOUTS = (Layout(PACKBITS), Layout(LZW, 2, (16, 32)), Layout(DEFLATE, 2))
 
 
-def store_payload(payload: bytes) -> bytes:
+def store_payload(payload: bytes, layouts: Sequence[Layout] = LAYOUTS) -> bytes:
     """A payload of a positive multiple of 64 bytes as 8-bit grey pages.
 
-    Codec, strips or tiles and the predictor follow from the number of rows, so
-    all decoders are in use and equal payloads are stored alike.
+    The rows are cut into pages of about equal height, at least as many as there are
+    layouts, so every payload of three rows or more is stored in all of them.
     """
     grey = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
-    n = len(grey)
-    pages = [grey[k : k + PAGE_ROWS] for k in range(0, n, PAGE_ROWS)]
-    return write_tiff(pages, (DEFLATE, PACKBITS, LZW)[n % 3], 2 if n // 3 % 4 == 3 else 1, (64, 64) if n // 12 % 2 else None)
+    pages = min(len(grey), max(len(layouts), -(-len(grey) // PAGE_ROWS)))
+    return write_tiff(np.array_split(grey, pages), layouts)
 
 
 FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long"
 
 
-def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """Every text as a stored TIFF, read back page by page (FEATURE_SCHEMA).
 
-    Null and empty texts are 64 zero bytes. `feature` is pages:rows:mean in
-    thousandths:XOR of the rows' checksums, from the samples that were read back.
-    Repeated rows give equal values; extra columns are ignored. No shuffle.
+    Null and empty texts are 64 zero bytes; a text of any length is one file. `feature`
+    is pages:rows:mean in thousandths:XOR of the samples as 64-bit numbers, from what
+    was read back. Repeated rows give equal values, a null id stays null, extra
+    columns are ignored, an empty table gives an empty one. No shuffle.
     """
     ship_package(docs.sparkSession)
 
@@ -403,7 +461,7 @@ def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             rows = []
             for k in range(batch.num_rows):
                 raw = data[off[k] : off[k + 1]].tobytes()
-                media = store_payload(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
+                media = store_payload(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"), layouts)
                 pages = list(page_rows(media))
                 if any(p["error"] for p in pages):
                     raise BadTiff(next(p["error"] for p in pages if p["error"]))

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -22,7 +24,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def test_pages_round_trip(code, predictor, tile, order):
     rng = np.random.default_rng(5)
     pages = [rng.integers(0, 50, (75, 97, 3), dtype=np.uint16), rng.integers(0, 9, (130, 64), dtype=np.uint8), np.zeros((1, 1), np.uint8)]
-    raw = tiff.write_tiff(pages, code, predictor, tile, order=order, rows_per_strip=32)
+    raw = tiff.write_tiff(pages, [tiff.Layout(code, predictor, tile, 32)], order)
     back = [tiff.read_page(raw, *d) for d in tiff.directories(raw)]
     assert len(back) == 3 and all((b.reshape(p.shape) == p).all() for b, p in zip(back, pages))
 
@@ -54,6 +56,78 @@ def test_damaged_files(spark):
     assert tiff.tiff_pages(files.limit(0)).count() == 0
 
 
+def hand_made(tags, body=b"", order="<"):
+    """A file of one directory with (tag, type, values or (count, raw value))."""
+    at = 8 + len(body)
+    out = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + body + struct.pack(order + "H", len(tags))
+    for tag, kind, count, value in tags:
+        out += struct.pack(order + "HHI", tag, kind, count) + value.ljust(4, b"\0")
+    return out + struct.pack(order + "I", 0)
+
+
+def long(n):
+    return struct.pack("<I", n)
+
+
+def test_impossible_pages_give_error_rows():
+    """Sizes that no file could hold, tags without or with odd values: a row with an error, little memory."""
+    strip = [(tiff.STRIP_OFFSETS, 4, 1, long(8)), (tiff.STRIP_COUNTS, 4, 1, long(16)), (tiff.BITS, 3, 1, long(8))]
+    size = lambda w, h: [(tiff.WIDTH, 4, 1, long(w)), (tiff.LENGTH, 4, 1, long(h))]
+    bad = [
+        size(1 << 20, 1 << 20) + strip, size(1 << 31, 1 << 31) + strip, size(1 << 20, 1 << 20) + strip + [(tiff.COMPRESSION, 3, 1, long(tiff.DEFLATE))], size(0, 4) + strip,
+        [(tiff.WIDTH, 4, 0, b""), (tiff.LENGTH, 4, 1, long(4))] + strip, [(tiff.WIDTH, 2, 1, b"x"), (tiff.LENGTH, 4, 1, long(4))] + strip, [(tiff.WIDTH, 11, 1, struct.pack("<f", 4.0)), (tiff.LENGTH, 4, 1, long(4))] + strip,
+        size(4, 4) + strip[:2] + [(tiff.BITS, 3, 1, long(7))], size(4, 4) + strip + [(tiff.SAMPLES, 3, 1, long(0))], size(4, 4) + strip + [(tiff.COMPRESSION, 3, 1, long(4))], size(4, 4) + strip + [(tiff.ROWS_PER_STRIP, 4, 1, long(0))],
+        size(4, 4) + [(tiff.STRIP_OFFSETS, 9, 1, struct.pack("<i", -4)), *strip[1:]], size(4, 4) + [(tiff.STRIP_OFFSETS, 4, 1, long(1 << 31)), *strip[1:]], size(4, 4) + [(tiff.STRIP_OFFSETS, 4, 1 << 30, long(8)), *strip[1:]],
+    ]
+    tracemalloc.start()
+    for tags in bad:
+        rows = list(tiff.page_rows(hand_made(tags, b"\0" * 16)))
+        assert len(rows) == 1 and rows[0]["error"] and rows[0].get("pixels") is None
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert [r["error"] for r in tiff.page_rows(hand_made(size(4, 4) + strip, bytes(16)))] == [None]
+    bomb = tiff.write_tiff([np.zeros((3000, 3000), np.uint8)])
+    assert [bool(r["error"]) for r in tiff.page_rows(bomb, 1 << 20)] == [True] and [r["error"] for r in tiff.page_rows(bomb)] == [None]
+    # BitsPerSample of no value means 1 bit.
+    assert list(tiff.page_rows(hand_made(size(8, 8) + strip[:2] + [(tiff.BITS, 3, 0, b"")], bytes(16))))[0]["n_columns"] == 8
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_damaged_bytes_never_raise(order):
+    rng = np.random.default_rng(8)
+    good = np.frombuffer(tiff.write_tiff([rng.integers(0, 9, (40, 64), dtype=np.uint8)] * 3, tiff.LAYOUTS, order), np.uint8)
+    for k in range(1500):
+        raw = good.copy()
+        at = rng.integers(0, len(raw), rng.integers(1, 6)) if k % 2 else len(raw) - 1 - rng.integers(0, 200, 4)
+        raw[at] = rng.integers(0, 256, len(at))
+        rows = list(tiff.page_rows(raw[: rng.integers(1, len(raw)) if k % 7 == 0 else None].tobytes()))
+        assert all((r["error"] is None) == (r.get("pixels") is not None) for r in rows)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("code", [tiff.NONE, tiff.PACKBITS])
+def test_small_samples(bits, code):
+    rng = np.random.default_rng(bits)
+    page = rng.integers(0, 1 << bits, (5, 13), dtype=np.uint8)
+    packed = b"".join(int("".join(f"{v:0{bits}b}" for v in row).ljust(-(-13 * bits // 8) * 8, "0"), 2).to_bytes(-(-13 * bits // 8), "big") for row in page)
+    body = tiff.compress(packed, code)
+    tags = [(tiff.WIDTH, 4, 1, long(13)), (tiff.LENGTH, 4, 1, long(5)), (tiff.BITS, 3, 1, long(bits)), (tiff.COMPRESSION, 3, 1, long(code)), (tiff.STRIP_OFFSETS, 4, 1, long(8)), (tiff.STRIP_COUNTS, 4, 1, long(len(body)))]
+    row = list(tiff.page_rows(hand_made(tags, body)))[0]
+    assert row["error"] is None and row["pixels"] == page.tobytes()
+
+
+def test_payloads_meet_every_layout():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 10, 100, 13_000):
+        payload = rng.integers(97, 105, 64 * n, dtype=np.uint8).tobytes()
+        rows = list(tiff.page_rows(tiff.store_payload(payload)))
+        assert b"".join(r["pixels"] for r in rows) == payload
+        assert n < 3 or {(r["compression"], r["predictor"], r["tiled"]) for r in rows} == {(tiff.PACKBITS, 1, False), (tiff.LZW, 2, True), (tiff.DEFLATE, 2, False)}
+        for layout in (tiff.Layout(c, p, t) for c in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE) for p in (1, 2) for t in (None, (16, 16))):
+            if n <= 100:
+                assert b"".join(r["pixels"] for r in tiff.page_rows(tiff.store_payload(payload, [layout]))) == payload
+
+
 def test_op1(spark, odd_docs, no_docs):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd_docs):
         texts = {}
