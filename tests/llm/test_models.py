@@ -97,16 +97,10 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs, labels):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
-def texts_to_features(texts, bits=16):
-    import pyarrow as pa
-
-    owners, ids, values = [], [], []
-    for lo, _, data, off in textkit.text_chunks(pa.array(texts)):
-        o, i, v = toxicity.feature_values(*toxicity.feature_hashes(data, off, bits), bits)
-        owners.append(o + lo)
-        ids.append(i)
-        values.append(v)
-    return np.concatenate(owners), np.concatenate(ids), np.concatenate(values)
+def sample_of(texts, labels, features):
+    raw = [t.encode() for t in texts]
+    pairs = features.pairs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return toxicity.Sample(*features.of_texts(raw), np.array(labels), *features.changes(pairs), len(pairs))
 
 
 def test_counterfactual_penalty():
@@ -124,13 +118,86 @@ def test_counterfactual_penalty():
     raw = "".join(data).encode()
     off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in data])])
     score = {}
+    features = toxicity.Features(16)
     for fairness in (0.0, 5.0):
-        m = toxicity.fit_toxicity(*texts_to_features(texts), np.array(y), bits=16, fairness=fairness)
+        m = toxicity.fit_toxicity(sample_of(texts, y, features), features, fairness=fairness)
         score[fairness] = m.score(np.frombuffer(raw, np.uint8), off)
     plain, fair = score[0.0], score[5.0]
     assert abs(fair[0] - fair[1]) < 0.1 * abs(plain[0] - plain[1]) and fair[0] < 0.5 < fair[2] and plain[0] > fair[0]
 
 
+def test_counterfactual_pairs():
+    """Every term is swapped within its group; a text without terms gets a mention, which is then swapped."""
+    features = toxicity.Features(12, [("old", "young"), ("muslim", "hindu", "jewish")])
+    texts = ["Old and old, a Muslim", "no term here", "", "jewish"]
+    raw = [t.encode() for t in texts]
+    pairs = features.pairs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [k for k, _, _ in pairs] == [0, 1, 1, 2, 2, 3]
+    words = [[re.findall(r"[a-z]+", t.decode().lower()) for t in p[1:]] for p in pairs]
+    assert words[0][1][:4] == ["young", "and", "young", "a"] and words[0][1][4] in ("hindu", "jewish")
+    for k in (1, 3):
+        plain, named, swapped = words[k][0], words[k][1], words[k + 1][1]
+        assert words[k + 1][0] == named and len(named) == len(plain) + 1 == len(swapped)
+        (a,), (b,) = (list((Counter(x) - Counter(plain)).elements()) for x in (named, swapped))
+        assert a != b and any({a, b} <= set(g) for g in (("old", "young"), ("muslim", "hindu", "jewish")))
+    assert words[5][1][0] in ("muslim", "hindu")
+    # Counts are in the change: "old" twice and "young" twice, and the beginnings of both.
+    pair, ids, change = features.changes(pairs)
+    found = dict(zip(ids[pair == 0].tolist(), change[pair == 0].tolist()))
+    assert math.isclose(found[4096], -math.log2(3)) and math.isclose(found[4097], math.log2(3)) and len(found) > 4
+
+
+def test_objective_by_brute_force():
+    """Loss by sums over words and pairs, gradient by differences."""
+    rng = random.Random(4)
+    features = toxicity.Features(6, [("old", "young"), ("muslim", "hindu", "jewish")])
+    texts = [" ".join(rng.choices(["old", "muslim", "w1", "w2", "wider", "mustang", "hint"], k=rng.randrange(7))) for _ in range(40)]
+    labels = [rng.randrange(2) for _ in texts]
+    s = sample_of(texts, labels, features)
+    loss = toxicity.objective(s, 0.01, 0.7, features.size)
+    x = np.random.default_rng(1).normal(size=features.size + 1)
+
+    def logit(raw):
+        _, ids, values = features.of_texts([raw])
+        return sum(x[i] * v for i, v in zip(ids, values)) + x[-1]
+
+    z = [logit(t.encode()) for t in texts]
+    raw = [t.encode() for t in texts]
+    pairs = features.pairs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = sum(math.log1p(math.exp(v)) - y * v for v, y in zip(z, labels)) / len(z) + 0.005 * float(x[:-1] @ x[:-1]) + 0.7 * sum((logit(b) - logit(a)) ** 2 for _, a, b in pairs) / len(pairs)
+    value, grad = loss(x)
+    assert math.isclose(value, want, rel_tol=1e-9)
+    for k in range(len(x)):
+        e = np.zeros(len(x))
+        e[k] = 1e-5
+        assert abs((loss(x + e)[0] - loss(x - e)[0]) / 2e-5 - grad[k]) < 1e-6
+
+
+def test_the_query_is_fitted_to_pairs(spark):
+    """On the query's own tables: two pairs a text, the penalty changes the fit, and a neutral mention leaves the score where it was."""
+    docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))
+    models = {f: toxicity.fit_on_labels(docs, labels, fairness=f) for f in (0.0, 1.0)}
+    learned = docs.join(labels, "doc_id").where("text is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0").select("text").collect()
+    n = len(learned)
+    assert n <= models[1.0].pairs <= 2 * n
+    assert np.abs(models[0.0].weights - models[1.0].weights).max() > 1e-3
+    shift = {}
+    for f, m in models.items():
+        plain = [r.text.encode() for r in learned[:200]]
+        logits = lambda raw: m.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))  # noqa: B023, E731
+        shift[f] = max(float(np.abs(logits([t + b" " + term for t in plain]) - logits(plain)).mean()) for term in m.features.terms)
+    assert shift[1.0] < 0.1 * shift[0.0]
+
+
+def test_toxicity_bound_and_repeated_ids(spark):
+    """More labelled ids than the bound, ids labelled twice, ids with two texts: always the same model."""
+    rows = [(k, f"w{k % 7} x{k % 3}") for k in range(300)]
+    docs = spark.createDataFrame([*rows, *[(k, "zz other") for k in range(50)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)] + [(k, 0) for k in range(100)], "doc_id long, toxic int")
+    got = [toxicity.fit_on_labels(docs.repartition(p), labels.repartition(p), most_rows=40, bits=8) for p in (1, 5)]
+    assert (np.abs(got[0].weights - got[1].weights) < 1e-9).all() and got[0].pairs == got[1].pairs == 80
+
+
 def test_ordinal_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 6)).astype(np.float32)
