@@ -126,11 +126,16 @@ def graded(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def fit_on_labels(docs: DataFrame, ratings: DataFrame, n_grades: int, doc_id: str = "doc_id", text: str = "text", most_rows: int = 8_000, **fit) -> OrdinalModel:
-    """Fit on the first `most_rows` rated ids in hash order, a bounded sample; ratings: doc_id, grade."""
+    """Fit on the first `most_rows` rated ids in hash order, a bounded sample; ratings: doc_id, grade.
+
+    An id that is rated twice counts once, by its greatest grade; one that has
+    several texts gives its smallest. Null ids, grades and texts are left out.
+    """
     ship_package(docs.sparkSession)
     chosen = ratings.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where(f"doc_id is not null and grade between 0 and {n_grades - 1}")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most_rows).groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("grade", "text").limit(2 * most_rows)
+    chosen = chosen.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def run(batches):
         for part, data, off in rows_and_texts(batches):
@@ -155,8 +160,10 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, doc_
     """doc_id, score, expected_grade, tail_probability, kept of every text.
 
     tail_probability is P(grade >= select_from); kept where it is `least` or
-    more. Null and empty texts are scored as texts without words; repeated rows
-    are scored alike; extra columns of either table are ignored.
+    more. Every whole text is read, of any length. Null and empty texts are scored
+    as texts without words; repeated rows are scored alike; a null id stays null;
+    extra columns of either table are ignored; an empty table gives an empty one.
+    Without ratings every grade is equally likely.
     """
     model = fit_on_labels(docs, ratings, n_grades, doc_id, text, **fit)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -172,7 +179,12 @@ def ordinal_quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, doc_
 
 
 def keep_quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, text: str = "text", select_from: int = 1, least: float = 0.5, **fit) -> DataFrame:
-    """The rows of docs that ordinal_quality keeps, all their columns, without a shuffle."""
+    """The rows of docs that ordinal_quality keeps, all their columns, without a shuffle.
+
+    Null and empty texts are judged as texts without words, repeated rows alike, a
+    row without an id like any other; an empty table gives an empty one, of the same
+    columns. Nothing is added to the rows, so no column name can clash.
+    """
     model = fit_on_labels(docs, ratings, n_grades, text=text, **fit)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
