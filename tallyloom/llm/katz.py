@@ -1,14 +1,14 @@
-"""LM scoring: a Katz back-off bigram model over all training texts.
+"""LM scoring: a Katz back-off n-gram model over all training texts.
 
 Counting and scoring share one layout. Texts are dealt into blocks; a block knows
 its words by number, and asks buckets of a hash for what is global: first the
-training counts of its words, then those of its bigrams, each distinct one once.
-A bucket of the bigram table holds whole histories, so it also knows what a history's
-back-off weight needs: how many of its successors were seen 1 to K times, and the
-summed unigram probability of those seen. Histories with a large share of all
-tokens are split over several buckets by successor, and their parts are added up.
-The two tables of answers are stored by bucket; nothing but counts of counts,
-a few numbers per bucket, reaches the driver.
+training counts of its words, then those of its bigrams, and so on up to the order,
+each distinct one once. A bucket of an n-gram table holds whole histories, so it also
+knows what a history's back-off weight needs: how many of its successors were seen
+1 to K times, and the summed lower-order probability of those seen. Histories with a
+large share of all tokens are split over several buckets by successor, and their
+parts are added up. The tables of answers are stored by bucket; nothing but counts
+of counts, a few numbers per bucket, reaches the driver.
 """
 
 from __future__ import annotations
@@ -88,16 +88,16 @@ def history_terms(history: np.ndarray, seen_by_count: np.ndarray, seen_mass: np.
     return whole, left / whole / np.maximum(1 - seen_mass, 1e-15)
 
 
-def bigram_log10(count: np.ndarray, history: np.ndarray, whole: np.ndarray, weight: np.ndarray, unigram: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    """log10 P(word | history) of rows of the bigram's count, its history's count and terms, and P(word).
+def backed_off(count: np.ndarray, history: np.ndarray, whole: np.ndarray, weight: np.ndarray, lower: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """P(word | history) of rows of the n-gram's count, its history's count and terms, and P(word | shorter history).
 
-    A seen bigram has its discounted share; an unseen one backs off to the unigram;
-    an unseen history backs off with weight 1. So the probabilities of all words and
-    of the unknown class add up to 1 for any history.
+    A seen n-gram has its discounted share; an unseen one backs off to the shorter
+    history; an unseen history backs off with weight 1. So the probabilities of all words
+    and of the unknown class add up to 1 for any history.
     """
     d = factor[np.minimum(count, K)]
     d[count > K] = 1.0
-    return np.log10(np.where(history <= 0, unigram, np.where(count > 0, d * count / whole, weight * unigram)))
+    return np.where(history <= 0, lower, np.where(count > 0, d * count / whole, weight * lower))
 
 
 # ---------------------------------------------------------------- blocks
@@ -127,58 +127,115 @@ class Block:
         return counts
 
 
-class Bigrams:
-    """A block's distinct bigrams and the questions about them; the same each time it is made."""
+@dataclass
+class Level:
+    """A block's distinct n-grams of one length: hashes, training counts, P(last word | words before); of_token: the one that ends at each token, or -1."""
+
+    names: np.ndarray
+    counts: np.ndarray
+    chance: np.ndarray
+    of_token: np.ndarray
+
+
+def word_level(block: Block, counts: np.ndarray, unigrams: Unigrams) -> Level:
+    return Level(block.words, counts, unigrams.probability(counts), block.flat)
+
+
+class Grams:
+    """A block's distinct n-grams that are one word longer than `below`'s, and the questions about them; the same each time it is made.
 
-    def __init__(self, block: Block, counts: np.ndarray, total: int, buckets: int):
-        words = block.words
-        n = len(words)
+    The history of an n-gram is the one of `below` that ends a token earlier. START is
+    before the first word of a text, and no history reaches further back.
+    """
+
+    def __init__(self, block: Block, below: Level, total: int, buckets: int):
+        n, m = len(block.words), len(below.names)
         cur = block.flat
-        prev = np.empty(len(cur), np.int32)
-        prev[1:] = cur[:-1]
+        history = np.full(len(cur), -1, np.int32)
+        history[1:] = below.of_token[:-1]
         ends = np.cumsum(block.sizes, dtype=np.int64)
-        prev[(ends - block.sizes)[block.sizes > 0]] = np.searchsorted(words, START)
-        keys, self.of_token = np.unique(prev * np.int64(n) + cur, return_inverse=True)
+        history[(ends - block.sizes)[block.sizes > 0]] = np.searchsorted(block.words, START) if below.names is block.words else -1
         trains = block.trains()
-        self.of_token = self.of_token.astype(np.int32)
-        self.prev = (keys // n).astype(np.int32)
-        self.cur = (keys - self.prev * np.int64(n)).astype(np.int32)
+        some = history >= 0
+        if some.all():
+            keys, self.of_token = np.unique(history * np.int64(n) + cur, return_inverse=True)
+            self.of_token = self.of_token.astype(np.int32)
+        else:
+            keys, numbers = np.unique(history[some] * np.int64(n) + cur[some], return_inverse=True)
+            self.of_token = np.full(len(cur), -1, np.int32)
+            self.of_token[some] = numbers
+        self.history = (keys // n).astype(np.int32)
+        self.last = (keys - self.history * np.int64(n)).astype(np.int32)
         del keys
-        self.trained = np.bincount(self.of_token[trains], minlength=len(self.prev))
-        self.needs = np.bincount(prev[~trains], minlength=n) > 0
-        # A bigram with an unseen word was not seen either: no question.
-        self.asked = np.flatnonzero((counts[self.prev] > 0) & (counts[self.cur] > 0))
-        h, w = self.prev[self.asked], self.cur[self.asked]
+        self.suffix = self.last
+        if below.names is not block.words:
+            self.suffix = np.empty(len(self.last), np.int32)
+            self.suffix[self.of_token[some]] = below.of_token[some]
+        self.trained = np.bincount(self.of_token[trains & some], minlength=len(self.history))
+        self.needs = np.bincount(history[~trains & some], minlength=m) > 0
+        # An n-gram with a history or an end that was not seen was not seen either: no question.
+        counts = below.counts
+        self.asked = np.flatnonzero((counts[self.history] > 0) & (counts[self.suffix] > 0))
+        h, w = self.history[self.asked], self.last[self.asked]
         spread = np.maximum(1, np.ceil(2.0 * buckets * counts / max(total, 1))).astype(np.int64)
         spread = np.minimum(spread, buckets)
-        home = (mix(words + U64(1)) % U64(buckets)).astype(np.int64)
-        bucket = (home[h] + (mix(words[w]) % spread[h].astype(np.uint64)).astype(np.int64)) % buckets
+        home = (mix(below.names + U64(1)) % U64(buckets)).astype(np.int64)
+        bucket = (home[h] + (mix(block.words[w]) % spread[h].astype(np.uint64)).astype(np.int64)) % buckets
         order = np.argsort(bucket, kind="stable")
         self.asked, self.bucket = self.asked[order], bucket[order]
         # A split history asks all its buckets, and a needed one its own, whether it has successors there or not.
-        met = np.zeros(n, bool)
-        met[self.prev] = True
+        met = np.zeros(m, bool)
+        met[self.history] = True
         split = np.flatnonzero((counts > 0) & (self.needs | (met & (spread > 1))))
         every = np.repeat(split, spread[split])
         slot = np.arange(len(every)) - np.repeat(np.cumsum(spread[split]) - spread[split], spread[split])
-        entry = self.bucket * n + self.prev[self.asked]
-        self.entries, self.successors = np.unique(np.concatenate([entry, (home[every] + slot) % buckets * n + every]), return_counts=True)
-        self.successors = self.successors - np.isin(self.entries, (home[every] + slot) % buckets * n + every)
-        self.entry_bucket, self.entry_word = self.entries // n, self.entries % n
-        self.buckets, self.n = buckets, n
-
-    def questions(self, block: Block, counts: np.ndarray):
-        """(bucket, payload): histories (hash, needed, successors) and successors (48 bits of the hash, count here, unigram count)."""
+        entry = self.bucket * m + self.history[self.asked]
+        self.entries, self.successors = np.unique(np.concatenate([entry, (home[every] + slot) % buckets * m + every]), return_counts=True)
+        self.successors = self.successors - np.isin(self.entries, (home[every] + slot) % buckets * m + every)
+        self.entry_bucket, self.entry_history = self.entries // m, self.entries % m
+        self.buckets = buckets
+
+    def questions(self, block: Block, below: Level):
+        """(bucket, payload): histories (hash, needed, successors) and successors (48 bits of the hash, count here, lower-order terms).
+
+        The lower-order term is the word's count in bigrams, from which the bucket has its
+        probability, and the probability itself in longer ones.
+        """
         cut = np.searchsorted(self.bucket, np.arange(self.buckets + 1))
         cut_h = np.searchsorted(self.entry_bucket, np.arange(self.buckets + 1))
-        w = self.cur[self.asked]
-        hashes, trained, unigram = block.words[w] >> U64(16), self.trained[self.asked].astype(np.uint32), counts[w].astype(np.uint32)
+        hashes, trained = block.words[self.last[self.asked]] >> U64(16), self.trained[self.asked].astype(np.int64)
+        lower = (below.counts if below.names is block.words else below.chance.view(np.int64))[self.suffix[self.asked]].astype(np.int64)
         for b in range(self.buckets):
             lo, hi = cut_h[b], cut_h[b + 1]
             if hi > lo:
-                who = self.entry_word[lo:hi]
+                who = self.entry_history[lo:hi]
                 here = slice(cut[b], cut[b + 1])
-                yield b, pack(block.words[who], self.needs[who].astype(np.uint8), self.successors[lo:hi].astype(np.uint32), hashes[here], trained[here], unigram[here])
+                yield b, pack(below.names[who], self.needs[who].astype(np.uint8), self.successors[lo:hi].astype(np.uint32), hashes[here], trained[here], lower[here])
+
+    def level(self, block: Block, below: Level, found: list[dict], factor: np.ndarray, last: bool) -> Level:
+        """These n-grams with what the buckets answered; names only where a longer level follows."""
+        m = len(below.names)
+        total = np.zeros(len(self.history), np.int64)
+        by_count, mass, occurs = np.zeros((m, K)), np.zeros(m), np.zeros(m, np.uint8)
+        needed = self.needs[self.entry_history]
+        at = 0
+        for x in found:
+            counts, flags, seen, seen_mass = unpack(x["payload"])
+            total[self.asked[at : at + len(counts)]] = counts
+            at += len(counts)
+            lo, hi = np.searchsorted(self.entry_bucket, [x["bucket"], x["bucket"] + 1])
+            occurs[self.entry_history[lo:hi]] |= flags
+            who = self.entry_history[lo:hi][needed[lo:hi]]
+            by_count[who] += seen.reshape(-1, K)
+            mass[who] += seen_mass.view(np.float64)
+        # A history without a held-out token backs off nowhere; it is enough to know which counts occur.
+        by_count[~self.needs] = (occurs[~self.needs, None] >> np.arange(K)) & 1
+        whole, weight = history_terms(below.counts, by_count, mass, factor)
+        h = self.history
+        chance = backed_off(total, below.counts[h], whole[h], weight[h], below.chance[self.suffix], factor)
+        with np.errstate(over="ignore"):
+            names = np.zeros(0, np.uint64) if last else mix(below.names[h] * SALT[1] + block.words[self.last])
+        return Level(names, total, chance, self.of_token)
 
 
 def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -251,8 +308,11 @@ def answer_words(questions: list[list[np.ndarray]]):
     return [pack(total[where[a:b]]) for a, b in zip(cuts, cuts[1:])], stats.astype(np.int64)
 
 
-def answer_bigrams(unigrams: Unigrams):
-    """Counts of each question's bigrams; of its histories, which of the counts 1..K occur; of its needed ones, how often, and the unigram mass of all seen successors."""
+def answer_grams(lower):
+    """Counts of each question's n-grams; of its histories, which of the counts 1..K occur; of its needed ones, how often, and the lower-order mass of all seen successors.
+
+    lower: probabilities from the questions' lower-order terms.
+    """
 
     def answer(questions: list[list[np.ndarray]]):
         history, h_at = np.unique(np.concatenate([q[0] for q in questions]), return_inverse=True)
@@ -261,10 +321,11 @@ def answer_bigrams(unigrams: Unigrams):
         of_pair = np.repeat(h_at, np.concatenate([q[2] for q in questions]))
         words = np.concatenate([q[3] for q in questions])
         _, first, where = np.unique(mix(history[of_pair] + words * SALT[1]), return_index=True, return_inverse=True)
-        total = np.bincount(where, np.concatenate([q[4] for q in questions])).astype(np.int64)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, where, np.concatenate([q[4] for q in questions]))
         seen = total > 0
         owner, counts = of_pair[first][seen], total[seen]
-        mass = np.bincount(owner, unigrams.probability(np.concatenate([q[5] for q in questions])[first][seen].astype(np.int64)), minlength=len(history))
+        mass = np.bincount(owner, lower(np.concatenate([q[5] for q in questions])[first][seen]), minlength=len(history))
         by_count = np.stack([np.bincount(owner[counts == r], minlength=len(history)) for r in range(1, K + 1)], axis=1)
         flags = ((by_count > 0) << np.arange(K)).sum(axis=1).astype(np.uint8)
         replies = []
@@ -294,17 +355,21 @@ def word_answers(found: list[dict]) -> np.ndarray:
     return np.concatenate([unpack(x["payload"])[0] for x in found]) if found else np.zeros(0, np.int64)
 
 
-def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 7, held_out: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 7, held_out: int = 2, block_bytes: int = 8 << 20, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A-Z is lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end per
     text. Rows whose crc32(doc_id as text) mod `fold` is not `held_out` train;
     base_score adds one to each unigram count, score is the back-off model's
-    log10 probability, both summed over tokens. Null and empty texts are an end
+    log10 probability, both summed over tokens. `order` is the length of the longest
+    n-grams. A text of any length is in one block. Null and empty texts are an end
     only; repeated rows count as often as they occur; a null id hashes as the
-    empty string. Words are told apart by 64 bits of a hash, the successors of a
-    history by 48. An empty table gives an empty one.
+    empty string; extra columns are ignored. Words are told apart by 64 bits of a
+    hash, the successors of a history by 48. Counts have 64 bits. An empty table
+    gives an empty one.
     """
+    if order < 1:
+        raise ValueError("the order is 1 at least")
     spark = ship_package(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (2 * parts - 1).bit_length())
@@ -319,59 +384,54 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
                 counts = block.word_counts()
                 cuts = np.searchsorted(block.words >> U64(64 - bits), np.arange(buckets + 1, dtype=np.uint64))
                 some = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-                payloads = [pack(block.words[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in some]
+                payloads = [pack(block.words[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]].astype(np.int64)) for b in some]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "bucket", "payload"])
 
     words = store(by_bucket(blocks.mapInArrow(ask_words, "block long, bucket int, payload binary"), parts, answer_words), "words", partition="kind").df
     release(spark)
     stats = statistics(words)
     unigrams = Unigrams(int(stats[0]), int(stats[1]), stats[2:])
-
-    def ask_bigrams(batches):
+    tables, factors = [words], []
+
+    def levels(batch, k: int, last: bool):
+        """The block of row k, and its levels as far as they are answered."""
+        block = Block(batch.column(1)[k].as_py())
+        below = word_level(block, word_answers(batch.column(2)[k].as_py()), unigrams)
+        yield block, below
+        for length, factor in enumerate(factors, 2):
+            grams = Grams(block, below, unigrams.total, buckets)
+            below = grams.level(block, below, batch.column(length + 1)[k].as_py() or [], factor, last and length == order)
+            yield block, below
+
+    def ask_grams(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                block = Block(batch.column(1)[k].as_py())
-                counts = word_answers(batch.column(2)[k].as_py())
-                bigrams = Bigrams(block, counts, unigrams.total, buckets)
-                rows = list(bigrams.questions(block, counts))
+                *_, (block, below) = levels(batch, k, False)
+                rows = list(Grams(block, below, unigrams.total, buckets).questions(block, below))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["block", "bucket", "payload"])
 
-    asked = with_answers(blocks, words).mapInArrow(ask_bigrams, "block long, bucket int, payload binary")
-    pairs = store(by_bucket(asked, parts, answer_bigrams(unigrams)), "bigrams", partition="kind").df
-    release(spark)
-    factor = discounts(statistics(pairs)[: K + 2])
+    for length in range(2, order + 1):
+        lower = unigrams.probability if length == 2 else lambda bits_of: bits_of.view(np.float64)
+        asked = with_answers(blocks, *tables).mapInArrow(ask_grams, "block long, bucket int, payload binary")
+        tables.append(store(by_bucket(asked, parts, answer_grams(lower)), f"grams{length}", partition="kind").df)
+        release(spark)
+        factors.append(discounts(statistics(tables[-1])[: K + 2]))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                block = Block(batch.column(1)[k].as_py())
-                counts = word_answers(batch.column(2)[k].as_py())
-                bigrams = Bigrams(block, counts, unigrams.total, buckets)
-                yield scored(block, counts, bigrams, batch.column(3)[k].as_py() or [])
-
-    def scored(block: Block, counts: np.ndarray, bigrams: Bigrams, found: list[dict]) -> pa.RecordBatch:
-        n = len(block.words)
-        total = np.zeros(len(bigrams.prev), np.int64)
-        by_count, mass, occurs = np.zeros((n, K)), np.zeros(n), np.zeros(n, np.uint8)
-        needed = bigrams.needs[bigrams.entry_word]
-        at = 0
-        for x in found:
-            pair_counts, flags, seen, seen_mass = unpack(x["payload"])
-            total[bigrams.asked[at : at + len(pair_counts)]] = pair_counts
-            at += len(pair_counts)
-            lo, hi = np.searchsorted(bigrams.entry_bucket, [x["bucket"], x["bucket"] + 1])
-            occurs[bigrams.entry_word[lo:hi]] |= flags
-            who = bigrams.entry_word[lo:hi][needed[lo:hi]]
-            by_count[who] += seen.reshape(-1, K)
-            mass[who] += seen_mass.view(np.float64)
-        # A history without a held-out token backs off nowhere; it is enough to know which counts occur.
-        by_count[~bigrams.needs] = (occurs[~bigrams.needs, None] >> np.arange(K)) & 1
-        whole, weight = history_terms(counts, by_count, mass, factor)
-        h = bigrams.prev
-        p = bigram_log10(total, counts[h], whole[h], weight[h], unigrams.probability(counts)[bigrams.cur], factor)
+                yield scored(batch, k)
+
+    def scored(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        chance = None
+        for block, level in levels(batch, k, True):
+            if chance is None:
+                of_word, chance = level.counts[block.flat], level.chance[block.flat]
+            else:
+                some = level.of_token >= 0
+                chance[some] = level.chance[level.of_token[some]]
         text = np.repeat(np.arange(len(block.sizes)), block.sizes)
         sums = lambda v: np.bincount(text, v, minlength=len(block.sizes))
-        of_word = counts[block.flat]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(block.doc_ids, pa.int64(), mask=block.known == 0),
@@ -380,12 +440,12 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
                 pa.array(sums((of_word > 0).astype(float)).astype(np.int64)),
                 pa.array(np.full(len(block.sizes), unigrams.total)),
                 pa.array(sums(unigrams.base(of_word))),
-                pa.array(sums(p[bigrams.of_token])),
+                pa.array(sums(np.log10(chance))),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return with_answers(blocks, words, pairs).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_answers(blocks, *tables).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def release(spark) -> None:

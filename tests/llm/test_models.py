@@ -283,37 +283,44 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
 # ---------------------------------------------------------------- scoring
 
 
-def katz_by_hand(texts, fold=7, out=2):
-    """doc: (held, tokens, known, base, score) by plain dictionaries."""
+def katz_by_hand(texts, fold=7, out=2, order=2):
+    """doc: (held, tokens, known, base, score) by plain dictionaries and recursion."""
     words = {k: WORD.findall((t or "").translate(LOWER)) + ["</s>"] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % fold == out for k in texts}
-    uni, bi = Counter(), defaultdict(Counter)
+    uni, after = Counter(), {n: defaultdict(Counter) for n in range(2, order + 1)}
     for k, w in words.items():
         if not held[k]:
             uni.update(w)
-            for a, b in zip(["<s>", *w], w):
-                bi[a][b] += 1
-    n = lambda counts: np.array([0] + [sum(c == r for c in counts) for r in range(1, katz.K + 2)])
-    u = katz.Unigrams(sum(uni.values()), len(uni), n(list(uni.values())))
-    d = katz.discounts(n([c for h in bi.values() for c in h.values()]))
-    pu = lambda w: float(u.probability(np.array([uni[w]]))[0])
+            line = ["<s>", *w]
+            for n in after:
+                for i in range(n, len(line) + 1):
+                    after[n][tuple(line[i - n : i - 1])][line[i - 1]] += 1
+    n_of = lambda counts: np.array([0] + [sum(c == r for c in counts) for r in range(1, katz.K + 2)])
+    u = katz.Unigrams(sum(uni.values()), len(uni), n_of(list(uni.values())))
+    d = {n: katz.discounts(n_of([c for h in after[n].values() for c in h.values()])) for n in after}
     terms = {}
-    for h, after in bi.items():
-        c = sum(after.values())
-        left = sum(r * (1 - d[r]) for r in after.values() if r <= katz.K)
-        whole, left = (c, left) if left > 0 else (c + 1, 1.0)
-        terms[h] = whole, left / whole / (1 - sum(map(pu, after)))
 
     def p(h, w):
-        if h not in bi:
-            return pu(w)
-        c, (whole, weight) = bi[h][w], terms[h]
-        return (d[c] if c <= katz.K else 1.0) * c / whole if c else weight * pu(w)
-
-    for h in [*list(bi)[:20], "never met"]:
-        assert sum(p(h, w) for w in uni) + p(h, "never met either") == pytest.approx(1)
+        if not h:
+            return float(u.probability(np.array([uni[w]]))[0])
+        n = len(h) + 1
+        if h not in after[n]:
+            return p(h[1:], w)
+        if (h, n) not in terms:
+            counts = after[n][h]
+            c = sum(counts.values())
+            left = sum(r * (1 - d[n][r]) for r in counts.values() if r <= katz.K)
+            whole, left = (c, left) if left > 0 else (c + 1, 1.0)
+            terms[h, n] = whole, left / whole / (1 - sum(p(h[1:], x) for x in counts))
+        c, (whole, weight) = after[n][h][w], terms[h, n]
+        return (d[n][c] if c <= katz.K else 1.0) * c / whole if c else weight * p(h[1:], w)
+
+    for n in after:
+        for h in [*list(after[n])[:12], ("never met",) * (n - 1)]:
+            assert sum(p(h, w) for w in uni) + p(h, "never met either") == pytest.approx(1)
     total, distinct = sum(uni.values()), len(uni)
-    return {k: (held[k], len(w), sum(uni[x] > 0 for x in w), total, sum(math.log10((uni[x] + 1) / (total + distinct + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w))) for k, w in words.items()}
+    score = lambda w: sum(math.log10(p(tuple(["<s>", *w][max(0, i + 1 - (order - 1)) : i + 1]), w[i])) for i in range(len(w)))
+    return {k: (held[k], len(w), sum(uni[x] > 0 for x in w), total, sum(math.log10((uni[x] + 1) / (total + distinct + 1)) for x in w), score(w)) for k, w in words.items()}
 
 
 def compare_scores(rows, want):
@@ -335,8 +342,31 @@ def test_katz_with_hot_histories(spark):
     texts = {k: " ".join(zipf[k * 50 : k * 50 + 50]) for k in range(600)}
     texts[601], texts[602] = "", None
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    want = katz_by_hand(texts)
-    compare_scores(katz.katz_scores(docs, block_bytes=20_000).collect(), want)
+    for order in (2, 1, 3, 4):
+        compare_scores(katz.katz_scores(docs, block_bytes=20_000, order=order).collect(), katz_by_hand(texts, order=order))
+
+
+def test_counts_above_32_bits():
+    """A word that the corpus has five thousand million times: questions, answers and terms keep its count."""
+    text = b"a b a c b a"
+    data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    words = textkit.Words(data, off)
+    tokens = np.append(textkit.Hasher(data).spans(words.starts, words.ends), katz.END)
+    block = katz.Block(katz.Block.packed([1], [0], [np.array([7])], [tokens]))
+    many = 5_000_000_000
+    counts = np.full(len(block.words), many)
+    unigrams = katz.Unigrams(4 * many, 4, np.array([0, 1, 1, 1, 1, 1, 1]))
+    level = katz.word_level(block, counts, unigrams)
+    grams = katz.Grams(block, level, unigrams.total, 1)
+    asked = [packing.unpack(x) for _, x in grams.questions(block, level)]
+    assert (asked[0][5] == many).all()
+    for q in asked:
+        q[4] = q[4] * many
+    (reply,), stats = katz.answer_grams(unigrams.probability)(asked)
+    assert set(packing.unpack(reply)[0].tolist()) == {many, 2 * many} and stats[1:].sum() == 0
+    (reply,), stats = katz.answer_words([[block.words, counts]])
+    assert (packing.unpack(reply)[0] == many).all() and stats[0] == 4 * many
+    assert unigrams.probability(np.array([many]))[0] == pytest.approx(0.25, rel=1e-6)
 
 
 def test_discounts():
