@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -77,6 +78,30 @@ def test_bpe_is_the_library(spark, odd_docs, no_docs, ranks):
     assert queries.op5_byte_bpe(spark, SF).count() == 200
 
 
+def test_merge_loop_is_the_library(ranks):
+    """Words of every length and alphabet, ties of equal pairs among them."""
+    import public_tokenizers
+    import tiktoken
+
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    for k in range(3000):
+        word = bytes(rng.choices(rng.choice([b"ab", b"the ing", b"0123456789", b"abcdefghijklmnopqrstuvwxyz", bytes(range(256))]), k=rng.choice([1, 2, 3, 7, 15, bpe.LONG, bpe.LONG + 1, 200])))
+        assert bpe.encode_word(word, ranks) == library._encode_single_piece(word)
+        assert len(word) < 2 or word in ranks or bpe.encode_long(word, ranks) == bpe.encode_word(word, ranks)
+    for word in (b"a" * 50_000, b" " * 30_001, "日本".encode() * 9_000):
+        assert bpe.encode_word(word, ranks) == library._encode_single_piece(word)
+
+
+def test_token_table(ranks):
+    table = bpe.TokenTable(ranks)
+    some = dict(list(ranks.items())[::97])
+    assert table.join(np.array(list(some.values()))).to_pylist() == list(some)
+    with pytest.raises(ValueError):
+        table.join(np.array([1 << 40]))
+    assert bpe.TokenTable({}).join(np.zeros(0, np.int64)).to_pylist() == []
+
+
 # ---------------------------------------------------------------- classifiers
 
 
@@ -399,7 +424,7 @@ def test_pipeline(spark):
     assert np.mean([(k in ids) == bool(q) for k, q in truth.items()]) > 0.97 and kept.columns == docs.columns
 
     single = P.near_duplicates(spark, kept, SF)
-    groups = classes({r.doc_id: r.text for r in kept.collect()})
+    groups = classes({r.doc_id: r.text for r in kept.collect()}, Fraction(80, 100), 5)
     assert {r.doc_id for r in single.collect()} == {k for k, (n, c) in groups.items() if k == c}
 
     cut = P.repeated_passages(spark, single, SF)

@@ -34,8 +34,8 @@ def shingles(t, n=4):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def classes(texts, threshold=Fraction(85, 100)):
-    sets = {k: shingles(t) for k, t in texts.items()}
+def classes(texts, threshold=Fraction(85, 100), n=4):
+    sets = {k: shingles(t, n) for k, t in texts.items()}
     ids = sorted(sets)
     label = {k: k for k in ids}
 
