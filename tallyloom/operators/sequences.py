@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.store import store
+
 STAY, REJECT, ERROR = "stay", "reject", "error"
 
 
@@ -147,18 +149,37 @@ def merge_updates(updates: DataFrame, key: str, seq: str, last: list[str], appen
     return merged.groupBy(key).agg(F.min("first_seq").alias("first_seq"), *parts)
 
 
-def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
-    """nodes of each simple cycle of at most `most` edges, written from its smallest node on.
+def cycles(edges: DataFrame, *keys: str) -> DataFrame:
+    """keys, cycle, n: every simple cycle of each key's graph, of any length, written from its smallest node on.
 
-    Paths grow one edge per pass and only from their smallest node, so each cycle
-    is found once.
+    Edges that lie on no cycle are taken away first: those into nodes that nothing
+    leaves, and out of nodes that nothing enters, until there are none. Paths then grow
+    one edge per pass and only from their smallest node, so each cycle is found once;
+    it ends when no path is open. The number of simple cycles is exponential in the
+    worst case: this is meant for many small graphs, each told apart by its keys.
     """
-    e = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).distinct()
-    paths = e.select(F.array("u").alias("path"), F.col("v").alias("at"))
-    found = None
-    for _ in range(most):
-        closed = paths.where(F.col("at") == F.get("path", F.lit(0))).select("path")
-        found = closed if found is None else found.unionByName(closed)
-        open_paths = paths.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at")))
-        paths = open_paths.join(e, F.col("at") == F.col("u")).select(F.concat("path", F.array("at")).alias("path"), F.col("v").alias("at"))
-    return found.select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("n"))
+    by = list(keys)
+    e = edges.select(*by, F.col("source").alias("u"), F.col("target").alias("v")).distinct()
+    held = store(e, "edges")
+    n = held.df.count()
+    while n:
+        left, entered = held.df.select(*by, F.col("u").alias("v")).distinct(), held.df.select(*by, F.col("v").alias("u")).distinct()
+        kept = store(held.df.join(left, [*by, "v"], "left_semi").join(entered, [*by, "u"], "left_semi").select(*by, "u", "v"), "edges")
+        held.drop()
+        held, before, n = kept, n, kept.df.count()
+        if n == before:
+            break
+    e = held.df
+    paths = store(e.select(*by, F.array("u").alias("path"), F.col("v").alias("at")), "paths")
+    found = []
+    while True:
+        found.append(paths.df.where(F.col("at") == F.get("path", F.lit(0))).select(*by, "path"))
+        ahead = paths.df.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at"))).withColumnRenamed("at", "u")
+        longer = store(ahead.join(e, [*by, "u"]).select(*by, F.concat("path", F.array("u")).alias("path"), F.col("v").alias("at")), "paths")
+        if longer.df.isEmpty():
+            break
+        paths = longer
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(*by, F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("n"))

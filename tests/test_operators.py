@@ -114,7 +114,46 @@ def test_text_functions(spark):
 def test_cycles(spark):
     edges = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("z", "w")], "source string, target string")
     assert [tuple(r) for r in S.cycles(edges).collect()] == [("x>y>z", 3)]
-    assert D.simple_cycles([("a", "b")]) == []
+    ring = [(1, f"n{k:02}", f"n{(k + 1) % 12:02}") for k in range(12)] + [(1, "n03", "tail"), (1, "tail", "end"), (1, "n05", "n05"), (2, "a", "b"), (2, "b", "c"), (None, "a", "b")]
+    got = {(r.g, r.cycle, r.n) for r in S.cycles(spark.createDataFrame(ring, "g long, source string, target string"), "g").collect()}
+    assert got == {(1, ">".join(f"n{k:02}" for k in range(12)), 12), (1, "n05", 1)}
+    rng = random.Random(3)
+    many = [(g, str(rng.randrange(6)), str(rng.randrange(6))) for g in range(40) for _ in range(9)]
+
+    def by_hand(edges):
+        out, todo = set(), [(a,) for a, _ in edges]
+        while todo:
+            p = todo.pop()
+            for a, b in edges:
+                if a == p[-1] and b == p[0]:
+                    out.add(p)
+                elif a == p[-1] and b > p[0] and b not in p:
+                    todo.append((*p, b))
+        return out
+
+    want = {(g, ">".join(c), len(c)) for g in range(40) for c in by_hand({e[1:] for e in many if e[0] == g})}
+    assert {tuple(r) for r in S.cycles(spark.createDataFrame(many, "g long, source string, target string"), "g").collect()} == want
+    assert S.cycles(edges.limit(0)).count() == 0
+
+
+def test_spec_lint(spark):
+    full = "".join(f"## {n}. T\n" + {2: "### Beispiel 1\n### Beispiel 2\n", 3: "|a|b|c|d|\n|--|--|--|--|\n|f|g|h|i|\n", 4: "|k|z|\n|--|--|\n|`x`|1|\n|y|2|\n", 5: "- ja → x → END\n- nein -> y\nProsa → nichts\n", 7: "recursion_limit: 9\n", 8: "```mermaid\nx --> r{wie}\nr -->|gut| y\n```\n", 9: "keine\n"}.get(n, "") for n in range(1, 11))
+    docs = spark.createDataFrame([(1, full), (1, full), (2, None), (3, "## 3. S\n|a|\n"), (None, full.replace("r -->|gut| y", "r -->|gut| y\ny --> x"))], "doc_id long, text string")
+    got = {}
+    for r in D.spec_lint(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.status, r.check, r.detail))
+    ok = {("OK", c, "2" if c == "A5" else "") for c in ("A1", "A2", "A5", "A6", "A7", "B4", "B6")}
+    assert len(got[1]) == 16 and set(got[1]) == ok | {("OK", "D1", "0/0")}
+    assert set(got[None]) == ok | {("INFO", "D1", "r>y>x"), ("BEFUND", "D1", "1/0")}
+    assert set(got[2]) == {("BEFUND", "A1", "1, 2, 3, 4, 5, 6, 7, 8, 9, 10"), ("WARN", "A2", ""), ("BEFUND", "A5", "0"), ("BEFUND", "A6", ""), ("BEFUND", "A7", ""), ("WARN", "B6", ""), ("WARN", "B4", ""), ("WARN", "D1", "")}
+    assert ("BEFUND", "A1", "1, 2, 4, 5, 6, 7, 8, 9, 10") in got[3] and ("WARN", "A2", "") in got[3]
+    assert D.spec_lint(docs.limit(0)).count() == 0
+
+
+def test_sections_and_rows_have_no_limit(spark):
+    docs = spark.createDataFrame([("\n".join(f"## {k}. T{k}\ntext" for k in range(12_000)),), ("\n".join(["|a|", "|--|", *["|x|"] * 15_000]),)], "text string").withColumn("doc_id", F.lit(1))
+    assert D.md_sections(docs).count() == 12_000
+    assert D.md_table_rows(docs, "doc_id", body="text").count() == 15_000
 
 
 @pytest.mark.parametrize(("mode", "text", "want"), [("array_first", "x [1] {}", "[1]"), ("any", "nichts", None), ("widest_array", "[kaputt]", "[]"), ("think_and_fence", '{"a":1} rest', '{"a":1}'), ("strict", "[1]", "[1]"), ("any", None, None)])
