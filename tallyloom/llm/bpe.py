@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.packing import pack, pack_strings, unpack, unpack_strings
-from tallyloom.llm.store import store_bucketed
+from tallyloom.store import store_bucketed
 from tallyloom.llm.textkit import Hasher, buffers
 from tallyloom.session import ship_package
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.packing import pack, unpack
-from tallyloom.llm.store import store, store_bucketed
+from tallyloom.store import store, store_bucketed
 from tallyloom.llm.textkit import SALT, U64, Hasher, Words, lower, mix, rows_and_texts
 from tallyloom.session import ship_package
 
