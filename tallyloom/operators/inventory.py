@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.store import store
+
 #: Extensions by how well they can be read.
 READABLE = ".ipynb .py .js .ts .jsx .tsx .html .css .scss .less .ino .cpp .c .h .hpp .md .txt .rst .log .ini .cfg .toml .yaml .yml .csv .tsv .json .xml .docx .pptx .xlsx .svg .sh .bat .ps1 .r .jl .lua .rb .php .sql .tex .bib".split()
 PARTLY = ".pdf .zip .tar .gz .7z .rar".split()
@@ -105,9 +107,31 @@ def issues(files: DataFrame) -> DataFrame:
 
 
 def deduplicated_names(files: DataFrame) -> DataFrame:
-    """stem of every file, with __dupN from the second of a name on, in path order."""
-    n = F.row_number().over(Window.partitionBy("stem").orderBy("path"))
-    return files.withColumn("_n", n).withColumn("unique_stem", F.when(F.col("_n") > 1, F.concat("stem", F.lit("__dup"), F.col("_n").cast("string"))).otherwise(F.col("stem"))).drop("_n")
+    """files with unique_stem: __dupN from the second of a name on, in path order.
+
+    Rows are dealt by ranges of name and path and numbered within each range; what
+    earlier ranges have of a name is added. So a name that very many files have is no
+    hot task.
+    """
+    spark = files.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = store(files.repartitionByRange(parts, "stem", "path").withColumn("_range", F.spark_partition_id()), "names").df
+    before = Window.partitionBy("stem").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("stem", "_range").agg(F.count("*").alias("_c")).select(F.col("stem").alias("_stem"), F.col("_range").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy("stem", "_range").orderBy("path")) + F.col("_before")
+    named = dealt.join(offsets, F.col("stem").eqNullSafe(F.col("_stem")) & (F.col("_range") == F.col("_at"))).withColumn("_n", n)
+    return named.select(*files.columns, F.when(F.col("_n") > 1, F.concat("stem", F.lit("__dup"), F.col("_n").cast("string"))).otherwise(F.col("stem")).alias("unique_stem"))
+
+
+def duplicate_groups(files: DataFrame, digest: str, key: str) -> DataFrame:
+    """digest, n, first_id of each digest that two files or more have; null digests are no group."""
+    return files.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("n"), F.min(key).alias("first_id")).where("n > 1")
+
+
+def duplicate_members(files: DataFrame, digest: str, key: str) -> DataFrame:
+    """digest, key, first_id of every file in such a group: a row per file, so a group of any size is in no single row."""
+    groups = store(duplicate_groups(files, digest, key), "groups").df  # two plain tables: a frequent digest can be split
+    return files.join(groups, digest).select(digest, key, "first_id")
 
 
 def neighbour_vote(indexed: DataFrame, rest: DataFrame, fallback: str = "_sonstige") -> DataFrame:

@@ -30,48 +30,68 @@ def null_counts(df: DataFrame) -> DataFrame:
     return long_form(counts, df.columns).where("value > 0")
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], keep: int = 10_000, bins: int = 1_000) -> list[float | None]:
-    """Quantiles with linear interpolation, exact for any number of rows; nulls and NaN are left out.
-
-    The values around each wanted rank are closed in on: a pass counts them in
-    `bins` equal bins between the bounds so far and keeps the bin that has the
-    rank, with its least and greatest value as the new bounds, until at most
-    `keep` values are left (or one). Only bins and those values reach the driver,
-    and no task holds more than its counts.
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], keep: int = 10_000, bins: int = 1_000) -> dict[str, list[float | None]]:
+    """Quantiles of each column with linear interpolation, exact for any number of rows; nulls and NaN are left out.
+
+    The values around each wanted rank are closed in on: a pass over the table, one
+    for all columns, counts them in `bins` equal bins between the bounds so far and
+    keeps the bin that has the rank, with its least and greatest value as the new
+    bounds, until at most `keep` values are left (or one). Infinite values are counted
+    beside the bins. Only bins and those values reach the driver, and no task holds
+    more than its counts.
     """
-    v = F.col(column).cast("double")
-    rows = df.select(v.alias("v")).where("v is not null and not isnan(v)")
-    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    if not n:
-        return [None] * len(shares)
-    at = [q * (n - 1) for q in shares]
-    ranks = sorted({int(x) for x in at} | {min(n - 1, int(x) + 1) for x in at})
-    bounds = {r: (low, high, 0, n) for r in ranks}  # least, greatest, values below, values within
-    while open_ones := sorted({b for b in bounds.values() if b[3] > keep and b[0] < b[1]}):
-        hits = [F.when(F.col("v").between(lo, hi), F.struct(F.lit(k).alias("k"), F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins)).cast("int").alias("b"))) for k, (lo, hi, _, _) in enumerate(open_ones)]
-        counted = rows.select("v", F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.k", "h.b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        for r, old in list(bounds.items()):
-            if old in open_ones:
+    names = list(wanted)
+    rows = df.select(*[F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"v{k}") for k, c in enumerate(names)])
+    finite = lambda k: F.when(F.abs(f"v{k}") < float("inf"), F.col(f"v{k}"))
+    ends = rows.agg(*[x for k in range(len(names)) for x in (F.min(finite(k)), F.max(finite(k)), F.count(finite(k)), F.count_if(F.col(f"v{k}") == float("-inf")), F.count(f"v{k}"))]).first()
+    bounds: dict[tuple[int, int], tuple] = {}  # column and rank: least, greatest, values below, values within
+    totals = []
+    for k, c in enumerate(names):
+        low, high, within, under, n = ends[5 * k : 5 * k + 5]
+        totals.append(n)
+        for r in {r for q in wanted[c] for r in (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1))} if n else ():
+            bounds[k, r] = (low, high, under, within) if under <= r < under + within else ((float("-inf"),) if r < under else (float("inf"),)) * 2 + (0, 1)
+    while open_ones := sorted({(k, *b) for (k, _), b in bounds.items() if b[3] > keep and b[0] < b[1]}):
+        hits = [
+            F.when(F.col(f"v{k}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.least(F.lit(bins - 1), F.floor((F.col(f"v{k}") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins)).cast("int").alias("b"), F.col(f"v{k}").alias("v")))
+            for i, (k, lo, hi, _, _) in enumerate(open_ones)
+        ]
+        counted = rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.i", "h.b").agg(F.count("*").alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi")).collect()
+        for (k, r), old in list(bounds.items()):
+            if (k, *old) in open_ones:
                 below = old[2]
-                for x in sorted((c for c in counted if c.k == open_ones.index(old)), key=lambda c: c.b):
+                for x in sorted((c for c in counted if c.i == open_ones.index((k, *old))), key=lambda c: c.b):
                     if r < below + x.n:
-                        bounds[r] = (x.lo, x.hi, below, x.n)
+                        bounds[k, r] = (x.lo, x.hi, below, x.n)
                         break
                     below += x.n
-    wide = sorted({b for b in bounds.values() if b[0] < b[1]})
-    held: list[float] = []
+    wide = sorted({(k, lo, hi) for (k, _), (lo, hi, _, _) in bounds.items() if lo < hi})
+    held: dict[tuple, list[float]] = {w: [] for w in wide}
     if wide:
-        held = sorted(x[0] for x in rows.where(" or ".join(f"v between double('{lo!r}') and double('{hi!r}')" for lo, hi, _, _ in wide)).collect())
-    value = {r: lo if lo == hi else [x for x in held if lo <= x <= hi][r - below] for r, (lo, hi, below, _) in bounds.items()}
-    return [value[int(x)] + (x - int(x)) * (value[min(n - 1, int(x) + 1)] - value[int(x)]) for x in at]
+        hits = [F.when(F.col(f"v{k}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.col(f"v{k}").alias("v"))) for i, (k, lo, hi) in enumerate(wide)]
+        for i, v in rows.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.i", "h.v").collect():
+            held[wide[i]].append(v)
+    value = {}
+    for (k, r), (lo, hi, below, _) in bounds.items():
+        value[k, r] = sorted(held[k, lo, hi])[r - below] if lo < hi else lo
+
+    def at(k: int, q: float) -> float | None:
+        if not totals[k]:
+            return None
+        x = q * (totals[k] - 1)
+        a, b = value[k, int(x)], value[k, min(totals[k] - 1, int(x) + 1)]
+        return a if a == b or x == int(x) else a + (x - int(x)) * (b - a)
+
+    return {c: [at(k, q) for q in wanted[c]] for k, c in enumerate(names)}
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, mean, std, min, p25, p50, p75, max; quartiles are exact and interpolated."""
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
     parts = []
     for c in columns:
         v = F.col(c).cast("double")
-        q = [F.round(F.lit(x).cast("double"), 4) for x in exact_quantiles(df, c, [0.25, 0.5, 0.75])]
+        q = [F.round(F.lit(x).cast("double"), 4) for x in quartiles[c]]
         parts.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(v).alias("max")))
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("r")).select("r.*")
 
@@ -109,7 +129,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """Rows outside the quartiles by more than factor times their distance."""
-    q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
+    q1, q3 = exact_quantiles(df, {column: [0.25, 0.75]})[column]
     if q1 is None:
         return df.limit(0)
     reach = factor * (q3 - q1)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import words
 from tallyloom.session import ship_package
+from tallyloom.store import shared_folder
 
 CANDIDATES, KEPT, RRF_K, RELEVANT, MOST_RETRIES = 15, 8, 60, 0.3, 3
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -103,27 +106,92 @@ def ranked(df: DataFrame, score: str, key: str, name: str = "rank") -> DataFrame
     return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))).cast("long"))
 
 
+@dataclass(frozen=True)
+class Bm25Index:
+    """Stored postings, so that a question reads the words it has and nothing else.
+
+    postings: term, doc_id, tf, n (words of the document); terms: term, df, idf; both in
+    folders by a hash of the term. stats: documents, their mean length, the mean idf.
+    """
+
+    path: str
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    buckets: int = 64
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", buckets: int = 64) -> Bm25Index:
+        """Write the index of docs to path, in place of an older one.
+
+        Words are split at white space, case-sensitive; a null text is an empty document.
+        Postings are dealt by ranges of term and document, so a word that all
+        documents have is written by many tasks.
+        """
+        spark = docs.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("tokens"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        counts = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+        counts.select("term", "doc_id", "tf", "n", bucket).repartitionByRange(parts, "bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        df = _stored(spark, f"{path}/postings", POSTINGS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
+        sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+        n_docs = spark.read.parquet(f"{path}/sizes")
+        idf = df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "bucket")
+        idf.repartition(parts, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        mean = _stored(spark, f"{path}/terms", TERMS).agg(F.avg("idf").alias("mean_idf"))
+        n_docs.crossJoin(F.broadcast(mean)).write.mode("overwrite").parquet(f"{path}/stats")
+        return Bm25Index.load(spark, path, buckets)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, buckets: int = 64) -> Bm25Index:
+        stats = spark.read.parquet(f"{path}/stats")  # written last: without it the index is not complete
+        return Bm25Index(path, _stored(spark, f"{path}/postings", POSTINGS), _stored(spark, f"{path}/terms", TERMS), stats, buckets)
+
+    def search(self, question: str, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+        """doc_id, score > or < 0 for each document with a word of the question.
+
+        Okapi BM25; a repeated word of the question counts as often. A negative idf is
+        replaced by `epsilon` times the mean idf over the whole vocabulary.
+        """
+        asked = question.split()
+        if not asked:
+            return self.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        here = F.col("bucket").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in dict.fromkeys(asked)]) & F.col("term").isin(asked)
+        times = F.element_at(F.create_map(*[F.lit(x) for w in dict.fromkeys(asked) for x in (w, float(asked.count(w)))]), F.col("term"))
+        raw = F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
+        # One row per word of the question, and one row of statistics.
+        weights = self.terms.where(here).crossJoin(F.broadcast(self.stats)).select("term", (raw * times).alias("weight"), "mean_len")
+        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_len")))
+        return self.postings.where(here).join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))
+
+
+POSTINGS, TERMS = "term string, doc_id long, tf long, n int, bucket int", "term string, df long, idf double, bucket int"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)  # an empty table may have no file to read it from
+
+
 def bm25(docs: DataFrame, question: str, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """doc_id, score > or < 0 for each document with a word of the question.
+    """Scores of one question, without an index to keep: it is built in the shared folder."""
+    path = f"{shared_folder(docs.sparkSession)}/bm25-{uuid.uuid4().hex}"
+    return Bm25Index.build(docs, path, doc_id, text).search(question, k1, b, epsilon)
+
+
+def log_tail(turns: DataFrame, chars: int = 4000, message_chars: int = 1500) -> DataFrame:
+    """conv_id, log: the last `chars` characters of each conversation, messages cut to `message_chars`.
 
-    Okapi BM25 on whitespace tokens, case-sensitive; a repeated word of the
-    question counts as often. A negative idf is replaced by `epsilon` times the
-    mean idf over the whole vocabulary. Only the question's words are joined to
-    documents; the vocabulary is counted once, each word once per document.
+    Every line takes a character at least, so no more than the last `chars` turns of a
+    conversation can be in its tail; what is before them doesn't leave its task.
     """
-    terms = question.split()
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("tokens"))
-    sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    raw = F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf"))
-    times = F.element_at(F.create_map(*[F.lit(x) for w in dict.fromkeys(terms) for x in (w, float(terms.count(w)))]), F.col("term"))
-    weights = idf.where(F.col("term").isin(terms)).crossJoin(F.broadcast(idf.agg(F.avg("idf").alias("mean")))).select("term", (raw * times).alias("weight"))
-    hits = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode(F.filter("tokens", lambda t: t.isin(terms))).alias("term"))
-    counts = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean_len")))
-    # One row per word of the question, and one row of sizes.
-    return counts.join(F.broadcast(weights), "term").crossJoin(F.broadcast(sizes)).groupBy("doc_id").agg(F.sum(part).alias("score"))
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    rows = turns.select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, message_chars)).alias("line")).withColumn("_k", last).where(f"_k <= {chars}")
+    after = Window.partitionBy("conv_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_after", F.coalesce(F.sum(F.length(F.coalesce("line", F.lit(""))) + 1).over(after), F.lit(0))).where(f"_after < {chars}")
+    joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x"))
+    return joined.select("conv_id", F.expr(f"right(array_join(x.line, '\n'), {chars})").alias("log"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K) -> DataFrame:

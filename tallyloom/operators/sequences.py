@@ -100,37 +100,54 @@ ADDER = Machine("carry_0", {(f"carry_{c}", str(x)): (f"carry_{(c + x // 2 + x %
 
 
 def sequences(events: DataFrame, key: str, order: list[str], symbol: Column) -> DataFrame:
-    """key, inputs: each key's symbols in order."""
+    """key, inputs: each key's symbols in order, for results that hold all of a key's outputs."""
     rows = events.select(key, F.struct(*order, symbol.alias("x")).alias("e"))
     return rows.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("s")).select(key, F.col("s.x").alias("inputs"))
 
 
-REJECTED = "rejected"
+def run_in_pieces(events: DataFrame, key: str, order: list[str], symbol: Column, machine: Machine, chunk: Column, counted: str | None = None) -> DataFrame:
+    """key, state, read, rejected, hits, first, last of a machine over each key's events, without holding them together.
 
-
-def final_states(events: DataFrame, key: str, order: list[str], symbol: Column, machine: Machine, chunk: Column) -> DataFrame:
-    """key, state after all of a key's events, without holding them together.
-
-    A chunk (an expression that never falls along the order, such as the day) of a
-    key's events is a function from state to state; functions are composed in the
-    order of the chunks. So a key with very many events is read by many tasks, and
-    what meets in one row is a small map per chunk. A rejected sequence ends in the
-    state REJECTED.
+    read: inputs read; hits: outputs equal to `counted`; first, last: outputs. A chunk
+    (an expression that never falls along the order, such as the day) of a key's
+    events is a function from state to what run() would give from there; functions
+    are composed in the order of the chunks. So a key with very many events is read by
+    many tasks, and what meets in one row is a small map per chunk.
     """
     states = sorted({machine.start, *machine.stop, *(s for s, _ in machine.transitions), *(n for n, _ in machine.transitions.values())})
+    at = lambda s, x: F.concat(s, F.lit("\u0001"), x)
     nexts = literal_map({f"{s}\u0001{x}": n for (s, x), (n, _) in machine.transitions.items()})
-    missing = {STAY: lambda s: s, REJECT: lambda s: F.lit(REJECTED), ERROR: lambda s: F.raise_error(F.lit("no transition")).cast("string")}[machine.undefined]
+    outs = {f"{s}\u0001{x}": o for (s, x), (_, o) in machine.transitions.items() if o is not None}
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
 
-    def step(s: Column, x: Column) -> Column:
-        nxt = F.element_at(nexts, F.concat(s, F.lit("\u0001"), x))
-        return F.when(s.isin([*machine.stop, REJECTED]), s).otherwise(F.when(nxt.isNull(), missing(s)).otherwise(nxt))
+    def result(state: Column, read: Column, rejected: Column, hits: Column, first: Column, last: Column) -> Column:
+        return F.struct(state.alias("state"), read.alias("read"), rejected.alias("rejected"), hits.alias("hits"), first.alias("first"), last.alias("last"))
 
+    def step(acc: Column, x: Column) -> Column:
+        halted = acc["rejected"] | acc["state"].isin([*machine.stop]) if machine.stop else acc["rejected"]
+        move = at(acc["state"], x)
+        target = F.element_at(nexts, move)
+        missing = target.isNull()
+        if machine.undefined == ERROR:
+            target = F.when(missing, F.raise_error(F.concat(F.lit("no transition for "), x)).cast("string")).otherwise(target)
+        out = F.element_at(literal_map(outs), move) if outs else none
+        hit = F.coalesce((out == counted).cast("long"), zero) if counted else zero
+        moved = result(F.coalesce(target, acc["state"]), acc["read"] + 1, missing if machine.undefined == REJECT else F.lit(False), acc["hits"] + hit, F.coalesce(acc["first"], out), F.coalesce(out, acc["last"]))
+        return F.when(halted, acc).otherwise(moved)
+
+    begin = lambda s: result(F.lit(s), zero, F.lit(False), zero, none, none)
     rows = events.select(key, chunk.alias("_chunk"), F.struct(*order, symbol.alias("x")).alias("e"))
     folded = rows.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list("e")).alias("s"))
-    function = F.create_map(*[c for s in [*states, REJECTED] for c in (F.lit(s), F.aggregate(F.col("s.x"), F.lit(s), step))])
+    function = F.create_map(*[c for s in states for c in (F.lit(s), F.aggregate(F.col("s.x"), begin(s), step))])
     parts = folded.select(key, F.struct("_chunk", function.alias("f")).alias("p")).groupBy(key).agg(F.collect_list("p").alias("ps"))
-    sorted_parts = F.array_sort("ps", lambda a, b: F.when(a.getField("_chunk") < b.getField("_chunk"), -1).when(a.getField("_chunk") > b.getField("_chunk"), 1).otherwise(0))
-    return parts.select(key, F.aggregate(F.transform(sorted_parts, lambda p: p.getField("f")), F.lit(machine.start), lambda s, f: F.element_at(f, s)).alias("state"))
+    in_order = F.array_sort("ps", lambda a, b: F.when(a["_chunk"] < b["_chunk"], -1).when(a["_chunk"] > b["_chunk"], 1).otherwise(0))
+
+    def compose(acc: Column, p: Column) -> Column:
+        more = F.element_at(p["f"], acc["state"])
+        both = result(more["state"], acc["read"] + more["read"], more["rejected"], acc["hits"] + more["hits"], F.coalesce(acc["first"], more["first"]), F.coalesce(more["last"], acc["last"]))
+        return F.when(acc["rejected"], acc).otherwise(both)
+
+    return parts.select(key, F.aggregate(in_order, begin(machine.start), compose).alias("r")).select(key, "r.*")
 
 
 def merge_updates(updates: DataFrame, key: str, seq: str, last: list[str], appended: list[str], chunk: Column) -> DataFrame:

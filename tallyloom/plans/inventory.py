@@ -39,8 +39,7 @@ UNION ALL SELECT 'R-C01', 'S1', path FROM seen WHERE generic UNION ALL SELECT 'R
 
 
 def files(spark, sf_dir):
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    return spark.sql(FILES_SQL.format(s="STRING", sha="sha2(text, 256)"))
+    return spark.sql(FILES_SQL.format(s="STRING", sha="sha2(text, 256)").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
 
 
 def seen(spark, sf_dir):
@@ -174,10 +173,19 @@ def inv_export_json(spark, sf_dir):
     return I.folders(seen(spark, sf_dir)).select("folder", F.to_json(F.struct("folder", "depth", "n_files", "domain")).alias("record"))
 
 
-@query("SELECT sha256(text) AS sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1")
+DUPLICATES = "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1"
+
+
+@query(DUPLICATES)
 def dup_exact(spark, sf_dir):
-    groups = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("x")).where("n > 1")
-    return groups.select("sha256", "n", F.array_join(F.col("x").cast("array<string>"), ",").alias("ids"))
+    """Groups of equal files: how many, and the first."""
+    return I.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")), "sha256", "doc_id")
+
+
+@query(f"SELECT d.doc_id, g.first_id FROM documents d JOIN ({DUPLICATES}) g ON g.sha256 = sha256(d.text)")
+def dup_members(spark, sf_dir):
+    """Each file of such a group with the group's first."""
+    return I.duplicate_members(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")), "sha256", "doc_id").select("doc_id", "first_id")
 
 
 @query(f"{CTE} SELECT s.name, f.path, CASE WHEN f.path IS NULL THEN 'fehlt' ELSE 'ok' END AS status FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'kein_' || name ELSE name END AS name FROM seen) s LEFT JOIN (SELECT name, min(path) AS path FROM seen GROUP BY 1) f USING (name)")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import query, table
 from tallyloom.functions.text import words
 from tallyloom.operators import retrieval as R
+from tallyloom.store import files_digest, shared_folder
 
 QUESTION = "Licensed under the Apache License, Version 2.0. erth tion"
 QUERY_VECTOR = 0
@@ -42,8 +44,18 @@ def query_vector(spark, sf_dir) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_VECTOR).select("embedding").first()[0])
 
 
+def bm25_index(spark, sf_dir) -> R.Bm25Index:
+    """The stored index of the documents; built at its first question, and again when the files change."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark)}/bm25-{files_digest(spark, docs.inputFiles())}"
+    try:
+        return R.Bm25Index.load(spark, path)
+    except AnalysisException:
+        return R.Bm25Index.build(docs, path)
+
+
 def bm25_ranked(spark, sf_dir, question=QUESTION):
-    scored = R.bm25(table(spark, sf_dir, "documents"), question).withColumn("_s", F.round("score", 9))
+    scored = bm25_index(spark, sf_dir).search(question).withColumn("_s", F.round("score", 9))
     return R.ranked(R.top(scored, "_s", "doc_id", R.CANDIDATES), "_s", "doc_id").drop("_s")
 
 
@@ -175,9 +187,7 @@ def rag_report(spark, sf_dir):
 @query("SELECT conv_id, right(string_agg(role || ': ' || left(text, 1500), chr(10) ORDER BY turn), 4000) AS log FROM conversations GROUP BY conv_id")
 def conv_tail(spark, sf_dir):
     """The last 4000 characters of each log, messages cut to 1500."""
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 1500))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
-    return rows.select("conv_id", F.expr("right(array_join(x.line, '\n'), 4000)").alias("log"))
+    return R.log_tail(table(spark, sf_dir, "conversations"))
 
 
 @query("SELECT conv_id, turn, lag(text) OVER w AS previous, lag(role) OVER w AS previous_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

@@ -23,9 +23,9 @@ r(user_id, rn, state, rejected, outs) AS (
 f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)"""
 
 
-def ran(spark, sf_dir, machine, symbol):
-    inputs = S.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(symbol))
-    return inputs.select("user_id", S.run(machine, F.col("inputs")).alias("r"))
+def ran(spark, sf_dir, machine, symbol, counted=None):
+    """Each user's machine, from daily pieces."""
+    return S.run_in_pieces(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(symbol), machine, F.to_date("ts"), counted)
 
 
 TURNSTILE_IN = "CASE event_type WHEN 'purchase' THEN 'bezahlen' WHEN 'view' THEN 'durchgehen' ELSE 'warten' END"
@@ -36,45 +36,47 @@ FORM_IN = "CASE event_type WHEN 'signup' THEN 'Event_sub' WHEN 'view' THEN 'voll
 
 @query(f"{machine_sql(S.TURNSTILE, TURNSTILE_IN)} SELECT user_id, state, state = 'Zu' AS locked, rn AS \"read\" FROM f")
 def fsm_turnstile(spark, sf_dir):
-    return ran(spark, sf_dir, S.TURNSTILE, TURNSTILE_IN).select("user_id", "r.state", (F.col("r.state") == "Zu").alias("locked"), "r.read")
+    return ran(spark, sf_dir, S.TURNSTILE, TURNSTILE_IN).select("user_id", "state", (F.col("state") == "Zu").alias("locked"), "read")
 
 
 @query(f"{machine_sql(S.SHOP, SHOP_IN)} SELECT user_id, state, state = 'Deal' AS paid, outs[1] AS error, rn AS \"read\" FROM f")
 def fsm_shop(spark, sf_dir):
-    return ran(spark, sf_dir, S.SHOP, SHOP_IN).select("user_id", "r.state", (F.col("r.state") == "Deal").alias("paid"), F.get("r.outputs", F.lit(0)).alias("error"), "r.read")
+    return ran(spark, sf_dir, S.SHOP, SHOP_IN).select("user_id", "state", (F.col("state") == "Deal").alias("paid"), F.col("first").alias("error"), "read")
 
 
 @query(f"{machine_sql(S.PATTERN_101, BIT_IN)} SELECT user_id, state, len(list_filter(outs, lambda o: o = 'treffer'))::BIGINT AS hits FROM f")
 def fsm_pattern101(spark, sf_dir):
-    hits = F.size(F.filter("r.outputs", lambda o: o == "treffer")).cast("long")
-    return ran(spark, sf_dir, S.PATTERN_101, BIT_IN).select("user_id", "r.state", hits.alias("hits"))
+    return ran(spark, sf_dir, S.PATTERN_101, BIT_IN, "treffer").select("user_id", "state", "hits")
 
 
 @query(f"{machine_sql(S.FORM, FORM_IN)} SELECT user_id, state, NOT rejected AND state = 'q4' AS valid FROM f")
 def fsm_form(spark, sf_dir):
-    return ran(spark, sf_dir, S.FORM, FORM_IN).select("user_id", "r.state", S.accepted(S.FORM, F.col("r")).alias("valid"))
+    return ran(spark, sf_dir, S.FORM, FORM_IN).select("user_id", "state", (~F.col("rejected") & F.col("state").isin(list(S.FORM.final))).alias("valid"))
 
 
 @query(f"{machine_sql(S.PARITY, BIT_IN)} SELECT user_id, state, outs[-1] AS output FROM f")
 def fsm_json_parity(spark, sf_dir):
-    return ran(spark, sf_dir, S.PARITY, BIT_IN).select("user_id", "r.state", F.element_at("r.outputs", -1).alias("output"))
+    return ran(spark, sf_dir, S.PARITY, BIT_IN).select("user_id", "state", F.col("last").alias("output"))
 
 
 @query(f"{machine_sql(S.ADDER, 'cast(event_id % 4 AS VARCHAR)')} SELECT user_id, state, array_to_string(outs, '') AS digits FROM f")
 def fsm_json_adder(spark, sf_dir):
-    return ran(spark, sf_dir, S.ADDER, "cast(event_id % 4 AS STRING)").select("user_id", "r.state", F.array_join("r.outputs", "").alias("digits"))
+    """The sum's digits are all of a user's outputs, so its inputs stand in one row as well."""
+    inputs = S.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr("cast(event_id % 4 AS STRING)"))
+    ends = inputs.select("user_id", S.run(S.ADDER, F.col("inputs")).alias("r"))
+    return ends.select("user_id", "r.state", F.array_join("r.outputs", "").alias("digits"))
 
 
 @query(f"{machine_sql(S.TURNSTILE, TURNSTILE_IN)} SELECT user_id, state FROM f")
 def fsm_turnstile_chunked(spark, sf_dir):
-    """The same final states from daily pieces, for keys with very many events."""
-    return S.final_states(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(TURNSTILE_IN), S.TURNSTILE, F.to_date("ts"))
+    """The same final states from hourly pieces."""
+    return S.run_in_pieces(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(TURNSTILE_IN), S.TURNSTILE, F.date_trunc("hour", "ts")).select("user_id", "state")
 
 
 @query(f"{machine_sql(S.FORM, FORM_IN)} SELECT user_id, NOT rejected AND state = 'q4' AS valid FROM f")
 def fsm_form_chunked(spark, sf_dir):
-    ends = S.final_states(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(FORM_IN), S.FORM, F.to_date("ts"))
-    return ends.select("user_id", (F.col("state") == "q4").alias("valid"))
+    ends = S.run_in_pieces(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(FORM_IN), S.FORM, F.date_trunc("hour", "ts"))
+    return ends.select("user_id", (~F.col("rejected") & (F.col("state") == "q4")).alias("valid"))
 
 
 def on_literals(spark, machine: S.Machine, cases: list[list[str]]):
@@ -128,6 +130,6 @@ UPDATES = "SELECT user_id % 20 AS block_id, event_id AS seq, event_type AS field
 
 @query("WITH u AS (" + UPDATES.format(s="VARCHAR") + ") SELECT block_id, min(seq) AS first_seq, arg_max(value, seq) FILTER (WHERE field = 'click') AS click, arg_max(value, seq) FILTER (WHERE field = 'purchase') AS purchase, array_to_string(coalesce(list(value ORDER BY seq) FILTER (WHERE field = 'error'), []), ',') AS error FROM u GROUP BY 1")
 def reduce_merge(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    merged = S.merge_updates(spark.sql(UPDATES.format(s="STRING")), "block_id", "seq", ["click", "purchase"], ["error"], F.expr("seq div 5000"))
+    updates = spark.sql(UPDATES.format(s="STRING").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    merged = S.merge_updates(updates, "block_id", "seq", ["click", "purchase"], ["error"], F.expr("seq div 5000"))
     return merged.withColumn("error", F.array_join("error", ","))

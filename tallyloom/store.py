@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -53,3 +54,15 @@ def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition:
     writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key)
     (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
     return spark.table(table)
+
+
+def files_digest(spark: SparkSession, files: list[str]) -> str:
+    """A name for these files as they are: their paths, sizes and times of change."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for f in sorted(files):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        state = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{f}|{state.getLen()}|{state.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:24]

@@ -187,11 +187,66 @@ def test_exact_quantiles(spark):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(3)
         want = np.quantile(values, shares)
         for keep, bins in ((10, 7), (10_000, 1000)):
-            assert np.allclose(P.exact_quantiles(df, "v", shares, keep, bins), want, rtol=1e-12)
-    assert P.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+            assert np.allclose(P.exact_quantiles(df, {"v": shares}, keep, bins)["v"], want, rtol=1e-12)
+    assert P.exact_quantiles(df.limit(0), {"v": [0.5]}) == {"v": [None]}
+    # Several columns at once; infinite and very large values.
+    inf = float("inf")
+    rows = [(float(k), -1e308 if k % 2 else 1e308, [-inf, 1.0 * k, inf][k % 3]) for k in range(999)]
+    got = P.exact_quantiles(spark.createDataFrame(rows, "a double, b double, c double"), {"a": [0.5], "b": [0.1, 0.9], "c": [0.1, 0.5, 0.9]}, 10, 7)
+    assert got == {"a": [499.0], "b": [-1e308, 1e308], "c": [-inf, 499.0, inf]}
 
 
 def test_source_excerpt(spark):
     cases = {"# Kopf\nimport os\nfrom a import b\nx = 1": ("Kopf", "import os | from a import b"), "\'\'\'Eins\nzwei\n\'\'\'\n# Titel": ("Titel", "Eins zwei "), "": ("", ""), "import re\n# spät": ("spät", "import re")}
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", D.source_excerpt(F.col("t")).alias("e"))
     assert {r.t: (r.e.title, r.e.excerpt.strip()) for r in df.collect()} == {t: (a, b.strip()) for t, (a, b) in cases.items()}
+
+
+def test_names_are_numbered_across_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", "c", None]), f"p{k:04}") for k in range(700)]
+    rng.shuffle(rows)
+    want, seen = {}, {}
+    for stem, path in sorted(rows, key=lambda r: r[1]):
+        seen[stem] = seen.get(stem, 0) + 1
+        want[path] = f"{stem}__dup{seen[stem]}" if stem and seen[stem] > 1 else stem
+    got = {r.path: r.unique_stem for r in I.deduplicated_names(spark.createDataFrame(rows, "stem string, path string")).collect()}
+    assert got == want
+
+
+def test_machines_in_pieces(spark):
+    """The composed pieces give what one fold gives, for every machine and any cut."""
+    rng = random.Random(5)
+    symbols = {"t": ["bezahlen", "durchgehen", "warten"], "s": ["checkout", "error", "pay", "back", "x"], "p": ["0", "1"], "f": ["Event_sub", "voll", "mail", "visa", "nomail"]}
+    for name, machine, hit in (("t", S.TURNSTILE, None), ("s", S.SHOP, "Zahlungsfehler"), ("p", S.PATTERN_101, "treffer"), ("f", S.FORM, None)):
+        rows = [(u, k, rng.choice(symbols[name])) for u in range(12) for k in range(rng.randrange(1, 60))]
+        events = spark.createDataFrame(rows, "u long, k long, x string")
+        whole = {r.u: r.r for r in S.sequences(events, "u", ["k"], F.col("x")).select("u", S.run(machine, F.col("inputs")).alias("r")).collect()}
+        for cut in ("k div 7", "0", "k"):
+            for r in S.run_in_pieces(events, "u", ["k"], F.col("x"), machine, F.expr(cut), hit).collect():
+                w = whole[r.u]
+                assert (r.state, r.read, r.rejected, r.hits, r.first, r.last) == (w.state, w.read, w.rejected, w.outputs.count(hit), (w.outputs or [None])[0], (w.outputs or [None])[-1])
+
+
+def test_stored_bm25(spark, tmp_path):
+    """Written, loaded again, replaced; a question reads the folders of its words only."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 17}" for j in range(1, 9))) for k in range(60)] + [(99, None)], "doc_id long, text string")
+    path = f"file://{tmp_path}/index"
+    built = R.Bm25Index.build(docs, path)
+    question = "w3 w5 w5 fehlt"
+    want = {r.doc_id: r.score for r in R.bm25(docs, question).collect()}
+    found = R.Bm25Index.load(spark, path).search(question)
+    assert want and {r.doc_id: r.score for r in found.collect()} == pytest.approx(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("bucket#", "bucket") or "PartitionFilters: [bucket" in plan
+    assert built.search("").count() == 0
+    R.Bm25Index.build(docs.limit(0), path)
+    assert R.Bm25Index.load(spark, path).search(question).count() == 0
+
+
+def test_log_tail(spark):
+    rng = random.Random(1)
+    turns = [(c, k, "user", "x" * rng.choice([0, 1, 5, 3000])) for c in range(4) for k in range(rng.choice([1, 30, 600]))]
+    got = {r.conv_id: r.log for r in R.log_tail(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 40, 9).collect()}
+    for c, log in got.items():
+        assert log == "\n".join(f"{r}: {t[:9]}" for x, _, r, t in turns if x == c)[-40:]
