@@ -7,6 +7,10 @@ word in both places, so both occurrences have a suffix there with the same ancho
 Suffixes are sorted by anchor, then by the words that follow, then by those before,
 by one range sort over all data; equal anchors form runs. Neighbours in a run are
 compared, and a match is extended right and left of the selected word.
+
+Context words are compared by 16 bits, so a match may go a word too far, but none is
+missed. An exact check follows: every window of MIN_WORDS words within the matches is
+looked up by a 64-bit hash of its words, and only windows of two documents stay.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyloom.llm.packing import pack, unpack
-from tallyloom.store import store
+from tallyloom.store import store, store_bucketed
 from tallyloom.llm.textkit import U64, Hasher, Words, mix, ngrams, rows_and_texts
 from tallyloom.session import ship_package
 
@@ -140,27 +145,28 @@ class Run:
 
 
 def nearest_lower(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, the nearest row above and below it in its run with a smaller doc; -1 where there is none."""
-    n = len(doc)
+    """For each row, the nearest row above and below it in its run with a smaller doc; -1 where there is none.
+
+    Between a row and its candidate no doc is smaller; a candidate that isn't smaller
+    either hands on its own, so distances double from pass to pass.
+    """
     out = []
-    for order in (range(n), range(n - 1, -1, -1)):
-        best, stack, now = np.full(n, -1, np.int64), [], None
-        docs, runs = doc.tolist(), run.tolist()
-        for k in order:
-            if runs[k] != now:
-                stack, now = [], runs[k]
-            while stack and docs[stack[-1]] >= docs[k]:
-                stack.pop()
-            if stack:
-                best[k] = stack[-1]
-            stack.append(k)
+    for step in (-1, 1):
+        best = np.arange(len(doc)) + step
+        best[(best < 0) | (best >= len(doc))] = -1
+        best[(best >= 0) & (run[best] != run)] = -1
+        still = np.flatnonzero((best >= 0) & (doc[best] >= doc))
+        while len(still):
+            best[still] = best[best[still]]
+            still = still[best[still] >= 0]
+            still = still[doc[best[still]] >= doc[still]]
         out.append(best)
     return out[0], out[1]
 
 
 FOUND, ASKED = 0, 1
 #: Columns of what compare() gives: FOUND rows, then ASKED rows.
-FOUND_TYPES = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)  # document, start, stop, low start, low stop, other document
+FOUND_TYPES = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)  # document, start, stop, low start, low stop, first document
 ASKED_TYPES = (np.uint64, np.int64, np.int32)  # window's hash, document, start
 
 
@@ -222,8 +228,8 @@ def compare(keys: np.ndarray, touches_edge: np.ndarray) -> tuple[list[np.ndarray
     that any such row does; the same in the order of the words before share the
     most to the left.
     FOUND: words start..stop of doc_id stand in other documents too, at least
-    MIN_WORDS of them; low_start..low_stop in ones of a smaller id; other is
-    the smallest partner met.
+    MIN_WORDS of them; low_start..low_stop in ones of a smaller id; the
+    last column is the smallest partner met.
     ASKED: windows of MIN_WORDS words that have their least gram here and lie
     within both bounds, but in no match found, and such windows of a run that goes
     on in another partition, are listed by their hash, to be matched exactly later:
@@ -425,31 +431,15 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return order, first, a[first], np.maximum.reduceat(b, first)
 
 
-def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, spans (start, stop, copied, other), copies (start, stop): a row per document that shares a passage.
-
-    spans: runs of words that passages of MIN_WORDS words or more cover which
-    stand in other documents too; copied counts the words of those in documents of a
-    smaller id, other is the smallest partner met. copies: the spans of these
-    words. Every window of MIN_WORDS words that two documents share is in a span of
-    each, and in a copy of all but the smallest id.
-    """
-    spark = ship_package(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(65_535, max(64, 2 * parts))
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    ordered = suffixes(plain).repartitionByRange(parts, "key").sortWithinPartitions("key")
-    found = store(neighbours(ordered, buckets), "matches", partition="kind").df
-    dealt = lambda df: df.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    direct = found.where(f"kind = {FOUND}").select("bucket", "payload")
-    rows = direct.unionByName(answers(dealt(found.where(f"kind = {ASKED}")), buckets).select("bucket", "payload"))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("copied", pa.int64()), ("other", pa.int64())]))
+def merged_spans(rows: DataFrame, parts: int) -> DataFrame:
+    """doc_id, spans (start, stop, copied, first), copies (start, stop) from FOUND rows: one row per document."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("copied", pa.int64()), ("first", pa.int64())]))
     copy = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
-        for _, (doc, start, stop, low_start, low_stop, other) in buckets_of(batches):
+        for _, (doc, start, stop, low_start, low_stop, least) in buckets_of(batches):
             order, first, a, b = merged(doc, start, stop)
-            owner, partner = doc[order][first], np.minimum.reduceat(other[order], first)
+            owner, least = doc[order][first], np.minimum.reduceat(least[order], first)
             low = low_start >= 0
             if low.any():
                 low_order, low_first, c, d = merged(doc[low], low_start[low], low_stop[low])
@@ -462,26 +452,186 @@ def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             within = np.searchsorted(number * wide + a, low_number * wide + c, "right") - 1
             copied = np.bincount(within, d - c, minlength=len(a)).astype(np.int64)
             cut = lambda n: pa.array(np.searchsorted(n, np.arange(len(ids) + 1)).astype(np.int32))
-            spans = pa.StructArray.from_arrays([pa.array(x) for x in (a, b, copied, partner)], names=["start", "stop", "copied", "other"])
+            spans = pa.StructArray.from_arrays([pa.array(x) for x in (a, b, copied, least)], names=["start", "stop", "copied", "first"])
             copies = pa.StructArray.from_arrays([pa.array(c), pa.array(d)], names=["start", "stop"])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(cut(number), spans).cast(span), pa.ListArray.from_arrays(cut(low_number), copies).cast(copy)], names=["doc_id", "spans", "copies"])
 
-    return dealt(rows).mapInArrow(run, "doc_id long, spans array<struct<start:long,stop:long,copied:long,other:long>>, copies array<struct<start:long,stop:long>>")
+    dealt = rows.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "doc_id long, spans array<struct<start:long,stop:long,copied:long,first:long>>, copies array<struct<start:long,stop:long>>")
+
+
+class WindowBlock:
+    """The windows within the matches of a block's texts: each row's document, its runs of consecutive windows, and which distinct window each one is."""
+
+    def __init__(self, payload: bytes):
+        self.ids, self.run_row, self.run_start, self.run_count, self.of_window, self.hashes, self.least, self.most = unpack(payload)
+
+    @staticmethod
+    def packed(ids: list, runs: list, hashes: list) -> bytes:
+        ids = np.concatenate(ids)
+        run_row, run_start, run_count = (np.concatenate(c) for c in zip(*runs))
+        distinct, of_window = np.unique(np.concatenate(hashes), return_inverse=True)
+        doc = ids[np.repeat(run_row, run_count)]
+        order = np.argsort(of_window, kind="stable")
+        first = np.searchsorted(of_window[order], np.arange(len(distinct)))
+        least, most = (f.reduceat(doc[order], first) if len(distinct) else doc for f in (np.minimum, np.maximum))
+        return pack(ids, *(x.astype(np.uint32) for x in (run_row, run_start, run_count, of_window)), distinct, least, most - least)
+
+    def questions(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, payload): distinct windows with the smallest document here and how far the greatest is from it."""
+        cuts = np.searchsorted(self.hashes >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            here = slice(cuts[b], cuts[b + 1])
+            yield b, pack(np.diff(self.hashes[here], prepend=U64(0)), self.least[here], self.most[here])
+
+    def found(self, least: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
+        """FOUND columns from the smallest document of each distinct window and the distance of the greatest."""
+        row = np.repeat(self.run_row, self.run_count).astype(np.int64)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(self.run_count, dtype=np.int64) - self.run_count, self.run_count)
+        start = np.repeat(self.run_start, self.run_count).astype(np.int64) + place
+        out = [[np.zeros(0, t)] for t in FOUND_TYPES]
+        some = (most > 0)[self.of_window]
+        low = some & (least[self.of_window] < self.ids[row])
+        for rows, is_low in ((some, False), (low, True)):
+            if rows.any():
+                order, first, a, b = merged(row[rows], start[rows], start[rows] + MIN_WORDS)
+                docs = self.ids[row[rows][order][first]]
+                ends = (a, b) if is_low else (np.full(len(a), -1),) * 2
+                for column, values in zip(out, (docs, a, b, *ends, np.minimum.reduceat(least[self.of_window[rows]][order], first))):
+                    column.append(values)
+        return [np.concatenate(c) for c in out]
+
+
+def window_blocks(texts: DataFrame, block_bytes: int, parts: int) -> DataFrame:
+    """block, payload: WindowBlock of rows doc_id, text, spans."""
+
+    def run(batches):
+        start, made = TaskContext.get().partitionId() << 32, 0
+        ids, runs, hashes, n_rows, held = [], [], [], 0, 0
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([start + made], pa.int64()), pa.array([WindowBlock.packed(ids, runs, hashes)], pa.binary())], names=["block", "payload"])
+
+        for part, data, off in rows_and_texts(batches):
+            words = Words(data, off)
+            grams = ngrams(Hasher(data).spans(words.starts, words.ends), MIN_WORDS)
+            spans = part.column(part.schema.get_field_index("spans"))
+            flat = spans.flatten()
+            row = np.repeat(np.arange(part.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
+            begin = flat.field("start").to_numpy(zero_copy_only=False)
+            stop = np.minimum(flat.field("stop").to_numpy(zero_copy_only=False), words.counts[row])
+            count = np.maximum(0, stop - begin - MIN_WORDS + 1)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            hashes.append(grams[np.repeat(words.first[:-1][row] + begin, count) + place])
+            ids.append(part.column(0).to_numpy(zero_copy_only=False))
+            runs.append((row + n_rows, begin, count))
+            n_rows += part.num_rows
+            held += len(data)
+            if held >= block_bytes:
+                yield emit()
+                made, ids, runs, hashes, n_rows, held = made + 1, [], [], [], 0, 0
+        if ids:
+            yield emit()
+
+    return store_bucketed(texts.select("doc_id", "text", "spans").mapInArrow(run, "block long, payload binary"), "windows", "block", parts)
+
+
+def checked(texts: DataFrame, parts: int, buckets: int, block_bytes: int) -> DataFrame:
+    """bucket, payload: FOUND rows of the windows that two documents have, word for word, out of those in rows doc_id, text, spans.
+
+    A block sends each distinct window once to the bucket of its hash, with its
+    smallest and greatest document, and gets those of all blocks back: a passage that
+    very many documents have costs a row per block.
+    """
+    bits = max(6, (2 * parts - 1).bit_length())
+    blocks = window_blocks(texts, block_bytes, parts)
+
+    def ask(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = list(WindowBlock(payload.as_py()).questions(bits))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["block", "bucket", "payload"])
+
+    def answer(batches):
+        at, asked, of = None, [], []
+
+        def emit():
+            hashes = [np.cumsum(q[0], dtype=np.uint64) for q in asked]
+            _, where = np.unique(np.concatenate(hashes), return_inverse=True)
+            order = np.argsort(where, kind="stable")
+            first = np.flatnonzero(np.diff(where[order], prepend=-1))
+            least, most = np.concatenate([q[1] for q in asked]), np.concatenate([q[1] + q[2] for q in asked])
+            least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
+            cuts = np.cumsum([0, *map(len, hashes)])
+            payloads = [pack(least[where[a:b]], (most - least)[where[a:b]]) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([at] * len(of), pa.int32()), pa.array(payloads, pa.binary())], names=["block", "bucket", "payload"])
+
+        for batch in batches:
+            for block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and asked:
+                    yield emit()
+                    asked, of = [], []
+                at = bucket
+                asked.append(unpack(payload))
+                of.append(block)
+        if asked:
+            yield emit()
+
+    def tell(batches):
+        for batch in batches:
+            for payload, found in zip(batch.column(0), batch.column(1)):
+                parts_of = [unpack(x["payload"]) for x in found.as_py() or []]
+                if parts_of:
+                    columns = WindowBlock(payload.as_py()).found(*(np.concatenate(c) for c in zip(*parts_of)))
+                    if len(columns[0]):
+                        yield to_batch(by_bucket(FOUND, columns, document_bucket(columns[0], buckets), FOUND_TYPES))
+
+    asked = blocks.mapInArrow(ask, "block long, bucket int, payload binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    replies = asked.mapInArrow(answer, "block long, bucket int, payload binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "payload"))).alias("found"))
+    return blocks.join(replies, "block", "left").select("payload", "found").mapInArrow(tell, "kind int, bucket int, payload binary").select("bucket", "payload")
+
+
+def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, spans (start, stop, copied, first), copies (start, stop): a row per document that shares a passage.
+
+    spans: runs of words that passages of MIN_WORDS words or more cover which
+    stand in other documents too; copied counts the words of those in documents of a
+    smaller id, first is the smallest document that has a passage of the span, itself
+    included. copies: the spans of copied words. Every window of MIN_WORDS words that
+    two documents share is in a span of each, and in a copy of all but the smallest
+    id; no other word is. So the rows don't depend on how the data are dealt.
+    """
+    spark = ship_package(docs.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(65_535, max(64, 2 * parts))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    ordered = suffixes(plain).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    found = store(neighbours(ordered, buckets), "matches", partition="kind").df
+    dealt = lambda df: df.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    direct = found.where(f"kind = {FOUND}").select("bucket", "payload")
+    rows = direct.unionByName(answers(dealt(found.where(f"kind = {ASKED}")), buckets).select("bucket", "payload"))
+    maybe = store(merged_spans(rows, parts).select(F.col("doc_id").alias(SPAN_DOC), "spans"), "maybe").df
+    few = maybe.count() <= MOST_SENT
+    texts = plain.join(F.broadcast(maybe) if few else maybe, F.col("doc_id") == F.col(SPAN_DOC))
+    return merged_spans(checked(texts, parts, buckets, block_bytes), parts)
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start_word, end_word, n_words, copied_words, other_doc_id: a row per span (see document_spans()).
+    """doc_id, start_word, end_word, n_words, copied_words, first_doc_id: a row per span (see document_spans()).
 
     Words are ``[^\\x20\\x09-\\x0D]+``; copied_words is 0 for the first
     occurrence. Repeats within one document don't count. Null and empty texts, and
-    texts of fewer words, have no span; rows without an id are left out; rows that
-    share an id count as one document. Anchors are compared by 64-bit hashes, the
-    62 words of context by 16 bits each.
+    texts of fewer words, have no span; texts of any length are read whole; rows
+    without an id are left out; rows that share an id count as one document, ties of
+    equal passages go to the smallest id. Extra columns are ignored; an empty table
+    gives an empty one. Windows of words are told apart by 64-bit hashes.
     """
     rows = document_spans(docs, doc_id, text).select("doc_id", F.explode("spans").alias("s"))
-    return rows.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.stop").alias("end_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.copied").alias("copied_words"), F.col("s.other").alias("other_doc_id"))
+    return rows.select("doc_id", F.col("s.start").alias("start_word"), F.col("s.stop").alias("end_word"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("s.copied").alias("copied_words"), F.col("s.first").alias("first_doc_id"))
 
 
+MOST_SENT = 300_000  # rows of spans that are broadcast, some 20 MB; beyond, both sides are shuffled
 SPANS, SPAN_DOC = "__tallyloom_spans", "__tallyloom_doc"
 
 
@@ -500,12 +650,15 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut out of all documents but the one with the smallest id.
 
     n_chars, where there is one, is counted anew; a document whose words all go
-    is left out. Texts without a copied passage don't change. Spans, not texts, are
-    gathered per document; the join with the documents is by id.
+    is left out. Texts without a copied passage don't change, null and empty ones
+    among them, nor do rows without an id. Rows that share an id are one document and
+    keep what they share; texts of any length are cut whole; an empty table gives an
+    empty one, of the same columns. Spans, not texts, are gathered per document; the
+    join with the documents is by id.
     """
     spans = document_spans(docs).where(F.size("copies") > 0).select(F.col("doc_id").alias(SPAN_DOC), F.col("copies").alias(SPANS))
     spans = store(spans, "copies").df
-    few = spans.count() <= 300_000  # some 20 MB; beyond, both sides are shuffled
+    few = spans.count() <= MOST_SENT
     both = docs.join(F.broadcast(spans) if few else spans, docs.doc_id == spans[SPAN_DOC], "left")
     text_at = docs.columns.index("text")
     schema = docs.schema

@@ -16,10 +16,16 @@ SF = "/root/testdata/sf0.001"
 def check_passages(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got, copied = defaultdict(set), Counter()
+    words = {k: WORD.findall(t or "") for k, t in texts.items()}
+    holder = {}
+    for k in sorted(words, reverse=True):
+        for i in range(len(words[k]) - 49):
+            holder[tuple(words[k][i : i + 50])] = k
     for r in suffix_array.repeated_passages(docs).collect():
         got[r.doc_id].update(range(r.start_word, r.end_word))
         copied[r.doc_id] += r.copied_words
-        assert r.n_words == r.end_word - r.start_word >= 50 and r.other_doc_id != r.doc_id
+        assert r.n_words == r.end_word - r.start_word >= 50
+        assert r.first_doc_id == min(holder[tuple(words[r.doc_id][i : i + 50])] for i in range(r.start_word, r.end_word - 49))
     want = covered(texts)
     assert dict(got) == {k: v[0] for k, v in want.items()}
     assert {k: n for k, n in copied.items() if n} == {k: len(v[1]) for k, v in want.items() if v[1]}
@@ -45,6 +51,42 @@ def test_passages_brute_force(spark):
     check_passages(spark, texts)
 
 
+def test_any_partitioning_gives_the_same_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted(tuple(r) for r in suffix_array.repeated_passages(docs.repartition(parts)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_matches_are_checked(spark):
+    """Windows that a match covers by mistake, a word too far or altogether, don't stay."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(60)
+    rows = [(1, fresh(10) + shared + fresh(10), [(8, 73)]), (2, shared + fresh(30), [(0, 61)]), (3, fresh(80), [(5, 70)]), (3, fresh(20), [(5, 70)])]
+    texts = spark.createDataFrame([(k, " ".join(w), [{"start": a, "stop": b} for a, b in at]) for k, w, at in rows], "doc_id long, text string, spans array<struct<start:long,stop:long>>")
+    got = suffix_array.merged_spans(suffix_array.checked(texts, 3, 64, 1), 3).collect()
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got} == {1: [(10, 70, 0, 1)], 2: [(0, 60, 60, 1)]}
+    assert {r.doc_id: [tuple(s) for s in r.copies] for r in got} == {1: [], 2: [(0, 60)]}
+
+
+def test_nearest_lower():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 400):
+        doc, run = rng.integers(0, 9, n), np.sort(rng.integers(0, 5, n))
+        for falling in (False, True):
+            doc = np.sort(doc)[::-1] if falling else doc
+            above, below = suffix_array.nearest_lower(doc, run)
+            for k in range(n):
+                mine = [j for j in range(n) if run[j] == run[k] and doc[j] < doc[k]]
+                assert above[k] == max((j for j in mine if j < k), default=-1) and below[k] == min((j for j in mine if j > k), default=-1)
+
+
 def test_few_words(spark):
     """A tiny vocabulary makes many ties."""
     rng = random.Random(7)
