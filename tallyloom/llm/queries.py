@@ -97,5 +97,16 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM w L
 """
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i + 1:i + 50], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(0, len(words) - 49)) AS i FROM w WHERE len(words) >= 50)),
+h AS (SELECT g, min(doc_id) AS first FROM g GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+v AS (SELECT doc_id, i, min(first) AS first FROM g JOIN h USING (g) GROUP BY 1, 2),
+s AS (SELECT *, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM v)),
+c AS (SELECT doc_id, n, sum(least(50, coalesce(i - low_before, 50))) AS copied FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS low_before FROM s WHERE first < doc_id) GROUP BY 1, 2)
+SELECT doc_id, min(i)::BIGINT AS start_word, (max(i) + 50)::BIGINT AS end_word, (max(i) + 50 - min(i))::BIGINT AS n_words, coalesce(any_value(copied), 0)::BIGINT AS copied_words, min(first) AS first_doc_id FROM s LEFT JOIN c USING (doc_id, n) GROUP BY doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_mixing": OP8_SQL}
