@@ -26,7 +26,7 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"), key.alias("order_key"))
 
 
-def fit_exponent(totals: DataFrame, repetition_limit: float | None, target_entropy: float | None, sections: int = 15, digits: int = 9) -> float:
+def fit_exponent(totals: DataFrame, repetition_limit: float | None, target_entropy: float | None, sections: int = 255, digits: int = 9) -> float:
     """Largest exponent in [0, 1] that has at least the target entropy, or the smallest that stays within the limit.
 
     totals: source, total > 0. With exponent a, weights are total^a / sum; the
@@ -34,24 +34,20 @@ def fit_exponent(totals: DataFrame, repetition_limit: float | None, target_entro
     the most repeated one is read (least total / greatest total)^(a - 1) times.
     Entropy (in nats) and repetition both fall as a grows, so the bounds close in
     on the answer: each pass measures `sections` points in one aggregation and
-    keeps one of the gaps between them. No more than a few sums reach the driver.
+    keeps one of the gaps between them, a row of two numbers.
     """
     top = totals.agg(F.max("total")).first()[0]
     if top is None:
         return 1.0
-    share = F.col("total") / F.lit(float(top))
-    low, high = 0.0, 1.0
+    share, low, high = totals.select((F.col("total") / F.lit(float(top))).alias("share")), 0.0, 1.0
+    w = F.pow("share", F.col("a"))
     while high - low > 10.0 ** -(digits + 2):
-        points = [low + (high - low) * k / (sections + 1) for k in range(1, sections + 1)]
-        sums = []
-        for k, a in enumerate(points):
-            w = F.pow(share, F.lit(a))
-            sums += [F.sum(w).alias(f"s{k}"), F.sum(w * F.log(w)).alias(f"l{k}"), F.max(F.pow(share, F.lit(a - 1))).alias(f"r{k}")]
-        row = totals.agg(*sums).select(*[F.log(f"s{k}").alias(f"g{k}") for k in range(sections)], "*").first()
+        points = F.explode(F.transform(F.sequence(F.lit(1), F.lit(sections)), lambda k: F.lit(low) + F.lit(high - low) * k / F.lit(float(sections + 1)))).alias("a")  # noqa: B023
+        sums = share.select("share", points).groupBy("a").agg(F.sum(w).alias("s"), F.sum(w * F.log(w)).alias("l"), F.max(F.pow("share", F.col("a") - 1)).alias("r"))
         # All points below the answer have enough entropy, or too much repetition.
-        lower = [row[f"g{k}"] - row[f"l{k}"] / row[f"s{k}"] >= target_entropy if target_entropy is not None else row[f"r{k}"] > repetition_limit for k in range(sections)]
-        k = lower.index(False) if False in lower else sections
-        low, high = ([low, *points][k], [*points, high][k])
+        below = F.log("s") - F.col("l") / F.col("s") >= target_entropy if target_entropy is not None else F.col("r") > repetition_limit
+        least, most = sums.agg(F.max(F.when(below, F.col("a"))), F.min(F.when(~below, F.col("a")))).first()
+        low, high = (low if least is None else least), (high if most is None else most)
     return round((low + high) / 2, digits)
 
 
@@ -117,7 +113,12 @@ def mixed_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
 
 
 def mix_documents(docs: DataFrame, repetition_limit: float | None = 2.0, target_entropy: float | None = None, seed: int = 0) -> DataFrame:
-    """The rows of docs as often as mixed_sources() counts them; texts are not shuffled."""
+    """The rows of docs as often as mixed_sources() counts them; texts, of any length, are not shuffled.
+
+    Null and empty texts stay once at least, rows without an id or a source are mixed
+    as the others are, rows that share an id as often as each other; an empty table
+    gives an empty one. Columns of any name are kept as they are.
+    """
     columns = docs.columns
     measured = store(sized(docs, seed=seed), "sized").df
     cut = mixture(measured, repetition_limit, target_entropy).cutoffs.select(F.col("source").alias("_s"), "rounds", "cutoff")
