@@ -105,8 +105,10 @@ def piece_counts(docs: DataFrame, vocabulary: list[bytes], doc_id: str = "doc_id
 
     Each word ``[^\\x20\\x09-\\x0D]+``, with `prefix` before it, is cut greedily
     into the longest pieces of the vocabulary; a word that can't be cut counts
-    one. Null and empty texts have no pieces. The vocabulary is a fixed file of a
-    few hundred KB that goes out with the task; nothing is shuffled.
+    one. Null and empty texts have no pieces; texts of any length are counted whole;
+    repeated rows are counted alike; a null id stays null; extra columns are ignored;
+    an empty table gives an empty one. The vocabulary is a fixed file of a few hundred
+    KB that goes out with the task; nothing is shuffled.
     """
     spark = ship_package(docs.sparkSession)
     sent = spark.sparkContext.broadcast(vocabulary)

@@ -493,8 +493,9 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     `block_shingles` shingles, smaller ones (an eighth) as long as that gives no
     more than `few_blocks`; each pair of blocks is a task of its own, so a large
     cluster is never in one task and no pair is left out. Sets are told apart by 64-bit
-    hashes of shingles. Extra columns are ignored; an empty table gives an empty
-    one; a null doc_id is never a component's id unless all its ids are null.
+    hashes of shingles. Texts of any length are read whole; repeated rows are equal
+    sets; extra columns are ignored; an empty table gives an empty one; a null doc_id
+    is never a component's id unless all its ids are null.
     """
     spark = ship_package(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -522,8 +523,9 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
 def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component; of rows that share such an id, one.
 
-    Rows without an id, a text or words all stay. Only ids are matched against the
-    documents.
+    Rows without an id, a text or words all stay; texts of any length are compared
+    whole; an empty table gives an empty one, of the same columns, whatever their
+    names. Only ids are matched against the documents.
     """
     found = store(jaccard_components(docs, threshold, n), "components").df
     gone = store(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__tallyloom_gone")).distinct(), "gone").df

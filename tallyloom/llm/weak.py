@@ -101,8 +101,10 @@ def weak_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
     The counts are written once to the shared folder. Only the numbers of equal
     vote patterns reach the driver: at most 3 to the number of rules, whatever
-    the size of the input. Null and empty texts are texts without words; repeated
-    rows are kept as they are; an empty table gives an empty one.
+    the size of the input. Null and empty texts are texts without words; texts of any
+    length are counted whole; repeated rows are kept as they are and count as often;
+    a null id stays null; extra columns are ignored, so no name can clash; an empty
+    table gives an empty one.
     """
     counted = store(document_counts(docs, doc_id, text).select("*", *votes(rules)), "votes").df
     names = [f"vote_{r.name}" for r in rules]

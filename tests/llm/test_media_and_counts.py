@@ -1,6 +1,7 @@
 """TIFF pages, rule votes, longest-match counts."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -166,6 +167,32 @@ def test_op3(spark, odd_docs, no_docs):
     assert weak.weak_quality(no_docs).count() == 0
 
 
+def test_posterior_by_brute_force(spark):
+    """EM row by row in plain Python, from the votes, gives every row's posterior."""
+    rows = weak.weak_quality(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    votes = [[r[f"vote_{x.name}"] for x in weak.RULES] for r in rows]
+    prior, right = 0.5, [0.85] * len(weak.RULES)
+
+    def good(v):
+        odds = math.log(prior / (1 - prior)) + sum(math.log(a / (1 - a)) * {weak.GOOD: 1, weak.BAD: -1, weak.ABSTAIN: 0}[x] for a, x in zip(right, v))
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(200):
+        p = [good(v) for v in votes]
+        old = prior, right
+        hits = [sum(q if v[k] == weak.GOOD else 1 - q for q, v in zip(p, votes) if v[k] != weak.ABSTAIN) for k in range(len(right))]
+        seen = [sum(v[k] != weak.ABSTAIN for v in votes) for k in range(len(right))]
+        prior = min(0.95, max(0.05, (sum(p) + 5) / (len(p) + 10)))
+        right = [min(0.99, max(0.55, (h + 8.5) / (n + 10))) for h, n in zip(hits, seen)]
+        if max(abs(prior - old[0]), *(abs(a - b) for a, b in zip(right, old[1]))) < 1e-9:
+            break
+    for r, v in zip(rows, votes):
+        assert r.quality == pytest.approx(good(v), abs=1e-6) and r.kept == (r.quality >= 0.5)
+        shown = {x.name: v[k] for k, x in enumerate(weak.RULES)}
+        assert (shown["length"] == weak.BAD) == (r.n_words < 50) and (shown["exclamation"] == weak.BAD) == (r.n_letters >= 0 and r.n_bangs * 10 > r.n_words)
+    assert len({tuple(v) for v in votes}) > 5
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8
@@ -214,5 +241,6 @@ def test_op6(spark, odd_docs, no_docs):
     for r in queries.op6_longest_match(spark, SF).collect():
         words = WORD.findall(text[r.doc_id])
         assert (r.n_words, r.n_pieces) == (len(words), sum(greedy(vocabulary, b" " + w.encode()) for w in words))
-    assert longest_match.piece_counts(odd_docs, pieces, cache_words=10).count() == odd_docs.count()
+    want = sorted((len(w), sum(greedy(vocabulary, b" " + x.encode()) for x in w)) for w in (WORD.findall(r.text or "") for r in odd_docs.collect()))
+    assert sorted((r.n_words, r.n_pieces) for r in longest_match.piece_counts(odd_docs, pieces, cache_words=10).collect()) == want
     assert longest_match.piece_counts(no_docs, pieces).count() == 0

@@ -440,3 +440,23 @@ def test_pipeline(spark):
     library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = Counter((r.doc_id, len(library.encode_ordinary(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
     assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in P.run(spark, SF).collect()) == want
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, labels, tmp_path):
+    """Nulls, empty and long texts, repeated ids and clashing columns pass through every stage; so do tables without rows."""
+    import corpus_pipeline as P
+
+    for name, docs, marks in (("odd", odd_docs, labels), ("empty", no_docs, labels), ("unlabelled", odd_docs, labels.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{sf}/documents.parquet")
+        marks.write.parquet(f"{sf}/labels.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in P.STAGES[:-1]:
+            after = stage(spark, kept, sf)
+            assert after.columns == docs.columns
+            kept = after
+        got, want = P.run(spark, sf).collect(), kept.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).collect()
+        assert Counter((r.doc_id, r.decoded_sha256) for r in got) == Counter((r.doc_id, hashlib.sha256(r.t.encode()).hexdigest()) for r in want)
+        assert (name == "empty") == (not got)
+        if name == "unlabelled":  # every row passes the classifier; of the copies one stays
+            assert {r.doc_id for r in got} == {1, 2, 3, 4, None, 5, 7, 8, 10}
