@@ -79,44 +79,56 @@ def fsm_form_chunked(spark, sf_dir):
     return ends.select("user_id", (~F.col("rejected") & (F.col("state") == "q4")).alias("valid"))
 
 
-def on_literals(spark, machine: S.Machine, cases: list[list[str]]):
-    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "case_id long, inputs array<string>")
-    return rows.select("case_id", S.run(machine, F.col("inputs")).alias("r"))
+def ran_with_outputs(spark, sf_dir, machine, symbol):
+    """user_id, r: for results that hold all of a user's outputs, whose inputs stand in one row as well."""
+    inputs = S.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(symbol))
+    return inputs.select("user_id", S.run(machine, F.col("inputs")).alias("r"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'OK', true), (1, 'Läuft', false), (2, 'Offen', false)) t(case_id, state, done)")
+MICROWAVE_IN = "CASE event_type WHEN 'view' THEN 'schliessen' WHEN 'click' THEN 'starten' WHEN 'purchase' THEN 'warten' ELSE 'öffnen' END"
+DRINKS_IN = "CASE event_type WHEN 'purchase' THEN 'abbrechen' WHEN 'view' THEN 'warten' ELSE '1€ einwerfen' END"
+COINS_IN = "CASE event_type WHEN 'purchase' THEN 'abbrechen' ELSE '1€ einwerfen' END"
+
+
+@query(f"{machine_sql(S.MICROWAVE, MICROWAVE_IN)} SELECT user_id, state, state = 'OK' AS done FROM f")
 def fsm_microwave(spark, sf_dir):
-    cases = [["schliessen", "starten", "warten"], ["warten", "schliessen", "starten"], ["schliessen", "starten", "warten", "öffnen"]]
-    return on_literals(spark, S.MICROWAVE, cases).select("case_id", "r.state", (F.col("r.state") == "OK").alias("done"))
+    return ran(spark, sf_dir, S.MICROWAVE, MICROWAVE_IN).select("user_id", "state", (F.col("state") == "OK").alias("done"))
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 'hat0€', '"2€","1€",Limo,"2€"'), (1, 'back', '"2€","1€",-1€')) t(case_id, state, outputs)""")
+@query(f"{machine_sql(S.MOORE_DRINKS, DRINKS_IN)} SELECT user_id, state, array_to_string(list_prepend('{S.MOORE_DRINKS.seed[0]}', outs), ',') AS outputs FROM f")
 def fsm_moore(spark, sf_dir):
-    cases = [["1€ einwerfen", "1€ einwerfen", "warten"], ["warten", "1€ einwerfen", "abbrechen"]]
-    return on_literals(spark, S.MOORE_DRINKS, cases).select("case_id", "r.state", F.array_join("r.outputs", ",").alias("outputs"))
+    return ran_with_outputs(spark, sf_dir, S.MOORE_DRINKS, DRINKS_IN).select("user_id", "r.state", F.array_join("r.outputs", ",").alias("outputs"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'hat0€', '''piep'',Limo'), (1, 'hat1€', '''piep'',''piep''')) t(case_id, state, outputs)")
+@query(f"{machine_sql(S.MEALY_DRINKS, COINS_IN)} SELECT user_id, state, array_to_string(outs, ',') AS outputs FROM f")
 def fsm_mealy(spark, sf_dir):
-    cases = [["1€ einwerfen", "1€ einwerfen"], ["abbrechen", "1€ einwerfen"]]
-    return on_literals(spark, S.MEALY_DRINKS, cases).select("case_id", "r.state", F.array_join("r.outputs", ",").alias("outputs"))
+    return ran_with_outputs(spark, sf_dir, S.MEALY_DRINKS, COINS_IN).select("user_id", "r.state", F.array_join("r.outputs", ",").alias("outputs"))
 
 
-EDGES = [("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "y"), ("a", "a"), ("b", "c")]
-EDGES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ") e(source, target)"
+#: A graph for each document: a ring of 2 to 11 nodes, one or two chords, a tail that leaves it.
+RING = "(doc_id % 10 + 2)"
+EDGES = [("k", f"(k + 1) % {RING}", f"k < {RING}"), ("0", f"doc_id % 7 % {RING}", "k = 0"), ("1", "doc_id % 3", "k = 0 AND doc_id % 2 = 0"), ("1", "12", "k = 0"), ("12", "13", "k = 0")]
+NODE = "lpad(CAST({} AS {t}), 2, '0')"
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {EDGES_SQL}), p(path, cur) AS (SELECT [source], target FROM e UNION ALL SELECT list_append(p.path, p.cur), e.target FROM p JOIN e ON e.source = p.cur WHERE p.cur > p.path[1] AND NOT list_contains(p.path, p.cur)) SELECT array_to_string(path, '>') AS cycle, len(path)::BIGINT AS n FROM p WHERE cur = path[1]")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, {NODE.format(a, t='VARCHAR')} AS source, {NODE.format(b, t='VARCHAR')} AS target FROM documents, range(12) t(k) WHERE {w}" for a, b, w in EDGES) + ")), p(doc_id, path, cur) AS (SELECT doc_id, [source], target FROM e UNION ALL SELECT p.doc_id, list_append(p.path, p.cur), e.target FROM p JOIN e ON e.doc_id = p.doc_id AND e.source = p.cur WHERE p.cur > p.path[1] AND NOT list_contains(p.path, p.cur)) SELECT doc_id, array_to_string(path, '>') AS cycle, len(path)::BIGINT AS n FROM p WHERE cur = path[1]")
 def graph_cycles(spark, sf_dir):
-    return S.cycles(spark.createDataFrame(EDGES, "source string, target string"))
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(0L, 11L)) AS k")
+    parts = [rows.where(w).selectExpr("doc_id", f"{NODE.format(a, t='STRING')} AS source", f"{NODE.format(b, t='STRING')} AS target") for a, b, w in EDGES]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return S.cycles(every, "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('b', 'only_spec'), ('d', 'only_graph')) t(node, problem)")
+@query("WITH s AS (SELECT doc_id, 'n' || k AS node FROM documents, range(5) t(k) WHERE (doc_id + k) % 4 > 0), g AS (SELECT doc_id, 'n' || k AS node FROM documents, range(6) t(k) WHERE (doc_id + k) % 5 > 0) SELECT doc_id, node, 'only_spec' AS problem FROM s WHERE (doc_id, node) NOT IN (SELECT doc_id, node FROM g) UNION ALL SELECT doc_id, node, 'only_graph' FROM g WHERE (doc_id, node) NOT IN (SELECT doc_id, node FROM s)")
 def spec_set_compare(spark, sf_dir):
-    """Nodes of the specification against those of the diagram, pseudo-nodes left out."""
-    spec = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
-    graph = spark.createDataFrame([("a",), ("c",), ("d",), ("START",), ("END",)], "node string").where(~F.col("node").isin("START", "END"))
-    return spec.subtract(graph).withColumn("problem", F.lit("only_spec")).unionByName(graph.subtract(spec).withColumn("problem", F.lit("only_graph")))
+    """Nodes of each specification against those of its diagram, pseudo-nodes left out."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(0L, 7L)) AS k")
+    spec = rows.where("k < 5 and (doc_id + k) % 4 > 0").selectExpr("doc_id", "'n' || k AS node")
+    drawn = rows.where("k > 5 or (doc_id + k) % 5 > 0").selectExpr("doc_id", "CASE k WHEN 6 THEN 'START' WHEN 7 THEN 'END' ELSE 'n' || k END AS node")
+    drawn = drawn.where(~F.col("node").isin("START", "END"))
+    return spec.subtract(drawn).withColumn("problem", F.lit("only_spec")).unionByName(drawn.subtract(spec).withColumn("problem", F.lit("only_graph")))
 
 
 @query("SELECT conv_id, count(*) AS n, array_to_string(list(role ORDER BY turn), ',') AS roles FROM conversations GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import query, table
 from tallyloom.functions import text as X
 from tallyloom.operators import vectors as V
+from tallyloom.operators.word2vec import train_vectors
 
 #: Words that carry little, German and dialect.
 STOP_WORDS = "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sagte sprach schon ging kam wohl wer daß dat de un he se ik up as nich fru säd sä do vun".split()
@@ -56,12 +57,13 @@ def txt_vocab(spark, sf_dir):
     return word_counts(spark, sf_dir).where("n >= 2")
 
 
-LISTS = ["['Haus','Baum' , \"See\"]", "a, b,,'c'", "[]", " [ 'eins' , 'zwei' ] "]
+#: A list for each document, with quotes of both kinds, none, or empty.
+LIST = "CASE doc_id % 4 WHEN 0 THEN '[' || chr(39) || 'Haus' || doc_id || chr(39) || ',' || chr(39) || 'Baum' || chr(39) || ' , ' || chr(34) || 'See' || chr(34) || ']' WHEN 1 THEN 'a' || doc_id || ', b,,' || chr(39) || 'c' || chr(39) WHEN 2 THEN '[]' ELSE ' [ ' || chr(39) || 'eins' || chr(39) || ' , ' || chr(39) || 'z' || doc_id || chr(39) || ' ] ' END"
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 3::BIGINT, 'Haus|Baum|See'), (1, 3, 'a|b|c'), (2, 0, ''), (3, 2, 'eins|zwei')) t(row_id, n, items)")
+@query("SELECT doc_id AS row_id, CASE doc_id % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 3 END::BIGINT AS n, CASE doc_id % 4 WHEN 0 THEN 'Haus' || doc_id || '|Baum|See' WHEN 1 THEN 'a' || doc_id || '|b|c' WHEN 2 THEN '' ELSE 'eins|z' || doc_id END AS items FROM documents")
 def w2v_parse_tokens(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(LISTS)), "row_id long, raw string").select("row_id", X.parse_tokens(F.col("raw")).alias("x"))
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS row_id", f"{LIST} AS raw").select("row_id", X.parse_tokens(F.col("raw")).alias("x"))
     return rows.select("row_id", F.size("x").cast("long").alias("n"), F.array_join("x", "|").alias("items"))
 
 
@@ -114,13 +116,9 @@ def w2v_lcg(spark, sf_dir):
 
 @query()
 def w2v_train(spark, sf_dir):
-    """Skip-gram vectors of all words that occur twice or more in German texts."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    rows = table(spark, sf_dir, "documents").where("lang = 'de'").select(X.letter_tokens(F.col("text")).alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=2, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(rows)
-    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+    """Skip-gram vectors of all words that occur twice or more; shorter vectors, a smaller window and fewer passes than train_vectors() has by default."""
+    rows = table(spark, sf_dir, "documents").select(X.letter_tokens(F.col("text")).alias("words"))
+    return train_vectors(rows, size=16, window=5, min_count=2, iterations=1)
 
 
 @query("SELECT doc_id, 'Datei ' || source || ' (' || lang || '): {rest}' AS prompt FROM documents")
@@ -130,10 +128,14 @@ def tpl_fill(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", filled.alias("prompt"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'frage,kontext', 'kontext'), (1, '', ''), (2, 'kontext,zahl', 'kontext,zahl')) t(row_id, names, unknown)")
+#: A template for each document: {frage}, twice, {kontext} and {zahl} by turns, and what is no placeholder.
+TEMPLATE = "CASE WHEN doc_id % 2 = 0 THEN '{frage} ' || doc_id || '{frage}' ELSE '{Gross}' END || CASE WHEN doc_id % 3 = 0 THEN ' und {kontext}' ELSE '{a1} { x }' END || CASE WHEN doc_id % 5 = 0 THEN '{zahl}' ELSE '' END"
+
+
+@query("SELECT doc_id AS row_id, concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'frage' END, CASE WHEN doc_id % 3 = 0 THEN 'kontext' END, CASE WHEN doc_id % 5 = 0 THEN 'zahl' END) AS names, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'kontext' END, CASE WHEN doc_id % 5 = 0 THEN 'zahl' END) AS unknown FROM documents")
 def tpl_placeholders(spark, sf_dir):
-    rows = [(0, "{frage} und {kontext} und {frage}"), (1, "nichts {Gross} {a1}"), (2, "{zahl}{kontext}")]
-    names = spark.createDataFrame(rows, "row_id long, t string").select("row_id", X.placeholders(F.col("t")).alias("n"))
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS row_id", f"{TEMPLATE} AS t")
+    names = rows.select("row_id", X.placeholders(F.col("t")).alias("n"))
     return names.select("row_id", F.array_join("n", ",").alias("names"), F.array_join(F.array_except("n", F.array(F.lit("frage"))), ",").alias("unknown"))
 
 

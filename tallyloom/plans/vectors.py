@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import query, table
 from tallyloom.operators import vectors as V
-from tallyloom.session import ship_package
 
 #: Fixed weights by a rule: 8 inputs to 4 to 2, and back.
 W1 = [[((3 * i + 7 * j) % 11 - 5) / 20 for i in range(64)] for j in range(4)]
@@ -129,14 +126,16 @@ def vec_barcode(spark, sf_dir):
 
 @query()
 def vec_pca2(spark, sf_dir):
-    """Two principal components of centred vectors."""
+    """Two principal components of centred vectors, each turned so that its greatest weight is positive."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(rows).transform(rows)
-    out = PCA(k=2, inputCol="c", outputCol="p").fit(centred).transform(centred).select("vec_id", vector_to_array("p").alias("p"))
-    return out.select("vec_id", F.round(F.abs(F.get("p", F.lit(0))), 6).alias("pc1"), F.round(F.abs(F.get("p", F.lit(1))), 6).alias("pc2"))
+    model = PCA(k=2, inputCol="c", outputCol="p").fit(centred)
+    signs = [1.0 if max(column, key=abs) > 0 else -1.0 for column in model.pc.toArray().T.tolist()]
+    out = model.transform(centred).select("vec_id", vector_to_array("p").alias("p"))
+    return out.select("vec_id", *[F.round(F.get("p", F.lit(k)) * signs[k], 6).alias(f"pc{k + 1}") for k in (0, 1)])
 
 
 @query()
@@ -152,40 +151,11 @@ def ml_tree_accuracy(spark, sf_dir):
     return model.transform(rows.where("b >= 70")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 6).alias("accuracy"))
 
 
-def train_autoencoder(x: np.ndarray, sizes: tuple[int, ...] = (16, 2, 16), epochs: int = 200, rate: float = 0.05) -> tuple[list[np.ndarray], list[float]]:
-    """Tanh layers by full-batch gradient descent; weights and the loss of each epoch."""
-    rng = np.random.default_rng(0)
-    dims = [x.shape[1], *sizes, x.shape[1]]
-    weights = [rng.normal(0, 1 / np.sqrt(a), (a + 1, b)) for a, b in zip(dims, dims[1:])]
-    losses = []
-    one = np.ones((len(x), 1))
-    for _ in range(epochs):
-        acts = [x]
-        for k, w in enumerate(weights):
-            z = np.hstack([acts[-1], one]) @ w
-            acts.append(np.tanh(z) if k < len(weights) - 1 else z)
-        error = acts[-1] - x
-        losses.append(float((error**2).mean()))
-        grad = 2 * error / len(x)
-        for k in range(len(weights) - 1, -1, -1):
-            if k < len(weights) - 1:
-                grad = grad * (1 - acts[k + 1] ** 2)
-            step = np.hstack([acts[k], one]).T @ grad
-            grad = grad @ weights[k][:-1].T
-            weights[k] -= rate * step
-    return weights, losses
-
-
 @query()
 def ae_train(spark, sf_dir):
-    """A small autoencoder per label group, each trained in one task on at most 300 vectors (the size of a selection)."""
-    ship_package(spark)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id").head(300)
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        x = (x - x.mean(0)) / (x.std(0) + 1e-9)
-        _, losses = train_autoencoder(x)
-        return pd.DataFrame({"label": [int(pdf["label"].iloc[0])], "first_loss": [losses[0]], "last_loss": [losses[-1]]})
+    """A small autoencoder per label, trained on all of its vectors: loss of the first and the last epoch."""
+    from tallyloom.operators.autoencoder import train
 
-    return table(spark, sf_dir, "embeddings").where("label in (1, 2, 8)").groupBy("label").applyInPandas(fit, "label int, first_loss double, last_loss double")
+    rows = table(spark, sf_dir, "embeddings").where("label in (1, 2, 8)").select("label", F.col("embedding").alias("x"))
+    losses = {label: losses for label, (_, losses) in train(rows, "label", "x", epochs=25).items()}
+    return spark.createDataFrame([(int(k), v[0], v[-1]) for k, v in sorted(losses.items())], "label int, first_loss double, last_loss double")

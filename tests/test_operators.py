@@ -250,3 +250,75 @@ def test_log_tail(spark):
     got = {r.conv_id: r.log for r in R.log_tail(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 40, 9).collect()}
     for c, log in got.items():
         assert log == "\n".join(f"{r}: {t[:9]}" for x, _, r, t in turns if x == c)[-40:]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def embeddings(spark):
+    import numpy as np
+
+    rows = sorted(spark.read.parquet(f"{SMALL}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
+    return [r.vec_id for r in rows], np.array([r.label for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+
+
+def test_components_by_brute_force(spark):
+    import numpy as np
+
+    import tallyloom.plans  # noqa: F401
+    from tallyloom import catalog
+
+    ids, _, x = embeddings(spark)
+    x = x - x.mean(axis=0)
+    _, _, v = np.linalg.svd(x, full_matrices=False)
+    v = v[:2] * np.sign([w[np.argmax(np.abs(w))] for w in v[:2]])[:, None]
+    got = {r.vec_id: (r.pc1, r.pc2) for r in catalog.QUERIES["vec_pca2"](spark, SMALL).collect()}
+    assert np.allclose([got[k] for k in ids], x @ v.T, atol=1e-4)
+
+
+def test_autoencoder_by_brute_force(spark):
+    """Gradients summed over tasks are the gradients of all rows; they agree with differences of the loss."""
+    import numpy as np
+
+    from tallyloom.operators import autoencoder as A
+
+    _, labels, x = embeddings(spark)
+    got = A.train(spark.read.parquet(f"{SMALL}/embeddings.parquet").where("label in (1, 2)").repartition(3), "label", "embedding", (5, 2, 5), epochs=6)
+    for k in (1, 2):
+        mine = x[labels == k]
+        mine = (mine - mine.mean(0)) / (mine.std(0, ddof=1) + 1e-9)
+        weights = A.first_weights(mine.shape[1], (5, 2, 5))
+        for loss in got[k][1]:
+            total, grads = A.gradient(mine, weights)
+            assert loss == pytest.approx(total / mine.size, rel=1e-9)
+            weights = [w - 0.05 / len(mine) * g for w, g in zip(weights, grads)]
+        assert got[k][1][-1] < got[k][1][0]
+    for layer, at in ((0, (3, 2)), (1, (5, 1)), (3, (0, 4))):
+        weights = A.first_weights(mine.shape[1], (5, 2, 5))
+        _, grads = A.gradient(mine, weights)
+        up = [w.copy() for w in weights]
+        up[layer][at] += 1e-6
+        assert (A.gradient(mine, up)[0] - A.gradient(mine, weights)[0]) / 1e-6 == pytest.approx(grads[layer][at], rel=1e-3, abs=1e-3)
+
+
+def test_tree_learns(spark):
+    import tallyloom.plans  # noqa: F401
+    from tallyloom import catalog
+
+    row = catalog.QUERIES["ml_tree_accuracy"](spark, "/root/testdata/sf0.01").first()
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("label in (1, 2, 8)")
+    most = max(r["count"] for r in rows.groupBy("label").count().collect()) / rows.count()
+    assert 0.2 * rows.count() < row.n < 0.4 * rows.count() and row.accuracy > most - 0.1
+
+
+def test_word_vectors(spark):
+    from tallyloom.operators.word2vec import train_vectors
+
+    rows = spark.createDataFrame([(["a", "b", "a", "c"],), (["b", "a", "einmal"],), ([],)], "words array<string>")
+    got = {r.word: list(r.vector) for r in train_vectors(rows, size=7, window=3, iterations=2).collect()}
+    assert set(got) == {"a", "b"} and all(len(v) == 7 and any(v) for v in got.values())
+
+
+def test_recursive_chunks_by_hand():
+    assert R.split_recursive("eins zwei drei", 9, 0) == ["eins zwei", "drei"]
+    assert R.split_recursive("a\n\nb c", 5, 0) == ["a", "b c"] and R.split_recursive("a\n\nb c", 6, 0) == ["a\n\nb c"]
