@@ -77,7 +77,7 @@ def test_word_vectors_of_rare_words(spark, tmp_path):
     # letter_tokens splits at digits: paar 8 times, einzeln 8 times; a pair of its own below
     spark.createDataFrame([(20, "selten selten einmal", "de", "src1", 20)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
     got = {r.word: r.vector for r in catalog.QUERIES["w2v_train"](spark, str(tmp_path)).collect()}
-    assert set(got) == {"haus", "baum", "paar", "einzeln", "selten"} and all(len(v) and any(v) for v in got.values())
+    assert set(got) == {"haus", "baum", "paar", "einzeln", "selten", "english"} and all(len(v) and any(v) for v in got.values())
 
 
 def test_whole_conversation_texts(spark, tmp_path):
