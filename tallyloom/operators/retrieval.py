@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from tallyloom.functions.text import words
 from tallyloom.session import ship_package
@@ -80,6 +81,34 @@ def chunk_recursive(docs: DataFrame, size: int = 512, overlap: int = 128, doc_id
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, chunk_no long, chunk string")
 
 
+def write_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """Store chunks in place of older ones, and read them back."""
+    chunks.write.mode("overwrite").parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+
+
+def embed(chunks: DataFrame, encode: Callable[[list[str]], list[list[float]]], text: str = "chunk", prefix: str = "passage: ", batch: int = 64) -> DataFrame:
+    """chunks with `embedding`, by a model that encodes lists of prefixed texts; nulls are the empty text.
+
+    The model is called in the tasks, on `batch` texts at a time; it travels with them
+    or loads itself there.
+    """
+    ship_package(chunks.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = [prefix + (t or "") for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            vectors = [list(map(float, v)) for k in range(0, len(texts), batch) for v in encode(texts[k : k + batch])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*b.schema.names, "embedding"])
+
+    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+
+
+def write_vectors(chunks: DataFrame, path: str, vector: str = "embedding") -> DataFrame:
+    """Store chunks with their vectors and the vectors' lengths in place of an older index, and read them back."""
+    return write_chunks(chunks.withColumn("norm", norm(F.col(vector))), path)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -203,11 +232,12 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K) -> Data
     return every.groupBy(key).agg(F.sum("part").alias("score"))
 
 
-def overlap_score(text: Column, question: str) -> Column:
-    """Share of the question's distinct lower-case words that the text has."""
+def overlap_score(text: Column, question: str, most_words: int | None = None) -> Column:
+    """Share of the question's distinct lower-case words that the text has; most_words: what the scorer reads of a text, all of it where None."""
     asked = sorted({w for w in question.lower().split() if w})
     wanted = F.array(*[F.lit(w) for w in asked])
-    return F.size(F.array_intersect(wanted, words(F.lower(text)))) / F.lit(float(max(1, len(asked))))
+    read = words(F.lower(text))
+    return F.size(F.array_intersect(wanted, F.slice(read, 1, most_words) if most_words else read)) / F.lit(float(max(1, len(asked))))
 
 
 def gate(best: Column, retries: Column) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,11 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     return spark.read.option("header", True).option("inferSchema", True).option("sep", delimiter).csv(path)
 
 
+def write_delimited(df: DataFrame, path: str, delimiter: str = ",") -> None:
+    """df as delimited text with a header, without row numbers, in place of what is there."""
+    df.write.mode("overwrite").option("header", True).option("sep", delimiter).csv(path)
+
+
 def write_log(rows: DataFrame, path: str) -> None:
     """Rows with status ok or skipped and a target, as semicolon-separated text whose header begins with a byte order mark."""
     kept = rows.where(F.col("status").isin("ok", "skipped") & F.col("target").isNotNull())
@@ -68,6 +75,52 @@ def scan_folder(spark: SparkSession, root: str, hash_limit: int = HASH_LIMIT, wi
     return found.select(*out)
 
 
+IMAGE = "path string, label string, n_rows int, n_columns int, samples int, pixels binary, error string"
+
+
+def image_pixels(raw: bytes) -> tuple[int, int, int, bytes]:
+    """(rows, columns, samples, bytes from the top left on) of an uncompressed bitmap (24 bits) or portable map (P5, P6)."""
+    if raw[:2] == b"BM":
+        start, _, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", raw, 10)
+        if bits != 24 or packed or width <= 0 or not height:
+            raise ValueError(f"bitmap of {bits} bits, compression {packed}")
+        step, lines = (3 * width + 3) // 4 * 4, abs(height)
+        if start + step * lines > len(raw):
+            raise ValueError("a bitmap that is too short")
+        rows = np.frombuffer(raw, np.uint8, step * lines, start).reshape(lines, step)[:, : 3 * width].reshape(lines, width, 3)
+        return lines, width, 3, np.ascontiguousarray((rows[::-1] if height > 0 else rows)[:, :, ::-1]).tobytes()
+    head = re.match(rb"(P5|P6)\s(?:#[^\n]*\n|\s)*(\d+)\s+(\d+)\s+(\d+)\s", raw)
+    if not head or int(head[4]) > 255:
+        raise ValueError("neither a bitmap nor a portable map")
+    width, height, samples = int(head[2]), int(head[3]), 3 if head[1] == b"P6" else 1
+    body = raw[head.end() : head.end() + width * height * samples]
+    if len(body) < width * height * samples:
+        raise ValueError("a portable map that is too short")
+    return height, width, samples, body
+
+
+def image_folder(spark: SparkSession, root: str) -> DataFrame:
+    """IMAGE rows of the uncompressed pictures below a folder; the label is the name of the folder that a file is in.
+
+    A file that can't be read gives a row with its error.
+    """
+    ship_package(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, raw in zip(b["path"], b["content"]):
+                label = posixpath.basename(posixpath.dirname(path))
+                try:
+                    out.append((path, label, *image_pixels(bytes(raw)), None))
+                except (ValueError, struct.error) as e:
+                    out.append((path, label, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in IMAGE.split(", ")]).astype({"n_rows": "Int32", "n_columns": "Int32", "samples": "Int32"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.where(F.lower("path").rlike(r"\.(bmp|pgm|ppm)$")).select("path", "content").mapInPandas(run, IMAGE)
+
+
 def data_uri(content: Column, mime: str) -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
 
@@ -118,8 +171,44 @@ def xlsx_rows(raw: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
             yield posixpath.basename(sheet)[:-4], int(row.get("r", k + 1)), cells
 
 
+#: Groups of rich text that hold no text of the document, and control words that stand for a character.
+RTF_SKIPPED = frozenset("fonttbl colortbl stylesheet info pict header footer footnote listtable listoverridetable generator object themedata".split())
+RTF_MARKS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "cell": " | ", "row": "\n", "tab": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+RTF_TOKEN = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|[\r\n]|([^\\{}\r\n]+)", re.DOTALL)
+
+
+def rtf_text(raw: bytes) -> str:
+    """The plain text of rich text; groups may be left open."""
+    if not raw.startswith(b"{\\rtf"):
+        raise ValueError("no rich text")
+    out: list[str] = []
+    skipped, fallback, outer = False, 1, []  # whether this group is left out, characters that stand for the last \\u
+    drop = 0
+    for word, number, code, mark, brace, plain in RTF_TOKEN.findall(raw.decode("cp1252", "replace")):
+        if brace == "{":
+            outer.append((skipped, fallback))
+        elif brace:
+            skipped, fallback = outer.pop() if outer else (False, 1)
+        elif word in RTF_SKIPPED or mark == "*":
+            skipped = True
+        elif word == "uc":
+            fallback = int(number or 1)
+        elif word == "u" and number:
+            out += [] if skipped else [chr(int(number) % 65_536)]
+            drop = fallback
+        elif code or plain:
+            text = bytes.fromhex(code).decode("cp1252", "replace") if code else plain
+            out += [] if skipped else [text[drop:]]
+            drop = max(0, drop - len(text))
+        elif not skipped:
+            out.append(RTF_MARKS.get(word, "") if word else {"~": "\u00a0", "_": "-", "\n": "\n", "\r": "\n"}.get(mark, mark if mark in "{}\\" else ""))
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def office_text(raw: bytes, ext: str) -> list[str]:
-    """Paragraphs, slide texts or sheet rows of a document package."""
+    """Paragraphs, slide texts or sheet rows of a document package, paragraphs of rich text."""
+    if ext == ".rtf":
+        return [s.strip() for s in rtf_text(raw).split("\n") if s.strip()]
     z = zipfile.ZipFile(io.BytesIO(raw))
     if ext == ".docx":
         return _paragraphs(z.read("word/document.xml"), "p", "t")
@@ -150,7 +239,7 @@ def office_excerpts(files: DataFrame, path: str = "path", content: str = "conten
                 ext = posixpath.splitext(p)[1].lower()
                 try:
                     lines = office_text(bytes(raw or b""), ext)
-                    images = embedded_images(bytes(raw))
+                    images = [] if ext == ".rtf" else embedded_images(bytes(raw))
                     out.append((p, lines[0][:120] if lines else "", " | ".join(lines[:5])[:300], len(images), "ok" if lines else "leer"))
                 except ValueError:
                     out.append((p, "", "", 0, "kein_extraktor"))

@@ -73,3 +73,55 @@ def test_packages(spark):
 
 def test_data_uri(spark):
     assert spark.range(1).select(S.data_uri(F.lit("hi").cast("binary"), "image/png")).first()[0] == "data:image/png;base64,aGk="
+
+
+def test_rich_text(spark):
+    raw = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}\pard Titel \b fett\b0\par Gr\'f6\'dfe \u8364?\{5\}\line {\i schr\'e4g}\tab Ende}"
+    assert S.rtf_text(raw) == "Titel fett\nGröße €{5}\nschräg\tEnde"
+    assert S.rtf_text(rb"{\rtf1\uc2\u-10179??\u-8704??}") == "\U0001f600" and S.rtf_text(rb"{\rtf1 offen{\b x") == "offenx"
+    files = spark.createDataFrame([("a.rtf", bytearray(raw)), ("b.rtf", bytearray(b"kaputt"))], "path string, content binary")
+    got = {r.path: (r.title, r.status) for r in S.office_excerpts(files).collect()}
+    assert got == {"a.rtf": ("Titel fett", "ok"), "b.rtf": ("", "kein_extraktor")}
+
+
+def test_images(spark, tmp_path):
+    import struct
+
+    (tmp_path / "katze").mkdir()
+    (tmp_path / "hund").mkdir()
+    line = [bytes([1, 2, 3, 4, 5, 6]), bytes([7, 8, 9, 10, 11, 12])]  # two rows of two pixels, red first
+    bgr = [b"".join(r[k : k + 3][::-1] for k in (0, 3)) + b"\0\0" for r in line]
+    (tmp_path / "katze/a.BMP").write_bytes(b"BM" + struct.pack("<IHHI", 54 + 16, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0) + bgr[1] + bgr[0])
+    (tmp_path / "hund/b.ppm").write_bytes(b"P6\n# Bild\n2 2\n255\n" + b"".join(line))
+    (tmp_path / "hund/c.pgm").write_bytes(b"P5 3 1 255\n" + bytes([9, 8, 7]))
+    (tmp_path / "hund/d.pgm").write_bytes(b"P5 3 9 255\nzu kurz")
+    (tmp_path / "hund/e.txt").write_bytes(b"kein Bild")
+    got = {r.path.rsplit("/", 1)[1]: r for r in S.image_folder(spark, str(tmp_path)).collect()}
+    for name, label in (("a.BMP", "katze"), ("b.ppm", "hund")):
+        r = got[name]
+        assert (r.label, r.n_rows, r.n_columns, r.samples, bytes(r.pixels), r.error) == (label, 2, 2, 3, b"".join(line), None)
+    assert (got["c.pgm"].n_columns, bytes(got["c.pgm"].pixels)) == (3, bytes([9, 8, 7])) and got["d.pgm"].error and set(got) == {"a.BMP", "b.ppm", "c.pgm", "d.pgm"}
+
+
+def test_delimited_round_trip(spark, tmp_path):
+    wide = S.wide_pixels(spark.createDataFrame([(1, [5.0, 6.5]), (2, [7.0, None])], "label int, px array<double>"), 2)
+    for sep in ",;":
+        S.write_delimited(wide, str(tmp_path / "w"), sep)
+        assert sorted(map(tuple, S.read_delimited(spark, str(tmp_path / "w")).collect())) == [(1, 5.0, 6.5), (2, 7.0, None)]
+
+
+def test_chunk_and_vector_store(spark, tmp_path):
+    from tallyloom.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "eins zwei " * 90), (2, "drei"), (3, None)], "doc_id long, text string")
+    path = f"file://{tmp_path}/chunks"
+    R.write_chunks(R.chunk_fixed(docs.where("doc_id = 2")), path)
+    chunks = R.write_chunks(R.chunk_fixed(docs), path)  # in place of the older ones
+    assert chunks.count() == R.chunk_fixed(docs).count() == 4
+    index = R.write_vectors(R.embed(chunks, lambda texts: [[len(t), t.count("e"), 0] for t in texts], batch=2), f"file://{tmp_path}/vectors")
+    for r in index.collect():
+        assert r.embedding[0] == len(r.chunk) + len("passage: ") and abs(r.norm - sum(x * x for x in r.embedding) ** 0.5) < 1e-4
+    best = R.top(R.cosine(index, [1.0, 0.0, 0.0]), "score", "doc_id", 1).first()
+    assert best.doc_id == 2
+    scores = docs.select("doc_id", R.overlap_score(F.col("text"), "zwei drei", 1).alias("s")).collect()
+    assert {r.doc_id: r.s for r in scores} == {1: 0.0, 2: 0.5, 3: 0.0}
