@@ -111,7 +111,7 @@ def lzw_encode(raw: bytes) -> bytes:
             table[key] = fresh
             fresh += 1
             prefix = b
-            if len(codes) >= LZW_BLOCK:
+            if fresh == LZW_BLOCK + 258:
                 blocks.append(codes)
                 codes, table, fresh = [], {}, 258
                 put = codes.append
@@ -149,24 +149,27 @@ def lzw_decode(raw: bytes, size: int) -> bytes:
         codes = triples[starts >> 3] >> (24 - w - (starts & 7)) & ((1 << w) - 1)
         stop = np.flatnonzero((codes == CLEAR) | (codes == END))
         n = int(stop[0]) if len(stop) else len(codes)
-        table, last = root[:], None
-        add, put = table.append, out.append
-        for c in codes[:n].tolist():
-            if last is None:
-                entry = table[c] if c < 256 else None
-                if entry is None:
-                    raise BadTiff("LZW block begins with a code above 255")
-            elif c < len(table):
+        table, size_of_table = root[:], 258
+        block = codes[:n].tolist()
+        if block and block[0] > 255:
+            raise BadTiff("LZW block begins with a code above 255")
+        last = table[block[0]] if block else b""
+        entries = [last]
+        add, put = table.append, entries.append
+        for c in block[1:]:
+            if c < size_of_table:
                 entry = table[c]
                 add(last + entry[:1])
-            elif c == len(table):
+            elif c == size_of_table:
                 entry = last + last[:1]
                 add(entry)
             else:
                 raise BadTiff("LZW code beyond the table")
+            size_of_table += 1
             put(entry)
-            made += len(entry)
             last = entry
+        out += entries
+        made += sum(map(len, entries))
         if n == len(codes) or codes[n] == END:
             break
         at = int(starts[n] + w[n])
@@ -428,7 +431,7 @@ def tiff_pages(files: DataFrame, key: str = "path", content: str = "content", pa
 
 #: Production layout of stored payloads: 64 samples a row; pages of up to 4096 rows take turns with the layouts.
 COLUMNS, PAGE_ROWS = 64, 4096
-LAYOUTS = (Layout(PACKBITS), Layout(LZW, 2, (16, 32)), Layout(DEFLATE, 2))
+LAYOUTS = (Layout(PACKBITS), Layout(LZW, 2), Layout(DEFLATE, 2, (16, 32)))
 
 
 def store_payload(payload: bytes, layouts: Sequence[Layout] = LAYOUTS) -> bytes:

@@ -123,7 +123,7 @@ def test_payloads_meet_every_layout():
         payload = rng.integers(97, 105, 64 * n, dtype=np.uint8).tobytes()
         rows = list(tiff.page_rows(tiff.store_payload(payload)))
         assert b"".join(r["pixels"] for r in rows) == payload
-        assert n < 3 or {(r["compression"], r["predictor"], r["tiled"]) for r in rows} == {(tiff.PACKBITS, 1, False), (tiff.LZW, 2, True), (tiff.DEFLATE, 2, False)}
+        assert n < 3 or {(r["compression"], r["predictor"], r["tiled"]) for r in rows} == {(tiff.PACKBITS, 1, False), (tiff.LZW, 2, False), (tiff.DEFLATE, 2, True)}
         for layout in (tiff.Layout(c, p, t) for c in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE) for p in (1, 2) for t in (None, (16, 16))):
             if n <= 100:
                 assert b"".join(r["pixels"] for r in tiff.page_rows(tiff.store_payload(payload, [layout]))) == payload
