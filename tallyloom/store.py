@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -25,6 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+_open: list[list] = []  # tables written within each scratch(), innermost last
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are dropped at the end, but for those that keep() names: for work whose results are written as well."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for made in _open.pop():
+            made.drop()
+
+
+def keep(made: Stored) -> Stored:
+    """Let a table outlive the scratch() that it was written in."""
+    if _open and made in _open[-1]:
+        _open[-1].remove(made)
+        if len(_open) > 1:
+            _open[-2].append(made)
+    return made
+
+
 class Stored:
     """A written table; drop() removes it once nothing reads it any more."""
 
@@ -44,7 +69,21 @@ def store(df: DataFrame, name: str, partition: str | None = None) -> Stored:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return Stored(spark, path, df.schema)
+    made = Stored(spark, path, df.schema)
+    if _open:
+        _open[-1].append(made)
+    return made
+
+
+class StoredBuckets:
+    """A table in the session's catalog."""
+
+    def __init__(self, spark: SparkSession, table: str, path: str):
+        self.spark, self.table, self.path = spark, table, path
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        Stored.drop(self)
 
 
 def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition: str | None = None) -> DataFrame:
@@ -53,6 +92,8 @@ def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition:
     table = f"{name}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key)
     (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
+    if _open:
+        _open[-1].append(StoredBuckets(spark, table, f"{shared_folder(spark)}/{table}"))
     return spark.table(table)
 
 

@@ -125,3 +125,21 @@ def test_chunk_and_vector_store(spark, tmp_path):
     assert best.doc_id == 2
     scores = docs.select("doc_id", R.overlap_score(F.col("text"), "zwei drei", 1).alias("s")).collect()
     assert {r.doc_id: r.s for r in scores} == {1: 0.0, 2: 0.5, 3: 0.0}
+
+
+def test_scratch_tables_are_dropped(spark):
+    import os
+
+    from tallyloom import store as T
+
+    place = lambda made: made.path.removeprefix("file://")
+    with T.scratch():
+        a = T.store(spark.range(5).toDF("k"), "a")
+        with T.scratch():
+            b, c = T.store(a.df, "b"), T.keep(T.store(a.df, "c"))
+            bucketed = T.store_bucketed(a.df, "d", "k", 3)
+            tables = {t.name for t in spark.catalog.listTables()}
+            assert bucketed.count() == 5
+        assert not os.path.exists(place(b)) and c.df.count() == 5
+        assert len(tables) == 1 + len({t.name for t in spark.catalog.listTables()})
+    assert not os.path.exists(place(a)) and not os.path.exists(place(c))
