@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import bpe, mixing, ordinal, signature_tree, suffix_array
-from tallyloom.store import store
+from tallyloom.store import keep, scratch, store
 from tallyloom.session import ship_package
 
 
@@ -69,6 +69,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage returns is written to the shared folder and read from there by the next.
     """
     docs = ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+        with scratch():  # what a stage stores on its way goes once its result is written
+            made = keep(store(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before:
+            before.drop()
+        docs, before = made.df, made
     return docs
