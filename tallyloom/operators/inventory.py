@@ -8,17 +8,45 @@ from pyspark.sql import functions as F
 from tallyloom.store import store
 
 #: Extensions by how well they can be read.
-READABLE = ".ipynb .py .js .ts .jsx .tsx .html .css .scss .less .ino .cpp .c .h .hpp .md .txt .rst .log .ini .cfg .toml .yaml .yml .csv .tsv .json .xml .docx .pptx .xlsx .svg .sh .bat .ps1 .r .jl .lua .rb .php .sql .tex .bib".split()
-PARTLY = ".pdf .zip .tar .gz .7z .rar".split()
-UNREADABLE = ".pth .pkl .joblib .h5 .hdf5 .onnx .sps .hex .bin .dat .png .jpg .jpeg .gif .bmp .webp .ico .tiff .mp4 .avi .mov .mkv .wmv .flv .mp3 .wav .flac .ogg .aac .wma .exe .dll .so .dylib .o .obj .class .pyc .pyo".split()
-TEACHING = ".docx .pdf .pptx .odt .odp .ods".split()
-CODE = ".ipynb .py .js .ts .jsx .tsx .html .css .ino .cpp .c .h .csv .json .pth .pkl .h5 .onnx .joblib".split()
-WITH_TEACHING = ".docx .pdf .pptx .odt .odp .ods .xlsx .png .jpg .jpeg .gif .svg .mp4 .wav".split()
-WITH_CODE = ".ipynb .py .js .ts .jsx .tsx .html .css .json .csv .tsv .xlsx .pth .pkl .h5 .onnx .joblib .txt .md .yaml .yml .toml .cfg .ini .sh .bat .pyc .pyo".split()
+READABLE = [
+    ".ipynb", ".py", ".js", ".ts", ".jsx", ".tsx", ".html", ".css", ".scss", ".less", ".ino", ".cpp", ".c", ".h", ".hpp", ".md", ".txt", ".rst", ".log", ".ini",
+    ".cfg", ".toml", ".yaml", ".yml", ".csv", ".tsv", ".json", ".xml", ".docx", ".pptx", ".xlsx", ".svg", ".sh", ".bat", ".ps1", ".r", ".jl", ".lua", ".rb",
+    ".php", ".sql", ".tex", ".bib",
+]
+PARTLY = [
+    ".pdf", ".zip", ".tar", ".gz", ".7z", ".rar",
+]
+UNREADABLE = [
+    ".pth", ".pkl", ".joblib", ".h5", ".hdf5", ".onnx", ".sps", ".hex", ".bin", ".dat", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".ico", ".tiff",
+    ".mp4", ".avi", ".mov", ".mkv", ".wmv", ".flv", ".mp3", ".wav", ".flac", ".ogg", ".aac", ".wma", ".exe", ".dll", ".so", ".dylib", ".o", ".obj", ".class",
+    ".pyc", ".pyo",
+]
+TEACHING = [
+    ".docx", ".pdf", ".pptx", ".odt", ".odp", ".ods",
+]
+CODE = [
+    ".ipynb", ".py", ".js", ".ts", ".jsx", ".tsx", ".html", ".css", ".ino", ".cpp", ".c", ".h", ".csv", ".json", ".pth", ".pkl", ".h5", ".onnx", ".joblib",
+]
+WITH_TEACHING = [
+    ".docx", ".pdf", ".pptx", ".odt", ".odp", ".ods", ".xlsx", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".mp4", ".wav",
+]
+WITH_CODE = [
+    ".ipynb", ".py", ".js", ".ts", ".jsx", ".tsx", ".html", ".css", ".json", ".csv", ".tsv", ".xlsx", ".pth", ".pkl", ".h5", ".onnx", ".joblib", ".txt", ".md",
+    ".yaml", ".yml", ".toml", ".cfg", ".ini", ".sh", ".bat", ".pyc", ".pyo",
+]
 ARTEFACTS = [".pyc", ".pyo"]
-IMAGES = ".png .jpg .jpeg .gif .bmp .webp .ico .tiff".split()
-NO_EXTRACTOR = ".png .jpg .jpeg .gif .bmp .webp .ico .tiff .mp4 .avi .mov .mkv .wmv .flv .mp3 .wav .flac .ogg .aac .wma .pth .pkl .joblib .h5 .hdf5 .onnx .exe .dll .so .dylib .zip .tar .gz .7z .rar".split()
-EXTRACTED = ".docx .pptx .xlsx .xls .odt .ods .odp .pdf .ipynb .py .txt .md .rst .log .csv .tsv .json .yaml .yml .html .htm .svg .xml .rtf .tex .eml .js .ts .css .jsx .tsx .c .cpp .h .hpp .ino .r .jl .sql .sh .bat .ps1 .lua .rb .php .ini .cfg .toml".split()
+IMAGES = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".ico", ".tiff",
+]
+NO_EXTRACTOR = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".ico", ".tiff", ".mp4", ".avi", ".mov", ".mkv", ".wmv", ".flv", ".mp3", ".wav", ".flac", ".ogg", ".aac",
+    ".wma", ".pth", ".pkl", ".joblib", ".h5", ".hdf5", ".onnx", ".exe", ".dll", ".so", ".dylib", ".zip", ".tar", ".gz", ".7z", ".rar",
+]
+EXTRACTED = [
+    ".docx", ".pptx", ".xlsx", ".xls", ".odt", ".ods", ".odp", ".pdf", ".ipynb", ".py", ".txt", ".md", ".rst", ".log", ".csv", ".tsv", ".json", ".yaml", ".yml",
+    ".html", ".htm", ".svg", ".xml", ".rtf", ".tex", ".eml", ".js", ".ts", ".css", ".jsx", ".tsx", ".c", ".cpp", ".h", ".hpp", ".ino", ".r", ".jl", ".sql",
+    ".sh", ".bat", ".ps1", ".lua", ".rb", ".php", ".ini", ".cfg", ".toml",
+]
 IGNORED_FILES = [".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep"]
 LEGACY = {".odt": "Writer", ".ods": "Calc", ".odp": "Impress", ".doc": "Word", ".ppt": "PowerPoint", ".xls": "Excel"}
 

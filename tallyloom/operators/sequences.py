@@ -88,6 +88,7 @@ def from_json(text: str, undefined: str = ERROR) -> Machine:
     return Machine(starts[0], transitions, frozenset(s["Name"] for s in states if s.get("Final")), undefined=undefined)
 
 
+#: States, inputs and outputs of the machines.
 TURNSTILE = Machine("Zu", {("Zu", "bezahlen"): ("Offen", None), ("Offen", "durchgehen"): ("Zu", None)})
 MICROWAVE = Machine("Offen", {("Offen", "schliessen"): ("Zu", None), ("Zu", "öffnen"): ("Offen", None), ("Zu", "starten"): ("Läuft", None), ("Läuft", "warten"): ("OK", None), ("Läuft", "öffnen"): ("Offen", None), ("OK", "öffnen"): ("Offen", None)})
 SHOP = Machine("Shop", {("Shop", "checkout"): ("Kasse", None), ("Shop", "error"): ("Trap", "Verbindungsfehler"), ("Kasse", "pay"): ("Deal", None), ("Kasse", "error"): ("Trap", "Zahlungsfehler"), ("Kasse", "back"): ("Shop", None)}, stop=frozenset({"Deal", "Trap"}))

@@ -172,7 +172,7 @@ def xlsx_rows(raw: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
 
 
 #: Groups of rich text that hold no text of the document, and control words that stand for a character.
-RTF_SKIPPED = frozenset("fonttbl colortbl stylesheet info pict header footer footnote listtable listoverridetable generator object themedata".split())
+RTF_SKIPPED = frozenset(["fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "footnote", "listtable", "listoverridetable", "generator", "object", "themedata"])
 RTF_MARKS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "cell": " | ", "row": "\n", "tab": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 RTF_TOKEN = re.compile(r"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\(.)|([{}])|[\r\n]|([^\\{}\r\n]+)", re.DOTALL)
 
