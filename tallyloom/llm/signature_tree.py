@@ -19,7 +19,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -287,9 +287,13 @@ def loose_links(blocks: DataFrame, n: int, threshold: Fraction, parts: int) -> D
 class Forest:
     """Disjoint classes; the smaller of two takes the larger one's label."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, classes: list | None = None):
+        """classes: a name for each of the n, equal ones in one class from the start; None: each by itself."""
         self.label = np.arange(n)
         self.members = [[k] for k in range(n)]
+        first: dict = {}
+        for k, name in enumerate(classes or ()):
+            self.join(first.setdefault(name, k), k)
 
     def join(self, a: int, b: int) -> bool:
         x, y = self.label[a], self.label[b]
@@ -390,8 +394,8 @@ def join_leaves(x: SignatureTree, y: SignatureTree, xs: slice, ys: slice, forest
     return out
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: Fraction) -> list[tuple[int, int]]:
-    """Links that join all classes: within `left`, or between `left` and `right`.
+def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: Fraction, classes: list | None = None) -> list[tuple[int, int]]:
+    """Links that join all classes: within `left`, or between `left` and `right`; classes: what is one class already (see Forest).
 
     Dual traversal from the roots down; only node pairs that may hold a link are
     opened, and leaves whose sets are one class already are passed over.
@@ -399,7 +403,7 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold
     x = SignatureTree(left)
     y = x if right is None else SignatureTree(right)
     shift = 0 if right is None else len(left)
-    forest = Forest(len(left) + (0 if right is None else len(right)))
+    forest = Forest(len(left) + (0 if right is None else len(right)), classes)
     # Bring both trees to one height: a lone root may stand above itself.
     while len(x.levels) < len(y.levels):
         x.levels.append(x.levels[-1])
@@ -432,7 +436,8 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold
 
 
 def _cluster_rows(texts: DataFrame, n: int) -> DataFrame:
-    """key columns and the set of each clustered text; texts: doc_id, text, set_hash, cluster, mine, n_blocks."""
+    """cluster, mine, n_blocks, set_hash, class, payload (the set) of each clustered text; texts: doc_id, text and these."""
+    names = ("cluster", "mine", "n_blocks", "set_hash", "class")
 
     def run(batches):
         for part, data, off in rows_and_texts(batches):
@@ -442,11 +447,21 @@ def _cluster_rows(texts: DataFrame, n: int) -> DataFrame:
             rows = np.flatnonzero(hashes == wanted)
             packed = [pack(h[at[k] : at[k + 1]]) for k in rows]
             keep = part.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*(keep.column(keep.schema.get_field_index(c)) for c in ("cluster", "mine", "n_blocks", "set_hash")), pa.array(packed, pa.binary())], names=["cluster", "mine", "n_blocks", "set_hash", "payload"])
+            yield pa.RecordBatch.from_arrays([*(keep.column(keep.schema.get_field_index(c)) for c in names), pa.array(packed, pa.binary())], names=[*names, "payload"])
 
-    rows = texts.mapInArrow(run, "cluster long, mine int, n_blocks int, set_hash long, payload binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    return rows.select("*", other).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_hash", "payload")
+    return texts.select("text", *names).mapInArrow(run, "cluster long, mine int, n_blocks int, set_hash long, class long, payload binary")
+
+
+def _with_hub(rows: DataFrame) -> DataFrame:
+    """One block each, and the cluster's hub, its set of the smallest hash, in every block."""
+    own = F.when(F.col("set_hash") == F.col("cluster"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("mine"))
+    return rows.withColumn("i", F.explode(own)).select("cluster", "i", F.col("i").alias("j"), F.col("i").alias("mine"), "set_hash", "class", "payload")
+
+
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair of a cluster's blocks."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_hash", "class", "payload")
 
 
 def _links(rows: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
@@ -455,27 +470,28 @@ def _links(rows: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
 
         def emit():
             sides = {}
-            for (mine, h), s in held.items():
-                sides.setdefault(mine, []).append((int(s[0]), h, s))
+            for (mine, h), (s, name) in held.items():
+                sides.setdefault(mine, []).append((int(s[0]), h, s, name))
             for side in sides.values():
                 side.sort(key=lambda m: m[:2])  # near sets tend to share their least element
             if key[1] == key[2]:
                 left, right = sides.get(key[1], []), None
             else:
                 left, right = sides.get(key[1], []), sides.get(key[2], [])
-            found = tree_links([m[2] for m in left], None if right is None else [m[2] for m in right], threshold) if left and (right is None or right) else []
+            names = [m[3] for m in [*left, *(right or [])]]
+            found = tree_links([m[2] for m in left], None if right is None else [m[2] for m in right], threshold, names) if left and (right is None or right) else []
             other = left if right is None else right
             return pa.RecordBatch.from_arrays([pa.array([left[a][1] for a, _ in found], pa.int64()), pa.array([other[b][1] for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            cluster, i, j, mine, hashes = (batch.column(k).to_pylist() for k in range(5))
+            cluster, i, j, mine, hashes, names = (batch.column(k).to_pylist() for k in range(6))
             for k in range(batch.num_rows):
                 if (now := (cluster[k], i[k], j[k])) != key:
                     if held:
                         yield emit()
                     key, held = now, {}
                 if (mine[k], hashes[k]) not in held:
-                    held[mine[k], hashes[k]] = unpack(batch.column(5)[k].as_py())[0]
+                    held[mine[k], hashes[k]] = unpack(batch.column(6)[k].as_py())[0], names[k]
         if held:
             yield emit()
 
@@ -483,16 +499,20 @@ def _links(rows: DataFrame, threshold: Fraction, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4, doc_id: str = "doc_id", text: str = "text", block_shingles: int = 2_000_000, few_blocks: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4, doc_id: str = "doc_id", text: str = "text", first_shingles: int = 16_384, block_shingles: int = 2_000_000, few_blocks: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Rows link when the Jaccard similarity of their sets of n-word shingles is at
     least `threshold`; component_id is the smallest doc_id reachable. Null and
     empty texts, and texts without words, link with nothing. Equal sets (copies)
-    are joined as one. A cluster is cut into blocks of at most
+    are joined as one. A cluster is first cut into blocks of some `first_shingles`
+    shingles, each of which is joined by itself and with one set that all blocks
+    get: a cluster of near copies is one class then, in work that grows with its size.
+    What is left in several classes is cut into blocks of at most
     `block_shingles` shingles, smaller ones (an eighth) as long as that gives no
-    more than `few_blocks`; each pair of blocks is a task of its own, so a large
-    cluster is never in one task and no pair is left out. Sets are told apart by 64-bit
+    more than `few_blocks`; each pair of blocks is a task of its own that passes over
+    pairs in one class. So a large cluster is never in one task and no pair is left
+    out. Sets are told apart by 64-bit
     hashes of shingles. Texts of any length are read whole; repeated rows are equal
     sets; extra columns are ignored; an empty table gives an empty one; a null doc_id
     is never a component's id unless all its ids are null.
@@ -505,14 +525,25 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     distinct_sets = sets.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     loose = components(loose_links(blocks, n, threshold, parts))
     members = distinct_sets.join(loose, F.col("set_hash") == F.col("node")).select("set_hash", "rep", "n_shingles", F.col("component").alias("cluster"))
-    members = store(members, "members").df
+    members = store(members.withColumn("class", F.col("set_hash")), "members").df
+    sent = members.count() <= 500_000  # at most 20 MB; beyond, both sides are shuffled
+
+    def blocks_and_texts(members: DataFrame, n_blocks: Column) -> DataFrame:
+        sizes = members.groupBy("cluster").agg(n_blocks.cast("int").alias("n_blocks"), F.count("*").alias("n"))
+        placed = members.join(sizes.where("n > 1"), "cluster").withColumn("mine", F.pmod(F.hash("set_hash"), F.col("n_blocks"))).drop("n", "n_shingles")
+        return plain.join(F.broadcast(placed) if sent else placed, plain.doc_id == placed.rep)
+
     total = F.sum("n_shingles")
-    n_blocks = F.greatest(F.ceil(total / block_shingles), F.least(F.lit(few_blocks), F.ceil(total * few_blocks / block_shingles)))
-    sizes = members.groupBy("cluster").agg(n_blocks.cast("int").alias("n_blocks"), F.count("*").alias("n"))
-    placed = members.join(sizes.where("n > 1"), "cluster").withColumn("mine", F.pmod(F.hash("set_hash"), F.col("n_blocks"))).select("rep", "set_hash", "cluster", "mine", "n_blocks")
-    small = members.count() <= 500_000  # at most 20 MB; beyond, both sides are shuffled
-    texts = plain.join(F.broadcast(placed) if small else placed, plain.doc_id == placed.rep).drop("rep", "doc_id")
-    linked = components(_links(_cluster_rows(texts, n), threshold, parts))
+    near = components(_links(_with_hub(_cluster_rows(blocks_and_texts(members, F.ceil(total / first_shingles)), n)), threshold, parts))
+    near = store(near.select(F.col("node").alias("set_hash"), F.col("component").alias("class")), "near").df
+    members = members.drop("class").join(near, "set_hash", "left").withColumn("class", F.coalesce("class", "set_hash"))
+    open_ones = members.groupBy("cluster").agg(F.ceil(total / first_shingles).alias("k"), F.min("class").alias("low"), F.max("class").alias("high")).where("k > 1 and low < high").select("cluster")
+    rest = store(members.join(open_ones, "cluster", "left_semi"), "rest").df
+    linked = near.select(F.col("set_hash").alias("node"), F.col("class").alias("component"))
+    if not rest.isEmpty():
+        n_blocks = F.greatest(F.ceil(total / block_shingles), F.least(F.lit(few_blocks), F.ceil(total * few_blocks / block_shingles)))
+        more = _links(_in_pairs(_cluster_rows(blocks_and_texts(rest, n_blocks), n)), threshold, parts)
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = linked.join(members, linked.node == members.set_hash).groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = linked.join(named, "component").select(F.col("node").alias("set_hash"), F.col("component_id").alias("linked_id"))
     ids = distinct_sets.join(classes, "set_hash", "left").select("set_hash", F.coalesce("linked_id", "rep").alias("class_id"))

@@ -146,8 +146,8 @@ def test_near_copies_brute_force(spark):
     texts[k], texts[k + 1] = "", None
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = classes(texts)
-    for blocks, size in ((2_000_000, 8 << 20), (400, 1 << 12)):  # the second cuts clusters, and the table, into many blocks
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_tree.jaccard_components(docs, block_shingles=blocks, block_bytes=size).collect()}
+    for first, blocks, size in ((16_384, 2_000_000, 8 << 20), (150, 400, 1 << 12), (1, 100, 1 << 12)):  # the others cut clusters, and the table, into many blocks
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_tree.jaccard_components(docs, first_shingles=first, block_shingles=blocks, block_bytes=size).collect()}
         assert got == want
 
 
