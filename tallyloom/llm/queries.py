@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, katz, longest_match, mixing, ordinal, signature_tree, suffix_array, tiff, toxicity, weak
+from tallyloom.llm import alignment, ball_tree, bpe, katz, longest_match, mixing, ordinal, signature_tree, suffix_array, tiff, toxicity, transducer, weak
 from tallyloom.session import ship_package
 
 
@@ -61,8 +63,25 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_group_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE against sentencepiece; see alignment.aligned()."""
+    a, b = (Path(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(table(spark, sf_dir, "documents"), a.read_text("utf-8"), b.read_bytes())
+
+
+def op12_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See transducer.streamed()."""
+    raw = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text("utf-8")
+    return transducer.streamed(table(spark, sf_dir, "documents"), raw)
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters, 5 rounds; see ball_tree.ball_tree_clusters()."""
+    return ball_tree.ball_tree_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tiff_media, op2_suffix_dedup, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality, op10_katz)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_suffix_dedup, op3_weak_supervision, op4_jaccard_join, op5_byte_bpe, op6_longest_match, op7_toxicity, op8_mixing, op9_ordinal_quality, op10_katz, op11_group_alignment, op12_streaming_bpe, op13_ball_tree)}
 
 
 OP8_SQL = r"""
@@ -108,5 +127,24 @@ SELECT doc_id, min(i)::BIGINT AS start_word, (max(i) + 50)::BIGINT AS end_word,
 """
 
 
+def op13_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """As the query, with every distance computed."""
+    ctes = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), e) - 1 AS c, e FROM v WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"""a{n} AS MATERIALIZED (SELECT row, vec_id, v.e, c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.e[i] - c{n}.e[i]) * (v.e[i] - c{n}.e[i])))::BIGINT AS d
+  FROM v, c{n} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if n < rounds:
+            ctes.append(f"""c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m.e, c{n}.e) AS e FROM c{n} LEFT JOIN (
+  SELECT c, list(x ORDER BY i) AS e FROM (SELECT c, i, floor(sum(e[i])::DOUBLE / count(*))::BIGINT AS x FROM a{n}, range(1, {dims + 1}) AS r(i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c{rounds}.e, lambda x: x::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op8_mixing": OP8_SQL, "op13_ball_tree": op13_sql()}
