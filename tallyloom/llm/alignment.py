@@ -37,7 +37,7 @@ from tallyloom.store import store
 TEXTS, GROUPS, PAIRS = 0, 1, 2
 ROWS = "kind int, block long, number int, payload binary, a array<int>, b array<int>, a_id int, b_id int, docs long"
 BAR = 0xFFFFFFFF
-AT_A_TIME = 4096
+AT_A_TIME = 1024
 
 #: Before a single space between characters other than white space: byte-level BPE begins a pre-token there, and no piece has a space behind another character.
 UNIT_ENDS = re.compile(r"(?<=\S)(?= \S)")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tallyloom.llm.components import components
 from tallyloom.llm.packing import pack, unpack
@@ -431,6 +432,17 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold
 # ---------------------------------------------------------------- the operator
 
 
+def _with_set(texts: DataFrame, n: int) -> DataFrame:
+    """text, set_hash of each text."""
+
+    def run(batches):
+        for part, data, off in rows_and_texts(batches):
+            h, at = shingle_sets(data, off, n)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("text")), pa.array(to_signed(set_hashes(h, at)))], names=["text", "set_hash"])
+
+    return texts.select("text").mapInArrow(run, "text string, set_hash long")
+
+
 def _cluster_rows(texts: DataFrame, n: int) -> DataFrame:
     """key columns and the set of each clustered text; texts: doc_id, text, set_hash, cluster, mine, n_blocks."""
 
@@ -511,7 +523,10 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
     sizes = members.groupBy("cluster").agg(n_blocks.cast("int").alias("n_blocks"), F.count("*").alias("n"))
     placed = members.join(sizes.where("n > 1"), "cluster").withColumn("mine", F.pmod(F.hash("set_hash"), F.col("n_blocks"))).select("rep", "set_hash", "cluster", "mine", "n_blocks")
     small = members.count() <= 500_000  # at most 20 MB; beyond, both sides are shuffled
-    texts = plain.join(F.broadcast(placed) if small else placed, plain.doc_id == placed.rep).drop("rep", "doc_id")
+    texts = plain.join(F.broadcast(placed) if small else placed, plain.doc_id == placed.rep).select("text", "set_hash", "cluster", "mine", "n_blocks")
+    unnamed = placed.where("rep is null")
+    if not unnamed.isEmpty():  # sets of rows without an id only: their texts are found by the set
+        texts = texts.unionByName(_with_set(plain.where("doc_id is null"), n).join(unnamed, "set_hash").select(*texts.columns))
     linked = components(_links(_cluster_rows(texts, n), threshold, parts))
     named = linked.join(members, linked.node == members.set_hash).groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = linked.join(named, "component").select(F.col("node").alias("set_hash"), F.col("component_id").alias("linked_id"))
@@ -521,7 +536,7 @@ def jaccard_components(docs: DataFrame, threshold: Fraction = Fraction(85, 100),
 
 
 def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int = 4) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component; of rows that share such an id, one.
+    """The rows of docs that are the smallest doc_id of their component; of rows that share such an id, the one with the least text, then the least other columns.
 
     Rows without an id, a text or words all stay; texts of any length are compared
     whole; an empty table gives an empty one, of the same columns, whatever their
@@ -535,5 +550,7 @@ def one_of_each(docs: DataFrame, threshold: Fraction = Fraction(85, 100), n: int
     twice = store(twice, "twice").df
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("__tallyloom_twice"), "left_semi").dropDuplicates(["doc_id"])
+    again = kept.join(twice, F.col("doc_id") == F.col("__tallyloom_twice"), "left_semi")
+    order = ["text", *(f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (MapType, VariantType)))]
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(*(F.col(f"`{c}`") for c in order))).alias("__tallyloom_row")).select("__tallyloom_row.*")
     return kept.join(twice, F.col("doc_id") == F.col("__tallyloom_twice"), "left_anti").unionByName(again)

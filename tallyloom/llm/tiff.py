@@ -207,15 +207,16 @@ def undo_predictor(block: np.ndarray, predictor: int, byte_order: str) -> np.nda
     if predictor == 1:
         return block
     if predictor == 2:
-        return np.cumsum(block, axis=1, dtype=block.dtype)
-    if predictor == 3:
+        bits = block.view(f"{byte_order}u{block.dtype.itemsize}") if block.dtype.kind == "f" else block  # differences of floats are those of their bits
+        return np.cumsum(bits, axis=1, dtype=bits.dtype).view(block.dtype)
+    if predictor == 3 and block.dtype.kind == "f":
         rows, columns, samples = block.shape
         width = block.dtype.itemsize
         raw = np.ascontiguousarray(block).view(np.uint8).reshape(rows, -1, samples)
         planes = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, width, columns * samples)
         big = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{width}").reshape(rows, columns, samples)
         return big.astype(f"{byte_order}f{width}")
-    raise BadTiff(f"predictor {predictor}")
+    raise BadTiff(f"predictor {predictor} of {block.dtype.kind}{8 * block.dtype.itemsize}")
 
 
 # ---------------------------------------------------------------- files

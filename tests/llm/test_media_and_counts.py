@@ -49,6 +49,16 @@ def test_floating_point_predictor():
     assert tiff.undo_predictor(block, 3, "<").ravel().tolist() == rows.ravel().tolist()
 
 
+@pytest.mark.parametrize("width", [2, 4, 8])
+@pytest.mark.parametrize("order", "<>")
+def test_differences_of_floats_are_those_of_their_bits(width, order):
+    values = np.array([[1.5, 2.5, -3.25, 7.0], [0.0, -0.0, 1e4, 1e-4]], f"{order}f{width}").reshape(2, 4, 1)
+    stored = tiff.difference(values.view(f"{order}u{width}")).view(values.dtype)
+    assert tiff.undo_predictor(stored, 2, order).tobytes() == values.tobytes()
+    with pytest.raises(tiff.BadTiff):
+        tiff.undo_predictor(values.view(f"{order}i{width}"), 3, order)
+
+
 def test_damaged_files(spark):
     good = tiff.write_tiff([np.zeros((4, 4), np.uint8)] * 2)
     files = spark.createDataFrame([("ok", bytearray(good)), ("short", bytearray(good[:-30])), ("none", None), ("text", bytearray(b"hello world"))], "path string, content binary")
