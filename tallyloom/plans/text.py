@@ -22,17 +22,17 @@ def txt_clean(spark, sf_dir):
 MARKED = "'Vorwort' || chr(10) || '*** START OF THE BOOK' || chr(10) || text || chr(10) || '*** END OF THE BOOK' || chr(10) || 'Lizenz'"
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Vorwort ' || left(text, 50) ELSE text || chr(10) END AS body FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Vorwort ' || text ELSE text || chr(10) END AS body FROM documents")
 def txt_marker_cut(spark, sf_dir):
     """Text between two marker lines; texts without them stay."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"CASE WHEN doc_id % 3 = 0 THEN 'Vorwort ' || left(text, 50) ELSE {MARKED.replace('chr(10)', 'char(10)')} END AS t")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"CASE WHEN doc_id % 3 = 0 THEN 'Vorwort ' || text ELSE {MARKED.replace('chr(10)', 'char(10)')} END AS t")
     return rows.select("doc_id", X.between_markers(F.col("t"), "*** START OF THE BOOK", "*** END OF THE BOOK").alias("body"))
 
 
-@query(f"SELECT doc_id, len({TOKENS})::BIGINT AS n_tokens, array_to_string(list_slice({TOKENS}, 1, 20), ' ') AS head FROM documents")
+@query(f"SELECT doc_id, len({TOKENS})::BIGINT AS n_tokens, array_to_string({TOKENS}, ' ') AS tokens FROM documents")
 def txt_tokens(spark, sf_dir):
     t = X.letter_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(F.slice(t, 1, 20), " ").alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter({TOKENS}, lambda w: w NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})), ' ') AS kept FROM documents WHERE lang = 'de'")

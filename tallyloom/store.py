@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,39 +15,49 @@ from pyspark.sql.types import StructType
 from tallyloom.session import ship_package
 
 
+_made: dict[str, str] = {}  # temporary folders by application, where spark.checkpoint.dir is unset
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset in a local session, as in tests."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    master = spark.sparkContext.master
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if app not in _made:
+        _made[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+    return _made[app]
+
+
+class _Open(threading.local):
+    """Tables written within each scratch() of a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.scopes: list[list] = []
 
 
-_open: list[list] = []  # tables written within each scratch(), innermost last
+_open = _Open()
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables written inside are dropped at the end, but for those that keep() names: for work whose results are written as well."""
-    _open.append([])
+    _open.scopes.append([])
     try:
         yield
     finally:
-        for made in _open.pop():
+        for made in _open.scopes.pop():
             made.drop()
 
 
 def keep(made: Stored) -> Stored:
     """Let a table outlive the scratch() that it was written in."""
-    if _open and made in _open[-1]:
-        _open[-1].remove(made)
-        if len(_open) > 1:
-            _open[-2].append(made)
+    if _open.scopes and made in _open.scopes[-1]:
+        _open.scopes[-1].remove(made)
+        if len(_open.scopes) > 1:
+            _open.scopes[-2].append(made)
     return made
 
 
@@ -70,8 +81,8 @@ def store(df: DataFrame, name: str, partition: str | None = None) -> Stored:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     made = Stored(spark, path, df.schema)
-    if _open:
-        _open[-1].append(made)
+    if _open.scopes:
+        _open.scopes[-1].append(made)
     return made
 
 
@@ -92,8 +103,8 @@ def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition:
     table = f"{name}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key)
     (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
-    if _open:
-        _open[-1].append(StoredBuckets(spark, table, f"{shared_folder(spark)}/{table}"))
+    if _open.scopes:
+        _open.scopes[-1].append(StoredBuckets(spark, table, f"{shared_folder(spark)}/{table}"))
     return spark.table(table)
 
 
