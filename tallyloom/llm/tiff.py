@@ -208,7 +208,7 @@ def undo_predictor(block: np.ndarray, predictor: int, byte_order: str) -> np.nda
         return block
     if predictor == 2:
         bits = block.view(f"{byte_order}u{block.dtype.itemsize}") if block.dtype.kind == "f" else block  # differences of floats are those of their bits
-        return np.cumsum(bits, axis=1, dtype=bits.dtype).view(block.dtype)
+        return np.cumsum(bits, axis=1, dtype=bits.dtype).astype(bits.dtype).view(block.dtype)  # a sum is in native order
     if predictor == 3 and block.dtype.kind == "f":
         rows, columns, samples = block.shape
         width = block.dtype.itemsize
