@@ -100,8 +100,17 @@ PARITY = Machine("gerade", {("gerade", "0"): ("gerade", "gerade"), ("gerade", "1
 ADDER = Machine("carry_0", {(f"carry_{c}", str(x)): (f"carry_{(c + x // 2 + x % 2) // 2}", str((c + x // 2 + x % 2) % 2)) for c in (0, 1) for x in range(4)}, undefined=ERROR)
 
 
+TRAFFIC_LIGHT = Machine("ROT", {("ROT", "takt"): ("ROT_GELB", "rot/gelb"), ("ROT_GELB", "takt"): ("GRUEN", "gruen"), ("GRUEN", "takt"): ("GELB", "gelb"), ("GELB", "takt"): ("ROT", "rot")}, undefined=ERROR, seed=("rot",))
+PARKING = Machine("0€", {("0€", "1€"): ("1€", "nichts"), ("0€", "2€"): ("≥2€", "nichts"), ("0€", "drucken"): ("0€", "nichts"), ("1€", "1€"): ("≥2€", "nichts"), ("1€", "2€"): ("≥2€", "nichts"), ("1€", "drucken"): ("1€", "nichts"), ("≥2€", "1€"): ("≥2€", "nichts"), ("≥2€", "2€"): ("≥2€", "nichts"), ("≥2€", "drucken"): ("0€", "schein+1€")}, undefined=ERROR)
+INVERTER = Machine("start", {("start", "0"): ("nach_0", "0"), ("start", "1"): ("nach_0", "0"), ("nach_0", "0"): ("nach_0", "1"), ("nach_0", "1"): ("nach_1", "1"), ("nach_1", "0"): ("nach_0", "0"), ("nach_1", "1"): ("nach_1", "0")}, undefined=ERROR)
+DETECTOR_AB = Machine("start", {("start", "a"): ("nach_a", "0"), ("start", "b"): ("start", "0"), ("nach_a", "a"): ("nach_a", "0"), ("nach_a", "b"): ("start", "1")}, undefined=ERROR)
+DETECTOR_11 = Machine("q0", {("q0", "0"): ("q0", None), ("q0", "1"): ("q1", None), ("q1", "0"): ("q0", None), ("q1", "1"): ("q2", None), ("q2", "0"): ("q0", None), ("q2", "1"): ("q2", None)}, final=frozenset({"q2"}), undefined=ERROR)
+RAG = Machine("idle", {("idle", "run not"): ("retrieved", None), ("retrieved", "auto ok"): ("validated", None), ("validated", "auto ok"): ("generated", None), ("validated", "auto not"): ("failed", None)}, final=frozenset({"generated", "failed"}))
+RAG_LOOP = Machine("idle", {("idle", "run not"): ("first_gen", None), ("first_gen", "auto ok"): ("accepted", None), ("first_gen", "auto not"): ("critiqued", None), ("critiqued", "auto not"): ("retrieved_2", None), ("retrieved_2", "auto ok"): ("final_gen", None)}, final=frozenset({"accepted", "final_gen"}))
+
+
 def sequences(events: DataFrame, key: str, order: list[str], symbol: Column) -> DataFrame:
-    """key, inputs: each key's symbols in order, for results that hold all of a key's outputs."""
+    """key, inputs: each key's symbols in order, for keys with few events; see machines.transduced() for others."""
     rows = events.select(key, F.struct(*order, symbol.alias("x")).alias("e"))
     return rows.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("s")).select(key, F.col("s.x").alias("inputs"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import query, table
+from tallyloom.operators import machines as M
 from tallyloom.operators import sequences as S
 
 
@@ -59,14 +60,6 @@ def fsm_json_parity(spark, sf_dir):
     return ran(spark, sf_dir, S.PARITY, BIT_IN).select("user_id", "state", F.col("last").alias("output"))
 
 
-@query(f"{machine_sql(S.ADDER, 'cast(event_id % 4 AS VARCHAR)')} SELECT user_id, state, array_to_string(outs, '') AS digits FROM f")
-def fsm_json_adder(spark, sf_dir):
-    """The sum's digits are all of a user's outputs, so its inputs stand in one row as well."""
-    inputs = S.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr("cast(event_id % 4 AS STRING)"))
-    ends = inputs.select("user_id", S.run(S.ADDER, F.col("inputs")).alias("r"))
-    return ends.select("user_id", "r.state", F.array_join("r.outputs", "").alias("digits"))
-
-
 @query(f"{machine_sql(S.TURNSTILE, TURNSTILE_IN)} SELECT user_id, state FROM f")
 def fsm_turnstile_chunked(spark, sf_dir):
     """The same final states from hourly pieces."""
@@ -79,12 +72,6 @@ def fsm_form_chunked(spark, sf_dir):
     return ends.select("user_id", (~F.col("rejected") & (F.col("state") == "q4")).alias("valid"))
 
 
-def ran_with_outputs(spark, sf_dir, machine, symbol):
-    """user_id, r: for results that hold all of a user's outputs, whose inputs stand in one row as well."""
-    inputs = S.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(symbol))
-    return inputs.select("user_id", S.run(machine, F.col("inputs")).alias("r"))
-
-
 MICROWAVE_IN = "CASE event_type WHEN 'view' THEN 'schliessen' WHEN 'click' THEN 'starten' WHEN 'purchase' THEN 'warten' ELSE 'öffnen' END"
 DRINKS_IN = "CASE event_type WHEN 'purchase' THEN 'abbrechen' WHEN 'view' THEN 'warten' ELSE '1€ einwerfen' END"
 COINS_IN = "CASE event_type WHEN 'purchase' THEN 'abbrechen' ELSE '1€ einwerfen' END"
@@ -95,14 +82,79 @@ def fsm_microwave(spark, sf_dir):
     return ran(spark, sf_dir, S.MICROWAVE, MICROWAVE_IN).select("user_id", "state", (F.col("state") == "OK").alias("done"))
 
 
-@query(f"{machine_sql(S.MOORE_DRINKS, DRINKS_IN)} SELECT user_id, state, array_to_string(list_prepend('{S.MOORE_DRINKS.seed[0]}', outs), ',') AS outputs FROM f")
+def outputs_sql(machine: S.Machine, symbol: str) -> str:
+    """Every output of every user's machine, with the event that made it."""
+    seeds = "".join(f" UNION ALL SELECT DISTINCT user_id, -1, '{machine.start}', '{o}' FROM events" for o in machine.seed)
+    cte = machine_sql(machine, symbol).split(",\nf AS (")[0]
+    cte = cte.replace("SELECT user_id, ", "SELECT user_id, event_id, ", 1)
+    cte = cte.replace("r(user_id, rn, state, rejected, outs)", "r(user_id, rn, state, rejected, event_id, out)").replace("false, []::VARCHAR[] FROM e", "false, NULL::BIGINT, NULL::VARCHAR FROM e")
+    cte = cte.replace("CASE WHEN t.out IS NULL THEN r.outs ELSE list_append(r.outs, t.out) END", "e.event_id, t.out")
+    return f"{cte} SELECT user_id, event_id, state, out AS output FROM r WHERE out IS NOT NULL{seeds}"
+
+
+def outputs(spark, sf_dir, machine, symbol):
+    """What a machine says before any input has -1 as its event."""
+    out = M.outputs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(symbol), machine)
+    return out.select("user_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), "state", "output")
+
+
+QUATER_IN = "CASE event_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' ELSE '3' END"
+PARKING_IN = "CASE event_type WHEN 'purchase' THEN 'drucken' WHEN 'click' THEN '2€' ELSE '1€' END"
+LETTER_IN = "CASE WHEN event_type IN ('view', 'signup') THEN 'b' ELSE 'a' END"
+
+
+@query(outputs_sql(S.MOORE_DRINKS, DRINKS_IN))
 def fsm_moore(spark, sf_dir):
-    return ran_with_outputs(spark, sf_dir, S.MOORE_DRINKS, DRINKS_IN).select("user_id", "r.state", F.array_join("r.outputs", ",").alias("outputs"))
+    return outputs(spark, sf_dir, S.MOORE_DRINKS, DRINKS_IN)
 
 
-@query(f"{machine_sql(S.MEALY_DRINKS, COINS_IN)} SELECT user_id, state, array_to_string(outs, ',') AS outputs FROM f")
+@query(outputs_sql(S.MEALY_DRINKS, COINS_IN))
 def fsm_mealy(spark, sf_dir):
-    return ran_with_outputs(spark, sf_dir, S.MEALY_DRINKS, COINS_IN).select("user_id", "r.state", F.array_join("r.outputs", ",").alias("outputs"))
+    return outputs(spark, sf_dir, S.MEALY_DRINKS, COINS_IN)
+
+
+@query(outputs_sql(S.ADDER, QUATER_IN))
+def fsm_json_adder(spark, sf_dir):
+    """The sum's digits, lowest first."""
+    return outputs(spark, sf_dir, S.ADDER, QUATER_IN)
+
+
+@query(outputs_sql(S.TRAFFIC_LIGHT, "'takt'"))
+def fsm_traffic_light(spark, sf_dir):
+    return outputs(spark, sf_dir, S.TRAFFIC_LIGHT, "'takt'")
+
+
+@query(outputs_sql(S.PARKING, PARKING_IN))
+def fsm_parking(spark, sf_dir):
+    return outputs(spark, sf_dir, S.PARKING, PARKING_IN)
+
+
+@query(outputs_sql(S.INVERTER, BIT_IN))
+def fsm_inverter(spark, sf_dir):
+    return outputs(spark, sf_dir, S.INVERTER, BIT_IN)
+
+
+@query(outputs_sql(S.DETECTOR_AB, LETTER_IN))
+def fsm_detector_ab(spark, sf_dir):
+    return outputs(spark, sf_dir, S.DETECTOR_AB, LETTER_IN)
+
+
+@query(f"{machine_sql(S.DETECTOR_11, BIT_IN)} SELECT user_id, state, state = 'q2' AS accepted, rn AS \"read\" FROM f")
+def fsm_detector_11(spark, sf_dir):
+    return M.ends(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(BIT_IN), S.DETECTOR_11).select("user_id", "state", "accepted", "read")
+
+
+RAG_IN = "CASE event_type WHEN 'signup' THEN 'run not' WHEN 'click' THEN 'auto ok' WHEN 'view' THEN 'run not' ELSE 'auto not' END"
+
+
+@query(f"{machine_sql(S.RAG, RAG_IN)} SELECT user_id, state, state IN ('generated', 'failed') AS accepted FROM f")
+def fsm_rag(spark, sf_dir):
+    return M.ends(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(RAG_IN), S.RAG).select("user_id", "state", "accepted")
+
+
+@query(f"{machine_sql(S.RAG_LOOP, RAG_IN)} SELECT user_id, state, state IN ('accepted', 'final_gen') AS accepted FROM f")
+def fsm_rag_loop(spark, sf_dir):
+    return M.ends(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.expr(RAG_IN), S.RAG_LOOP).select("user_id", "state", "accepted")
 
 
 #: A graph for each document: a ring of 2 to 11 nodes, one or two chords, a tail that leaves it.
