@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from tallyloom.functions.text import words
 from tallyloom.session import ship_package
 from tallyloom.store import shared_folder
+from tallyloom.versions import Versions
 
 CANDIDATES, KEPT, RRF_K, RELEVANT, MOST_RETRIES = 15, 8, 60, 0.3, 3
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -151,32 +152,39 @@ class Bm25Index:
 
     @staticmethod
     def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", buckets: int = 64) -> Bm25Index:
-        """Write the index of docs to path, in place of an older one.
+        """Write the index of docs to path, in place of an older one once it is complete.
 
         Words are split at white space, case-sensitive; a null text is an empty document.
         Postings are dealt by ranges of term and document, so a word that all
         documents have is written by many tasks.
         """
         spark = docs.sparkSession
+        at = Versions(spark, path)
+        folder = at.fresh()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("tokens"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
         counts = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-        counts.select("term", "doc_id", "tf", "n", bucket).repartitionByRange(parts, "bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        df = _stored(spark, f"{path}/postings", POSTINGS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        counts.select("term", "doc_id", "tf", "n", bucket).repartitionByRange(parts, "bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        df = _stored(spark, f"{folder}/postings", POSTINGS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
         sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
-        sizes.write.mode("overwrite").parquet(f"{path}/sizes")
-        n_docs = spark.read.parquet(f"{path}/sizes")
+        sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
+        n_docs = spark.read.parquet(f"{folder}/sizes")
         idf = df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "bucket")
-        idf.repartition(parts, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-        mean = _stored(spark, f"{path}/terms", TERMS).agg(F.avg("idf").alias("mean_idf"))
-        n_docs.crossJoin(F.broadcast(mean)).write.mode("overwrite").parquet(f"{path}/stats")
+        idf.repartition(parts, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+        mean = _stored(spark, f"{folder}/terms", TERMS).agg(F.avg("idf").alias("mean_idf"))
+        n_docs.crossJoin(F.broadcast(mean)).write.mode("overwrite").parquet(f"{folder}/stats")
+        at.commit(folder)
         return Bm25Index.load(spark, path, buckets)
 
     @staticmethod
     def load(spark: SparkSession, path: str, buckets: int = 64) -> Bm25Index:
-        stats = spark.read.parquet(f"{path}/stats")  # written last: without it the index is not complete
-        return Bm25Index(path, _stored(spark, f"{path}/postings", POSTINGS), _stored(spark, f"{path}/terms", TERMS), stats, buckets)
+        """The last index that was published at path; FileNotFoundError without one."""
+        folder = Versions(spark, path).current()
+        if folder is None:
+            raise FileNotFoundError(path)
+        stats = spark.read.parquet(f"{folder}/stats")
+        return Bm25Index(path, _stored(spark, f"{folder}/postings", POSTINGS), _stored(spark, f"{folder}/terms", TERMS), stats, buckets)
 
     def search(self, question: str, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
         """doc_id, score > or < 0 for each document with a word of the question.

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import query, table
 from tallyloom.functions.text import words
 from tallyloom.operators import retrieval as R
+from tallyloom.operators.vector_index import VectorIndex
 from tallyloom.store import files_digest, shared_folder
 
 QUESTION = "Licensed under the Apache License, Version 2.0. erth tion"
@@ -50,7 +52,7 @@ def bm25_index(spark, sf_dir) -> R.Bm25Index:
     path = f"{shared_folder(spark)}/bm25-{files_digest(spark, docs.inputFiles())}"
     try:
         return R.Bm25Index.load(spark, path)
-    except AnalysisException:
+    except FileNotFoundError:
         return R.Bm25Index.build(docs, path)
 
 
@@ -100,6 +102,16 @@ def vec_topk(spark, sf_dir):
     return vec_ranked(spark, sf_dir).select("vec_id", "label", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 15""")
+def vec_index_topk(spark, sf_dir):
+    """The fifteen nearest of every vector whose id is divisible by 100, by an index that is built first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(vectors, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    found, _ = index.search(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), R.CANDIDATES)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {VEC} SELECT vec_id, round(score, 6) AS score FROM vs WHERE vec_id <> 0 ORDER BY round(vs.score, 9) DESC, vec_id LIMIT 10")
 def vec_most_similar(spark, sf_dir):
     scored = R.cosine(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir)).where(F.col("vec_id") != QUERY_VECTOR).withColumn("_s", F.round("score", 9))

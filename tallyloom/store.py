@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -109,12 +110,13 @@ def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition:
 
 
 def files_digest(spark: SparkSession, files: list[str]) -> str:
-    """A name for these files as they are: their paths, sizes and times of change."""
+    """A name for these files as they are: their paths, sizes and times of change. Each folder is listed once."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    seen = []
-    for f in sorted(files):
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        state = path.getFileSystem(conf).getFileStatus(path)
-        seen.append(f"{f}|{state.getLen()}|{state.getModificationTime()}")
-    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:24]
+    wanted, seen = {unquote(urlsplit(f).path) for f in files}, []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        for s in path.getFileSystem(conf).listStatus(path):
+            if (name := s.getPath().toUri().getPath()) in wanted:
+                seen.append(f"{name}|{s.getLen()}|{s.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
