@@ -1,3 +1,3 @@
 """Queries bound to the test tables; importing this package registers them."""
 
-from tallyloom.plans import documents, inventory, profile, retrieval, sequences, text, vectors  # noqa: F401
+from tallyloom.plans import documents, inventory, profile, retrieval, sequences, state, text, vectors  # noqa: F401
