@@ -94,3 +94,9 @@ def html_title(html: Column) -> Column:
 def rows_to_text(rows: Column) -> Column:
     """Rows of cells as lines with bars between cells; null is empty."""
     return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | ")), "\n")
+
+
+def in_order(strings: Column, locale: str) -> Column:
+    """An array of strings in the order of a locale; those that it holds equal by code point."""
+    keyed = F.transform(strings, lambda s: F.struct(F.collate(s, locale).alias("k"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x.getField("s"))

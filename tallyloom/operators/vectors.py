@@ -51,9 +51,9 @@ def cross_entropy(x: Column, p: Column, eps: float = 1e-7) -> Column:
     return -(x * F.log(q) + (1 - x) * F.log(1 - q))
 
 
-def lcg(seed: int, n: int) -> Column:
+def lcg(seed: int | Column, n: int) -> Column:
     """n draws in [0, 1) of s = (s * 25214903917 + 11) mod 65536, as an array."""
     step = lambda s: (s * (25214903917 % 65536) + 11) % 65536
-    first = F.array(step(F.lit(seed).cast("long")))
+    first = F.array(step((seed if isinstance(seed, Column) else F.lit(seed)).cast("long")))
     states = F.aggregate(F.sequence(F.lit(2), F.lit(n)), first, lambda a, _: F.concat(a, F.array(step(F.element_at(a, -1))))) if n > 1 else first
     return F.transform(states, lambda s: s / 65536.0)

@@ -196,11 +196,17 @@ def quiz_html(spark, sf_dir):
     return D.quiz_html(quiz(spark, sf_dir), "<h1>{{TITLE}}</h1><script>{{QUESTIONS}}</script>", "Q")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, false), (2, 1, false), (3, 1, true)) t(round, issues, done)")
+@query(f"""WITH q AS {Q_SQL}, p AS (SELECT quiz FROM q GROUP BY 1 HAVING count(*) <> 10 UNION ALL SELECT quiz FROM q WHERE len(options) <> 4 UNION ALL SELECT quiz FROM q WHERE correct NOT BETWEEN 0 AND 3),
+n AS (SELECT quiz, coalesce(n, 0) AS n FROM (SELECT DISTINCT quiz FROM q) LEFT JOIN (SELECT quiz, count(*) AS n FROM p GROUP BY 1) USING (quiz))
+SELECT quiz, r::BIGINT AS round, n - r + 1 AS issues, n - r + 1 = 0 OR r = 3 AS done FROM n, range(1, 4) t(r) WHERE r <= n + 1""")
 def quiz_loop(spark, sf_dir):
-    """A checker that is never content ends after three rounds."""
-    rows = D.quiz_rounds(lambda k: k, lambda k: ["x"] * max(1, 3 - k))
-    return spark.createDataFrame([(r["round"], r["issues"], r["done"]) for r in rows], "round long, issues long, done boolean")
+    """Checker and repair in turns, for every quiz: a round mends one problem; it ends without problems, or after three rounds."""
+    rows = quiz(spark, sf_dir)
+    n = D.quiz_structure(rows).groupBy("quiz").agg(F.count("*").alias("n"))
+    every = rows.select("quiz").distinct().join(n, "quiz", "left").fillna(0, ["n"])
+    turns = every.select("quiz", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(3), F.col("n") + 1))).alias("round"))
+    left = F.col("n") - F.col("round") + 1
+    return turns.select("quiz", "round", left.alias("issues"), ((left == 0) | (F.col("round") == 3)).alias("done"))
 
 
 # ---------------------------------------------------------------- files

@@ -94,6 +94,12 @@ def w2v_vocab(spark, sf_dir):
     return rows.select("doc_id", F.array_join("x", " ").alias("vocabulary"), F.size("x").cast("long").alias("n"))
 
 
+@query(f"SELECT doc_id, array_to_string(list(word ORDER BY word COLLATE de, word), ' ') AS vocabulary FROM (SELECT DISTINCT doc_id, word FROM ({SEQ})) GROUP BY 1")
+def w2v_vocab_german(spark, sf_dir):
+    """Each text's vocabulary in German order: umlauts beside their vowels."""
+    return token_rows(spark, sf_dir).select("doc_id", F.array_join(X.in_order(F.array_distinct("words"), "de"), " ").alias("vocabulary"))
+
+
 @query(f"WITH s AS ({SEQ}) SELECT a.doc_id, a.pos, any_value(a.word) AS target, coalesce(string_agg(b.word, ' ' ORDER BY b.pos), '') AS context FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos GROUP BY 1, 2")
 def w2v_skipgram(spark, sf_dir):
     """Each word and its neighbours within two places."""
@@ -108,10 +114,11 @@ def w2v_multihot(spark, sf_dir):
     return words.select("doc_id", "pos", "word", F.size(F.filter("context", lambda x: x == F.col("word"))).cast("long").alias("n"))
 
 
-@query("WITH RECURSIVE r(k, s) AS (SELECT 1::BIGINT, (1 * (25214903917 % 65536) + 11) % 65536 UNION ALL SELECT k + 1, (s * (25214903917 % 65536) + 11) % 65536 FROM r WHERE k < 50) SELECT k, s / 65536.0::DOUBLE AS u FROM r")
+@query("WITH RECURSIVE r(doc_id, k, s) AS (SELECT doc_id, 1::BIGINT, (doc_id % 65536 * (25214903917 % 65536) + 11) % 65536 FROM documents UNION ALL SELECT doc_id, k + 1, (s * (25214903917 % 65536) + 11) % 65536 FROM r WHERE k < 8) SELECT doc_id, k, s / 65536.0::DOUBLE AS u FROM r")
 def w2v_lcg(spark, sf_dir):
-    draws = spark.range(1).select(F.posexplode(V.lcg(1, 50)).alias("k", "u"))
-    return draws.select((F.col("k") + 1).cast("long").alias("k"), "u")
+    """The first eight draws of a generator that each document's id seeds."""
+    draws = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(V.lcg(F.col("doc_id") % 65536, 8)).alias("k", "u"))
+    return draws.select("doc_id", (F.col("k") + 1).cast("long").alias("k"), "u")
 
 
 @query()
@@ -191,9 +198,9 @@ def w2v_epoch_loss(spark, sf_dir):
 
 @query()
 def w2v_sgd_golden(spark, sf_dir):
-    """Losses of the small network on three rows, one step each."""
-    from tallyloom.operators.word2vec import Network
+    """A small network for each turn of a conversation, one step for each of its words and the words beside it: the mean loss of the first and of the second pass."""
+    from tallyloom.operators.word2vec import small_networks
 
-    net = Network.create(4, 2, seed=1)
-    rows = [(0, [0, 1, 1, 0]), (1, [1, 0, 1, 1]), (2, [1, 2, 0, 0])]
-    return spark.createDataFrame([(k, round(net.step(w, c, 0.1), 9)) for k, (w, c) in enumerate(rows)], "step long, loss double")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.letter_tokens(F.col("text")).alias("words"))
+    losses = small_networks(rows, ["conv_id", "turn"], "words")
+    return losses.select("conv_id", "turn", "n_words", F.round("first_loss", 6).alias("first_loss"), F.round("second_loss", 6).alias("second_loss"))

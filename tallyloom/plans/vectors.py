@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.catalog import query, table
+from tallyloom.functions import random as R
 from tallyloom.operators import vectors as V
+from tallyloom.operators.resample import resampled, weights
 
 #: Fixed weights by a rule: 8 inputs to 4 to 2, and back.
 W1 = [[((3 * i + 7 * j) % 11 - 5) / 20 for i in range(64)] for j in range(4)]
@@ -50,12 +52,13 @@ def ae_encode(spark, sf_dir):
     return z.select("vec_id", F.round(F.get("z", F.lit(0)), 5).alias("z1"), F.round(F.get("z", F.lit(1)), 5).alias("z2"))
 
 
-@query(f"SELECT i, j, round(y[1], 6) AS y1, round(y[2], 6) AS y2, round(y[3], 6) AS y3, round(y[4], 6) AS y4 FROM (SELECT i, j, {duck_dense('[i / 5.0, j / 5.0]', W3, B3)} AS y FROM range(-5, 6) a(i), range(-5, 6) b(j))")
+@query(f"SELECT vec_id, round(y[1], 6) AS y1, round(y[2], 6) AS y2, round(y[3], 6) AS y3, round(y[4], 6) AS y4 FROM (SELECT vec_id, {duck_dense('z', W3, B3)} AS y FROM (SELECT vec_id, {duck_dense('h', W2, B2)} AS z FROM (SELECT vec_id, {duck_dense('embedding', W1, B1)} AS h FROM embeddings)))")
 def ae_decode(spark, sf_dir):
-    """Any latent points, decoded."""
-    points = spark.range(-5, 6).withColumnRenamed("id", "i").crossJoin(spark.range(-5, 6).withColumnRenamed("id", "j"))
-    y = points.select("i", "j", V.dense(F.array(F.col("i") / 5.0, F.col("j") / 5.0), W3, B3).alias("y"))
-    return y.select("i", "j", *[F.round(F.get("y", F.lit(k)), 6).alias(f"y{k + 1}") for k in range(4)])
+    """The latent point of every vector, decoded."""
+    hidden = table(spark, sf_dir, "embeddings").select("vec_id", V.dense(F.col("embedding").cast("array<double>"), W1, B1).alias("h"))
+    points = hidden.select("vec_id", V.dense(F.col("h"), W2, B2).alias("z"))
+    y = points.select("vec_id", V.dense(F.col("z"), W3, B3).alias("y"))
+    return y.select("vec_id", *[F.round(F.get("y", F.lit(k)), 6).alias(f"y{k + 1}") for k in range(4)])
 
 
 LATENT = "SELECT vec_id, label, unnest(range(0, 32)) AS pos, unnest(embedding[1:32])::DOUBLE AS mu, unnest(embedding[33:64])::DOUBLE / 4 AS lv FROM embeddings"
@@ -102,11 +105,81 @@ def loss_mse(spark, sf_dir):
     return V.min_max(long_form(spark, sf_dir)).groupBy("vec_id").agg(F.round(F.avg(d * d), 7).alias("loss"))
 
 
-@query("SELECT i, j, round(-1 + 2 * i / 29.0, 6) AS x, round(1 - 2 * j / 29.0, 6) AS y FROM range(0, 30) a(i), range(0, 30) b(j)")
+@query("SELECT label, i, j, round(top * (-1 + 2 * i / 29.0), 6) AS x, round(top * (1 - 2 * j / 29.0), 6) AS y FROM (SELECT label, max(greatest(abs(embedding[1]::DOUBLE), abs(embedding[2]::DOUBLE))) AS top FROM embeddings GROUP BY 1), range(0, 30) a(i), range(0, 30) b(j)")
 def latent_grid(spark, sf_dir):
-    """A grid over [-1, 1] squared, y from the top."""
-    cells = spark.range(30).withColumnRenamed("id", "i").crossJoin(spark.range(30).withColumnRenamed("id", "j"))
-    return cells.select("i", "j", F.round(-1 + 2 * F.col("i") / 29.0, 6).alias("x"), F.round(1 - 2 * F.col("j") / 29.0, 6).alias("y"))
+    """For each label a grid of thirty by thirty points over the square that its first two numbers span, y from the top."""
+    first = lambda k: F.abs(F.get("embedding", F.lit(k)).cast("double"))
+    spans = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.greatest(first(0), first(1))).alias("top"))
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))
+    cells = spans.select("label", "top", F.explode(steps).alias("i")).select("label", "top", "i", F.explode(steps).alias("j"))
+    return cells.select("label", "i", "j", F.round(F.col("top") * (-1 + 2 * F.col("i") / 29.0), 6).alias("x"), F.round(F.col("top") * (1 - 2 * F.col("j") / 29.0), 6).alias("y"))
+
+
+@query(f"SELECT vec_id, pos, round(greatest(0, least(1, x + 0.5 * {R.normal_sql(11, 'vec_id', 'pos')})), 6) AS x FROM ({SCALED})")
+def img_noise_gauss(spark, sf_dir):
+    """Scaled pixels with normal noise of factor one half, clipped; drawn by vector and place."""
+    noise = R.normal(11, F.col("vec_id"), F.col("pos"))
+    return V.min_max(long_form(spark, sf_dir)).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(V.clip(F.col("x") + 0.5 * noise), 6).alias("x"))
+
+
+@query(f"SELECT vec_id, pos, round(mu + exp(0.5 * lv) * {R.normal_sql(12, 'vec_id', 'pos')}, 6) AS z FROM ({LATENT})")
+def vae_sample(spark, sf_dir):
+    """Reparameterised points with normal draws."""
+    return latent(spark, sf_dir).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(V.reparameterise(F.col("mu"), F.col("lv"), R.normal(12, F.col("vec_id"), F.col("pos"))), 6).alias("z"))
+
+
+@query(f"SELECT label, k, pos, round(mu + sd * {R.normal_sql(13, 'label', 'k', 'pos')}, 6) AS z FROM (SELECT label, pos, avg(x) AS mu, stddev_pop(x) AS sd FROM ({LONG}) GROUP BY 1, 2), range(0, 20) r(k)")
+def latent_random(spark, sf_dir):
+    """Twenty random points for each label, as normal as its vectors are in each dimension."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
+    spread = rows.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    points = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("k"))
+    return points.select("label", "k", "pos", F.round(F.col("mu") + F.col("sd") * R.normal(13, F.col("label"), F.col("k"), F.col("pos")), 6).alias("z"))
+
+
+def resample_sql(to: tuple[int, int], name: str) -> str:
+    pairs = [(i, j, sum_) for i, w in enumerate(weights(8, to[0], name)) for j, sum_ in enumerate(w) if sum_]
+    across = [(i, j, x) for i, w in enumerate(weights(8, to[1], name)) for j, x in enumerate(w) if x]
+    values = lambda rows: ", ".join(f"({i}, {j}, {x!r}::DOUBLE)" for i, j, x in rows)
+    return f"""WITH d(o, a, w) AS (VALUES {values(pairs)}), c(p, b, v) AS (VALUES {values(across)})
+SELECT vec_id, (o * {to[1]} + p)::BIGINT AS pos, round(sum(x * w * v), 5) AS x FROM ({LONG}) l JOIN d ON d.a = l.pos // 8 JOIN c ON c.b = l.pos % 8 GROUP BY 1, 2"""
+
+
+def resampled_images(spark, sf_dir, to, name):
+    pixels = resampled(F.col("embedding").cast("array<double>"), (8, 8), to, name)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(pixels).alias("pos", "x"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
+
+
+@query(resample_sql((5, 3), "bicubic"))
+def img_resample_bicubic(spark, sf_dir):
+    """Vectors as images of 8 x 8, shrunk to 5 x 3."""
+    return resampled_images(spark, sf_dir, (5, 3), "bicubic")
+
+
+@query(resample_sql((14, 14), "bilinear"))
+def img_resample_bilinear(spark, sf_dir):
+    """The same, stretched to 14 x 14."""
+    return resampled_images(spark, sf_dir, (14, 14), "bilinear")
+
+
+@query(resample_sql((4, 4), "box"))
+def img_resample_box(spark, sf_dir):
+    return resampled_images(spark, sf_dir, (4, 4), "box")
+
+
+@query()
+def words_pca2(spark, sf_dir):
+    """The hundred most frequent words on two principal components of their vectors."""
+    from tallyloom.functions.text import letter_tokens
+    from tallyloom.operators.components2d import principal_components
+    from tallyloom.operators.word2vec import train_vectors
+
+    words = table(spark, sf_dir, "documents").select(letter_tokens(F.col("text")).alias("words"))
+    most = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
+    vectors = train_vectors(words, size=16, window=5, min_count=2, iterations=1)
+    places = principal_components(vectors.join(F.broadcast(most.select("word")), "word"), "word", "vector")
+    return places.select("word", F.round("pc1", 4).alias("pc1"), F.round("pc2", 4).alias("pc2"))
 
 
 @query(f"SELECT label, pos, round(avg(x), 6) AS x FROM ({LONG}) GROUP BY 1, 2")
