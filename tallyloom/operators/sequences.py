@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.strong import strong_components
 from tallyloom.store import store
 
 STAY, REJECT, ERROR = "stay", "reject", "error"
@@ -179,24 +180,17 @@ def merge_updates(updates: DataFrame, key: str, seq: str, last: list[str], appen
 def cycles(edges: DataFrame, *keys: str) -> DataFrame:
     """keys, cycle, n: every simple cycle of each key's graph, of any length, written from its smallest node on.
 
-    Edges that lie on no cycle are taken away first: those into nodes that nothing
-    leaves, and out of nodes that nothing enters, until there are none. Paths then grow
-    one edge per pass and only from their smallest node, so each cycle is found once;
-    it ends when no path is open. The number of simple cycles is exponential in the
-    worst case: this is meant for many small graphs, each told apart by its keys.
+    A cycle lies within one strongly connected component, so only edges within one are
+    followed. Paths grow one edge per pass and only from their smallest node, so each
+    cycle is found once; it ends when no path is open. The number of simple cycles is
+    exponential in the worst case: this is meant for many small graphs, each told apart
+    by its keys.
     """
     by = list(keys)
+    parts = store(strong_components(edges, *by), "components").df
+    of = lambda c: parts.select(*by, F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     e = edges.select(*by, F.col("source").alias("u"), F.col("target").alias("v")).distinct()
-    held = store(e, "edges")
-    n = held.df.count()
-    while n:
-        left, entered = held.df.select(*by, F.col("u").alias("v")).distinct(), held.df.select(*by, F.col("v").alias("u")).distinct()
-        kept = store(held.df.join(left, [*by, "v"], "left_semi").join(entered, [*by, "u"], "left_semi").select(*by, "u", "v"), "edges")
-        held.drop()
-        held, before, n = kept, n, kept.df.count()
-        if n == before:
-            break
-    e = held.df
+    e = store(e.join(of("u"), [*by, "u"]).join(of("v"), [*by, "v"]).where("_u = _v").select(*by, "u", "v"), "edges").df
     paths = store(e.select(*by, F.array("u").alias("path"), F.col("v").alias("at")), "paths")
     found = []
     while True:

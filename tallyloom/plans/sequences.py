@@ -165,12 +165,22 @@ NODE = "lpad(CAST({} AS {t}), 2, '0')"
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, {NODE.format(a, t='VARCHAR')} AS source, {NODE.format(b, t='VARCHAR')} AS target FROM documents, range(12) t(k) WHERE {w}" for a, b, w in EDGES) + ")), p(doc_id, path, cur) AS (SELECT doc_id, [source], target FROM e UNION ALL SELECT p.doc_id, list_append(p.path, p.cur), e.target FROM p JOIN e ON e.doc_id = p.doc_id AND e.source = p.cur WHERE p.cur > p.path[1] AND NOT list_contains(p.path, p.cur)) SELECT doc_id, array_to_string(path, '>') AS cycle, len(path)::BIGINT AS n FROM p WHERE cur = path[1]")
 def graph_cycles(spark, sf_dir):
+    return S.cycles(graphs(spark, sf_dir), "doc_id")
+
+
+def graphs(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "explode(sequence(0L, 11L)) AS k")
     parts = [rows.where(w).selectExpr("doc_id", f"{NODE.format(a, t='STRING')} AS source", f"{NODE.format(b, t='STRING')} AS target") for a, b, w in EDGES]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return S.cycles(every, "doc_id")
+    return every
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, {NODE.format(a, t='VARCHAR')} AS source, {NODE.format(b, t='VARCHAR')} AS target FROM documents, range(12) t(k) WHERE {w}" for a, b, w in EDGES) + ")), r(doc_id, a, b) AS (SELECT doc_id, source, target FROM e UNION SELECT r.doc_id, r.a, e.target FROM r JOIN e ON e.doc_id = r.doc_id AND e.source = r.b) SELECT x.doc_id, x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.doc_id = x.doc_id AND y.a = x.b AND y.b = x.a GROUP BY 1, 2")
+def graph_components(spark, sf_dir):
+    """The strongly connected components of every document's graph that hold a cycle."""
+    return S.strong_components(graphs(spark, sf_dir), "doc_id")
 
 
 @query("WITH s AS (SELECT doc_id, 'n' || k AS node FROM documents, range(5) t(k) WHERE (doc_id + k) % 4 > 0), g AS (SELECT doc_id, 'n' || k AS node FROM documents, range(6) t(k) WHERE (doc_id + k) % 5 > 0) SELECT doc_id, node, 'only_spec' AS problem FROM s WHERE (doc_id, node) NOT IN (SELECT doc_id, node FROM g) UNION ALL SELECT doc_id, node, 'only_graph' FROM g WHERE (doc_id, node) NOT IN (SELECT doc_id, node FROM s)")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import query, table
 from tallyloom.functions import text as X
 from tallyloom.operators import vectors as V
+from tallyloom.operators.sentences import abbreviations, sentences
 from tallyloom.operators.word2vec import train_vectors
+from tallyloom.store import store
 
 #: Words that carry little, German and dialect.
 STOP_WORDS = "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sagte sprach schon ging kam wohl wer daß dat de un he se ik up as nich fru säd sä do vun".split()
@@ -35,6 +37,14 @@ def txt_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
+@query()
+def txt_sentences(spark, sf_dir):
+    """Sentences of all texts, cut with the abbreviations that all texts show."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = store(abbreviations(docs), "abbreviations").df
+    return sentences(docs, known).select("doc_id", "sentence", F.array_join("words", " ").alias("words"))
+
+
 @query(f"SELECT doc_id, array_to_string(list_filter({TOKENS}, lambda w: w NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})), ' ') AS kept FROM documents WHERE lang = 'de'")
 def txt_stopwords(spark, sf_dir):
     """Tokens without stop words, repeats kept."""

@@ -232,3 +232,27 @@ def ae_train(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("label in (1, 2, 8)").select("label", F.col("embedding").alias("x"))
     losses = {label: losses for label, (_, losses) in train(rows, "label", "x", epochs=25).items()}
     return spark.createDataFrame([(int(k), v[0], v[-1]) for k, v in sorted(losses.items())], "label int, first_loss double, last_loss double")
+
+
+def epochs_frame(spark, history):
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(history)], "epoch long, reconstruction double, divergence double")
+
+
+@query()
+def ae_deep_train(spark, sf_dir):
+    """An autoencoder 100-50-2-50-100 on all vectors: the mean squared error of each epoch."""
+    from tallyloom.operators.networks import Plain, train
+
+    _, history = train(table(spark, sf_dir, "embeddings"), Plain(64), "vec_id", "embedding", epochs=6, batches=4, rate=0.003)
+    return epochs_frame(spark, history).drop("divergence")
+
+
+@query()
+def vae_train(spark, sf_dir):
+    """A variational autoencoder on all vectors, scaled by the greatest absolute value to [0, 1]: both parts of the loss by epoch."""
+    from tallyloom.operators.networks import Variational, train
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    _, history = train(rows.select("vec_id", F.transform("v", lambda x: (x / top + 1) / 2).alias("x")), Variational(64), "vec_id", "x", epochs=6, batches=4, rate=0.01)
+    return epochs_frame(spark, history)
