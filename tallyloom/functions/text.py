@@ -87,8 +87,51 @@ def excerpt(text: Column) -> tuple[Column, Column]:
     return F.substring(title, 1, 120), F.substring(F.array_join(F.slice(lines, 1, 5), " | "), 1, 300)
 
 
-def html_title(html: Column) -> Column:
-    return F.substring(F.trim(F.regexp_extract(F.substring(html, 1, 10_000), r"(?is)<title>(.*?)</title>", 1)), 1, 120)
+#: What an HTML page has that is no text.
+NO_TEXT = (r"(?s)<!--.*?-->", r"(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>", r"(?is)<!doctype[^>]*>")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def html_text(html: Column) -> Column:
+    """The pieces of text between tags, without white space around them, joined by a space; the commonest entities are resolved."""
+    for pattern in NO_TEXT:
+        html = F.regexp_replace(html, pattern, "")
+    pieces = F.filter(F.transform(F.split(html, r"<[^>]*>"), stripped), lambda s: s != "")
+    text = F.array_join(pieces, " ")
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def html_parts(html: Column) -> tuple[Column, Column, Column]:
+    """(title, else the first heading; 300 characters of text; the first 300 characters as they stand), from the first 10,000 characters."""
+    head = F.substring(html, 1, 10_000)
+    title = stripped(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    heading = html_text(F.regexp_extract(head, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    return F.substring(F.when(title != "", title).otherwise(heading), 1, 120), F.substring(html_text(head), 1, 300), F.substring(head, 1, 300)
+
+
+def json_parts(text: Column, most: int = 5000) -> tuple[Column, Column]:
+    """(title, excerpt) of a JSON text, of which `most` characters are read: the first key and ten keys, or a list's length; nulls where that is no JSON."""
+    read = F.substring(text, 1, most)
+    keys, n = F.slice(F.json_object_keys(read), 1, 10), F.json_array_length(read)
+    shown = F.array_join(keys, ", ")
+    scalar = F.when(~read.rlike(r"^\s*[\[{]"), F.get_json_object(read, "$"))
+    title = F.when(keys.isNotNull(), F.coalesce(F.get(keys, F.lit(0)), F.lit(""))).when(n.isNotNull(), F.concat(n.cast("string"), F.lit(" Einträge"))).when(scalar.isNotNull(), "")
+    excerpt = F.when(keys.isNotNull(), F.concat(F.lit("Keys: "), shown)).when(n.isNotNull(), F.concat(F.lit("Array mit "), n.cast("string"), F.lit(" Einträgen"))).otherwise(scalar)
+    return title, F.substring(excerpt, 1, 300)
+
+
+def quoted(path: Column) -> Column:
+    """A path for a URL: all but letters, digits, _.-~ and / as percent signs and bytes."""
+    out = F.url_encode(path)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def rows_to_text(rows: Column) -> Column:

@@ -91,12 +91,8 @@ def all_folders(files: DataFrame) -> DataFrame:
     return files.select("folder").distinct().select(F.explode(ups).alias("folder")).distinct()
 
 
-def naming_pattern(files: DataFrame) -> DataFrame:
-    """folder, separator, prefixes (the ten most frequent that occur twice), hits, confidence.
-
-    The separator with most votes splits the stems; ties go by the order _, -,
-    space, none. Each step is an aggregation, so a large folder is no hot task.
-    """
+def _naming(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(folder, n_files, separator; files with separator and prefix; folder, prefix, with_rest of the ten most frequent prefixes that occur twice)."""
     has = lambda s: F.count_if(F.contains("stem", F.lit(s)))
     none = F.count_if(~F.contains("stem", F.lit("_")) & ~F.contains("stem", F.lit("-")) & ~F.contains("stem", F.lit(" ")))
     votes = files.groupBy("folder").agg(has("_").alias("v1"), has("-").alias("v2"), has(" ").alias("v3"), none.alias("v4"), F.count("*").alias("n_files"))
@@ -104,15 +100,68 @@ def naming_pattern(files: DataFrame) -> DataFrame:
     sep = votes.select("folder", "n_files", F.when(F.col("v1") == best, "_").when(F.col("v2") == best, "-").when(F.col("v3") == best, " ").otherwise("_").alias("separator"))
     parts = files.join(sep, "folder").withColumn("prefix", F.expr("substring_index(stem, separator, 1)"))
     counts = parts.groupBy("folder", "prefix").agg(F.count("*").alias("n"), F.count_if(F.expr("contains(stem, separator)")).alias("with_rest")).where("n >= 2")
-    kept = counts.withColumn("rn", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("n"), "prefix"))).where("rn <= 10")
+    return sep, parts, counts.withColumn("rn", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("n"), "prefix"))).where("rn <= 10")
+
+
+def naming_pattern(files: DataFrame) -> DataFrame:
+    """folder, separator, prefixes (the ten most frequent that occur twice), hits, confidence.
+
+    The separator with most votes splits the stems; ties go by the order _, -,
+    space, none. Counts are aggregated before they are ranked, and of a folder's
+    prefixes no more than ten leave a task's sort.
+    """
+    sep, _, kept = _naming(files)
     hits = kept.groupBy("folder").agg(F.sum("with_rest").alias("hits"), F.count("*").alias("prefixes"))
     out = sep.join(hits, "folder", "left").fillna(0, ["hits", "prefixes"])
     return out.select("folder", "separator", "prefixes", "hits", F.round(F.col("hits") / F.col("n_files"), 2).alias("confidence"))
 
 
-def issues(files: DataFrame) -> DataFrame:
-    """rule, severity, path: one branch per rule over files and folders."""
-    f = folders(files)
+def naming_outliers(files: DataFrame) -> DataFrame:
+    """folder, name of the files that don't follow their folder's pattern: another prefix, or nothing behind it; all of them where a folder has none."""
+    _, parts, kept = _naming(files)
+    follows = parts.where(F.expr("contains(stem, separator)")).join(kept.select("folder", "prefix"), ["folder", "prefix"], "left_semi").select("path")
+    return parts.join(follows, "path", "left_anti").select("folder", "name")
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """folder, name, is_dir, path of what lies in every folder."""
+    below = all_folders(files).where(F.contains("folder", F.lit("/")))
+    parent = F.expr("substring_index(folder, '/', size(split(folder, '/')) - 1)")
+    dirs = below.select(parent.alias("folder"), F.element_at(F.split("folder", "/"), -1).alias("name"), F.lit(True).alias("is_dir"), F.col("folder").alias("path"))
+    return files.select("folder", "name", F.lit(False).alias("is_dir"), "path").unionByName(dirs)
+
+
+def preview(files: DataFrame, most: int = 30, most_below: int = 8) -> DataFrame:
+    """folder, place, below (0, or the place within a folder that is an entry), name, is_dir: the first entries of every folder, and of each folder among them.
+
+    Folders first, then by name without regard to case. Of a folder's entries no more
+    than `most` leave a task's sort.
+    """
+    ordered = lambda n: F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("is_dir"), F.lower("name"), "name"))
+    every = store(entries(files), "entries").df
+    first = store(every.withColumn("_n", ordered(most)).where(F.col("_n") <= most), "first").df
+    inner = every.withColumn("_n", ordered(most_below)).where(F.col("_n") <= most_below).select(F.col("folder").alias("path"), F.col("name").alias("_name"), F.col("is_dir").alias("_dir"), F.col("_n").alias("_below"))
+    nested = first.where("is_dir").join(inner, "path").select("folder", F.col("_n").cast("long").alias("place"), F.col("_below").cast("long").alias("below"), F.col("_name").alias("name"), F.col("_dir").alias("is_dir"))
+    return first.select("folder", F.col("_n").cast("long").alias("place"), F.lit(0).cast("long").alias("below"), "name", "is_dir").unionByName(nested)
+
+
+def found_folders(folders: DataFrame, term: str) -> DataFrame:
+    """folder: the one that is the term, else all that have it in their path, whatever the case."""
+    found = folders.where(F.contains(F.lower("folder"), F.lit(term.lower()))).withColumn("_exact", (F.col("folder") == term).cast("int"))
+    best = found.agg(F.max("_exact").alias("_best"))
+    return found.crossJoin(F.broadcast(best)).where("_exact = _best").select("folder")
+
+
+def folder_issues(problems: DataFrame, folders: DataFrame, term: str) -> DataFrame:
+    """problems whose path begins with the path of the one folder that the term finds, folders beside it of a longer name included; none where it finds several."""
+    one = found_folders(folders, term).agg(F.count("*").alias("_n"), F.min("folder").alias("_folder")).where("_n = 1")
+    return problems.crossJoin(F.broadcast(one)).where(F.startswith("path", F.col("_folder"))).drop("_n", "_folder")  # one row at most
+
+
+def issues(files: DataFrame, empty: DataFrame) -> DataFrame:
+    """rule, severity, path: one branch per rule over files and folders, which are stored once; empty: folder of those with no file below."""
+    files = store(files, "files").df
+    f = store(folders(files), "folders").df
     hit = lambda df, rule, severity, path: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(path).alias("path"))
     types = files.groupBy("folder", "ext").agg(F.count("*").alias("n")).join(f, "folder")
     allowed = F.when(F.col("domain") == "unterricht", F.col("ext").isin(WITH_TEACHING)).when(F.col("domain") == "code", F.col("ext").isin(WITH_CODE)).otherwise(F.col("ext").isin(WITH_TEACHING + WITH_CODE))
@@ -121,6 +170,7 @@ def issues(files: DataFrame) -> DataFrame:
         hit(f.where("depth > 6"), "R-U02", "S2", "folder"),
         hit(f.where("depth > 4 and depth <= 6"), "R-U02", "S3", "folder"),
         hit(f.where("n_files = 1"), "R-U03", "S3", "folder"),
+        hit(empty, "R-U04", "S4", "folder"),
         hit(same, "R-U05", "S1", "folder"),
         hit(types.where((F.col("n_files") >= 5) & (F.col("n") / F.col("n_files") < 0.2) & (F.col("n") <= 2) & ~allowed), "R-U07", "S2", "folder"),
         hit(files.where("bad_chars"), "R-U08", "S4", "path"),

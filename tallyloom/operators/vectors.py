@@ -37,6 +37,26 @@ def dense(vector: Column, weights: list[list[float]], bias: list[float], activat
     return F.array(*outputs)
 
 
+#: Stops of the two-sided scale, from orange to violet.
+PUOR = ["#b35806", "#f1a340", "#fee0b6", "#f7f7f7", "#d8daeb", "#998ec3", "#542788"]
+
+
+def rgb(stop: str) -> tuple[int, int, int]:
+    return tuple(int(stop[k : k + 2], 16) for k in (1, 3, 5))
+
+
+def colour(t: Column, stops: list[str] = PUOR) -> Column:
+    """rgb(r,g,b) at place t of [0, 1], linear between the stops beside it; halves are rounded up."""
+    x = clip(t) * (len(stops) - 1)
+    at = F.least(F.floor(x), F.lit(len(stops) - 2)).cast("int")
+    parts = []
+    for channel in range(3):
+        values = F.array(*[F.lit(float(rgb(s)[channel])) for s in stops])
+        low, high = F.get(values, at), F.get(values, at + 1)
+        parts.append(F.floor(low + (high - low) * (x - at) + 0.5).cast("string"))
+    return F.concat(F.lit("rgb("), F.concat_ws(",", *parts), F.lit(")"))
+
+
 def reparameterise(mu: Column, log_var: Column, eps: Column) -> Column:
     return mu + F.exp(0.5 * log_var) * eps
 

@@ -32,6 +32,7 @@ ISSUES = f""", iss AS (
 SELECT 'R-U02' AS rule, 'S2' AS severity, folder AS path FROM fo WHERE depth > 6
 UNION ALL SELECT 'R-U02', 'S3', folder FROM fo WHERE depth > 4 AND depth <= 6
 UNION ALL SELECT 'R-U03', 'S3', folder FROM fo WHERE n_files = 1
+UNION ALL SELECT 'R-U04', 'S4', folder FROM (SELECT DISTINCT array_to_string(string_split(folder, '/')[1:k], '/') AS folder FROM files, range(1, 20) t(k) WHERE k <= len(string_split(folder, '/'))) p WHERE NOT EXISTS (SELECT 1 FROM seen WHERE path LIKE p.folder || '/%')
 UNION ALL SELECT 'R-U05', 'S1', folder FROM (SELECT folder, sha256 FROM seen GROUP BY ALL HAVING count(*) > 1)
 UNION ALL SELECT 'R-U07', 'S2', folder FROM (SELECT folder, ext, count(*) AS n FROM seen GROUP BY ALL) JOIN fo USING (folder) WHERE n_files >= 5 AND n / n_files::DOUBLE < 0.2 AND n <= 2 AND NOT CASE domain WHEN 'unterricht' THEN ext IN ({listed(I.WITH_TEACHING)}) WHEN 'code' THEN ext IN ({listed(I.WITH_CODE)}) ELSE ext IN ({listed(I.WITH_TEACHING + I.WITH_CODE)}) END
 UNION ALL SELECT 'R-U08', 'S4', path FROM seen WHERE bad_chars UNION ALL SELECT 'R-U09', 'S2', path FROM seen WHERE versioned
@@ -129,14 +130,24 @@ def inv_naming_pattern(spark, sf_dir):
     return I.naming_pattern(seen(spark, sf_dir))
 
 
+@query(f"""{CTE}, v AS (SELECT folder, count(*) FILTER (WHERE contains(stem, '_')) AS v1, count(*) FILTER (WHERE contains(stem, '-')) AS v2, count(*) FILTER (WHERE contains(stem, ' ')) AS v3, count(*) FILTER (WHERE NOT contains(stem, '_') AND NOT contains(stem, '-') AND NOT contains(stem, ' ')) AS v4 FROM seen GROUP BY 1),
+s AS (SELECT folder, CASE greatest(v1, v2, v3, v4) WHEN v1 THEN '_' WHEN v2 THEN '-' WHEN v3 THEN ' ' ELSE '_' END AS separator FROM v),
+f AS (SELECT seen.*, separator, string_split(stem, separator)[1] AS prefix FROM seen JOIN s USING (folder)),
+p AS (SELECT folder, prefix, count(*) AS n FROM f GROUP BY ALL HAVING count(*) >= 2),
+k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY folder ORDER BY n DESC, prefix) <= 10)
+SELECT folder, name FROM f WHERE NOT (contains(stem, separator) AND EXISTS (SELECT 1 FROM k WHERE k.folder = f.folder AND k.prefix = f.prefix))""")
+def inv_naming_outliers(spark, sf_dir):
+    return I.naming_outliers(seen(spark, sf_dir))
+
+
 @query(f"{CTE}{FOLDERS}{ISSUES} SELECT * FROM iss")
 def inv_issues(spark, sf_dir):
-    return I.issues(seen(spark, sf_dir))
+    return I.issues(seen(spark, sf_dir), inv_recursive_empty(spark, sf_dir))
 
 
 @query(f"{CTE}{FOLDERS}{ISSUES} SELECT severity, rule, count(*) AS n, least(count(*), 50) AS shown FROM iss GROUP BY 1, 2")
 def inv_issue_rollup(spark, sf_dir):
-    return I.issues(seen(spark, sf_dir)).groupBy("severity", "rule").agg(F.count("*").alias("n")).withColumn("shown", F.least("n", F.lit(50)))
+    return I.issues(seen(spark, sf_dir), inv_recursive_empty(spark, sf_dir)).groupBy("severity", "rule").agg(F.count("*").alias("n")).withColumn("shown", F.least("n", F.lit(50)))
 
 
 @query(f"{CTE} SELECT count(*) AS n_files, count(DISTINCT folder) AS n_folders, sum(size)::BIGINT AS bytes, max(len(string_split(folder, '/')))::BIGINT AS max_depth FROM seen")
@@ -144,19 +155,26 @@ def inv_totals(spark, sf_dir):
     return seen(spark, sf_dir).agg(F.count("*").alias("n_files"), F.count_distinct("folder").alias("n_folders"), F.sum("size").alias("bytes"), F.max(F.size(F.split("folder", "/"))).cast("long").alias("max_depth"))
 
 
-@query(f"{CTE} SELECT folder, name, rn AS place FROM (SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY lower(name), name) AS rn FROM seen) WHERE rn <= 30")
+@query(f"""{CTE}, p AS (SELECT DISTINCT array_to_string(string_split(folder, '/')[1:k], '/') AS folder FROM seen, range(1, 20) t(k) WHERE k <= len(string_split(folder, '/'))),
+e AS (SELECT folder, name, false AS is_dir, path FROM seen UNION ALL SELECT regexp_replace(folder, '/[^/]*$', ''), regexp_extract(folder, '[^/]*$'), true, folder FROM p WHERE contains(folder, '/')),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY is_dir DESC, lower(name), name) AS k FROM e)
+SELECT folder, k AS place, 0::BIGINT AS below, name, is_dir FROM n WHERE k <= 30
+UNION ALL SELECT a.folder, a.k, b.k, b.name, b.is_dir FROM n a JOIN n b ON b.folder = a.path WHERE a.is_dir AND a.k <= 30 AND b.k <= 8""")
 def inv_preview(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("folder").orderBy(F.lower("name"), "name"))
-    return seen(spark, sf_dir).select("folder", "name", n.cast("long").alias("place")).where("place <= 30")
+    return I.preview(seen(spark, sf_dir))
 
 
 @query(f"{CTE} SELECT DISTINCT folder FROM seen WHERE CASE WHEN EXISTS (SELECT 1 FROM seen WHERE folder = 'src1/de') THEN folder = 'src1/de' ELSE contains(lower(folder), 'src1/de') END")
 def inv_folder_search(spark, sf_dir):
     """An exact match wins, else all that contain the term."""
-    term, f = "src1/de", seen(spark, sf_dir).select("folder").distinct()
-    found = f.where(F.contains(F.lower("folder"), F.lit(term))).withColumn("_exact", (F.col("folder") == term).cast("int"))
-    best = found.agg(F.max("_exact").alias("_best"))
-    return found.crossJoin(F.broadcast(best)).where("_exact = _best").select("folder")
+    return I.found_folders(seen(spark, sf_dir).select("folder").distinct(), "src1/de")
+
+
+@query(f"{CTE}{FOLDERS}{ISSUES}, t AS (SELECT CASE WHEN bool_or(folder = 'src1/de') THEN 'src1/de' WHEN count(*) FILTER (WHERE contains(lower(folder), 'src1/de')) = 1 THEN min(folder) FILTER (WHERE contains(lower(folder), 'src1/de')) END AS folder FROM fo) SELECT iss.* FROM iss, t WHERE starts_with(iss.path, t.folder)")
+def inv_folder_issues(spark, sf_dir):
+    """What is wrong in the folder that a search finds, and below."""
+    f = seen(spark, sf_dir)
+    return I.folder_issues(I.issues(f, inv_recursive_empty(spark, sf_dir)), f.select("folder").distinct(), "src1/de")
 
 
 @query(f"{CTE} SELECT path, CASE WHEN size = 0 THEN 'leer' WHEN ext IN ({listed(I.NO_EXTRACTOR)}) THEN 'binär' ELSE 'offen' END AS category FROM seen WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND path NOT LIKE 'src0/%'")
@@ -238,6 +256,18 @@ def fmt_size(spark, sf_dir):
     return seen(spark, sf_dir).select("path", X.size_text(b).alias("shown"), X.size_text(b, 0, "").alias("brief"))
 
 
-@query(f"{CTE} SELECT path, regexp_replace(left(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(stem), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), '', '') AS clean_name FROM seen")
+def clean_sql(text: str, most: int) -> str:
+    shown = f"lower({text})"
+    for x, y in X.UMLAUTS:
+        shown = f"replace({shown}, '{x}', '{y}')"
+    return f"left(regexp_replace(regexp_replace({shown}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), {most})"
+
+
+LONG_STEM = "'Übung größer ' || stem || ' ' || lang || '-' || sha256"
+
+
+@query(f"{CTE} SELECT path, {clean_sql('stem', 40)} AS clean_name, {clean_sql(LONG_STEM, 40)} AS folder_name, {clean_sql(LONG_STEM, 60)} AS file_name FROM seen")
 def name_normalise(spark, sf_dir):
-    return seen(spark, sf_dir).select("path", X.file_name(F.col("stem")).alias("clean_name"))
+    """Names by the contract: 40 characters for folders, 60 for files."""
+    long = F.expr(LONG_STEM)
+    return seen(spark, sf_dir).select("path", X.file_name(F.col("stem")).alias("clean_name"), X.file_name(long, 40).alias("folder_name"), X.file_name(long, 60).alias("file_name"))

@@ -156,10 +156,17 @@ def tpl_placeholders(spark, sf_dir):
     return names.select("row_id", F.array_join("n", ",").alias("names"), F.array_join(F.array_except("n", F.array(F.lit("frage"))), ",").alias("unknown"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_extract(url, '(\.[A-Za-z0-9]+)$', 1)) AS ext FROM pages")
+PATH = "'Ordner ä ~*+/' || url"
+
+
+@query(rf"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') AS stem, lower(regexp_extract(url, '(\.[A-Za-z0-9]+)$', 1)) AS ext,
+page_id % 5 + 1 AS page, '/file=' || replace(url_encode({PATH}), '%2F', '/') || '#page=' || (page_id % 5 + 1) AS link FROM pages""")
 def path_parts(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/]+)", 1).alias("host"), F.element_at(F.split(u, "/"), -1).alias("name"), F.lower(F.regexp_extract(u, r"(\.[A-Za-z0-9]+)$", 1)).alias("ext"))
+    """What a link to a page of a source is made of; pages count from 1 there."""
+    u, page = F.col("url"), F.col("page_id") % 5 + 1
+    name = F.element_at(F.split(u, "/"), -1)
+    link = F.concat(F.lit("/file="), X.quoted(F.expr(PATH)), F.lit("#page="), page.cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/]+)", 1).alias("host"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(u, r"(\.[A-Za-z0-9]+)$", 1)).alias("ext"), page.alias("page"), link.alias("link"))
 
 
 LINES = "list_filter(list_transform(list_slice(string_split(text, chr(10)), 1, 10), lambda s: trim(s)), lambda s: s <> '')"
@@ -171,14 +178,39 @@ def extract_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), excerpt.alias("excerpt"))
 
 
-@query("SELECT page_id, left(trim(regexp_extract(left(html, 10000), '(?is)<title>(.*?)</title>', 1)), 120) AS title FROM pages")
+#: Every third page without its title, every fifth with an empty one.
+TITLED = "CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?is)<title>.*?</title>', '') WHEN page_id % 5 = 0 THEN regexp_replace(html, '(?is)<title>.*?</title>', '<title> </title>') ELSE html END"
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def html_text_sql(html: str) -> str:
+    for pattern in X.NO_TEXT:
+        html = f"regexp_replace({html}, '{pattern}', '', 'g')"
+    text = f"array_to_string(list_filter(list_transform(regexp_split_to_array({html}, '<[^>]*>'), lambda s: {STRIP.format('s')}), lambda s: s <> ''), ' ')"
+    for entity, char in X.ENTITIES:
+        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+@query(f"""SELECT page_id, left(CASE WHEN title <> '' THEN title ELSE {html_text_sql("regexp_extract(head, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} END, 120) AS title, left({html_text_sql('head')}, 300) AS body, left(head, 300) AS raw
+FROM (SELECT page_id, head, {STRIP.format("regexp_extract(head, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM (SELECT page_id, left({TITLED}, 10000) AS head FROM pages))""")
 def extract_html_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
+    """Title, else heading; text without tags; and the page as it stands."""
+    title, body, raw = X.html_parts(F.expr(TITLED))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), body.alias("body"), raw.alias("raw"))
+
+
+#: Objects, lists of two, lists longer than what is read, texts and what is no JSON, by turns.
+JSON_TEXT = "CASE WHEN event_id % 97 = 0 THEN concat('[', repeat('1,', 3000), '1]') WHEN event_id % 5 = 1 THEN concat('[', props, ', ', props, ']') WHEN event_id % 5 = 2 THEN concat('{\"a\": 1, \"b\": ', props, ', \"c\": [], \"d\": 1, \"e\": 1, \"f\": 1, \"g\": 1, \"h\": 1, \"i\": 1, \"j\": 1, \"k\": 1}') WHEN event_id % 5 = 3 THEN concat('\"', event_type, '\"') ELSE props END"
 
 
-@query("SELECT event_id, array_to_string(list_slice(json_keys(props), 1, 10), ', ') AS keys FROM events")
+@query(f"""WITH j AS (SELECT event_id, left({JSON_TEXT}, 5000) AS j FROM events), k AS (SELECT event_id, j, CASE WHEN json_valid(j) THEN json_type(j) END AS t, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN list_slice(json_keys(j), 1, 10) END AS keys FROM j)
+SELECT event_id, CASE t WHEN 'OBJECT' THEN coalesce(keys[1], '') WHEN 'ARRAY' THEN json_array_length(j) || ' Einträge' WHEN 'VARCHAR' THEN '' END AS title,
+left(CASE t WHEN 'OBJECT' THEN 'Keys: ' || array_to_string(keys, ', ') WHEN 'ARRAY' THEN 'Array mit ' || json_array_length(j) || ' Einträgen' WHEN 'VARCHAR' THEN j ->> '$' END, 300) AS excerpt FROM k""")
 def extract_json_keys(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.slice(F.json_object_keys("props"), 1, 10), ", ").alias("keys"))
+    """Keys of objects, lengths of lists, other values as they are; of 5,000 characters."""
+    title, excerpt = X.json_parts(F.expr(JSON_TEXT))
+    return table(spark, sf_dir, "events").select("event_id", title.alias("title"), excerpt.alias("excerpt"))
 
 
 @query("SELECT conv_id, string_agg(role || ' | ' || coalesce(text, ''), chr(10) ORDER BY turn) AS shown FROM conversations GROUP BY 1")

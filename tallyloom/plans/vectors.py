@@ -188,13 +188,25 @@ def latent_centroids(spark, sf_dir):
     return rows.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("x"))
 
 
-@query(f"SELECT vec_id, pos, round((x / (SELECT max(abs(x)) FROM ({LONG})) + 1) / 2, 6) AS t, round(1 / (1 + exp(-5 * x)), 6) AS s FROM ({LONG})")
+def colour_sql(t: str) -> str:
+    last = len(V.PUOR) - 1
+    x = f"(greatest(0.0, least(1.0, {t})) * {last})"
+    at = f"least(floor({x}), {last - 1})::INTEGER"
+    parts = []
+    for channel in range(3):
+        values = "[" + ", ".join(f"{V.rgb(s)[channel]}::DOUBLE" for s in V.PUOR) + "]"
+        parts.append(f"floor({values}[{at} + 1] + ({values}[{at} + 2] - {values}[{at} + 1]) * ({x} - {at}) + 0.5)::INTEGER")
+    return "'rgb(' || " + " || ',' || ".join(parts) + " || ')'"
+
+
+@query(f"WITH t AS (SELECT vec_id, pos, round((x / (SELECT max(abs(x)) FROM ({LONG})) + 1) / 2, 6) AS t, round(1 / (1 + exp(-5 * x)), 6) AS s FROM ({LONG})) SELECT *, {colour_sql('t')} AS colour FROM t")
 def vec_barcode(spark, sf_dir):
-    """Places on a two-sided colour scale, by the greatest absolute value and by a sigmoid."""
+    """Places on a two-sided colour scale, by the greatest absolute value and by a sigmoid; the colour at the first."""
     rows = long_form(spark, sf_dir)
     top = rows.agg(F.max(F.abs("x")).alias("top"))
     out = rows.crossJoin(F.broadcast(top))
-    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round((F.col("x") / F.col("top") + 1) / 2, 6).alias("t"), F.round(1 / (1 + F.exp(-5 * F.col("x"))), 6).alias("s"))
+    places = out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round((F.col("x") / F.col("top") + 1) / 2, 6).alias("t"), F.round(1 / (1 + F.exp(-5 * F.col("x"))), 6).alias("s"))
+    return places.withColumn("colour", V.colour(F.col("t")))
 
 
 @query()

@@ -83,3 +83,12 @@ def test_small_networks_by_hand(spark):
         losses.append(sum(net.step(w, np.bincount(c, minlength=3), 0.1) for w, c in steps) / 4)
     assert math.isclose(got[1].first_loss, losses[0]) and math.isclose(got[1].second_loss, losses[1])
     assert got[2].n_words == 1 and got[2].first_loss is None and got[3].n_words == 0
+
+
+def test_colours_between_stops(spark):
+    from tallyloom.operators import vectors as V
+
+    places = [0.0, 1.0, 0.5, -3.0, 9.0, 1 / 12, 0.99]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in places], "t double").select(V.colour(F.col("t"))).collect()]
+    assert got[:5] == ["rgb(179,88,6)", "rgb(84,39,136)", "rgb(247,247,247)", "rgb(179,88,6)", "rgb(84,39,136)"]
+    assert got[5] == "rgb(210,126,35)" and got[6] == "rgb(88,46,140)"
