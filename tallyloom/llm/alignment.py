@@ -89,8 +89,14 @@ def expanded(index: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner, np.arange(len(owner)) + np.repeat(starts[index] - (np.cumsum(sizes) - sizes), sizes)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending; by a sort, which is several times as fast here as what unique() does."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((x << 32) | y)
+    both = distinct((x << 32) | y)
     return both >> 32, both & 0xFFFFFFFF
 
 
@@ -116,7 +122,7 @@ class Units:
         a_ids, b_ids = [], []
         for at in range(0, len(units), AT_A_TIME):
             some = units[at : at + AT_A_TIME]
-            a_ids += [x.ids for x in encoders[0].encode_batch(some, add_special_tokens=False)]
+            a_ids += [x.ids for x in encoders[0].encode_batch_fast(some, add_special_tokens=False)]
             b_ids += encoders[1].encode([u[1:] for u in some], num_threads=1)  # it adds the space
         (a, a_starts), (b, b_starts) = flat(a_ids), flat(b_ids)
         same = [pc.equal(regrouped(t.values.take(pa.array(x)), s), whole).to_numpy(zero_copy_only=False) for t, x, s in ((of_a, a, a_starts), (of_b, b, b_starts))]
@@ -124,7 +130,8 @@ class Units:
         keep_a, keep_b = np.repeat(self.good, np.diff(a_starts)), np.repeat(self.good, np.diff(b_starts))
         a, b = a[keep_a], b[keep_b]
         ends_a, ends_b = np.cumsum(of_a.sizes[a]), np.cumsum(of_b.sizes[b])  # over all good units, one after the other
-        common = np.intersect1d(ends_a, ends_b)
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # either side ascends
+        common = both[1:][both[1:] == both[:-1]] if len(both) else both
         first_a = np.concatenate([[0], np.searchsorted(ends_a, common, "right")])
         first_b = np.concatenate([[0], np.searchsorted(ends_b, common, "right")])
         n_a, n_b = np.diff(first_a), np.diff(first_b)
@@ -194,11 +201,12 @@ class _Block:
         owner, where = expanded(unit, units.starts)
         doc, group = distinct_pairs(doc[owner], units.groups[where])
         of_group, a, b = units.links()
-        pairs, pair = np.unique((a << 32) | b, return_inverse=True)
+        pairs = distinct((a << 32) | b)
+        pair = np.searchsorted(pairs, (a << 32) | b)
         owner, where = expanded(group, np.searchsorted(of_group, np.arange(len(units.n_a) + 1)))
         _, held = distinct_pairs(doc[owner], pair[where])
         docs = np.bincount(held, minlength=len(pairs))
-        used = np.unique(group)
+        used = distinct(group)
 
         known = np.array([x is not None for x in self.ids], np.uint8)
         ids = pa.array(self.ids, pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
