@@ -91,4 +91,4 @@ def test_colours_between_stops(spark):
     places = [0.0, 1.0, 0.5, -3.0, 9.0, 1 / 12, 0.99]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in places], "t double").select(V.colour(F.col("t"))).collect()]
     assert got[:5] == ["rgb(179,88,6)", "rgb(84,39,136)", "rgb(247,247,247)", "rgb(179,88,6)", "rgb(84,39,136)"]
-    assert got[5] == "rgb(210,126,35)" and got[6] == "rgb(88,46,140)"
+    assert got[5] == "rgb(210,126,35)" and got[6] == "rgb(88,45,140)"
