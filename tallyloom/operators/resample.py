@@ -58,7 +58,12 @@ def resampled(pixels: Column, size: tuple[int, int], to: tuple[int, int], name:
     """
     (high, wide), (new_high, new_wide) = size, to
     across, down = table(weights(wide, new_wide, name)), table(weights(high, new_high, name))
-    narrow = F.transform(F.sequence(F.lit(0), F.lit(high - 1)), lambda a: F.transform(across, lambda w: dot(F.slice(pixels, a * wide + 1, wide), w)))
-    columns = F.transform(F.sequence(F.lit(0), F.lit(new_wide - 1)), lambda j: F.transform(narrow, lambda r: F.get(r, j)))
-    out = F.flatten(F.transform(down, lambda w: F.transform(columns, lambda c: dot(c, w))))
+    narrow = F.transform(F.sequence(F.lit(0), F.lit(high - 1)), lambda a: bound(F.slice(pixels, a * wide + 1, wide), lambda row: F.transform(across, lambda w: dot(row, w))))
+    turned = lambda rows: F.transform(F.sequence(F.lit(0), F.lit(new_wide - 1)), lambda j: F.transform(rows, lambda r: F.get(r, j)))
+    out = bound(narrow, lambda rows: bound(turned(rows), lambda columns: F.flatten(F.transform(down, lambda w: F.transform(columns, lambda c: dot(c, w))))))
     return F.when(F.size(pixels) == high * wide, out)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: as a variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
