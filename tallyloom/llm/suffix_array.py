@@ -144,26 +144,47 @@ class Run:
         self.at = np.ascontiguousarray(keys[:, -4:]).view(">u4").reshape(n).astype(np.int64)
 
 
-def nearest_lower(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, the nearest row above and below it in its run with a smaller doc; -1 where there is none.
+def nearest_before(doc: np.ndarray) -> np.ndarray:
+    """For each row, the nearest row above it with a smaller doc; -1 where there is none.
 
-    Between a row and its candidate no doc is smaller; a candidate that isn't smaller
-    either hands on its own, so distances double from pass to pass.
+    Least docs of 1, 2, 4... rows form a tree. A row climbs until the subtree before it
+    holds a smaller doc, then descends to the last row that does: two passes over the
+    levels, so the work is n log n whatever the order of the rows.
     """
-    out = []
-    for step in (-1, 1):
-        best = np.arange(len(doc)) + step
-        best[(best < 0) | (best >= len(doc))] = -1
-        best[(best >= 0) & (run[best] != run)] = -1
-        still = np.flatnonzero((best >= 0) & (doc[best] >= doc))
-        while len(still):
-            best[still] = best[best[still]]
-            still = still[best[still] >= 0]
-            still = still[doc[best[still]] >= doc[still]]
-        out.append(best)
-    return out[0], out[1]
+    top = np.iinfo(np.int64).max
+    levels = [doc.astype(np.int64)]
+    while len(levels[-1]) > 1:
+        below = levels[-1] if len(levels[-1]) % 2 == 0 else np.append(levels[-1], top)
+        levels.append(np.minimum(below[::2], below[1::2]))
+    out = np.full(len(doc), -1)
+    rows = node = np.arange(len(doc))
+    turns = []  # per level, the rows that descend from there and the node they start with
+    for level in levels:
+        ends = np.zeros(len(rows), bool)
+        right = np.flatnonzero(node & 1)
+        ends[right] = level[node[right] - 1] < doc[rows[right]]
+        turns.append((rows[ends], node[ends] - 1))
+        rows, node = rows[~ends], node[~ends] >> 1
+    rows = node = np.zeros(0, np.int64)
+    for level, (new, start) in zip(levels[::-1], turns[::-1]):
+        last = np.minimum(2 * node + 1, len(level) - 1)
+        node = np.where(level[last] < doc[rows], last, 2 * node)
+        rows, node = np.concatenate([rows, new]), np.concatenate([node, start])
+    out[rows] = node
+    return out
+
+
+def nearest_lower(doc: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the nearest row above and below it in its run with a smaller doc; -1 where there is none."""
+    above = nearest_before(doc)
+    below = nearest_before(doc[::-1])[::-1]
+    below = np.where(below >= 0, len(doc) - 1 - below, -1)
+    return tuple(np.where((best >= 0) & (run[best] == run), best, -1) for best in (above, below))
 
 
+#: Rows of one anchor that a task compares at once: some 7 MB of keys.
+LONGEST_RUN = 50_000
+
 FOUND, ASKED = 0, 1
 #: Columns of what compare() gives: FOUND rows, then ASKED rows.
 FOUND_TYPES = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)  # document, start, stop, low start, low stop, first document
@@ -350,11 +371,17 @@ def buckets_of(batches) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield at, joined(held)
 
 
-def neighbours(keys: DataFrame, buckets: int) -> DataFrame:
-    """kind, bucket, payload of range-sorted partitions; a run never ends between two calls of compare()."""
+def neighbours(keys: DataFrame, buckets: int, longest_run: int = LONGEST_RUN) -> DataFrame:
+    """kind, bucket, payload of range-sorted partitions.
+
+    A run goes to compare() whole, unless it has more than longest_run rows: then it is
+    cut there, like a run that crosses the edge of a partition, and window hashes settle
+    the cut. So a task holds a bounded number of rows whatever a passage's frequency.
+    """
 
     def run(batches):
-        held, first, made, n_made = np.zeros((0, KEY), np.uint8), True, ([], []), 0
+        held, n_held, wanted = [], 0, 20_000
+        first, made, n_made = True, ([], []), 0
 
         def take(part: np.ndarray, last: bool) -> None:
             nonlocal first, n_made
@@ -362,7 +389,7 @@ def neighbours(keys: DataFrame, buckets: int) -> DataFrame:
             edges = np.zeros(1 + int((anchors[1:] != anchors[:-1]).any(axis=1).sum()), bool)
             edges[0] |= first
             edges[-1] |= last
-            first = False
+            first = last
             if (got := compare(part, edges)) is not None:
                 for into, columns in zip(made, got):
                     into.append(columns)
@@ -380,18 +407,26 @@ def neighbours(keys: DataFrame, buckets: int) -> DataFrame:
             _, offsets, data = column.buffers()
             lo = np.frombuffer(offsets, np.int32)[column.offset]
             rows = np.frombuffer(data, np.uint8)[lo : lo + len(column) * KEY].reshape(-1, KEY)
-            held = np.concatenate([held, rows])
-            if len(held) < 20_000:
-                continue
-            differs = np.flatnonzero((held[:, :8] != held[-1, :8]).any(axis=1))
-            if len(differs):
-                cut = int(differs[-1]) + 1
-                take(held[:cut], False)
-                held = held[cut:].copy()
+            for lo in range(0, len(rows), longest_run):
+                held.append(rows[lo : lo + longest_run].copy())
+                n_held += len(held[-1])
+                if n_held < min(wanted, longest_run):
+                    continue
+                part = np.concatenate(held)
+                differs = np.flatnonzero((part[:, :8] != part[-1, :8]).any(axis=1))
+                if len(differs):
+                    cut = int(differs[-1]) + 1
+                    take(part[:cut], False)
+                    part = part[cut:].copy()
+                elif len(part) >= longest_run:
+                    take(part, True)
+                    part = part[:0]
+                held, n_held = [part], len(part)
+                wanted = max(20_000, 2 * n_held)
                 if n_made > 300_000:
                     yield emit()
-        if len(held):
-            take(held, True)
+        if n_held:
+            take(np.concatenate(held), True)
         if n_made:
             yield emit()
 
@@ -537,7 +572,9 @@ def window_blocks(texts: DataFrame, block_bytes: int, parts: int) -> DataFrame:
 
 
 def checked(texts: DataFrame, parts: int, buckets: int, block_bytes: int) -> DataFrame:
-    """bucket, payload: FOUND rows of the windows that two documents have, word for word, out of those in rows doc_id, text, spans.
+    """bucket, payload: FOUND rows of the windows that two documents have, out of those in rows doc_id, text, spans.
+
+    Windows are compared whole, by 64-bit hashes of their words.
 
     A block sends each distinct window once to the bucket of its hash, with its
     smallest and greatest document, and gets those of all blocks back: a passage that
@@ -592,7 +629,7 @@ def checked(texts: DataFrame, parts: int, buckets: int, block_bytes: int) -> Dat
     return blocks.join(replies, "block", "left").select("payload", "found").mapInArrow(tell, "kind int, bucket int, payload binary").select("bucket", "payload")
 
 
-def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, longest_run: int = LONGEST_RUN) -> DataFrame:
     """doc_id, spans (start, stop, copied, first), copies (start, stop): a row per document that shares a passage.
 
     spans: runs of words that passages of MIN_WORDS words or more cover which
@@ -607,7 +644,7 @@ def document_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = min(65_535, max(64, 2 * parts))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     ordered = suffixes(plain).repartitionByRange(parts, "key").sortWithinPartitions("key")
-    found = store(neighbours(ordered, buckets), "matches", partition="kind").df
+    found = store(neighbours(ordered, buckets, longest_run), "matches", partition="kind").df
     dealt = lambda df: df.select("bucket", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     direct = found.where(f"kind = {FOUND}").select("bucket", "payload")
     rows = direct.unionByName(answers(dealt(found.where(f"kind = {ASKED}")), buckets).select("bucket", "payload"))

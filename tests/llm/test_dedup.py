@@ -1,6 +1,7 @@
 """Repeated passages and near copies against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -63,6 +64,26 @@ def test_any_partitioning_gives_the_same_rows(spark):
     assert got[0] and got[0] == got[1] == got[2]
 
 
+def test_runs_cut_anywhere_give_the_same_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    rng = random.Random(12)
+    shared = [f"s{k}" for k in range(120)]
+    copies = spark.createDataFrame([(k, " ".join([f"n{k}"] + shared[rng.randrange(30) : rng.randrange(90, 120)])) for k in range(1000, 1300)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(copies)
+    got = [sorted(tuple(r) for r in suffix_array.document_spans(docs, longest_run=n).collect()) for n in (50_000, 100, 7)]
+    assert len(got[0]) > 300 and got[0] == got[1] == got[2]
+
+
+def test_one_smaller_row_beside_many_that_ascend():
+    n = 1_000_000
+    doc, run = np.append(np.arange(1, n), 0), np.zeros(n, np.int64)
+    start = time.process_time()
+    above, below = suffix_array.nearest_lower(doc, run)
+    assert time.process_time() - start < 5  # a pass per row would take hours
+    assert (above[:-1] == np.arange(-1, n - 2)).all() and above[-1] == -1
+    assert (below[:-1] == n - 1).all() and below[-1] == -1
+
+
 def test_matches_are_checked(spark):
     """Windows that a match covers by mistake, a word too far or altogether, don't stay."""
     rng = random.Random(9)
