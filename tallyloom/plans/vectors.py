@@ -188,6 +188,14 @@ def latent_centroids(spark, sf_dir):
     return rows.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("x"))
 
 
+@query()
+def latent_neighbours(spark, sf_dir):
+    """All vectors in a plane that keeps their neighbours: 20 iterations at perplexity 30, of the 1,000 that the operator has as its default."""
+    from tallyloom.operators.neighbour_map import neighbour_map
+
+    return neighbour_map(table(spark, sf_dir, "embeddings"), iterations=20, early=10)
+
+
 def colour_sql(t: str) -> str:
     last = len(V.PUOR) - 1
     x = f"(greatest(0.0, least(1.0, {t})) * {last})"

@@ -62,6 +62,12 @@ def keep(made: Stored) -> Stored:
     return made
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the shared file system, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Stored:
     """A written table; drop() removes it once nothing reads it any more."""
 
@@ -70,9 +76,7 @@ class Stored:
         self.df = spark.read.schema(schema).parquet(path)  # an empty table may have no file to read it from
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        drop_path(self.spark, self.path)
 
 
 def store(df: DataFrame, name: str, partition: str | None = None) -> Stored:
@@ -95,7 +99,7 @@ class StoredBuckets:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        Stored.drop(self)
+        drop_path(self.spark, self.path)
 
 
 def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition: str | None = None) -> DataFrame:
