@@ -230,7 +230,18 @@ def assignment_gaps(known: DataFrame, assigned: DataFrame, key: str) -> DataFram
 
 
 def undo_plan(log: DataFrame) -> DataFrame:
-    """The last batch of an operation log, last step first, with source and target exchanged."""
+    """order, source, target: the last batch of an operation log, last step first, with source and target exchanged.
+
+    Steps are dealt by ranges and numbered within each; the later ranges' counts are
+    added, a row per range. Equal steps go by source, then target.
+    """
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = log.agg(F.max("batch").alias("_last"))
-    rows = log.crossJoin(F.broadcast(last)).where("batch = _last")
-    return rows.select(F.row_number().over(Window.orderBy(F.desc("step"))).cast("long").alias("order"), F.col("target").alias("source"), F.col("source").alias("target"))
+    rows = log.join(F.broadcast(last), F.col("batch") == F.col("_last")).select("step", "source", "target")
+    order = [F.col("step").desc(), F.col("source"), F.col("target")]
+    dealt = store(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "steps").df
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of `parts` rows at most
+    offsets = counts.select(F.col("_range").alias("_at"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return dealt.join(F.broadcast(offsets), F.col("_range") == F.col("_at")).select(n.cast("long").alias("order"), F.col("target").alias("source"), F.col("source").alias("target"))

@@ -267,7 +267,7 @@ FILES = {
         joined("'Von: wer' || doc_id || '@example.org | Betreff: '", some("doc_id % 4 > 0", "'Hallo ' || doc_id")),
     ),
 }
-EXTRACTORS = {"csv": D.csv_excerpt, "tex": D.tex_excerpt, "yaml": D.yaml_excerpt, "py": D.source_excerpt, "ipynb": lambda t: D.excerpt_udf(D.notebook_excerpt)(t), "xml": lambda t: D.excerpt_udf(D.xml_excerpt)(t), "svg": lambda t: D.excerpt_udf(D.xml_excerpt)(t), "eml": lambda t: D.excerpt_udf(D.mail_excerpt)(t)}
+EXTRACTORS = {"csv": D.csv_excerpt, "tex": D.tex_excerpt, "yaml": D.yaml_excerpt, "py": D.source_excerpt, "ipynb": D.notebook_excerpt, "xml": lambda t: D.excerpt_udf(D.xml_excerpt)(t), "svg": lambda t: D.excerpt_udf(D.xml_excerpt)(t), "eml": D.mail_excerpt}
 
 
 def _add_extractors() -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.catalog import query, table
 from tallyloom.functions import text as X
 from tallyloom.operators import inventory as I
+from tallyloom.sources import keywords as K
 
 STEMS = ["'Untitled' || doc_id", "'Kopie von ' || doc_id", "'bericht(' || doc_id || ')'", "'plan_v' || (doc_id % 5)", "'plan_FINAL_' || doc_id", "'plan_Final_' || doc_id", "'a#' || doc_id", "'doppelt  ' || doc_id", "'x..' || doc_id", "'kapitel_' || doc_id", "'kapitel-' || doc_id", "'notiz ' || doc_id"]
 EXTS = [".docx", ".pdf", ".py", ".ipynb", ".txt", ".png", ".md", ".csv", ".pyc", ".odt"]
@@ -250,6 +251,18 @@ def kw_merge(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_union(old, new)), ",").alias("keywords"))
 
 
+KW_KIND = "CASE doc_id % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.pdf' ELSE '.png' END"
+
+
+@query(f"""WITH k AS (SELECT doc_id, doc_id || {KW_KIND} AS path, lang || ', korpus' AS newest, array_to_string(list_sort(list_distinct([source, lang, 'korpus'])), ', ') AS joint FROM documents)
+SELECT path, CASE doc_id % 3 WHEN 2 THEN newest ELSE joint END AS keywords, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN left(joint, 120) ELSE 'Text ' || doc_id END AS description, 'ok' AS status FROM k""")
+def kw_files(spark, sf_dir):
+    """Every whole text as a document, a PDF or a picture; keywords are written to each file twice, then read from it."""
+    docs = table(spark, sf_dir, "documents").selectExpr(f"doc_id || {KW_KIND} AS path", "text", "array(source, lang) AS first", "array(lang, 'korpus', ' ', lang) AS second", "'Text ' || doc_id AS about")
+    once = K.write_keywords(K.text_files(docs), new="first")
+    return K.read_keywords(K.write_keywords(once, new="second", description="about"))
+
+
 @query(f"{CTE} SELECT path, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS shown, CASE WHEN b < 1024 THEN printf('%.0fB', b) WHEN b < 1048576 THEN printf('%.0fKB', b / 1024) ELSE printf('%.0fMB', b / 1048576) END AS brief FROM (SELECT path, size::DOUBLE * 37 + 1 AS b FROM seen)")
 def fmt_size(spark, sf_dir):
     b = F.col("size") * 37.0 + 1
