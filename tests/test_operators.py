@@ -156,9 +156,41 @@ def test_sections_and_rows_have_no_limit(spark):
     assert D.md_table_rows(docs, "doc_id", body="text").count() == 15_000
 
 
-@pytest.mark.parametrize(("mode", "text", "want"), [("array_first", "x [1] {}", "[1]"), ("any", "nichts", None), ("widest_array", "[kaputt]", "[]"), ("think_and_fence", '{"a":1} rest', '{"a":1}'), ("strict", "[1]", "[1]"), ("any", None, None)])
-def test_answers(mode, text, want):
-    assert D.answer_json(text, mode) == want
+ANSWERS = [
+    ("array_first", "x [1] {}", "[1]"),
+    ("any", "nichts", None),
+    ("widest_array", "[kaputt]", "[]"),
+    ("think_and_fence", '{"a":1} rest', '{"a":1}'),
+    ("strict", "[1]", "[1]"),
+    ("any", None, None),
+    ("array_first", '```json\n{"a": [}, "b": {"c": 1}}\n```', None),
+    ("array_first", 'so ]{"a": 1}[', '{"a":1}'),
+    ("array_first", "[1] [2]", None),
+    ("object_or_default", 'x {"depth": {"v": 1}, "a": {}} {"b": 2}', '{"a":{},"depth":{"v":1}}'),
+    ("object_or_default", "{" + "{}" * 20_000 + "}", '{"completeness":0.5,"depth":0.5}'),
+    ("object_or_default", None, '{"completeness":0.5,"depth":0.5}'),
+    ("think_and_fence", '<think>{"x":\n2}</think> gut\n```\n[1, "ä"]\n``` Ende', '[1,"ä"]'),
+    ("think_and_fence", "<think>offen", None),
+    ("strict", "1] [2", None),
+    ("strict", "1} {", None),
+    ("strict", "1, 2", None),
+    ("strict", "", None),
+    ("strict", " \n null ", "null"),
+    ("strict", '{"a":1,"a":2}', None),
+    ("widest_array", 'a ```json\n[1, [2]]\n``` b ] c', "[]"),
+    ("widest_array", "<think>[9]</think>a ```json [1, [2]] ``` b", "[1,[2]]"),
+    ("any", "```json\n[1]\n```\nEnde", "[1]"),
+    ("any", 'A: {"b": "' + "x" * 200_000 + '"} ok', '{"b":"' + "x" * 200_000 + '"}'),
+    ("unbekannt", "so [1]", "[1]"),
+    (None, "so [1]", "[1]"),
+]
+
+
+def test_answers(spark):
+    rows = spark.createDataFrame([(k, m, t) for k, (m, t, _) in enumerate(ANSWERS)], "k int, mode string, answer string")
+    got = dict(D.parse_answers(rows).select("k", "found").collect())
+    assert {k: got[k] for k in range(len(ANSWERS))} == {k: w for k, (_, _, w) in enumerate(ANSWERS)}
+    assert D.parse_answers(rows.limit(0)).count() == 0
 
 
 def test_quiz_rounds_end():
