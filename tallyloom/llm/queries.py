@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per text: its bytes stored as TIFF and read back; see tiff.document_media()."""
     return tiff.document_media(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that another document has too; see suffix_array.repeated_passages()."""
     return suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
 
 
@@ -33,33 +35,40 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of 4-word shingle sets, similarity 0.85 or more; see signature_tree.jaccard_components()."""
     return signature_tree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and of the decoded bytes; see bpe.encoded()."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op6_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of greedy pieces by the same vocabulary; see longest_match.piece_counts()."""
     pieces = longest_match.rank_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return longest_match.piece_counts(table(spark, sf_dir, "documents"), pieces)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores learned from labels outside the held-out fold; see toxicity.toxicity()."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is in the mixture; see mixing.mixed_sources()."""
     return mixing.mixed_sources(table(spark, sf_dir, "documents"))
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of grade 1 or better; see ordinal.ordinal_quality()."""
     labels = table(spark, sf_dir, "labels")
     return ordinal.ordinal_quality(table(spark, sf_dir, "documents"), labels.select("doc_id", ordinal.graded().alias("grade")))
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores beside the base's; see katz.katz_scores()."""
     return katz.katz_scores(table(spark, sf_dir, "documents"))
 
 
