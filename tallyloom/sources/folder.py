@@ -4,6 +4,8 @@
 file. Files are listed once, in the order of their paths and within bounds of depth and
 number; tasks get about equal bytes of them. ``log_folder`` writes delimited logs: what
 tasks write lies apart until the job commits, so a failed job leaves nothing.
+``file_folder`` writes a file per row, each replaced at once: a file is its old or its new
+one at any time, and a task that runs again writes the same.
 
 Places are URIs of Arrow's file systems (local, hdfs, s3, gs).
 """
@@ -223,9 +225,70 @@ class LogSink(DataSource):
         return LogWriter(dict(self.options), schema, overwrite)
 
 
+@dataclass
+class Replaced(WriterCommitMessage):
+    files: int
+
+
+class FileWriter(DataSourceWriter):
+    """Rows of path (within the folder) and content; each file is written aside, then moved to its place."""
+
+    def __init__(self, options: dict, schema: StructType):
+        self.root_uri, self.job = options["path"], uuid.uuid4().hex
+        self.at = [schema.names.index(c) for c in ("path", "content")]
+
+    def write(self, rows: Iterator) -> Replaced:
+        store, root = opened(self.root_uri)
+        aside = posixpath.join(root, f".open-{self.job}")
+        store.create_dir(aside)
+        n, folders = 0, set()
+        for row in rows:
+            path, content = (row[k] for k in self.at)
+            if path is None or content is None:
+                continue
+            inside = posixpath.normpath(path)
+            if inside in (".", "..") or inside.startswith(("/", "../")):
+                raise ValueError(f"not within the folder: {path}")
+            target, made = posixpath.join(root, inside), posixpath.join(aside, uuid.uuid4().hex)
+            if (folder := posixpath.dirname(target)) not in folders:
+                store.create_dir(folder)
+                folders.add(folder)
+            with store.open_output_stream(made) as out:
+                out.write(bytes(content))
+            store.move(made, target)
+            n += 1
+        return Replaced(n)
+
+    def commit(self, messages: list[Replaced | None]) -> None:
+        self._clear()
+
+    def abort(self, messages: list[Replaced | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store, root = opened(self.root_uri)
+        aside = posixpath.join(root, f".open-{self.job}")
+        if store.get_file_info(aside).type == fs.FileType.Directory:
+            store.delete_dir(aside)
+
+
+class FileSink(DataSource):
+    """Option: path. Mode append: files of the same paths are replaced, others stay; of several rows with one path, one whole content stays. Rows without path or content write nothing."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_folder"
+
+    def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
+        if overwrite:
+            raise ValueError("files are replaced one by one: use mode append")
+        return FileWriter(dict(self.options), schema)
+
+
 def register(spark: SparkSession) -> SparkSession:
-    """Let the session read "document_folder" and write "log_folder"."""
+    """Let the session read "document_folder" and write "log_folder" and "file_folder"."""
     ship_package(spark)
     spark.dataSource.register(FolderSource)
     spark.dataSource.register(LogSink)
+    spark.dataSource.register(FileSink)
     return spark

@@ -8,6 +8,7 @@ shuffled. Null contents, unknown kinds and damaged files are rows with a status.
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import struct
 import xml.etree.ElementTree as ET
@@ -17,12 +18,17 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tallyloom.session import ship_package
+from tallyloom.sources.folder import opened, register
+from tallyloom.store import store
 
 PACKAGES, PICTURES = (".docx", ".pptx", ".xlsx"), (".png", ".jpg", ".jpeg")
+KINDS = (*PACKAGES, *PICTURES, ".pdf")
 METADATA = "struct<keywords:string,description:string,status:string>"
 REWRITTEN = "struct<content:binary,status:string>"
 FAULTS = (ValueError, KeyError, IndexError, struct.error, zipfile.BadZipFile, ET.ParseError, zlib.error)
@@ -337,6 +343,8 @@ def pdf_with(raw: bytes, keywords: str) -> bytes:
 
 
 def metadata_of(raw: bytes | None, ext: str | None) -> tuple[str | None, str | None, str]:
+    if ext in KINDS and raw is None:
+        return None, None, "fehlt"
     try:
         data = bytes(raw or b"")
         if ext in PACKAGES:
@@ -351,6 +359,8 @@ def metadata_of(raw: bytes | None, ext: str | None) -> tuple[str | None, str | N
 
 
 def rewritten(raw: bytes | None, ext: str | None, keywords: str, description: str | None) -> tuple[bytes | None, str]:
+    if ext in KINDS and raw is None:
+        return None, "fehlt"
     try:
         data = bytes(raw or b"")
         if ext in PACKAGES:
@@ -420,6 +430,43 @@ def write_keywords(files: DataFrame, path: str = "path", content: str = "content
     return rows.select(*kept, F.col("__kw_put.content").alias(content), F.when(status == "ok", F.col("__kw_words")).alias("keywords"), status.alias("status"))
 
 
+def with_contents(paths: DataFrame, root: str) -> DataFrame:
+    """paths with `content`: the file of each path within a folder, null where there is none or the kind has no metadata. Tasks open what they need, one file at a time."""
+    ship_package(paths.sparkSession)
+
+    def run(batches):
+        store_, base = opened(root)
+        for batch in batches:
+            for k, path in enumerate(batch.column(batch.schema.get_field_index("path")).to_pylist()):
+                inside = posixpath.normpath(path or ".")
+                raw = None
+                if posixpath.splitext(inside)[1].lower() in KINDS and not inside.startswith(("/", "../")):
+                    try:
+                        with store_.open_input_stream(posixpath.join(base, inside)) as file:
+                            raw = file.read()
+                    except FileNotFoundError:
+                        pass
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([raw], pa.binary())], names=[*batch.schema.names, "content"])
+
+    return paths.mapInArrow(run, StructType([*paths.schema.fields, StructField("content", BinaryType())]))
+
+
+def keyword_folder(spark: SparkSession, root: str, proposed: DataFrame) -> DataFrame:
+    """path, keywords, description, status as read from the files of a folder, once the keywords in `proposed` (path within the folder, new, and perhaps description) are written to them.
+
+    Only proposed files are opened, and no content is shuffled; of rows with one path,
+    the one with the least keywords counts. A path without a file is "fehlt". A run
+    that broke off can be repeated: a union of keywords stays the same.
+    """
+    register(spark)
+    told = F.col("description") if "description" in proposed.columns else F.lit(None).cast("string")
+    least = F.min(F.struct(F.coalesce("new", F.array().cast("array<string>")).alias("new"), told.alias("told")))
+    wanted = store(proposed.where("path is not null").groupBy("path").agg(least.alias("w")).select("path", "w.*"), "proposed").df
+    written = write_keywords(with_contents(wanted, root), description="told").where("status = 'ok'")
+    written.select("path", "content").write.format("file_folder").option("path", root).mode("append").save()
+    return read_keywords(with_contents(wanted.select("path"), root))
+
+
 # ---------------------------------------------------------------- texts as files
 
 

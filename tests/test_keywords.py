@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.sources import keywords as K
+from tallyloom.sources.folder import register
 
 WORDS = "Übung, größer, 日本"
 
@@ -133,6 +134,34 @@ def test_damaged_files_are_rows(spark):
     rows = [(f"{k}{ext}", raw) for ext in (".docx", ".pdf", ".png", ".jpg", ".pptx", ".xlsx", ".jpeg") for k, raw in enumerate([None, b"", b"PK\x03\x04", b"%PDF-1.4", K.PNG, b"\xff\xd8\xff"])]
     files = spark.createDataFrame(rows, "path string, content binary").withColumn("new", F.array(F.lit("a")))
     got = K.write_keywords(files).collect()
-    assert {r.status for r in got} == {"fehler"} and {(r.path, r.content and bytes(r.content)) for r in got} == {(p, c or c) for p, c in rows}
-    assert {r.status for r in K.read_keywords(files).collect()} == {"fehler"}
+    assert {(r.content is None, r.status) for r in got} == {(True, "fehlt"), (False, "fehler")} and {(r.path, r.content and bytes(r.content)) for r in got} == {(p, c or c) for p, c in rows}
+    assert sorted(r.status for r in K.read_keywords(files).collect()) == ["fehler"] * 35 + ["fehlt"] * 7
     assert K.read_keywords(files.limit(0)).count() == 0
+
+
+def test_folder_is_rewritten_file_by_file(spark, tmp_path):
+    register(spark)
+    rows = [("a/x.docx", "eins"), ("a/b/ü y.png", "zwei"), ("z.pdf", None), ("q.txt", "drei"), ("still.docx", "vier")]
+    files = K.text_files(spark.createDataFrame(rows, "path string, text string"))
+    more = spark.createDataFrame([("q.txt", b"plain"), (None, b"x"), ("none.bin", None)], "path string, content binary")
+    files.select("path", "content").unionByName(more).write.format("file_folder").option("path", str(tmp_path)).mode("append").save()
+    seen = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()}
+    assert seen == {r[0] for r in rows} and (tmp_path / "q.txt").read_bytes() == b"plain"
+    still = (tmp_path / "still.docx").stat().st_mtime_ns
+    proposed = spark.createDataFrame([("a/x.docx", ["k"]), ("a/x.docx", ["b"]), ("a/b/ü y.png", ["p"]), ("z.pdf", None), ("q.txt", ["k"]), ("weg.docx", ["k"]), (None, ["k"])], "path string, new array<string>")
+    want = {("a/x.docx", "b", "", "ok"), ("a/b/ü y.png", "p", "p", "ok"), ("z.pdf", "", "", "ok"), ("q.txt", None, None, "kein_metadatenfeld"), ("weg.docx", None, None, "fehlt")}
+    assert K.keyword_folder(spark, str(tmp_path), proposed.limit(0)).count() == 0
+    for _ in range(2):
+        assert {tuple(r) for r in K.keyword_folder(spark, str(tmp_path), proposed).collect()} == want
+    assert K.package_metadata((tmp_path / "a/x.docx").read_bytes()) == ("b", "") and (tmp_path / "still.docx").stat().st_mtime_ns == still
+    assert K.png_metadata((tmp_path / "a/b/ü y.png").read_bytes()) == ("p", "p") and not list(tmp_path.glob(".open-*"))
+
+
+def test_sink_stays_within_its_folder(spark, tmp_path):
+    register(spark)
+    inner = tmp_path / "in"
+    inner.mkdir()
+    for path in ("../x", "/x", "a/../../x", "."):
+        with pytest.raises(Exception, match="not within the folder"):
+            spark.createDataFrame([(path, b"x")], "path string, content binary").write.format("file_folder").option("path", str(inner)).mode("append").save()
+    assert [p.name for p in tmp_path.rglob("*")] == ["in"]
