@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.strong import strong_components
+from tallyloom.operators.strong import SORTED, strong_components
 from tallyloom.store import store
 
 STAY, REJECT, ERROR = "stay", "reject", "error"
@@ -188,7 +188,7 @@ def cycles(edges: DataFrame, *keys: str) -> DataFrame:
     """
     by = list(keys)
     parts = store(strong_components(edges, *by), "components").df
-    of = lambda c: parts.select(*by, F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    of = lambda c: parts.select(*by, F.col("node").alias(c), F.col("component").alias(f"_{c}")).hint(SORTED)
     e = edges.select(*by, F.col("source").alias("u"), F.col("target").alias("v")).distinct()
     e = store(e.join(of("u"), [*by, "u"]).join(of("v"), [*by, "v"]).where("_u = _v").select(*by, "u", "v"), "edges").df
     paths = store(e.select(*by, F.array("u").alias("path"), F.col("v").alias("at")), "paths")
@@ -196,7 +196,7 @@ def cycles(edges: DataFrame, *keys: str) -> DataFrame:
     while True:
         found.append(paths.df.where(F.col("at") == F.get("path", F.lit(0))).select(*by, "path"))
         ahead = paths.df.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at"))).withColumnRenamed("at", "u")
-        longer = store(ahead.join(e, [*by, "u"]).select(*by, F.concat("path", F.array("u")).alias("path"), F.col("v").alias("at")), "paths")
+        longer = store(ahead.join(e.hint(SORTED), [*by, "u"]).select(*by, F.concat("path", F.array("u")).alias("path"), F.col("v").alias("at")), "paths")
         if longer.df.isEmpty():
             break
         paths = longer
