@@ -220,15 +220,19 @@ def bm25(docs: DataFrame, question: str, doc_id: str = "doc_id", text: str = "te
 def log_tail(turns: DataFrame, chars: int = 4000, message_chars: int = 1500) -> DataFrame:
     """conv_id, log: the last `chars` characters of each conversation, messages cut to `message_chars`.
 
-    Every line takes a character at least, so no more than the last `chars` turns of a
-    conversation can be in its tail; what is before them doesn't leave its task.
+    Turns in order, a null one last, those alike by their lines. A null line takes no
+    room; without any other the log is null. Every line takes its line end at least, so no more
+    than the last `chars` + 1 lines of a conversation can be in its tail; what is
+    before them doesn't leave its task.
     """
-    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    rows = turns.select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, message_chars)).alias("line")).withColumn("_k", last).where(f"_k <= {chars}")
+    by = Window.partitionBy("conv_id").orderBy(F.col("line").isNull(), F.desc_nulls_first("turn"), F.desc("line"))
+    lines = turns.select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, message_chars)).alias("line"))
+    rows = lines.withColumn("_k", F.row_number().over(by)).where(f"_k <= {chars + 1}")
     after = Window.partitionBy("conv_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_after", F.coalesce(F.sum(F.length(F.coalesce("line", F.lit(""))) + 1).over(after), F.lit(0))).where(f"_after < {chars}")
-    joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x"))
-    return joined.select("conv_id", F.expr(f"right(array_join(x.line, '\n'), {chars})").alias("log"))
+    # A line that all `chars` are behind still has its line end among them.
+    rows = rows.withColumn("_after", F.coalesce(F.sum(F.length(F.coalesce("line", F.lit(""))) + 1).over(after), F.lit(0))).where(f"_after <= {chars}")
+    joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct((-F.col("_k")).alias("at"), "line")))).alias("x"))
+    return joined.select("conv_id", F.expr(f"CASE WHEN size(x) > 0 THEN right(array_join(x.line, '\n'), {chars}) END").alias("log"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K) -> DataFrame:
