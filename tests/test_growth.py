@@ -1,9 +1,10 @@
 """What must not grow with the tables: rows sent through the driver, and tails cut at a line's end."""
 
+import numpy as np
 import pytest
 
 from tallyloom.operators import retrieval as R
-from tallyloom.operators import sequences, strong
+from tallyloom.operators import sequences, strong, word2vec
 
 
 def plans_of(monkeypatch, *modules):
@@ -38,3 +39,15 @@ def test_log_tail_at_a_line_end(spark, chars):
     turns = [(1, 0, "a", "x"), (1, 1, "b", None), (1, 2, "c", "y"), (1, 3, "d", "z"), (2, 0, "a", None), (3, None, "a", "1"), (3, 4, "b", "2")]
     got = {r.conv_id: r.log for r in R.log_tail(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), chars).collect()}
     assert got == {1: "a: x\nc: y\nd: z"[-chars:], 2: None, 3: "b: 2\na: 1"[-chars:]}
+
+
+def test_networks_of_many_texts_at_once():
+    """As one network after the other, for texts of all lengths."""
+    rng = np.random.default_rng(3)
+    texts = sorted((np.unique(rng.integers(0, m, n), return_inverse=True)[1] for m, n in rng.integers(2, 25, (60, 2))), key=len, reverse=True)
+    got = word2vec.trained(texts, 2, 1, 0.1, 2)
+    for text, losses in zip(texts, got):
+        net, at = word2vec.Network.create(int(text.max()) + 1, 2, seed=1), text.tolist()
+        for loss in losses:
+            steps = [net.step(w, np.bincount(at[max(0, i - 1) : i] + at[i + 1 : i + 2], minlength=len(net.inner)), 0.1) for i, w in enumerate(at)]
+            assert abs(sum(steps) / len(at) - loss) < 1e-9
