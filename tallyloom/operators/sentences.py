@@ -8,36 +8,61 @@ all texts (Kiss and Strunk, 2006); the words that pass are a table.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import log
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.session import ship_package
+from tallyloom.store import store
 
 LEAST, ALWAYS = 0.3, 0.99
-ENDS = re.compile(r"[.!?…]+[\"'»«“”)\]]*$")
+ENDS = re.compile(r"[.!?…][\"'»«“”)\]]*(?!\S)")
 OPENS = "\"'»«„“([‚"
+AFTER = re.compile(r"\s*[\"'»«„“(\[‚]*(\S?)")  # the first character of the next token that opens nothing
+TOKENS = re.compile(r"[^ \t\n\x0b\f\r]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _written(docs: DataFrame, most: int = 500_000) -> DataFrame:
+    """w, times, small (of those, before a small letter, where it ends with a full stop): tokens as they stand in the texts, counted by task, `most` or so at once."""
+    ship_package(docs.sparkSession)
+
+    def rows(seen: Counter, small: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([small[w] for w in seen], pa.int64())], names=["w", "times", "small"])
+
+    def run(batches):
+        seen, small = Counter(), Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tokens = TOKENS.findall(t or "")
+                seen.update(tokens)
+                small.update(w for w, after in zip(tokens, tokens[1:]) if w[-1] == "." and category(after[0]) == "Ll")
+                if len(seen) >= most:
+                    yield rows(seen, small)
+                    seen, small = Counter(), Counter()
+        yield rows(seen, small)
+
+    return docs.mapInArrow(run, "w string, times long, small long")
+
+
 def abbreviations(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """word (lower case, without its full stop), n, n_stop, n_small, score of each abbreviation.
 
     n counts the word, n_stop those with a full stop, n_small those of them before a
     small letter. It is one if the weighted ratio of likelihoods is at least `least`, or
     if a small letter follows at least half of two full stops or more. Words of letters
-    and inner stops only. Null texts have no words. One row per word is shuffled.
+    and inner stops only. Null texts have no words. One row per token as it is written is shuffled.
     """
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
-    follow = F.transform(F.col("t"), lambda w, i: F.struct(w.alias("w"), F.get(F.col("t"), i + 1).alias("next")))
-    rows = docs.select(tokens.alias("t")).select(F.explode(follow).alias("e")).select("e.*")
+    written = store(_written(docs.select(text)).groupBy("w").agg(F.sum("times").alias("times"), F.sum("small").alias("small")), "tokens").df  # the texts are read once, and shapes looked at once a token
     shape = F.lower(F.regexp_replace("w", r"^[\"'»«„“(\[‚]+", ""))
     stop = shape.rlike(r"^\p{L}[\p{L}.]*\.$")
     word = F.when(stop, F.regexp_replace(shape, r"\.$", "")).otherwise(F.regexp_replace(shape, r"[,;:!?…\"'»«“”)\].]+$", ""))
-    counts = rows.select(word.alias("word"), stop.alias("stop"), (stop & F.col("next").rlike(r"^\p{Ll}")).alias("small")).where(F.col("word").rlike(r"^\p{L}[\p{L}.]*$"))
-    counts = counts.groupBy("word").agg(F.count("*").alias("n"), F.count_if("stop").alias("n_stop"), F.count_if(F.coalesce("small", F.lit(False))).alias("n_small"))
+    counts = written.select(word.alias("word"), "times", *[F.when(stop, F.col(c)).otherwise(0).alias(f"of_{c}") for c in ("times", "small")]).where(F.col("word").rlike(r"^\p{L}[\p{L}.]*$"))
+    counts = counts.groupBy("word").agg(F.sum("times").alias("n"), F.sum("of_times").alias("n_stop"), F.sum("of_small").alias("n_small"))
     totals = counts.agg(F.sum("n").alias("_n"), F.sum("n_stop").alias("_stop"))
     p = F.least(F.col("_stop") / F.col("_n"), F.lit(1 - 1e-9))
     with_stop, without = F.col("n_stop"), F.col("n") - F.col("n_stop")
@@ -49,30 +74,37 @@ def abbreviations(docs: DataFrame, text: str = "text", least: float = LEAST) ->
     return scored.where((F.col("score") >= least) | ((F.col("n_small") >= 2) & (2 * F.col("n_small") >= F.col("n_stop")))).select("word", "n", "n_stop", "n_small", "score")
 
 
-def ends_sentence(token: str, after: str | None, known: frozenset[str]) -> bool:
-    """Whether a sentence ends with this token; after: the one that follows."""
-    if not ENDS.search(token):
-        return False
-    if after is None:
-        return True
-    bare = token.lstrip(OPENS)
-    if bare.endswith("."):
-        if after.lstrip(OPENS)[:1].islower() or bare[:-1].isdigit():
-            return False  # ordinals and dates
-        if bare[:-1].lower() in known:
-            return False
-    return True
+def ends(text: str, known: frozenset[str]) -> list[int]:
+    """Where sentences end: behind a token that ends one. Only tokens with a mark at their end are looked at."""
+    out, last = [], 0
+    for m in ENDS.finditer(text):
+        at = m.end()
+        if text[at - 1] == ".":
+            bare = text[last:at].rsplit(None, 1)[-1].lstrip(OPENS)[:-1]
+            after = AFTER.match(text, at)[1]
+            last = at
+            if after.islower() or bare.isdigit() or bare.lower() in known:
+                continue  # ordinals, dates and abbreviations; behind the last token the text ends anyway
+        last = at
+        out.append(at)
+    return out
+
+
+def spans(text: str, known: frozenset[str]) -> list[str]:
+    """Sentences as parts of the text."""
+    cuts = [0, *ends(text, known), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def split_sentences(text: str | None, known: frozenset[str]) -> list[list[str]]:
     """Sentences as tokens between white space."""
-    tokens, out, held = (text or "").split(), [], []
-    for k, t in enumerate(tokens):
-        held.append(t)
-        if ends_sentence(t, tokens[k + 1] if k + 1 < len(tokens) else None, known):
-            out.append(held)
-            held = []
-    return [*out, held] if held else out
+    return [t for s in spans(text or "", known) if (t := s.split())]
+
+
+def small_words(sentence: str) -> list[str]:
+    """Words of letters in small letters; each by itself, since the form of a sigma and an i hang on what is beside them."""
+    found = LETTERS.findall(sentence)
+    return "\n".join(found).lower().split("\n") if found else []
 
 
 def sentences(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 100_000) -> DataFrame:
@@ -87,16 +119,17 @@ def sentences(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: s
 
     def run(batches):
         for batch in batches:
-            owners, numbers, words = [], [], []
+            owners, numbers, words, places = [], [], [], [0]
             for row, t in enumerate(batch.column(1).to_pylist()):
                 n = 0
-                for s in split_sentences(t, sent.value):
-                    kept = [w.lower() for x in s for w in LETTERS.findall(x)]
+                for s in spans(t or "", sent.value):
+                    kept = small_words(s)
                     if kept:
                         owners.append(row)
                         numbers.append(n)
-                        words.append(kept)
+                        words += kept
+                        places.append(len(words))
                         n += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["key", "sentence", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(words, pa.string()))], names=["key", "sentence", "words"])
 
     return docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, sentence long, words array<string>").withColumnRenamed("key", doc_id)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tallyloom.operators import retrieval as R
-from tallyloom.operators import sequences, strong, word2vec
+from tallyloom.operators import sentences, sequences, strong, word2vec
 
 
 def plans_of(monkeypatch, *modules):
@@ -51,3 +51,21 @@ def test_networks_of_many_texts_at_once():
         for loss in losses:
             steps = [net.step(w, np.bincount(at[max(0, i - 1) : i] + at[i + 1 : i + 2], minlength=len(net.inner)), 0.1) for i, w in enumerate(at)]
             assert abs(sum(steps) / len(at) - loss) < 1e-9
+
+
+def test_tokens_are_counted_before_they_travel(spark):
+    docs = spark.createDataFrame([("Nr. ab Nr. Ab z.B.\u2003x ab.",), (None,), ("Nr.\n\tö ab. ",)], "text string").coalesce(1)
+    for most in (1, 100):
+        rows = sentences._written(docs, most).collect()
+        got = {}
+        for r in rows:
+            got[r.w] = tuple(a + b for a, b in zip(got.get(r.w, (0, 0)), (r.times, r.small)))
+        assert got == {"Nr.": (3, 2), "ab": (1, 0), "Ab": (1, 0), "z.B.\u2003x": (1, 0), "ab.": (2, 0), "ö": (1, 0)}
+        assert most == 1 or len(rows) == len(got)  # one row a token
+
+
+@pytest.mark.parametrize("text", ["A.b Dr. Ab „3. x. “ 3. ‚So.“ ab", "... ... Dr.", "Dr.\u2003Ab ΑΣ'Α. ΑΣ. İx! . a"])
+def test_spans_are_sentences(text):
+    known = frozenset({"dr"})
+    assert [s.split() for s in sentences.spans(text, known) if s.split()] == sentences.split_sentences(text, known)
+    assert sentences.small_words(text) == [w.lower() for w in sentences.LETTERS.findall(text)]
