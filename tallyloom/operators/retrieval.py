@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from tallyloom.store import shared_folder
 from tallyloom.versions import Versions
 
 CANDIDATES, KEPT, RRF_K, RELEVANT, MOST_RETRIES = 15, 8, 60, 0.3, 3
+WORD = re.compile(r"[^ \t\n\r\f]+")  # as words()
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -155,19 +159,23 @@ class Bm25Index:
         """Write the index of docs to path, in place of an older one once it is complete.
 
         Words are split at white space, case-sensitive; a null text is an empty document.
-        Postings are dealt by ranges of term and document, so a word that all
-        documents have is written by many tasks.
+        A document's words are counted where it is read, and cross the network once.
+        Postings are dealt by bucket and a hash of the document, so a word that all
+        documents have is written by several tasks.
         """
         spark = docs.sparkSession
         at = Versions(spark, path)
         folder = at.fresh()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("tokens"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        counts = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-        counts.select("term", "doc_id", "tf", "n", bucket).repartitionByRange(parts, "bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        counts = _counted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+        if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():
+            counts = counts.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.first("n").alias("n"))
+        slices = max(4, -(-parts // 16))
+        dealt = counts.select("term", "doc_id", "tf", "n", bucket, F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("_slice")).repartition(parts, "bucket", "_slice").drop("_slice")
+        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
         df = _stored(spark, f"{folder}/postings", POSTINGS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
-        sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
+        sizes = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(words(F.col(text)))).alias("mean_len"))
         sizes.write.mode("overwrite").parquet(f"{folder}/sizes")
         n_docs = spark.read.parquet(f"{folder}/sizes")
         idf = df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "bucket")
@@ -207,6 +215,22 @@ class Bm25Index:
 POSTINGS, TERMS = "term string, doc_id long, tf long, n int, bucket int", "term string, df long, idf double, bucket int"
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """term, doc_id, tf, n of rows doc_id, text: each text's words, counted where it is read."""
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                found = [Counter(WORD.findall(t or "")) for t in batch.column(1).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                n = pa.array([f.total() for f in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.string()), batch.column(0).take(rows), pa.array([x for f in found for x in f.values()], pa.int64()), n.take(rows)], names=["term", "doc_id", "tf", "n"])
+
+    return docs.mapInArrow(run, f"term string, doc_id {dict(docs.dtypes)['doc_id']}, tf long, n int")
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)  # an empty table may have no file to read it from
 

@@ -69,3 +69,11 @@ def test_spans_are_sentences(text):
     known = frozenset({"dr"})
     assert [s.split() for s in sentences.spans(text, known) if s.split()] == sentences.split_sentences(text, known)
     assert sentences.small_words(text) == [w.lower() for w in sentences.LETTERS.findall(text)]
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    """One shuffle of the postings; rows of one document are one document's words."""
+    docs = spark.createDataFrame([(1, "b a\tb"), (2, None), (3, " \n"), (4, "a b a b")], "doc_id long, text string")
+    counted = R._counted(docs)
+    assert sorted(map(tuple, counted.collect())) == [("a", 1, 1, 3), ("a b", 4, 2, 2), ("b", 1, 2, 3)]
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
