@@ -258,8 +258,7 @@ SELECT path, CASE doc_id % 3 WHEN 2 THEN newest ELSE joint END AS keywords, CASE
 def kw_files(spark, sf_dir):
     """Every whole text as a document, a PDF or a picture; keywords are written to each file twice, then read from it."""
     docs = table(spark, sf_dir, "documents").selectExpr(f"doc_id || {KW_KIND} AS path", "text", "array(source, lang) AS first", "array(lang, 'korpus', ' ', lang) AS second", "'Text ' || doc_id AS about")
-    once = K.write_keywords(K.text_files(docs), new="first")
-    return K.read_keywords(K.write_keywords(once, new="second", description="about"))
+    return K.text_keywords(docs, ["first", "second"], description="about")
 
 
 @query(f"{CTE} SELECT path, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS shown, CASE WHEN b < 1024 THEN printf('%.0fB', b) WHEN b < 1048576 THEN printf('%.0fKB', b / 1024) ELSE printf('%.0fMB', b / 1048576) END AS brief FROM (SELECT path, size::DOUBLE * 37 + 1 AS b FROM seen)")

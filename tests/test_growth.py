@@ -1,10 +1,13 @@
 """What must not grow with the tables: rows sent through the driver, and tails cut at a line's end."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tallyloom import catalog, plans  # noqa: F401  registers the queries
 from tallyloom.operators import retrieval as R
 from tallyloom.operators import sentences, sequences, strong, word2vec
+from tallyloom.sources import keywords as K
 
 
 def plans_of(monkeypatch, *modules):
@@ -77,3 +80,30 @@ def test_words_are_counted_where_they_are_read(spark):
     counted = R._counted(docs)
     assert sorted(map(tuple, counted.collect())) == [("a", 1, 1, 3), ("a b", 4, 2, 2), ("b", 1, 2, 3)]
     assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_not_gathered(spark):
+    """A file is read, merged and rewritten at once, and leaves before the next large one is opened."""
+    opened = []
+    run = K.one_by_one(lambda raw: opened.append(raw) or raw, K.FILE).func
+    big = b"x" * (K.RUN_BYTES + 1)
+    for k, made in enumerate(run(iter([(pa.array([big, big, None]),), (pa.array([b"", big]),)]))):
+        assert len(opened) == (1, 2, 3, 5, 5)[k] and all(m.as_py() in (big, b"", None) for m in made)
+    plan = K.write_keywords(spark.createDataFrame([("a.docx", b"", ["k"])], "path string, content binary, new array<string>"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_texts_go_through_all_steps_at_once(spark):
+    """As the operators one after the other; contents of files leave no task."""
+    rows = [(f"{k}{ext}", text, ["b", "a"], new, told) for k, (text, new, told) in enumerate([("eins\nzwei", ["c", " ", None], "x"), (None, None, None), ("ä", ["a"], "")]) for ext in (".docx", ".pdf", ".PNG", ".txt", "")]
+    texts = spark.createDataFrame([*rows, (None, "t", None, ["k"], None)], "path string, text string, first array<string>, second array<string>, about string")
+    whole = K.text_keywords(texts, ["first", "second"], description="about")
+    steps = K.read_keywords(K.write_keywords(K.write_keywords(K.text_files(texts), new="first"), new="second", description="about"))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, steps.collect()))
+    plan = catalog.QUERIES["kw_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("ext, stored, new, want", [(".pdf", " b,,a\t,b", ["c", None, " a "], "a, b, c"), (".pdf", " , ", ["c", "", "a", "c"], "c, a"), (".png", "x", ["b", "a"], "b, a"), (".docx", "b, a", None, "a, b"), (None, None, None, ""), (".docx", "\u00a0x", ["\U0001f600", "\uffee"], "\u00a0x, \uffee, \U0001f600")])
+def test_keywords_are_merged(ext, stored, new, want):
+    assert K.merged_keywords(ext, stored, new) == want
