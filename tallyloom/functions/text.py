@@ -13,7 +13,7 @@ def words(text: Column) -> Column:
 
 def letter_tokens(text: Column) -> Column:
     """Lower-case runs of letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), "")
 
 
 def clean(text: Column) -> Column:

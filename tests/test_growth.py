@@ -107,3 +107,27 @@ def test_texts_go_through_all_steps_at_once(spark):
 @pytest.mark.parametrize("ext, stored, new, want", [(".pdf", " b,,a\t,b", ["c", None, " a "], "a, b, c"), (".pdf", " , ", ["c", "", "a", "c"], "c, a"), (".png", "x", ["b", "a"], "b, a"), (".docx", "b, a", None, "a, b"), (None, None, None, ""), (".docx", "\u00a0x", ["\U0001f600", "\uffee"], "\u00a0x, \uffee, \U0001f600")])
 def test_keywords_are_merged(ext, stored, new, want):
     assert K.merged_keywords(ext, stored, new) == want
+
+
+@pytest.mark.parametrize("name", ["w2v_multihot", "w2v_skipgram"])
+def test_context_rows_are_compiled(spark, name):
+    """One compiled stage that cuts each text once; functions within functions aren't compiled."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    nodes = plan.strip().splitlines()
+    assert "lambda" not in plan and plan.count("split(") == 1 and "Exchange" not in plan
+    assert all("*(1)" in n for n in nodes if "FileScan" not in n)
+
+
+def test_context_rows_of_short_and_repeated_words(spark, tmp_path):
+    texts = {1: "a", 2: "A a", 3: "a a a a a", 4: "a b a b b", 5: "-- ä!", 6: "", 7: None, 8: "x y\u2028x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["w2v_multihot"](spark, str(tmp_path)).collect()))
+    want = []
+    for k, text in texts.items():
+        w = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        for i in range(len(w)):
+            near = w[max(0, i - 2) : i] + w[i + 1 : i + 3]
+            want += [(k, i, x, near.count(x)) for x in set(near)]
+    assert got == sorted(want) and (3, 2, "a", 4) in got
+    shown = {(r.doc_id, r.pos): (r.target, r.context) for r in catalog.QUERIES["w2v_skipgram"](spark, str(tmp_path)).collect()}
+    assert len(shown) == 17 and shown[1, 0] == ("a", "") and shown[4, 1] == ("b", "a a b") and shown[5, 0] == ("ä", "")
