@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Collection, Iterator, Set
 from math import log
 from unicodedata import category
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,29 +76,35 @@ def abbreviations(docs: DataFrame, text: str = "text", least: float = LEAST) ->
     return scored.where((F.col("score") >= least) | ((F.col("n_small") >= 2) & (2 * F.col("n_small") >= F.col("n_stop")))).select("word", "n", "n_stop", "n_small", "score")
 
 
-def ends(text: str, known: frozenset[str]) -> list[int]:
-    """Where sentences end: behind a token that ends one. Only tokens with a mark at their end are looked at."""
-    out, last = [], 0
+def marks(text: str) -> Iterator[tuple[int, str | None]]:
+    """Where sentences end, behind a token that ends one, and the word that makes it none if it is an abbreviation. Only tokens with a mark at their end are looked at."""
+    last = 0
     for m in ENDS.finditer(text):
         at = m.end()
+        word = None
         if text[at - 1] == ".":
             bare = text[last:at].rsplit(None, 1)[-1].lstrip(OPENS)[:-1]
             after = AFTER.match(text, at)[1]
-            last = at
-            if after.islower() or bare.isdigit() or bare.lower() in known:
-                continue  # ordinals, dates and abbreviations; behind the last token the text ends anyway
+            if after.islower() or bare.isdigit():
+                last = at
+                continue  # ordinals and dates; behind the last token the text ends anyway
+            word = bare.lower()
         last = at
-        out.append(at)
-    return out
+        yield at, word
 
 
-def spans(text: str, known: frozenset[str]) -> list[str]:
+def ends(text: str, known: Set[str], more: Collection[str] = ()) -> list[int]:
+    """Where sentences end; more: abbreviations beside the known ones."""
+    return [at for at, word in marks(text) if word is None or word not in known and word not in more]
+
+
+def spans(text: str, known: Set[str], more: Collection[str] = ()) -> list[str]:
     """Sentences as parts of the text."""
-    cuts = [0, *ends(text, known), len(text)]
+    cuts = [0, *ends(text, known, more), len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def split_sentences(text: str | None, known: frozenset[str]) -> list[list[str]]:
+def split_sentences(text: str | None, known: Set[str]) -> list[list[str]]:
     """Sentences as tokens between white space."""
     return [t for s in spans(text or "", known) if (t := s.split())]
 
@@ -107,22 +115,51 @@ def small_words(sentence: str) -> list[str]:
     return "\n".join(found).lower().split("\n") if found else []
 
 
+def _others(docs: DataFrame, known: DataFrame, sent: Broadcast) -> DataFrame:
+    """key, more: by the hash of each text, the abbreviations that it asks for and that were not sent."""
+
+    def unsent(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([w not in sent.value for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    def asked(batches):
+        for batch in batches:
+            keys, words = [], []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {w for _, w in marks(t) if w is not None and w not in sent.value}
+                keys += [key] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["key", "word"])
+
+    rest = known.select(F.col("word").cast("string").alias("word")).where("word IS NOT NULL").mapInArrow(unsent, "word string").distinct()
+    wanted = docs.where("text IS NOT NULL").select(F.sha2("text", 256).alias("key"), "text").mapInArrow(asked, "key string, word string").distinct()
+    return wanted.join(rest, "word").groupBy("key").agg(F.collect_list("word").alias("more"))
+
+
 def sentences(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 100_000) -> DataFrame:
     """doc_id, sentence (from 0), words: the sentences' words of letters in small letters; sentences without one are dropped.
 
-    known: word of every abbreviation. Of more than `most`, some 5 MB, those of the
-    least score are left out: what goes to every task has a bound.
+    known: word of every abbreviation. The `most` of the greatest score, some 5 MB, go
+    to every task. Where there are more, texts ask for the others in a join: a text gets
+    those of its own words.
     """
     spark = ship_package(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(frozenset(r[0] for r in known.orderBy(F.desc("score"), "word").limit(most).select("word").collect()))
+    first = [r[0] for r in known.orderBy(F.desc("score"), "word").limit(most + 1).select("word").collect()]
+    sent = spark.sparkContext.broadcast(frozenset(first[:most]))
     kind = dict(docs.dtypes)[doc_id]
+    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
+    if len(first) > most:
+        others = _others(rows, known, sent).withColumnRenamed("key", "_text")
+        rows = rows.join(others, F.sha2("text", 256) == F.col("_text"), "left").select("key", "text", "more")
+    else:
+        rows = rows.withColumn("more", F.lit(None).cast("array<string>"))
 
     def run(batches):
         for batch in batches:
             owners, numbers, words, places = [], [], [], [0]
-            for row, t in enumerate(batch.column(1).to_pylist()):
+            for row, (t, more) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 n = 0
-                for s in spans(t or "", sent.value):
+                for s in spans(t or "", sent.value, frozenset(more or ())):
                     kept = small_words(s)
                     if kept:
                         owners.append(row)
@@ -132,4 +169,4 @@ def sentences(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: s
                         n += 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(words, pa.string()))], names=["key", "sentence", "words"])
 
-    return docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, sentence long, words array<string>").withColumnRenamed("key", doc_id)
+    return rows.mapInArrow(run, f"key {kind}, sentence long, words array<string>").withColumnRenamed("key", doc_id)

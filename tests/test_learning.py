@@ -101,6 +101,17 @@ def test_sentences_of_a_learned_corpus(spark):
     assert len(got[2]) == 8 * 12 and set(got) == {1, 2}
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_abbreviations_beyond_those_sent(spark, most):
+    """However few go to every task, texts are cut by all of them; repeated texts and ids stay."""
+    texts = ["Herr Dr. Meier kam. Ende.", "„Prof. Beck Dr. Adam. Hof.", "Ing. Beck. Da.", None, "", "Herr Dr. Meier kam. Ende."]
+    docs = spark.createDataFrame([(k % 5, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([("dr", 9.0), ("prof", 8.0), ("ing", 7.0)], "word string, score double")
+    got = sorted((r.doc_id, r.sentence, " ".join(r.words)) for r in sentences(docs, known, most=most).collect())
+    first = [(0, 0, "herr dr meier kam"), (0, 1, "ende")]
+    assert got == sorted([*first, *first, (1, 0, "prof beck dr adam"), (1, 1, "hof"), (2, 0, "ing beck"), (2, 1, "da")])
+
+
 def test_cuts():
     known = frozenset({"dr"})
     assert split_sentences("Dr. A. Kam er? er ging. Ende", known) == [["Dr.", "A."], ["Kam", "er?"], ["er", "ging."], ["Ende"]]
