@@ -1,5 +1,7 @@
 """What must not grow with the tables: rows sent through the driver, and tails cut at a line's end."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +9,9 @@ import pytest
 from tallyloom import catalog, plans  # noqa: F401  registers the queries
 from tallyloom.operators import retrieval as R
 from tallyloom.operators import sentences, sequences, strong, word2vec
+from tallyloom.operators import vector_index as V
 from tallyloom.sources import keywords as K
+from tallyloom.store import store
 
 
 def plans_of(monkeypatch, *modules):
@@ -131,3 +135,30 @@ def test_context_rows_of_short_and_repeated_words(spark, tmp_path):
     assert got == sorted(want) and (3, 2, "a", 4) in got
     shown = {(r.doc_id, r.pos): (r.target, r.context) for r in catalog.QUERIES["w2v_skipgram"](spark, str(tmp_path)).collect()}
     assert len(shown) == 17 and shown[1, 0] == ("a", "") and shown[4, 1] == ("b", "a a b") and shown[5, 0] == ("ä", "")
+
+
+def test_questions_meet_cells_where_both_are_read(spark, tmp_path):
+    """A question's vector is never repeated for each cell that it must see."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(400, 16)))], "vec_id long, embedding array<float>")
+    index = V.VectorIndex.build(rows, f"file://{tmp_path}/index", cells=20)
+    cells = V.Cells(index.cells.collect())
+    asked = rows.selectExpr("vec_id AS q", "cast(embedding AS array<double>) AS v", "0.1d AS bound")
+    asking = V._asking(asked, cells, 5).collect()
+    assert sum(len(r.qs) for r in asking) == 400 and sum(len(r.vs) for r in asking) == 400 * 16
+    assert sum(sum(r.beyond) for r in asking) > 400 * 10  # most cells, as vectors lie evenly
+    plan = index._met(spark.createDataFrame(asking, "qs array<long>, vs array<double>, bounds array<double>, beyond array<long>, cells array<int>"), cells, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|")
+    before = {f for f in files() if "shuffle_" in f}
+    kept = store(spark.range(100_000).repartition(4, "id").groupBy("id").count(), "rows")
+    for _ in range(50):
+        left = {f for f in files() if "shuffle_" in f} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and kept.df.count() == 100_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
